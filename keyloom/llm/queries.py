@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, tokenbin
+from . import decontam, katz, langid, linededup, lshforest, packing, tokenbin, vamana
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,10 +31,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cut="drop", end_id=2, capacity=4096)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(langid.fold() % 5 == 0, F.lit(False)))
+    model = langid.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.tokens_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), cut="lead", end_id=2)
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), langid.fold() % 7 == 2)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.drop_frequent_lines(docs, min_docs=10, min_chars=1)
@@ -47,6 +57,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.search(table(spark, sf_dir, "embeddings"), k=10, query_every=100)
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -100,5 +118,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_packing, op4_token_binary, op6_line_dedup, op7_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_packing, op3_language_id, op4_token_binary, op5_katz_scores, op6_line_dedup, op7_decontamination, op9_nearest_neighbours, op10_jaccard_join)}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
