@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, linededup, lshforest, packing, tokenbin, vamana
+from . import decontam, katz, langid, licences, linededup, lshforest, packing, passages, tokenbin, vamana
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,6 +31,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cut="drop", end_id=2, capacity=4096)
 
 
+def op2_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(langid.fold() % 5 == 0, F.lit(False)))
     model = langid.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -57,6 +61,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"), threshold=0.9)
+    names = F.array_join(F.array_sort(F.array_distinct("found.licence")), ",")
+    return found.select("doc_id", "n_licences", "licence", "dice", names.alias("licences"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.search(table(spark, sf_dir, "embeddings"), k=10, query_every=100)
 
@@ -118,5 +128,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_packing, op3_language_id, op4_token_binary, op5_katz_scores, op6_line_dedup, op7_decontamination, op9_nearest_neighbours, op10_jaccard_join)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_packing, op2_shared_passages, op3_language_id, op4_token_binary, op5_katz_scores, op6_line_dedup, op7_decontamination, op8_licence_scan, op9_nearest_neighbours, op10_jaccard_join)}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
