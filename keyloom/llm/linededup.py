@@ -49,7 +49,7 @@ def line_keys(text: str | None, min_chars: int = 1) -> tuple[list[bytes], list[b
 
 def _mixed(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
     """A position below ``bits`` for each key, another at each level."""
-    x = keys + _MIX * np.uint64(2 * level + 1)
+    x = keys + np.uint64(int(_MIX) * (2 * level + 1) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(32))) % np.uint64(bits)).astype(np.int64)

@@ -116,11 +116,14 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
-def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def ship(spark: SparkSession) -> None:
     """Python workers find this package where the driver has it, unless they are told another place."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+        ship(spark)
         return query(spark, sf_dir)
 
     run.__name__ = query.__name__
