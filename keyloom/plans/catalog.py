@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import merge, rollups
 from ..sources import testbed
-from . import console, oracle
-from .oracle import ACT_COLUMNS, ACTS, BOTH, EVENTS, STEPPED, of
+from . import console
+from .oracle import ACT_COLUMNS, ACTS, BOTH, EVENTS, of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,5 +276,3 @@ def a32_intents(spark, d):
 def a33_error_page(spark, d):
     return console.errors(testbed.store(spark, d), reason="hitl_timeout", limit=25)
 
-
-_ = STEPPED, oracle

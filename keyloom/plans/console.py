@@ -131,10 +131,9 @@ def span_tree(events: DataFrame) -> DataFrame:
     A span whose parent is absent, empty or itself is a root; siblings go by (first_ms, span_id). Spans on a
     cycle, which no root reaches, come last as roots. One trace is one bounded group.
     """
-    import pandas as pd
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["first_ms", "span_id", "parent_span_id"]].itertuples(index=False), key=lambda r: (r[0], r[1]))
+    def walk(spans: list[dict]) -> list[tuple[str, int]]:
+        rows = sorted((s["first_ms"], s["span_id"], s["parent_span_id"]) for s in spans)
         known = {r[1] for r in rows}
         children: dict[str, list[str]] = {}
         roots = []
@@ -148,15 +147,22 @@ def span_tree(events: DataFrame) -> DataFrame:
             stack = [(start, 0)]
             while stack:
                 span, depth = stack.pop()
-                if span in seen:
-                    continue
-                seen.add(span)
-                out.append((span, depth))
-                stack += [(c, depth + 1) for c in reversed(children.get(span, []))]
-        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[0], "span_id": [s for s, _ in out], "depth": [d for _, d in out], "position": range(len(out))})
-
-    s = rollups.spans(events).select("trace_id", "span_id", "parent_span_id", "first_ms")
-    return s.groupBy("trace_id").applyInPandas(walk, "trace_id string, span_id string, depth bigint, position bigint")
+                if span not in seen:
+                    seen.add(span)
+                    out.append((span, depth))
+                    stack += [(c, depth + 1) for c in reversed(children.get(span, []))]
+        return out
+
+    def trees(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(t, span, depth, k) for t, spans in zip(b.column("trace_id").to_pylist(), b.column("spans").to_pylist(), strict=True) for k, (span, depth) in enumerate(walk(spans))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["trace_id", "span_id", "depth", "position"])
+
+    s = rollups.spans(events).groupBy("trace_id").agg(F.collect_list(F.struct("span_id", F.coalesce("parent_span_id", F.lit("")).alias("parent_span_id"), "first_ms")).alias("spans"))
+    return s.mapInArrow(trees, "trace_id string, span_id string, depth bigint, position bigint")
 
 
 EVENT_ORDER = ["start_ms", "step_index", "event_type", "span_id"]
