@@ -14,7 +14,7 @@ successor. A document starts after a fixed start token and ends with an end toke
 
 How it is computed. No table of words or pairs is collected or broadcast:
 
-1. Texts become *chunks* of about ``CHUNK_TOKENS`` tokens as local word numbers, written to the shared folder.
+1. Texts become *chunks* of about a million tokens as local word numbers, written to the shared folder.
 2. Each chunk sends its distinct words, with training counts, to partitions by word hash; they return to
    each chunk its words' global numbers and counts.
 3. Each chunk sends its distinct pairs to partitions by history (a frequent history is spread by pair), with
@@ -33,8 +33,6 @@ unknown and every score is 0. A document longer than a chunk continues in the ne
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,46 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import END, chunked, mix, order_of, pack, unpack
 from .common import Stage, shuffle_parts
 
-CHUNK_TOKENS = 1 << 20
 K = 5
 DELTA = 0.01
-END, START = b"\n</s>", b"\n<s>"  # no word holds a line feed
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Non-negative integer arrays, each in its smallest width and by byte planes, compressed together."""
-    import zstandard
-
-    head, body = [len(arrays)], []
-    for a in arrays:
-        top = int(a.max()) if len(a) else 0
-        width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-        head += [len(a), width]
-        body.append(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, dtype="<i8").tobytes() + b"".join(body))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    shape = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(-1, 2)
-    at, out = 8 + 16 * n, []
-    for size, width in shape.tolist():
-        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
-        at += size * width
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def words_of(text: str) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -94,78 +62,6 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def _chunks(docs: DataFrame, kind: str) -> DataFrame:
-    """Rows of ``(chunk, first columns of segments, tokens, words)``."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 32
-        number, row = 0, 0
-        names = ["chunk", "ids", "meta", "tokens", "words", "counts"]
-        words: defaultdict[bytes, int] = defaultdict()
-        segments: list[tuple] = []  # uid, held out, first history, tokens
-        size = 0
-
-        def fresh() -> None:
-            nonlocal size
-            words.clear()
-            words.default_factory = itertools.count().__next__
-            words[END], words[START]  # numbers 0 and 1
-            segments.clear()
-            ids.clear()
-            size = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal number
-            held = np.array([s[1] for s in segments], dtype=np.int64)
-            n = np.array([len(s[3]) for s in segments], dtype=np.int64)
-            tokens = np.concatenate([s[3] for s in segments])
-            train = np.repeat(held == 0, n)
-            counts = np.bincount(tokens[train], minlength=len(words))
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype="<u8")
-            meta = pack(np.array([s[0] for s in segments]), held, np.array([s[2] for s in segments]), n)
-            own = pa.array(ids, ids_type)
-            cols = [pa.array([base + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([meta]), pa.array([pack(tokens)]), pa.array([hashes.tobytes()]), pa.array([pack(counts)])]
-            number += 1
-            return pa.RecordBatch.from_arrays(cols, names)
-
-        ids: list = []
-        ids_type = None
-        fresh()
-        for batch in batches:
-            ids_type = batch.column("id").type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for key, text, held in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("held").to_pylist(), strict=True):
-                    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                    found.append(END)
-                    last, k = START, 0
-                    while k < len(found):
-                        some = found[k : k + max(CHUNK_TOKENS - size, 1)]
-                        first = words[last]
-                        segments.append((base + row, int(held), first, np.fromiter(map(words.__getitem__, some), np.int64, len(some))))
-                        ids.append(key)
-                        size += len(some)
-                        k += len(some)
-                        last = some[-1]
-                        if size >= CHUNK_TOKENS:
-                            yield close()
-                            fresh()
-                    row += 1
-        if segments:
-            yield close()
-
-    return docs.mapInArrow(cut, f"chunk long, ids array<{kind}>, meta binary, tokens binary, words binary, counts binary")
-
-
-def _order(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which a chunk's words go out: by partition; and where each partition begins."""
-    part = (_mix(hashes) % np.uint64(parts)).astype(np.int64)
-    return np.argsort(part, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
-
-
 def _word_table(chunks: DataFrame, parts: int) -> DataFrame:
     """Per word partition: a row with counts of counts, and for each chunk its words' numbers and counts."""
 
@@ -174,7 +70,7 @@ def _word_table(chunks: DataFrame, parts: int) -> DataFrame:
             for i in range(b.num_rows):
                 hashes = np.frombuffer(b.column("words")[i].as_py(), "<u8")
                 counts = unpack(b.column("counts")[i].as_py())[0]
-                order, at = _order(hashes, parts)
+                order, at = order_of(hashes, parts)
                 used = [p for p in range(parts) if at[p + 1] > at[p]]
                 cols = [
                     pa.array(used, pa.int64()),
@@ -227,13 +123,13 @@ def _send_pairs(joined: DataFrame, level: _Words, parts: int, kind: str) -> Data
         for b in batches:
             for i in range(b.num_rows):
                 chunk = b.column("chunk")[i].as_py()
-                hashes = np.frombuffer(b.column("words")[i].as_py(), "<u8")
-                order, at = _order(hashes, max(int(b.column("word_parts")[i].as_py()), 1))
-                gid, cnt = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+                order, at = unpack(b.column("order")[i].as_py())
+                size = len(order)
+                gid, cnt = np.zeros(size, np.int64), np.zeros(size, np.int64)
                 for back in b.column("back")[i].as_py():
                     mine = order[at[back["part"]] : at[back["part"] + 1]]
                     gid[mine], cnt[mine] = unpack(back["data"])
-                uid, held, first, n = unpack(b.column("meta")[i].as_py())
+                uid, held, first, n, _ = unpack(b.column("meta")[i].as_py())
                 tokens = unpack(b.column("tokens")[i].as_py())[0]
                 start = np.cumsum(n) - n
                 seg = np.repeat(np.arange(len(n)), n)
@@ -252,19 +148,19 @@ def _send_pairs(joined: DataFrame, level: _Words, parts: int, kind: str) -> Data
                 hist[start] = first
                 hist_count = cnt.copy()
                 hist_count[1] = level.ends
-                key = hist * len(hashes) + tokens
+                key = hist * size + tokens
                 by = np.argsort(key, kind="stable")
                 key, seg, train = key[by], seg[by], (held == 0)[seg[by]]
                 new_type = np.concatenate(([True], key[1:] != key[:-1]))
                 new_ref = new_type | np.concatenate(([True], seg[1:] != seg[:-1]))
                 types, refs = np.flatnonzero(new_type), np.flatnonzero(new_ref)
-                h, w = key[types] // len(hashes), key[types] % len(hashes)
+                h, w = key[types] // size, key[types] % size
                 r = np.add.reduceat(train.astype(np.int64), types)
                 mult = np.diff(np.append(refs, len(key)))
                 ref_seg, n_ref = seg[refs], np.diff(np.append(np.searchsorted(refs, types), len(refs)))
                 ref_at = np.cumsum(n_ref) - n_ref
                 spread = hist_count[h] * 4 * parts > level.n
-                dest = (_mix(gid[h] + np.where(spread, (gid[w] + 1) * 0x9E3779B1, 0)) % np.uint64(parts)).astype(np.int64)
+                dest = (mix(gid[h] + np.where(spread, (gid[w] + 1) * 0x9E3779B1, 0)) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(dest, kind="stable")
                 bounds = np.searchsorted(dest[by], np.arange(parts + 1))
                 out_part, out_data = [], []
@@ -353,11 +249,21 @@ def _backoff(table_h: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarra
 def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``; ``held_out`` is a column."""
     spark = docs.sparkSession
-    stage, parts = Stage(spark, "katz"), max(1, shuffle_parts(spark))
+    stage, parts = Stage(spark, "katz"), 4 * max(1, shuffle_parts(spark))  # several small groups to a task
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     kind = slim.schema["id"].dataType.simpleString()
-    chunks = stage.put("chunks", _chunks(slim, kind))
-    words = stage.put("words", _word_table(chunks, parts))
+    whole = chunked(slim, kind, words_of, parts)
+    none = lambda name: F.lit(None).cast(whole.schema[name].dataType).alias(name)
+    text, vocab = ("ids", "meta", "tokens", "order"), ("words", "counts")
+    one = F.struct(F.lit("text").alias("kind"), *text, *map(none, vocab))
+    two = F.struct(F.lit("vocab").alias("kind"), *map(none, text), *vocab)
+    # Two folders from one pass: the vocabularies are read once and then removed.
+    both = whole.select("chunk", F.explode(F.array(one, two)).alias("r")).select("chunk", "r.*")
+    both.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(stage.path("chunks"))
+    read = spark.read.schema(both.drop("kind").schema)
+    chunks = read.parquet(stage.path("chunks/kind=text")).select("chunk", *text)
+    words = stage.put("words", _word_table(read.parquet(stage.path("chunks/kind=vocab")), parts))
+    stage.drop("chunks/kind=vocab")
 
     n, v, ends, few = 0, 0, 0, np.zeros(K + 3, dtype=np.int64)
     for r in words.filter("chunk = -1").select("data").toLocalIterator():
@@ -366,7 +272,7 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     level = _Words(n, v, few, ends)
 
     back = words.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("back"))
-    joined = chunks.drop("counts").join(back, "chunk").withColumn("word_parts", F.lit(parts))
+    joined = chunks.join(back, "chunk")
     stored = stage.put("pairs", _resolve(_send_pairs(joined, level, parts, kind), level, kind))
     stage.drop("words")
 
