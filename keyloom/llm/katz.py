@@ -260,9 +260,9 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     # Two folders from one pass: the vocabularies are read once and then removed.
     both = whole.select("chunk", F.explode(F.array(one, two)).alias("r")).select("chunk", "r.*")
     both.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(stage.path("chunks"))
-    read = spark.read.schema(both.drop("kind").schema)
-    chunks = read.parquet(stage.path("chunks/kind=text")).select("chunk", *text)
-    words = stage.put("words", _word_table(read.parquet(stage.path("chunks/kind=vocab")), parts))
+    stored = spark.read.schema(both.schema).parquet(stage.path("chunks"))
+    chunks = stored.filter("kind = 'text'").select("chunk", *text)
+    words = stage.put("words", _word_table(stored.filter("kind = 'vocab'"), parts))
     stage.drop("chunks/kind=vocab")
 
     n, v, ends, few = 0, 0, 0, np.zeros(K + 3, dtype=np.int64)
