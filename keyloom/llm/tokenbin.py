@@ -18,14 +18,16 @@ repeat stay, each with its own ids; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Stage, shuffle_parts
 from .tokens import encoder
@@ -114,17 +116,45 @@ def decode_block(block: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n + 1, low_bits, parts[0], parts[1], samples), ids
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "lead", end_id: int = 2, block_tokens: int = 1 << 20, id_bytes: int = 2) -> None:
-    """Write the files below ``path``: ``shard, block, shard_start, doc_ids, data`` by row."""
+def _range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are not above the value, as a balanced tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return F.coalesce(F.when(value.isNotNull(), tree(0, len(bounds))), F.lit(0)).cast("int")
+
+
+def _dealt(slim: DataFrame) -> DataFrame:
+    """Rows in ranges of ``doc_id``, one to a partition: ``shard`` ascends with the id.
+
+    For numeric ids the bounds come from quantiles of that column alone, so texts are scanned once.
+    """
+    parts = max(1, shuffle_parts(slim.sparkSession))
+    if not isinstance(slim.schema["doc_id"].dataType, IntegralType):
+        by_range = slim.repartitionByRange(parts, "doc_id", F.xxhash64("text"))
+        return by_range.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
+    cuts = [k / parts for k in range(1, parts)]
+    bounds = slim.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("b")).first()["b"] if cuts else []
+    shard = _range_of(F.col("doc_id"), sorted(set(bounds or [])))
+    return slim.withColumn("shard", shard).repartitionById(parts, "shard").sortWithinPartitions("doc_id", "text")
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "lead", end_id: int = 2, block_tokens: int = 1 << 20, id_bytes: int = 2, cache_pieces: int = 1_200_000) -> None:
+    """Write the files below ``path``: ``shard, block, shard_start, doc_ids, data`` by row.
+
+    ``cache_pieces`` bounds the encoder's cache: about 250 bytes each in a Python worker.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = slim.repartitionByRange(max(shuffle_parts(docs.sparkSession), 1), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = _dealt(slim)
     end = np.uint32(end_id).astype("<u4").tobytes()
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, enc = TaskContext.get().partitionId(), encoder(tokenizer, cut)
+        shard, enc = 0, encoder(tokenizer, cut, cache_pieces)
         names, held_ids, lengths, data, tokens, number, before = ["shard", "block", "shard_start", "n_tokens", "doc_ids", "data"], [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
@@ -136,6 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                shard = part.column("shard")[0].as_py()
                 first = 0
                 for i, ids in enumerate(enc.encode_many(part.column("text").to_pylist())):
                     data += (ids, end)
@@ -151,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
             yield close()
 
     out = dealt.mapInArrow(write, f"shard long, block long, shard_start long, n_tokens long, doc_ids array<{kind}>, data binary")
-    out.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    out.write.mode("overwrite").option("compression", "snappy").option("parquet.block.size", 32 << 20).parquet(path)
 
 
 def read_tokens(spark, path: str, *, keep_ids: bool = False) -> DataFrame:
@@ -171,10 +202,11 @@ def read_tokens(spark, path: str, *, keep_ids: bool = False) -> DataFrame:
                 base = starts.value[batch.column("shard")[k].as_py()] + batch.column("shard_start")[k].as_py()
                 bounds, ids = decode_block(batch.column("data")[k].as_py())
                 at = bounds.values()
-                pieces = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                whole = memoryview(ids.astype("<u4").tobytes())
+                pieces = [whole[a:b] for a, b in itertools.pairwise((4 * at).tolist())]
                 cols = [batch.column("doc_ids")[k].values, pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
                 if keep_ids:
-                    cols.append(pa.array(pieces, pa.binary()))
+                    cols.append(pa.array([bytes(p) for p in pieces], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return files.select("shard", "shard_start", "doc_ids", "data").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import os
 import re
 import unicodedata
@@ -31,11 +32,22 @@ PRE = {
 #: Characters whose case, composition and class need no context: texts with others go to the library.
 _RARE = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u2052\u20a0-\u20bf]")
 SEGMENT_CHARS = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 400_000  # about 100 MB in a Python worker
+
+
+class _Cache(dict):
+    """Ids of pieces; a look-up of an unknown piece notes it and gives None."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.new.add(piece)
 
 
 class WordCachedEncoder:
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -44,7 +56,8 @@ class WordCachedEncoder:
         self.tk.encode_special_tokens = True
         self.find = re.compile(PRE[cut]).findall
         self.lower = cut == "drop"
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache()
+        self.cache_pieces = cache_pieces
         self.between = " " if self.lower else "\n"
         vocab = self.tk.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -92,13 +105,25 @@ class WordCachedEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         pieces = [None if _RARE.search(t) else self.find(t.lower() if self.lower else t) for t in texts]
-        new = set().union(*(p for p in pieces if p)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = set().union(*(p for p in pieces if p))
-        self.cache.update(self._pieces(list(new)))
-        get = self.cache.__getitem__
-        return [self._raw([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
+        out = [self._raw([t])[0] if p is None else self._join(p) for t, p in zip(texts, pieces, strict=True)]
+        new = self.cache.new
+        if new:
+            if len(self.cache) + len(new) > self.cache_pieces:  # keep what is in use
+                used = set().union(*(p for p in pieces if p)).intersection(self.cache)
+                self.cache = _Cache((p, self.cache[p]) for p in used)
+            self.cache.update(self._pieces(list(new)))
+            self.cache.new = set()
+            out = [self._join(p) if x is None else x for x, p in zip(out, pieces, strict=True)]
+        return out
+
+    def _join(self, pieces: list[str]) -> bytes | None:
+        """The ids of all pieces; None if any is not known yet, and then all unknown ones are noted."""
+        if len(pieces) < 2:
+            return self.cache[pieces[0]] if pieces else b""
+        try:
+            return b"".join(operator.itemgetter(*pieces)(self.cache))
+        except TypeError:
+            return None
 
     def encode_many(self, texts: list[str | None], group_chars: int = 1 << 21) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -119,7 +144,7 @@ class WordCachedEncoder:
         yield from self._group(group)
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, cut: str) -> WordCachedEncoder:
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, cut: str, cache_pieces: int = CACHE_PIECES) -> WordCachedEncoder:
     """One encoder in each Python worker."""
-    return WordCachedEncoder(path, cut)
+    return WordCachedEncoder(path, cut, cache_pieces)
