@@ -36,14 +36,21 @@ CACHE_PIECES = 400_000  # about 100 MB in a Python worker
 
 
 class _Cache(dict):
-    """Ids of pieces; a look-up of an unknown piece notes it and gives None."""
+    """Ids of pieces, in two generations: what is used again moves on from the older one. A look-up of a piece
+    in neither notes it and gives None."""
 
-    def __init__(self, known=()):
-        super().__init__(known)
+    def __init__(self, older: dict[str, bytes]):
+        super().__init__()
+        self.older = older
         self.new: set[str] = set()
 
-    def __missing__(self, piece: str) -> None:
-        self.new.add(piece)
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.older.get(piece)
+        if ids is None:
+            self.new.add(piece)
+        else:
+            self[piece] = ids
+        return ids
 
 
 class WordCachedEncoder:
@@ -56,7 +63,7 @@ class WordCachedEncoder:
         self.tk.encode_special_tokens = True
         self.find = re.compile(PRE[cut]).findall
         self.lower = cut == "drop"
-        self.cache = _Cache()
+        self.cache = _Cache({})
         self.cache_pieces = cache_pieces
         self.between = " " if self.lower else "\n"
         vocab = self.tk.get_vocab()
@@ -108,9 +115,8 @@ class WordCachedEncoder:
         out = [self._raw([t])[0] if p is None else self._join(p) for t, p in zip(texts, pieces, strict=True)]
         new = self.cache.new
         if new:
-            if len(self.cache) + len(new) > self.cache_pieces:  # keep what is in use
-                used = set().union(*(p for p in pieces if p)).intersection(self.cache)
-                self.cache = _Cache((p, self.cache[p]) for p in used)
+            if len(self.cache) + len(new) > self.cache_pieces // 2:
+                self.cache = _Cache(dict(self.cache))
             self.cache.update(self._pieces(list(new)))
             self.cache.new = set()
             out = [self._join(p) if x is None else x for x, p in zip(out, pieces, strict=True)]
