@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_stages: list[Stage] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +38,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
+        _stages.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -42,12 +48,34 @@ class Stage:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def drop(self, table: str) -> None:
-        """Remove a table that nothing will read again."""
+    def drop(self, table: str = "") -> None:
+        """Remove a table that nothing will read again, or all tables of this call."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(table).rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch, at most, for jobs that run inside: few where a row may hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@atexit.register
+def release() -> None:
+    """Remove the staged tables of all calls so far; their results must have been read. Runs at exit, too."""
+    while _stages:
+        stage = _stages.pop()
+        if stage.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone
+                stage.drop()

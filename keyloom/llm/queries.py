@@ -117,7 +117,12 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def ship(spark: SparkSession) -> None:
-    """Python workers find this package where the driver has it, unless they are told another place."""
+    """Python workers find this package where the driver has it, unless they are told another place.
+
+    Arrow batches are kept at 2,000 rows at most: a row is a whole text.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(2000, int(spark.conf.get(rows))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
