@@ -149,7 +149,7 @@ def frequent_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 1
                 for text in batch.slice(at, 512).column(0).to_pylist():
                     for h in set(line_keys(text, min_chars)[1]):
                         counts[h] = counts.get(h, 0) + 1
-                if len(counts) > 200_000:
+                if len(counts) > 100_000:
                     yield flush()
         yield flush()
 
