@@ -27,7 +27,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, dtype="<i8").tobytes() + b"".join(body))
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
+def unpack(data: bytes, wide: bool = True) -> list[np.ndarray]:
+    """The arrays of ``pack``, as 64-bit integers or, to save memory, in their stored width."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
@@ -36,7 +37,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at, out = 8 + 16 * n, []
     for size, width in shape.tolist():
         planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        own = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+        out.append(own.astype(np.int64) if wide else own)
         at += size * width
     return out
 

@@ -188,7 +188,7 @@ def _resolve(pairs: DataFrame, level: _Words, kind: str) -> DataFrame:
         out_chunk, out_data = [chunk[i] for i in info], [data[i] for i in info]
         out_ids = [ids.take(pa.array(info, pa.int64()))] if info else []
         if rows:
-            blobs = [unpack(data[i][1:]) for i in rows]
+            blobs = [unpack(data[i][1:], wide=False) for i in rows]
             hg = np.concatenate([np.repeat(b[0], b[2]) for b in blobs])
             hc = np.concatenate([np.repeat(b[1], b[2]) for b in blobs])
             split = np.concatenate([np.repeat(b[9], b[2]) for b in blobs])
@@ -249,7 +249,7 @@ def _backoff(table_h: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarra
 def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``; ``held_out`` is a column."""
     spark = docs.sparkSession
-    stage, parts = Stage(spark, "katz"), 4 * max(1, shuffle_parts(spark))  # several small groups to a task
+    stage, parts = Stage(spark, "katz"), 2 * max(1, shuffle_parts(spark))  # smaller groups than tasks
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     kind = slim.schema["id"].dataType.simpleString()
     whole = chunked(slim, kind, words_of, parts)
