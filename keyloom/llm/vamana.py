@@ -2,10 +2,12 @@
 
 1. Equal vectors become one *class* with its smallest ids, so thousands of copies are one node. More ids of
    a class than a query can return are never needed (``k + 1``), and the window limit keeps no more.
-2. Classes are dealt to shards by hash, about ``shard_rows`` each: bounded work and memory for a task, even
-   under skew. Each shard builds its own graph. Points enter in growing batches: a greedy search over the
-   graph so far proposes neighbours, relaxed distance pruning (factor ``alpha``) keeps diverse edges, and
-   back edges are pruned alike. The graphs are written to the shared folder; the index holds every row.
+2. Classes are dealt to shards by hash: ``shard_rows`` or more each, so that there are no more shards than
+   shuffle partitions, but never more than about ``MOST_ROWS``: bounded work and memory for a task, even
+   under skew, and few shards for each query to visit. Each shard builds its own graph. Points enter in
+   growing batches: a greedy search over the graph so far proposes neighbours, relaxed distance pruning
+   (factor ``alpha``) keeps diverse edges, and back edges are pruned alike. The graphs are written to the
+   shared folder; the index holds every row.
 3. Queries (classes with a query id) go to every shard in blocks; a beam search of width ``beam`` answers
    each, and distances are recomputed in double precision on the original vectors.
 4. The best of all shards are kept for each class and expanded to ids: nearest first, ties to smaller ids.
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage
+from .common import Stage, shuffle_parts
 
 SHARD_ROWS = 4096
+MOST_ROWS = 1 << 16
 DEGREE = 24
 BEAM = 64
 ALPHA = 1.2
@@ -181,13 +184,14 @@ def search(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: s
     spark = vectors.sparkSession
     stage = Stage(spark, "vamana")
     known = stage.put("classes", classes(vectors, k, id_col=id_col, vec_col=vec_col))
-    shards = max(1, -(-known.count() // shard_rows))
+    n = known.count()
+    shards = max(1, -(-n // MOST_ROWS), min(-(-n // shard_rows), shuffle_parts(spark)))
 
     def build(key, table):
         cls = table.column("cls").to_numpy()
         by = np.argsort(cls, kind="stable")
         x = np.stack([np.asarray(v, dtype=np.float64) for v in table.column("vec").combine_chunks().to_pylist()])[by]
-        g = Graph.build(x, beam=beam)
+        g = Graph.build(x / np.abs(x).max(), beam=beam)  # edges don't depend on the scale; single precision does
         one = lambda v, t: pa.array([v], t)
         return pa.table({"dim": one(x.shape[1], pa.int64()), "shard": one(key[1].as_py(), pa.int64()), "entry": one(g.entry, pa.int64()), "cls": one(cls[by].astype("<i8").tobytes(), pa.binary()), "x": one(x.astype("<f8").tobytes(), pa.binary()), "edges": one(g.edges.astype("<i4").tobytes(), pa.binary())})
 
@@ -201,7 +205,8 @@ def search(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: s
     q = own.select("cls", "vec").distinct().withColumn("dim", F.size("vec").cast("long"))
     q = q.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(max(1, -(-q.count() // BLOCK)))))
     blocks = q.groupBy("dim", "block").agg(F.collect_list(F.struct("cls", "vec")).alias("q"))
-    each = blocks.join(graphs, "dim")
+    # each block meets each shard: dealt by shard, so neither side gathers in one task
+    each = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(graphs, ["dim", "shard"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,12 +215,13 @@ def search(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: s
                 x = np.frombuffer(b.column("x")[i].as_py(), "<f8").reshape(-1, dim)
                 cls = np.frombuffer(b.column("cls")[i].as_py(), "<i8")
                 edges = np.frombuffer(b.column("edges")[i].as_py(), "<i4").reshape(len(x), -1)
-                g = Graph(x, edges.shape[1], edges=edges, entry=b.column("entry")[i].as_py())
                 rows = b.column("q")[i].as_py()
+                scale = max(np.abs(x).max(), max(abs(c) for r in rows for c in r["vec"]))
+                g = Graph(x / scale, edges.shape[1], edges=edges, entry=b.column("entry")[i].as_py())
                 for at in range(0, len(rows), 256):
                     some = rows[at : at + 256]
                     v = np.array([r["vec"] for r in some], dtype=np.float64)
-                    ids, _, log = g.search(v, max(beam, k + 1))
+                    ids, _, log = g.search(v / scale, max(beam, k + 1))
                     found = np.concatenate([ids, log], axis=1)
                     safe = np.maximum(found, 0)
                     d = np.where(found < 0, np.inf, ((x[safe] - v[:, None, :]) ** 2).sum(axis=2))
