@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Stage
-from .tokens import encoder
+from .tokens import CACHE_PIECES, encoder
 
 BUCKETS = 256
 
@@ -82,13 +82,16 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     return [(count, lengths(pack)) for count, pack in done]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "drop", end_id: int = 2, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
-    """Rows ``(id, start, length, ids_crc32, doc_tokens[, ids])``, one for each piece of each document."""
+def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "drop", end_id: int = 2, capacity: int = 4096, keep_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Rows ``(id, start, length, ids_crc32, doc_tokens[, ids])``, one for each piece of each document.
+
+    ``cache_pieces`` bounds the encoder's cache: about 250 bytes each in a Python worker.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, cut)
+        enc = encoder(tokenizer, cut, cache_pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

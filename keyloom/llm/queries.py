@@ -28,7 +28,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cut="drop", end_id=2, capacity=4096)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cut="drop", end_id=2, capacity=4096, cache_pieces=1_200_000)
 
 
 def op2_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
