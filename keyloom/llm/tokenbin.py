@@ -143,7 +143,7 @@ def _dealt(slim: DataFrame) -> DataFrame:
     return slim.withColumn("shard", shard).repartitionById(parts, "shard").sortWithinPartitions("doc_id", "text")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "lead", end_id: int = 2, block_tokens: int = 1 << 20, id_bytes: int = 2, cache_pieces: int = 1_200_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "lead", end_id: int = 2, block_tokens: int = 1 << 20, id_bytes: int = 2, cache_pieces: int = 2_400_000) -> None:
     """Write the files below ``path``: ``shard, block, shard_start, doc_ids, data`` by row.
 
     ``cache_pieces`` bounds the encoder's cache: about 250 bytes each in a Python worker.
