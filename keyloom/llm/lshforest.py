@@ -6,20 +6,18 @@
    matched on long prefixes first, and prefixes are shortened until pairs of ``threshold`` similarity are
    met in some tree with probability ``recall`` (``shortest_prefix``). Rows are dealt by that prefix and sorted,
    which lays each trie out as runs.
-3. Within a run of at most ``ALL_PAIRS`` texts all pairs are candidates. In a larger one each text meets
-   the first text of its run at the longest shared prefix, and these first texts meet at shorter ones; the
-   remaining pairs are examined in step 6. Pairs whose signatures agree far too rarely are left out.
+3. Within a run of at most ``ALL_PAIRS`` texts all pairs are candidates; the texts of a larger one go to step 5.
+   Pairs whose signatures agree far too rarely are left out.
 4. Candidates are verified exactly on the whole texts.
-5. Connected classes come from alternating large-star and small-star steps.
-6. Texts of large runs are brought together (in blocks, if they are very many) and pairs of different classes
-   compared there, likely ones first; a pair whose classes are already joined is skipped, and only links that
-   join classes leave the task. So no class is split that the forest can join, although a run of g near copies
-   gives about g rows and not g * g. A very large run is salted in step 3 and met whole in step 6.
+5. Texts of large runs are brought together once (in blocks, if they are very many) with all texts that they
+   share such runs with. There every pair that meets in some tree is verified once, whatever else joins it. Only
+   each text's number of links and the links that join classes leave the task, so a run of g near copies gives
+   about g rows and not g * g. A very large run is salted in step 3 and met whole here.
+6. Connected classes come from alternating large-star and small-star steps.
 
 Result: one row for each document: ``class_id`` (smallest id among the documents linked to it, directly or
 through others), ``rep_id`` (smallest id with the same set) and ``n_links``: the number of verified links of
-its representative to other texts. In runs of more than ``ALL_PAIRS`` texts, links that join classes are
-counted, not every pair inside a class.
+its representative to other texts, in runs of any size.
 
 Defined results: null texts and texts without words are linked to nothing; a null id is dropped; of rows
 that repeat an id all texts are joined under it; an empty table gives no rows.
@@ -159,14 +157,13 @@ def _runs(reps: DataFrame, trees: int, depth: int, prefix: int, hot: set, salts:
                 if hot:
                     at_hot = np.isin(keys, np.fromiter(hot, np.int64, len(hot)))
                     salt[at_hot] = (np.repeat(doc, trees)[at_hot] * 2654435761 >> 7) % salts + 1
-                deep = np.ascontiguousarray(sig[:, :, prefix:].astype(">u2")).reshape(m * trees, -1)
-                cols = [pa.array(keys), pa.array(salt), pa.array([x.tobytes() for x in deep], pa.binary()), pa.array(np.repeat(doc, trees)), pa.array(np.repeat(size, trees)), pa.array([s for s in short for _ in range(trees)], pa.binary())]
-                names = ["key", "salt", "deep", "id", "n", "sig"]
+                cols = [pa.array(keys), pa.array(salt), pa.array(np.repeat(doc, trees)), pa.array(np.repeat(size, trees)), pa.array([s for s in short for _ in range(trees)], pa.binary())]
+                names = ["key", "salt", "id", "n", "sig"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    shape = "key long, salt int, deep binary, id long, n long, sig binary"
+    shape = "key long, salt int, id long, n long, sig binary"
     out = reps.mapInArrow(rows, shape)
-    return out.repartition(shuffle_parts(reps.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "deep", "id")
+    return out.repartition(shuffle_parts(reps.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "id")
 
 
 def _near(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -177,7 +174,7 @@ def _near(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshol
 
 
 def _candidates(runs: DataFrame, threshold: float) -> DataFrame:
-    """Rows ``(kind, a, b)``. Kind 0: pairs of texts, a < b, as said in step 3. Kind 1: the first text and each
+    """Rows ``(kind, a, b)``. Kind 0: pairs of texts, a < b, of small runs. Kind 1: the first text and each
     text of a run of more than ``ALL_PAIRS``. Kind 2: a salted run and the first text of one of its parts."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +202,6 @@ def _candidates(runs: DataFrame, threshold: float) -> DataFrame:
             out.extend((1, int(ids[0]), x) for x in ids.tolist())
             if part.column("salt")[0].as_py():
                 out.append((2, part.column("key")[0].as_py(), int(ids[0])))
-            deep = np.frombuffer(b"".join(part.column("deep").to_pylist()), ">u2").reshape(g, -1)
-            heads = np.arange(g)
-            for k in range(deep.shape[1], -1, -1):
-                same = (deep[heads][1:, :k] == deep[heads][:-1, :k]).all(axis=1)
-                fresh = np.concatenate(([True], ~same))
-                owner = heads[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-                keep(owner[owner != heads], heads[owner != heads])
-                heads = heads[fresh]
 
         def batch_of() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["kind", "a", "b"])
@@ -239,47 +228,52 @@ def _candidates(runs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _settled(texts: DataFrame, n: int, threshold: float, trees: int, depth: int, prefix: int) -> DataFrame:
-    """Step 6: links ``(a, b, jaccard)`` that join classes of texts ``(group, id, cls, sig, text)``.
+    """Step 5: rows ``(a, b, n_links)`` of texts ``(group, i, j, mine, id, sig, text)``.
 
-    Only pairs of one run and of different classes are compared, likely ones first, and once two classes are
-    joined their other pairs are not looked at. Links leave the task, pairs don't.
+    ``a = b``: a text and its number of links found in this block; ``a < b``: a link that joins classes (with 0).
+    Block ``(i, j)`` has the pairs between parts i and j, so each pair of a group is looked at in one block only.
     """
 
     def settle(key, table):
-        ids, cls = table.column("id").to_numpy(), table.column("cls").to_numpy()
+        ids, mine = table.column("id").to_numpy(), table.column("mine").to_numpy()
+        apart = key[1].as_py() != key[2].as_py()
         g = len(ids)
         full = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(g, trees, depth)
-        keys, sig = _keys(full, prefix), _short(full)
+        keys, sig = np.ascontiguousarray(_keys(full, prefix).T), _short(full)
         sets = [shingles(t, n) for t in table.column("text").to_pylist()]
         size = np.array([len(s) for s in sets])
-        label = np.unique(cls, return_inverse=True)[1]
-        done = np.zeros((g, g), dtype=bool)
-        links = []
-        for t in range(trees):
-            by = np.argsort(keys[:, t], kind="stable")
-            bounds = np.flatnonzero(np.concatenate(([True], keys[by[1:], t] != keys[by[:-1], t], [True])))
-            for x, y in itertools.pairwise(bounds.tolist()):
-                run = by[x:y]
-                if y - x < 2 or (label[run] == label[run[0]]).all():
-                    continue
-                for k, i in enumerate(run[:-1].tolist()):
-                    rest = run[k + 1 :]
-                    rest = rest[(label[rest] != label[i]) & ~done[i, rest]]
-                    rest = rest[_near(sig, size, np.full(len(rest), i), rest, threshold)]
-                    if not len(rest):
-                        continue
-                    for j in rest[np.argsort(-(sig[rest] == sig[i]).sum(axis=1), kind="stable")].tolist():
-                        if label[j] == label[i]:
-                            continue
-                        done[i, j] = done[j, i] = True
-                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        sim = both / (len(sets[i]) + len(sets[j]) - both)
-                        if sim >= threshold:
-                            links.append((min(ids[i], ids[j]), max(ids[i], ids[j]), sim))
-                            label[label == label[j]] = label[i]
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64()), "jaccard": pa.array([x[2] for x in links], pa.float64())})
-
-    return texts.groupBy("group", "i", "j").applyInArrow(settle, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        start = np.cumsum(size) - size
+        member = np.zeros(len(flat), dtype=np.uint8)  # the shingles of one text
+        label, n_links = np.arange(g), np.zeros(g, dtype=np.int64)
+        joins = []
+        for i in range(g - 1):
+            ok = (keys[:, i + 1 :] == keys[:, i : i + 1]).any(axis=0) & (ids[i + 1 :] != ids[i])
+            if apart:
+                ok &= mine[i + 1 :] != mine[i]
+            rest = i + 1 + np.flatnonzero(ok)
+            rest = rest[_near(sig, size, np.full(len(rest), i), rest, threshold)]
+            own = flat[start[i] : start[i] + size[i]]
+            member[own] = 1
+            for at in range(0, len(rest), 512):
+                some = rest[at : at + 512]
+                first = np.cumsum(size[some]) - size[some]
+                places = np.repeat(start[some] - first, size[some]) + np.arange(size[some].sum())
+                both = np.add.reduceat(member[flat[places]], first, dtype=np.int64)
+                linked = some[both / (size[i] + size[some] - both) >= threshold]
+                n_links[linked] += 1
+                n_links[i] += len(linked)
+                for j in linked[label[linked] != label[i]].tolist():
+                    if label[j] != label[i]:
+                        joins.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        label[label == label[j]] = label[i]
+            member[own] = 0
+        some = np.flatnonzero(n_links)
+        a = np.concatenate([ids[some], np.array([x[0] for x in joins], np.int64)])
+        b = np.concatenate([ids[some], np.array([x[1] for x in joins], np.int64)])
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "n_links": pa.array(np.concatenate([n_links[some], np.zeros(len(joins), np.int64)]))})
+
+    return texts.groupBy("group", "i", "j").applyInArrow(settle, "a long, b long, n_links long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -350,27 +344,33 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     pairs = stage.put("pairs", _candidates(_runs(alone, trees, depth, prefix, hot, 64), threshold))
     with arrow_rows(spark, 64):  # rows of two whole texts
         links = stage.put("links", _verified(pairs.filter("kind = 0"), slim, stage, n, threshold))
-    labels = stage.put("labels", components(links, stage, "cc1"))
+    edges, counted = links.select("a", "b"), links.select("a", "b")
 
-    # Step 6: texts of large runs, each once, with all texts that they share such runs with.
+    # Step 5: texts of large runs, each once, with all texts that they share such runs with.
     parts = pairs.filter("kind = 2").withColumn("c", F.min("b").over(Window.partitionBy("a")))
     large = pairs.filter("kind = 1").select("a", "b").unionByName(parts.select("b", F.col("c").alias("a")))
+    inside = None
     if not large.isEmpty():
-        groups = components(large, stage, "groups").withColumnRenamed("cls", "group")
-        open_ = groups.join(labels, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
-        open_ = open_.join(alone, "id")
-        counts = open_.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
-        open_ = stage.put("open", open_.join(counts.select("group", "size", "shingles"), "group").drop("n"))
-        own = _texts_of(slim, open_.select("id"))
+        groups = stage.put("group-of", components(large, stage, "groups").withColumnRenamed("cls", "group"))
+        held = groups.join(alone, "id")
+        counts = held.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+        held = stage.put("held", held.join(counts, "group").drop("n"))
+        own = _texts_of(slim, held.select("id"))
         blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        each = open_.join(own, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        each = held.join(own, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         each = each.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-        more = stage.put("more-links", _settled(each.select("group", "i", "j", "id", "cls", "sig", "text"), n, threshold, trees, depth, prefix))
-        links = links.unionByName(more).dropDuplicates(["a", "b"])
-        labels = stage.put("labels2", components(links, stage, "cc2"))
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+        more = stage.put("more-links", _settled(each.select("group", "i", "j", "mine", "id", "sig", "text"), n, threshold, trees, depth, prefix))
+        edges = edges.unionByName(more.filter("a < b").select("a", "b"))
+        # Pairs inside a group are counted in its blocks, those of their small runs as well.
+        counted = counted.join(groups.select(F.col("id").alias("a"), F.col("group").alias("ga")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("group").alias("gb")), "b", "left")
+        counted = counted.filter("ga is null or gb is null or ga <> gb").select("a", "b")
+        inside = more.filter("a = b").select(F.col("a").alias("id"), "n_links")
+    labels = stage.put("labels", components(edges, stage, "cc"))
+
+    degree = counted.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    if inside is not None:
+        degree = degree.unionByName(inside).groupBy("id").agg(F.sum("n_links").alias("n_links"))
     found = reps.select("key", F.col("rep").alias("rep_id")).join(labels.select(F.col("id").alias("rep_id"), "cls"), "rep_id", "left").join(degree.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     out = signed.select("id", "key").join(found, "key", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("cls", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -219,6 +219,28 @@ def test_op10_large_runs_are_settled(spark, monkeypatch):
         assert got == want
 
 
+def test_op10_large_runs_count_all_links(spark, monkeypatch):
+    """A group of 90 near copies beside other texts: all links of brute force are counted, in one block or many."""
+    from keyloom.llm import lshforest
+
+    rng = np.random.RandomState(5)
+    texts = {}
+    for d in range(110):
+        w = [f"w{i}" if d < 90 else f"d{d}w{i}" for i in range(200)]
+        for i in rng.choice(200, rng.randint(0, 3), replace=False):
+            w[i] = f"x{rng.randint(1000)}"
+        texts[d] = " ".join(w)
+    texts[110] = texts[100] + " more"
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = jaccard_classes(texts)
+    assert max(c[2] for c in want.values()) > 40
+    for block, hot in ((4096, 20_000), (16, 20_000), (16, 50)):
+        monkeypatch.setattr(lshforest, "BLOCK", block)
+        monkeypatch.setattr(lshforest, "HOT_RUN", hot)
+        got = {r["doc_id"]: (r["class_id"], r["rep_id"], r["n_links"]) for r in lshforest.near_duplicates(df).collect()}
+        assert got == want
+
+
 def test_pipeline_by_its_parts(spark, sf_dir, docs):
     import corpus_pipeline
     from keyloom.llm.common import Stage
