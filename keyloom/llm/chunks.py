@@ -50,14 +50,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], parts: int = 1) -> DataFrame:
+def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], parts: int = 1, overlap: int = 0) -> DataFrame:
     """Chunks of ``docs (id, text, held)``: about ``CHUNK_TOKENS`` words each, every document closed by END.
 
     ``ids``: the id of each segment (a document, or a part of a very long one). ``meta``: row number, held,
     word before it (as a number), length and place in its document of each segment. ``tokens``: word numbers.
     ``words``: the 64-bit hash of each number. ``counts``: its tokens in segments that are not held.
     ``order``: the words by partition of ``parts``, and where each partition begins.
+
+    With ``overlap`` no document is cut that fits a chunk, and one of more than ``step = CHUNK_TOKENS - overlap``
+    words has a part at each multiple of ``step``, in chunks that follow each other; parts share ``overlap`` words.
     """
+    step = CHUNK_TOKENS - overlap
+    if step <= 0:
+        raise ValueError("the overlap must be smaller than a chunk")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -104,15 +110,18 @@ def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], par
                     found = split(text or "")
                     found.append(END)
                     last, k = START, 0
+                    if overlap and size and size + len(found) > CHUNK_TOKENS:
+                        yield close()
+                        fresh()
                     while k < len(found):
                         some = found[k : k + max(CHUNK_TOKENS - size, 1)]
                         first = words[last]
                         segments.append((base + row, int(held), first, np.fromiter(map(words.__getitem__, some), np.int64, len(some)), k))
                         ids.append(key)
                         size += len(some)
-                        k += len(some)
-                        last = some[-1]
-                        if size >= CHUNK_TOKENS:
+                        k += step if overlap else len(some)
+                        last = found[min(k, len(found)) - 1]
+                        if size >= CHUNK_TOKENS or (overlap and k < len(found)):
                             yield close()
                             fresh()
                     row += 1

@@ -244,3 +244,24 @@ def test_neighbour_edges(spark):
     assert got[got.query_id == 0].vec_id.tolist() == [1, 8, 100] and got[got.query_id == 100].vec_id.tolist() == [0, 1, 8] and 200 not in set(got.query_id)
     assert vamana.search(df, k=10).toPandas().groupby("query_id").size().tolist() == [4, 4]
     assert vamana.search(df.limit(0)).count() == 0
+
+
+def test_passages_across_chunk_borders(spark, monkeypatch):
+    """With small chunks: a passage where a chunk is full, and across the parts of a long document and of its hub."""
+    from keyloom.llm import chunks
+
+    monkeypatch.setattr(chunks, "CHUNK_TOKENS", 2048)
+    passage = [f"p{i}" for i in range(60)]
+
+    def text(d, n, at):
+        w = [f"d{d}w{i}" for i in range(n)]
+        w[at:at] = passage
+        return " ".join(w)
+
+    step = 2048 - passages.OVERLAP
+    for lengths, places in (([2018, 300, 500], [None, 0, 100]), ([5000, 5000, 400], [2018, step - 30, 200]), ([5000, 5000, 400], [2 * step + 5, 2048 - 30, 0])):
+        rows = [(d, " ".join(f"d{d}w{i}" for i in range(n)) if at is None else text(d, n, at)) for d, (n, at) in enumerate(zip(lengths, places, strict=True))]
+        found = passages.shared_passages(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+        held = [d for d, at in enumerate(places) if at is not None]
+        want = {(d, places[d], 60, held[0], places[held[0]], 60) for d in held[1:]}
+        assert {tuple(r)[:6] for r in found} == want
