@@ -265,3 +265,23 @@ def test_passages_across_chunk_borders(spark, monkeypatch):
         held = [d for d, at in enumerate(places) if at is not None]
         want = {(d, places[d], 60, held[0], places[held[0]], 60) for d in held[1:]}
         assert {tuple(r)[:6] for r in found} == want
+
+
+@pytest.mark.parametrize("n", [60, 80])
+def test_passages_with_many_substitutions(spark, n):
+    """Passages with 10 to 18 % of their words changed: nearly all are found."""
+    rng = np.random.RandomState(n)
+    rows, d = [], 0
+    for k in range(300):
+        passage = [f"p{k}w{i}" for i in range(n)]
+        other = list(passage)
+        for i in 1 + rng.choice(n - 2, int(n * (0.10, 0.15, 0.18)[k % 3]), replace=False):
+            other[i] = f"x{k}w{i}"
+        for w in (passage, other):
+            rows.append((d, " ".join([*(f"a{d}w{i}" for i in range(30)), *w, *(f"b{d}w{i}" for i in range(30))])))
+            d += 1
+    got = {(r["doc_id"], r["other_id"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= {(d, d - 1) for d in range(1, len(rows), 2)}
+    for part in range(3):
+        caught = [(2 * k + 1, 2 * k) in got for k in range(part, 300, 3)]
+        assert sum(caught) >= 95
