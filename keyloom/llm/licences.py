@@ -72,6 +72,90 @@ TEXTS = {
 }
 
 
+_MIT_WARRANTY = """
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+        WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_WARRANTY = """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_WARRANTY = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+        OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+        NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: %sRedistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. %sRedistributions in binary form must reproduce the above copyright notice, this list of conditions
+        and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """ %sNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s as published by the Free
+        Software Foundation, either version %s of the License, or (at your option) any later version."""
+_GNU_ONLY = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s version %s as published
+        by the Free Software Foundation."""
+_GNU_REST = """ This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU %s for more details. You should have received a copy of the GNU %s
+        along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_GNU_NAMES = {
+    "GPL-2.0": ("General Public License", "2"),
+    "GPL-3.0": ("General Public License", "3"),
+    "LGPL-2.1": ("Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("Lesser General Public License", "3"),
+    "AGPL-3.0": ("Affero General Public License", "3"),
+}
+_CC_NAMES = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-ND-4.0": "Attribution-NoDerivatives"}
+_APACHE_REST = """ Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS
+        IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means."""
+_UNLICENSE_REST = """ In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest
+        in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our
+        heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights
+        to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+        OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to
+        <https://unlicense.org>"""
+_CC0 = """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to
+        the public domain worldwide. This software is distributed without any warranty."""
+_CC0_REST = """ You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see
+        <http://creativecommons.org/publicdomain/zero/1.0/>."""
+_CC = """This work is licensed under a Creative Commons %s 4.0 International License."""
+_CC_VIEW = """ To view a copy of this license, visit http://creativecommons.org/licenses/%s/4.0/"""
+_CC_LETTER = """ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."""
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """Whole texts of short licences, the standard headers of long ones, and SPDX lines."""
+    out = [("MIT", TEXTS["MIT"] + _MIT_WARRANTY), ("ISC", TEXTS["ISC"] + _ISC_WARRANTY), ("Apache-2.0", TEXTS["Apache-2.0"] + _APACHE_REST)]
+    for marks in (("", "", ""), ("1. ", "2. ", "3. ")):
+        two = _BSD_2 % marks[:2]
+        three = two + _BSD_3 % marks[2]
+        out += [("BSD-2-Clause", two), ("BSD-2-Clause", two + _BSD_WARRANTY), ("BSD-3-Clause", three), ("BSD-3-Clause", three + _BSD_WARRANTY)]
+    for k, (name, version) in _GNU_NAMES.items():
+        rest = _GNU_REST % (name, name)
+        for head in (_GNU % (name, version), _GNU_ONLY % (name, version)):
+            out += [(k, head), (k, head + rest)]
+            if k.startswith("LGPL"):
+                out += [(k, x.replace("This program", "This library").replace("this program", "this library")) for x in (head, head + rest)]
+    out += [("MPL-2.0", _MPL), ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + _UNLICENSE_REST), ("CC0-1.0", _CC0), ("CC0-1.0", _CC0 + _CC0_REST)]
+    for k, name in _CC_NAMES.items():
+        view = _CC % name + _CC_VIEW % k[3:-4].lower()
+        out += [(k, _CC % name), (k, view), (k, view + _CC_LETTER)]
+    for k in NAMES:
+        ends = ("", "-only", "-or-later") if k in _GNU_NAMES else ("",)
+        out += [(k, f"SPDX-License-Identifier: {k}{e}") for e in ends]
+    return out
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
@@ -79,7 +163,7 @@ def words_of(text: str | None) -> list[str]:
 def default_templates() -> list[tuple[str, str]]:
     """Pairs of licence name and template text."""
     stated = [(k, n.format(x)) for k, names in NAMES.items() for x in names for n in NOTICES]
-    return stated + list(TEXTS.items())
+    return stated + list(TEXTS.items()) + _whole_texts()
 
 
 class Scanner:

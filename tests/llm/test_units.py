@@ -285,3 +285,29 @@ def test_passages_with_many_substitutions(spark, n):
     for part in range(3):
         caught = [(2 * k + 1, 2 * k) in got for k in range(part, 300, 3)]
         assert sum(caught) >= 95
+
+
+def test_licences_by_the_nearest_template():
+    s = licences.scanner(0.9)
+    gnu = "# This {0} is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+    two = licences.TEXTS["BSD-3-Clause"].split("Neither")[0]
+    for name, text in [
+        ("AGPL-3.0", gnu.format("program", "Affero General Public License", 3)),
+        ("LGPL-3.0", gnu.format("program", "Lesser General Public License", 3)),
+        ("LGPL-2.1", gnu.format("library", "Lesser General Public License", 2.1)),
+        ("GPL-3.0", gnu.format("program", "General Public License", 3)),
+        ("GPL-2.0", gnu.format("program", "General Public License", 2)),
+        ("BSD-2-Clause", two),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+         " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute"
+         " this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+        ("CC0-1.0", "// SPDX-License-Identifier: CC0-1.0"),
+        ("AGPL-3.0", "// SPDX-License-Identifier: AGPL-3.0-or-later"),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ]:
+        found = s.scan("code before\n" + text + "\nand after")
+        assert [x[1] for x in found] == [name], (name, found)
+    for name, text in licences.default_templates():
+        best = s.scan(text)
+        assert best and max(best)[1] == name, (name, text, best)
