@@ -7,7 +7,10 @@ language into ``clusters`` spherical centroids (k-means with farthest-first star
 
 Prediction. Each whole text gets its own normalised TF-IDF vector, which is compared with all centroids by
 cosine. The nearest one names the language; the score is that cosine. A text is *rejected* when its cosine
-distance to the nearest centroid exceeds the largest distance seen in the language's sample by a margin.
+distance to the nearest centroid exceeds the limit for its language and length. Limits come from cross-fitting:
+each sample text is measured against centroids of the other folds, and of texts about as long the ``QUANTILE``
+farthest (of few texts the farthest, with an allowance that shrinks with their number) is still accepted. Lengths
+with too few texts of a language take the limit of all languages, and if those are too few, nearly no limit.
 
 N-grams are those of 1 to 3 code points of the lower-case text with runs of characters other than letters
 as one blank, hashed into ``BUCKETS``. Very long texts are counted in chunks that overlap, so memory is
@@ -31,6 +34,10 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 CHUNK = 1 << 18
+FOLDS = 5
+QUANTILE = 0.999
+ENOUGH = 10
+LENGTHS = 40
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -57,7 +64,8 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """``centroids``: unit rows; ``owner``: the language of each; ``limits``: largest accepted distance."""
+    """``centroids``: unit rows; ``owner``: the language of each; ``limits``: largest accepted
+    distance by language and length (as a power of two)."""
 
     langs: list[str]
     keep: np.ndarray
@@ -76,7 +84,39 @@ class Model:
         cos = self.vectors(counts) @ self.centroids.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(cos)), best].astype(np.float64), 0.0, 1.0)
-        return self.owner[best], score, 1.0 - score > self.limits[self.owner[best]]
+        return self.owner[best], score, 1.0 - score > self.limits[self.owner[best], _length(counts.sum(axis=1))]
+
+
+def _length(grams: np.ndarray) -> np.ndarray:
+    """The power of two of a text's letters and blanks, from its number of n-grams."""
+    return np.minimum(np.log2(np.maximum(grams / 3, 1)).astype(np.int64), LENGTHS - 1)
+
+
+def _crossed(x: np.ndarray, clusters: int) -> np.ndarray:
+    """The distance of each row to the nearest of the centroids learned without its fold."""
+    fold = np.arange(len(x)) % FOLDS
+    out = np.zeros(len(x))
+    for k in range(min(FOLDS, len(x))):
+        out[fold == k] = 1.0 - (x[fold == k] @ _clusters(x[fold != k], clusters, 6).T).max(axis=1)
+    return out
+
+
+def _limits(length: np.ndarray, distance: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """The largest accepted distance at each length, from texts of that length and the next shorter ones.
+
+    Shorter texts are farther, so limits never rise with the length.
+    """
+    out = default.copy()
+    for b in range(LENGTHS):
+        low = max(b - 1, 0)
+        while low > 0 and ((length >= low) & (length <= b)).sum() < ENOUGH:
+            low -= 1
+        own = np.sort(distance[(length >= low) & (length <= b)])
+        n = len(own)
+        if n >= ENOUGH:
+            far = own[min(n, int(np.ceil((n + 1) * QUANTILE))) - 1]
+            out[b] = min(0.98, far + (1.0 - far) * 0.5 / np.sqrt(n))
+    return np.maximum.accumulate(out[::-1])[::-1]
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -97,7 +137,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_sample: int = 8000, clusters: int = 4, features: int = 4096, margin: float = 0.6) -> Model | None:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_sample: int = 8000, clusters: int = 4, features: int = 4096) -> Model | None:
     """Learn from the rows of ``docs`` with a label. At most ``max_sample`` vectors reach the driver."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -139,8 +179,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             df[np.frombuffer(at, "<u2")] += 1
     keep = np.sort(np.argsort(-df, kind="stable")[:features])
     idf = (np.log((1 + total) / (1 + df[keep])) + 1.0).astype(np.float32)
-    model = Model(langs, keep, idf, np.zeros((0, len(keep)), np.float32), np.zeros(0, np.int64), np.ones(len(langs)))
-    centroids, owner = [], []
+    model = Model(langs, keep, idf, np.zeros((0, len(keep)), np.float32), np.zeros(0, np.int64), np.ones((len(langs), LENGTHS)))
+    centroids, owner, lengths, distances = [], [], [], []
     for k, own in enumerate(xs):
         dense = np.zeros((len(own), BUCKETS), dtype=np.int32)
         for i, (_, at, n) in enumerate(own):
@@ -149,8 +189,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         c = _clusters(x, clusters)
         centroids.append(c)
         owner += [k] * len(c)
-        farthest = float(1.0 - (x @ c.T).max(axis=1).min())
-        model.limits[k] = min(0.98, farthest + margin * (1.0 - farthest))
+        if len(x) > 1:
+            lengths.append(_length(dense.sum(axis=1)))
+            distances.append(_crossed(x, clusters))
+        else:  # of a single text nothing can be held out
+            lengths.append(np.zeros(0, np.int64))
+            distances.append(np.zeros(0))
+    anywhere = _limits(np.concatenate(lengths), np.concatenate(distances), np.full(LENGTHS, 0.98))
+    model.limits = np.stack([_limits(n, d, anywhere) for n, d in zip(lengths, distances, strict=True)])
     model.centroids, model.owner = np.concatenate(centroids).astype(np.float32), np.array(owner)
     return model
 

@@ -69,6 +69,31 @@ def test_op3_held_out_accuracy(spark, sf_dir, docs):
     assert (got.lang == got.lang_pred)[got.held_out].mean() > 0.97 and got.lang_rejected.mean() < 0.01
 
 
+def test_op3_rejects_what_it_has_not_learned(spark, docs):
+    """Gibberish and other languages in Latin letters are rejected, labelled texts held out of the fit are not."""
+    from keyloom.llm import langid
+
+    rng = np.random.RandomState(0)
+
+    def letters(alphabet):
+        return " ".join("".join(rng.choice(list(alphabet), rng.randint(2, 10))) for _ in range(150))
+
+    odd = [
+        letters("abcdefghijklmnopqrstuvwxyz"),
+        letters("bcdfghjklmnpqrstvwxz"),
+        letters("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"),
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 3,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. " * 3,
+    ]
+    table = spark.createDataFrame(docs[["doc_id", "text", "lang"]])
+    model = langid.fit(table.filter("doc_id % 4 <> 1"))
+    got = langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string"), model).toPandas()
+    assert got.lang_rejected.all(), got
+    held = langid.identify(table.filter("doc_id % 4 = 1"), model).toPandas()
+    assert held.lang_rejected.mean() < 0.03
+
+
 def katz_by_hand(texts, held):
     def words(t):
         return [*(t or "").encode().lower().split(), b"\n</s>"]
