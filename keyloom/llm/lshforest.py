@@ -3,9 +3,9 @@
 1. A document's set holds the hashes of its runs of ``n`` words (all words, if fewer). Documents with equal
    sets are one class with its smallest id; only that representative goes on.
 2. Each of ``trees`` trees orders the representatives by a path of ``depth`` MinHash values. Documents are
-   matched on long prefixes first, and prefixes are shortened until pairs of ``threshold`` similarity are
-   met in some tree with probability ``recall`` (``shortest_prefix``). Rows are dealt by that prefix and sorted,
-   which lays each trie out as runs.
+   matched on one prefix, fixed in advance for all: the longest with which pairs of ``threshold`` similarity are
+   met in some tree with probability ``recall`` (``shortest_prefix``; 6 of 8 values with the defaults). It does not
+   depend on what a document has found. Rows are dealt by that prefix and sorted, which lays its runs out.
 3. Within a run of at most ``ALL_PAIRS`` texts all pairs are candidates; the texts of a larger one go to step 5.
    Pairs whose signatures agree far too rarely are left out.
 4. Candidates are verified exactly on the whole texts.

@@ -311,3 +311,8 @@ def test_licences_by_the_nearest_template():
     for name, text in licences.default_templates():
         best = s.scan(text)
         assert best and max(best)[1] == name, (name, text, best)
+
+
+def test_forest_prefix_is_fixed():
+    assert lshforest.shortest_prefix(24, 8, 0.8, 0.999) == 6
+    assert "fixed in advance" in lshforest.__doc__
