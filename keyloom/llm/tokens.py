@@ -21,20 +21,26 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-_LATIN = [chr(c) for c in range(0x250)]
-_L = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
-_N = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
+#: Characters whose case, composition and class need no context: texts with others go to the library.
+_COMMON = "\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u2052\u20a0-\u20bf"
+_RARE = re.compile(f"[^{_COMMON}]")
+#: All that a text of these characters can hold, before and after lower-casing, which leads beyond that range.
+_MET = sorted({x for c in map(chr, range(0x20C0)) if not _RARE.match(c) for x in c + c.lower()})
+_L = "".join(c for c in _MET if unicodedata.category(c)[0] == "L")
+_N = "".join(c for c in _MET if unicodedata.category(c)[0] == "N")
 #: The pre-tokenizers' patterns in the two vocabulary files, for the characters below.
 PRE = {
     "drop": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+",
     "lead": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+",
 }
-#: Characters whose case, composition and class need no context: texts with others go to the library.
-_RARE = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u2052\u20a0-\u20bf]")
 SEGMENT_CHARS = 1 << 20
 CACHE_PIECES = 400_000  # about 100 MB in a Python worker
 
 
+class _Torn(Exception):
+    """The library cuts a joint text elsewhere than between the pieces asked for."""
+
+
 class _Cache(dict):
     """Ids of pieces; a look-up of an unknown piece notes it and gives None."""
 
@@ -85,7 +91,7 @@ class WordCachedEncoder:
             ends = np.flatnonzero(self.closes[ids]) + (1 if self.lower else 0)
             starts = np.concatenate(([0], ends[:-1] + (0 if self.lower else 1)))
             if len(ends) != len(some):
-                raise AssertionError("the pieces of the joint text differ from those asked for")
+                raise _Torn
             data = ids.tobytes()
             yield from zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True)
         space = [p for p in pieces if p.isspace()]
@@ -111,8 +117,11 @@ class WordCachedEncoder:
             if len(self.cache) + len(new) > self.cache_pieces:  # keep what is in use
                 used = set().union(*(p for p in pieces if p)).intersection(self.cache)
                 self.cache = _Cache((p, self.cache[p]) for p in used)
-            self.cache.update(self._pieces(list(new)))
             self.cache.new = set()
+            try:
+                self.cache.update(self._pieces(list(new)))
+            except _Torn:  # not cut as its pattern says: these texts go to the library whole
+                return self._raw(texts)
             out = [self._join(p) if x is None else x for x, p in zip(out, pieces, strict=True)]
         return out
 
