@@ -16,13 +16,14 @@ N-grams are those of 1 to 3 code points of the lower-case text with runs of char
 as one blank, hashed into ``BUCKETS``. Very long texts are counted in chunks that overlap, so memory is
 bounded and the counts are those of the whole text.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; if nothing can
+Defined results: a null text, or one without a letter (a code point of a category L*), is ``und`` with score 0 and rejected; if nothing can
 be learned (no labelled row) all texts are ``und``; rows that repeat get equal predictions; ties go to the
 first language in sorted order.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,12 +39,22 @@ FOLDS = 5
 QUANTILE = 0.999
 ENOUGH = 10
 LENGTHS = 40
+MAX_LANGS = 400
+
+
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+@functools.cache
+def _numbers() -> re.Pattern:
+    """What ``\\w`` takes beside letters (general categories L*) and decimal digits: fractions, numerals and such."""
+    return re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+
+
 def ngram_counts(text: str | None) -> np.ndarray | None:
     """Counts of the hashed 1- to 3-grams of a whole text; None if it has no letter."""
-    clean = _OTHER.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    clean = _OTHER.sub(" ", low if low.isascii() else _numbers().sub(" ", low)).strip()
     if not clean:
         return None
     clean = f" {clean} "
@@ -137,11 +148,15 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_sample: int = 8000, clusters: int = 4, features: int = 4096) -> Model | None:
-    """Learn from the rows of ``docs`` with a label. At most ``max_sample`` vectors reach the driver."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_sample: int = 8000, max_langs: int = MAX_LANGS, clusters: int = 4, features: int = 4096) -> Model | None:
+    """Learn from the rows of ``docs`` with a label. At most ``max_sample`` vectors reach the driver.
+
+    Of more than ``max_langs`` labels the most frequent are learned, so their list and the sample stay bounded.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).toLocalIterator()}
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    counts = {r["lang"]: r["n"] for r in often.collect()}
     if not counts:
         return None
     each = max(1, min(per_lang, max_sample // len(counts)))
