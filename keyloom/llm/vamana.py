@@ -3,16 +3,21 @@
 1. Equal vectors become one *class* with its smallest ids, so thousands of copies are one node. More ids of
    a class than a query can return are never needed (``k + 1``), and the window limit keeps no more.
 2. Classes are dealt to shards by hash: ``shard_rows`` or more each, so that there are no more shards than
-   shuffle partitions, but never more than about ``MOST_ROWS``: bounded work and memory for a task, even
-   under skew, and few shards for each query to visit. Each shard builds its own graph. Points enter in
+   shuffle partitions, but never more than about ``SHARD_BYTES`` of vectors: bounded work and memory for a
+   task, even under skew, and few shards for each query to visit. Each shard builds its own graph. Points enter in
    growing batches: a greedy search over the graph so far proposes neighbours, relaxed distance pruning
    (factor ``alpha``) keeps diverse edges, and back edges are pruned alike. The graphs are written to the
    shared folder; the index holds every row.
-3. Queries (classes with a query id) go to every shard in blocks; a beam search of width ``beam`` answers
-   each, and distances are recomputed in double precision on the original vectors.
+3. Queries (classes with a query id) go to every shard in blocks, behind the shard's graph in one sorted stream:
+   a task reads a graph once and holds one graph and one block. A beam search of width ``beam`` answers each, and
+   distances are recomputed in double precision on the original vectors.
 4. The best of all shards are kept for each class and expanded to ids: nearest first, ties to smaller ids.
 
-Searches run in lockstep over a block of queries, as array operations, with distances in single precision.
+Searches run in lockstep over a block of queries, as array operations, with distances in single precision on
+vectors scaled by the largest component of shard and block. Exact distances scale each difference by a power of
+two, so neither very large nor very small components overflow or vanish; a distance beyond the range of doubles is
+infinite, and its row still counts. Where one shard mixes magnitudes 1e38 apart, its smaller vectors look alike to
+the search.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors
 are compared only with those of the same length; rows with a null id take no part; of rows that repeat an id
@@ -33,23 +38,32 @@ from pyspark.sql.window import Window
 from .common import Stage, shuffle_parts
 
 SHARD_ROWS = 4096
-MOST_ROWS = 1 << 16
+SHARD_BYTES = 64 << 20
 DEGREE = 24
 BEAM = 64
 ALPHA = 1.2
-BLOCK = 2048
+BLOCK = 512
 
 
 def _unique_rows(ids: np.ndarray, dist: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's nearest ``width`` distinct ids; -1 marks an empty place (its distance is infinite)."""
+    """Each row's nearest ``width`` distinct ids; -1 marks an empty place, and those come last."""
     by = np.argsort(ids, axis=1, kind="stable")
     ids, dist = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
-    again = np.zeros(ids.shape, dtype=bool)
-    again[:, 1:] = ids[:, 1:] == ids[:, :-1]
-    dist = np.where(again | (ids < 0), np.inf, dist)
-    by = np.argsort(dist, axis=1, kind="stable")[:, :width]
-    ids, dist = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
-    return np.where(np.isinf(dist), -1, ids), dist
+    empty = ids < 0
+    empty[:, 1:] |= ids[:, 1:] == ids[:, :-1]
+    ids = np.where(empty, -1, ids)
+    by = np.lexsort((dist, empty), axis=1)[:, :width]
+    return np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
+
+
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows along the last axis, without overflow or underflow on the way."""
+    with np.errstate(over="ignore"):
+        diff = x - v
+        top = np.abs(diff).max(axis=-1)
+        shift = np.where(np.isfinite(top), np.frexp(top)[1], 0)
+        diff = np.ldexp(diff, -shift[..., None])
+        return np.ldexp(np.sqrt((diff * diff).sum(axis=-1)), shift)
 
 
 class Graph:
@@ -166,6 +180,11 @@ class Graph:
         return g
 
 
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A column of lists of ``dim`` numbers as a matrix, without Python objects."""
+    return np.concatenate([c.flatten().to_numpy().reshape(-1, dim) for c in column.chunks])
+
+
 def classes(vectors: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Distinct usable vectors ``(cls, vec, ids)``: ``ids`` are the smallest ``k + 1``; ``cls`` the smallest."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -184,13 +203,14 @@ def search(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: s
     spark = vectors.sparkSession
     stage = Stage(spark, "vamana")
     known = stage.put("classes", classes(vectors, k, id_col=id_col, vec_col=vec_col))
-    n = known.count()
-    shards = max(1, -(-n // MOST_ROWS), min(-(-n // shard_rows), shuffle_parts(spark)))
+    n, dims = known.agg(F.count("*"), F.max(F.size("vec"))).first()
+    most = max(256, SHARD_BYTES // (8 * (dims or 1) + 4 * DEGREE))
+    shards = max(1, -(-n // most), min(-(-n // shard_rows), shuffle_parts(spark)))
 
     def build(key, table):
         cls = table.column("cls").to_numpy()
         by = np.argsort(cls, kind="stable")
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in table.column("vec").combine_chunks().to_pylist()])[by]
+        x = _matrix(table.column("vec"), key[0].as_py())[by]
         g = Graph.build(x / np.abs(x).max(), beam=beam)  # edges don't depend on the scale; single precision does
         one = lambda v, t: pa.array([v], t)
         return pa.table({"dim": one(x.shape[1], pa.int64()), "shard": one(key[1].as_py(), pa.int64()), "entry": one(g.entry, pa.int64()), "cls": one(cls[by].astype("<i8").tobytes(), pa.binary()), "x": one(x.astype("<f8").tobytes(), pa.binary()), "edges": one(g.edges.astype("<i4").tobytes(), pa.binary())})
@@ -204,32 +224,43 @@ def search(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: s
     own = stage.put("queries", own)
     q = own.select("cls", "vec").distinct().withColumn("dim", F.size("vec").cast("long"))
     q = q.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(max(1, -(-q.count() // BLOCK)))))
-    blocks = q.groupBy("dim", "block").agg(F.collect_list(F.struct("cls", "vec")).alias("q"))
-    # each block meets each shard: dealt by shard, so neither side gathers in one task
-    each = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(graphs, ["dim", "shard"])
+    blocks = q.groupBy("dim", "block").agg(F.collect_list("cls").alias("qs"), F.flatten(F.collect_list("vec")).alias("vs"))
+    # each block meets each shard, behind its graph: one stream for each shard
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    graphs = graphs.withColumn("block", F.lit(-1).cast("long"))
+    stream = graphs.unionByName(blocks, allowMissingColumns=True).repartition(shuffle_parts(spark), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, x, cls, where = None, None, None, None
         for b in batches:
             for i in range(b.num_rows):
-                dim = b.column("dim")[i].as_py()
-                x = np.frombuffer(b.column("x")[i].as_py(), "<f8").reshape(-1, dim)
-                cls = np.frombuffer(b.column("cls")[i].as_py(), "<i8")
-                edges = np.frombuffer(b.column("edges")[i].as_py(), "<i4").reshape(len(x), -1)
-                rows = b.column("q")[i].as_py()
-                scale = max(np.abs(x).max(), max(abs(c) for r in rows for c in r["vec"]))
-                g = Graph(x / scale, edges.shape[1], edges=edges, entry=b.column("entry")[i].as_py())
-                for at in range(0, len(rows), 256):
-                    some = rows[at : at + 256]
-                    v = np.array([r["vec"] for r in some], dtype=np.float64)
-                    ids, _, log = g.search(v / scale, max(beam, k + 1))
+                dim, shard = b.column("dim")[i].as_py(), b.column("shard")[i].as_py()
+                if b.column("block")[i].as_py() < 0:
+                    where = (dim, shard)
+                    x = np.frombuffer(b.column("x")[i].as_buffer(), "<f8").reshape(-1, dim)
+                    cls = np.frombuffer(b.column("cls")[i].as_buffer(), "<i8")
+                    edges = np.frombuffer(b.column("edges")[i].as_buffer(), "<i4").reshape(len(x), -1)
+                    scale = np.abs(x).max()
+                    g = Graph(x / scale, edges.shape[1], edges=edges, entry=b.column("entry")[i].as_py())
+                    continue
+                if where != (dim, shard):  # a shard without vectors
+                    continue
+                names = b.column("qs")[i].values.to_numpy()
+                wanted = b.column("vs")[i].values.to_numpy().reshape(-1, dim)
+                for at in range(0, len(names), 256):
+                    v = wanted[at : at + 256]
+                    top = np.abs(v).max()
+                    if top > 1e15 * scale:  # queries far larger than the shard: all of it is near zero then
+                        own = Graph(x / top, g.degree, edges=g.edges, entry=g.entry)
+                        ids, _, log = own.search(v / top, max(beam, k + 1))
+                    else:
+                        ids, _, log = g.search(v / scale, max(beam, k + 1))
                     found = np.concatenate([ids, log], axis=1)
-                    safe = np.maximum(found, 0)
-                    d = np.where(found < 0, np.inf, ((x[safe] - v[:, None, :]) ** 2).sum(axis=2))
-                    found, d = _unique_rows(found, d, k + 1)
+                    found, d = _unique_rows(found, distances(x[np.maximum(found, 0)], v[:, None, :]), k + 1)
                     r, c = np.nonzero(found >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array([s["cls"] for s in some])[r], pa.int64()), pa.array(cls[found[r, c]], pa.int64()), pa.array(np.sqrt(d[r, c]))], ["q", "cls", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 256][r], pa.int64()), pa.array(cls[found[r, c]], pa.int64()), pa.array(d[r, c])], ["q", "cls", "score"])
 
-    near = each.select("dim", "x", "cls", "edges", "entry", "q").mapInArrow(answer, "q long, cls long, score double")
+    near = stream.select("dim", "shard", "block", "x", "cls", "edges", "entry", "qs", "vs").mapInArrow(answer, "q long, cls long, score double")
     best = F.row_number().over(Window.partitionBy("q").orderBy("score", "cls"))
     near = near.withColumn("r", best).filter(F.col("r") <= k + 1).drop("r")
     members = near.join(known.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
