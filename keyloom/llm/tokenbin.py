@@ -7,7 +7,8 @@ documents in ascending ``doc_id`` order, closed at about ``block_tokens`` ids. A
     | u32 upper bytes | low parts of the n+1 boundaries, bit-packed | upper parts in unary
     | u64 position of every 256th one in the upper parts (the select structure) | ids, little-endian
 
-Boundary i is the number of ids before document i; it is found by select, about 2 + log2(N/n) bits each.
+Boundary i is the number of ids before document i; it is found by select, about 2 + log2(N/n) bits each. Reading goes
+from sample to sample, so no table of all boundaries is made; ``read_document`` fetches one document by two selects.
 Blocks travel in Parquet files, so commits, retries and remote stores are Spark's affair. Reading needs no
 shuffle: a block carries the number of ids before it in its shard, and the ids before each shard (one
 number for each partition) are broadcast.
@@ -18,7 +19,6 @@ repeat stay, each with its own ids; an empty table gives no rows.
 
 from __future__ import annotations
 
-import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -80,12 +80,19 @@ class EliasFano:
         one = byte * 8 + (word & -word).bit_length() - 1
         return ((one - i) << self.low_bits) | int(self._low(np.array([i]))[0])
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
+    def select_run(self, k: int) -> np.ndarray:
+        """Values ``k * SAMPLE`` and on, up to the next sample: the bits between two samples, and no others, are read."""
+        first = int(self.samples[k])
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.upper)
+        flags = np.unpackbits(self.upper[first >> 3 : (end + 7) >> 3], bitorder="little")
+        i = np.arange(k * SAMPLE, min((k + 1) * SAMPLE, self.n))
+        ones = np.flatnonzero(flags[first & 7 :])[: len(i)] + first
         return ((ones - i) << self.low_bits) | self._low(i)
 
+    def runs(self) -> Iterator[np.ndarray]:
+        """All values in order, ``SAMPLE`` at a time: no table of them is made."""
+        return map(self.select_run, range(len(self.samples)))
+
 
 def encode_block(lengths: list[int], ids: bytes, id_bytes: int) -> bytes:
     """One block of the format; ``ids`` are little-endian unsigned 32-bit integers."""
@@ -116,31 +123,39 @@ def decode_block(block: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n + 1, low_bits, parts[0], parts[1], samples), ids
 
 
-def _range_of(value: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are not above the value, as a balanced tree of comparisons."""
+def read_document(block: bytes, i: int) -> np.ndarray:
+    """The ids of the i-th document of a block: two selects, and nothing else is decoded."""
+    bounds, ids = decode_block(block)
+    return ids[bounds.select(i) : bounds.select(i + 1)]
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return F.coalesce(F.when(value.isNotNull(), tree(0, len(bounds))), F.lit(0)).cast("int")
+def _below(value: Column, bounds: Column, n: int, equal: bool) -> Column:
+    """How many of ``n`` sorted bounds are below the value (with ``equal``: not above it), by binary search."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    under = (lambda b: b <= value) if equal else (lambda b: b < value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(under(F.get(bounds, at + step - 1)), at + step).otherwise(at))
 
 
 def _dealt(slim: DataFrame) -> DataFrame:
     """Rows in ranges of ``doc_id``, one to a partition: ``shard`` ascends with the id.
 
-    For numeric ids the bounds come from quantiles of that column alone, so texts are scanned once.
+    For numeric ids the bounds come from quantiles of that column alone, so texts are scanned once. An id (or null) that
+    fills several ranges by itself is spread over them by text.
     """
     parts = max(1, shuffle_parts(slim.sparkSession))
     if not isinstance(slim.schema["doc_id"].dataType, IntegralType):
         by_range = slim.repartitionByRange(parts, "doc_id", F.xxhash64("text"))
         return by_range.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
+    value = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     cuts = [k / parts for k in range(1, parts)]
-    bounds = slim.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("b")).first()["b"] if cuts else []
-    shard = _range_of(F.col("doc_id"), sorted(set(bounds or [])))
-    return slim.withColumn("shard", shard).repartitionById(parts, "shard").sortWithinPartitions("doc_id", "text")
+    found = slim.select(value.alias("v")).agg(F.percentile_approx("v", cuts, max(10_000, 10 * parts)).alias("b")).first()["b"] if cuts else None
+    if not found:
+        return slim.withColumn("shard", F.lit(0)).repartitionById(parts, "shard").sortWithinPartitions("doc_id", "text")
+    bounds = F.lit(np.array(sorted(found), dtype=np.int64))
+    low, high = _below(value, bounds, len(found), False), _below(value, bounds, len(found), True)
+    spread = slim.withColumn("_low", low).withColumn("shard", high)
+    shard = F.when(F.col("shard") - F.col("_low") < 2, F.col("shard")).otherwise(F.col("_low") + F.pmod(F.xxhash64("text"), F.col("shard") - F.col("_low") + 1).cast("int"))
+    return spread.withColumn("shard", shard).drop("_low").repartitionById(parts, "shard").sortWithinPartitions("doc_id", "text")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", cut: str = "lead", end_id: int = 2, block_tokens: int = 1 << 20, id_bytes: int = 2, cache_pieces: int = 2_400_000) -> None:
@@ -193,21 +208,29 @@ def read_tokens(spark, path: str, *, keep_ids: bool = False) -> DataFrame:
     for r in sorted(files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).toLocalIterator(), key=lambda r: r["shard"]):
         start[r["shard"]] = total
         total += r["n"]
-    starts = spark.sparkContext.broadcast(start)
+    before = spark.sparkContext.broadcast(start)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
         for batch in batches:
             for k in range(batch.num_rows):
-                base = starts.value[batch.column("shard")[k].as_py()] + batch.column("shard_start")[k].as_py()
+                base = before.value[batch.column("shard")[k].as_py()] + batch.column("shard_start")[k].as_py()
                 bounds, ids = decode_block(batch.column("data")[k].as_py())
-                at = bounds.values()
-                whole = memoryview(ids.astype("<u4").tobytes())
-                pieces = [whole[a:b] for a, b in itertools.pairwise((4 * at).tolist())]
-                cols = [batch.column("doc_ids")[k].values, pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
-                if keep_ids:
-                    cols.append(pa.array([bytes(p) for p in pieces], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names)
+                whole, own = ids.astype("<u4", copy=False), batch.column("doc_ids")[k].values
+                # the offsets of up to SAMPLE documents at a time, and where the last of them ends
+                runs = bounds.runs()
+                at = next(runs)
+                first = 0
+                while first < len(own):
+                    more = next(runs, np.empty(0, np.int64))
+                    ends = np.concatenate((at[1:], more[:1]))
+                    starts = at[: len(ends)]
+                    pieces = [memoryview(whole[a:b]).cast("B") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    cols = [own.slice(first, len(ends)), pa.array(base + starts), pa.array(ends - starts), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
+                    if keep_ids:
+                        cols.append(pa.array([bytes(p) for p in pieces], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names)
+                    first, at = first + len(ends), more
 
     return files.select("shard", "shard_start", "doc_ids", "data").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
 
