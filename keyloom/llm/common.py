@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 _own: dict[str, str] = {}
 _stages: list[Stage] = []
@@ -18,12 +20,15 @@ _stages: list[Stage] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a temporary folder is made once per application.
+    Only where that setting is absent and the master is local, as in tests, a temporary folder is made once per
+    application; on a cluster, where no executor would see it, its absence is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="keyloom-")
     return _own[sc.applicationId]
@@ -45,9 +50,12 @@ class Stage:
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
         """Write a table and return a frame that reads it."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
+        self.write(table, df)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def write(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(table))
+
     def drop(self, table: str = "") -> None:
         """Remove a table that nothing will read again, or all tables of this call."""
         jvm = self.spark.sparkContext._jvm
@@ -67,6 +75,13 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def integral(docs: DataFrame, column: str) -> None:
+    """Raise where ids are no integers: results carry them as such."""
+    kind = docs.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must hold integers, not {kind.simpleString()}")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

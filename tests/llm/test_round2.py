@@ -109,3 +109,32 @@ def test_neighbours_beyond_the_range_of_doubles(spark):
     got = vamana.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=3).toPandas().sort_values(["query_id", "rank"])
     assert got[got.query_id == 0].vec_id.tolist() == [2, 100, 1] and got[got.query_id == 0].score.tolist() == [1.0, 1.7e308, math.inf]
     assert sorted(got[got.query_id == 100].vec_id) == [0, 1, 2] and (got[got.query_id == 100].score == 1.7e308).all()
+
+
+def test_token_files_spread_repeated_and_null_ids(spark):
+    """One id, and null ids, in a third of the rows each: order, places and ids hold, and no shard has all of them."""
+    from keyloom.llm import tokenbin
+    from keyloom.llm.common import Stage
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " * (i % 7)) for i in range(600)]
+    path = Stage(spark, "test").path("blocks")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    tokenbin.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), path, queries.vocabulary("byte_bpe_50k.json"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = spark.read.parquet(path).collect()
+    assert max(len(r["doc_ids"]) for r in files) < 200 and len({r["shard"] for r in files}) > 3
+    got = tokenbin.read_tokens(spark, path).orderBy("start").collect()
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+
+
+def test_contamination_by_many_items(spark):
+    """A window of many items, in one pass and in many: ids are joined to verified places."""
+    from keyloom.llm import decontam
+
+    items = spark.createDataFrame([(f"i{k:03}", "one two three four") for k in range(200)] + [("z", "five six")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so one two three four it is"), (2, "five six"), (2, "five six"), (3, None), (4, "one two four")], "doc_id bigint, text string")
+    for rows in (100_000, 1):
+        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"])) for r in decontam.contamination(docs.repartition(3), items, slice_rows=rows).collect())
+        assert got == [(1, 7, 4, 200), (2, 2, 2, 1), (2, 2, 2, 1), (3, 0, 0, 0), (4, 3, 0, 0)]
