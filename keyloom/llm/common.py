@@ -54,7 +54,9 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def write(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(table))
+        """Write a table; the shuffle files of this job go as soon as it has ended, as nothing reads them again."""
+        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(table))
 
     def drop(self, table: str = "") -> None:
         """Remove a table that nothing will read again, or all tables of this call."""
@@ -64,15 +66,20 @@ class Stage:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch, at most, for jobs that run inside: few where a row may hold long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)))
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager:
+    """Rows of an Arrow batch, at most, for jobs that run inside: few where a row may hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    return _setting(spark, key, str(min(rows, before) if before > 0 else rows))
 
 
 def integral(docs: DataFrame, column: str) -> None:
