@@ -2,10 +2,12 @@
 
 1. A document's set holds the hashes of its runs of ``n`` words (all words, if fewer). Documents with equal
    sets are one class with its smallest id; only that representative goes on.
-2. Each of ``trees`` trees orders the representatives by a path of ``depth`` MinHash values. Documents are
-   matched on one prefix, fixed in advance for all: the longest with which pairs of ``threshold`` similarity are
-   met in some tree with probability ``recall`` (``shortest_prefix``; 6 of 8 values with the defaults). It does not
-   depend on what a document has found. Rows are dealt by that prefix and sorted, which lays its runs out.
+2. Each of ``trees`` trees orders the representatives by a path of ``depth`` MinHash values, a sorted trie. A text's
+   matched prefix is shortened from ``depth`` until a pair of the least similarity that the text can have is met in
+   some tree with probability ``recall`` (``matched_prefix``). That similarity is the smallest fraction from
+   ``threshold`` on that its number of n-grams allows: a text of 6 stops at 7 values, a long one at 6, and one of 3 can
+   only be equal to another. A pair is met on the longer of both prefixes, as its similarity is within reach of both.
+   Rows are dealt by the shortest prefix of all and sorted, which lays the runs of the trie out.
 3. Within a run of at most ``ALL_PAIRS`` texts all pairs are candidates; the texts of a larger one go to step 5.
    Pairs whose signatures agree far too rarely are left out.
 4. Candidates are verified exactly on the whole texts.
@@ -20,12 +22,13 @@ through others), ``rep_id`` (smallest id with the same set) and ``n_links``: the
 its representative to other texts, in runs of any size.
 
 Defined results: null texts and texts without words are linked to nothing; a null id is dropped; of rows
-that repeat an id all texts are joined under it; an empty table gives no rows.
+that repeat an id all texts are joined under it; an empty table gives no rows; ids that are no integers raise.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage, arrow_rows, shuffle_parts
+from .common import Stage, arrow_rows, integral, shuffle_parts
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,7 +47,8 @@ HOT_RUN = 20_000
 SIG = 64
 BLOCK = 4096
 BLOCK_SHINGLES = 2_000_000
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 2_000_000  # 16 MB of ids
+ROUNDS = 200  # the steps needed grow with the logarithm of a class's diameter
 
 
 def shortest_prefix(trees: int, depth: int, threshold: float, recall: float) -> int:
@@ -55,6 +59,25 @@ def shortest_prefix(trees: int, depth: int, threshold: float, recall: float) ->
     return 1
 
 
+def least_similarity(n: int, threshold: float) -> float | None:
+    """The least similarity from ``threshold`` on, below 1, that a set of ``n`` can have with any set; None if there is none."""
+    found = []
+    for both in range(max(1, math.ceil(threshold * n - 1e-9)), n + 1):
+        union = math.floor(both / threshold + 1e-9)
+        if union >= n and both < union:
+            found.append(both / union)
+    return min(found, default=None)
+
+
+def matched_prefix(sizes: np.ndarray, trees: int, depth: int, threshold: float, recall: float) -> np.ndarray:
+    """For each number of n-grams the matched prefix; 0 where only an equal set can be similar enough."""
+    known = {}
+    for n in np.unique(sizes).tolist():
+        least = threshold if n > 1000 else least_similarity(n, threshold)
+        known[n] = 0 if least is None else shortest_prefix(trees, depth, least, recall)
+    return np.array([known[n] for n in sizes.tolist()], dtype=np.int64)
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``n`` words."""
     import xxhash
@@ -140,30 +163,37 @@ def _key_counts(reps: DataFrame, trees: int, depth: int, prefix: int) -> DataFra
     return reps.select("sig").mapInArrow(count, "key long, n long")
 
 
-def _runs(reps: DataFrame, trees: int, depth: int, prefix: int, hot: set, salts: int) -> DataFrame:
-    """A row for each (tree, representative), dealt and sorted so that runs are contiguous."""
+def _runs(reps: DataFrame, trees: int, depth: int, prefix: int, threshold: float, recall: float, hot: DataFrame | None, salts: int) -> DataFrame:
+    """A row for each (tree, representative), dealt and sorted so that runs are contiguous.
+
+    ``rest``: the values of the path below the shortest prefix; ``own``: the representative's matched prefix.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                m = part.num_rows
+                own = matched_prefix(part.column("n").to_numpy(), trees, depth, threshold, recall)
+                part = part.filter(pa.array(own > 0))
+                own, m = own[own > 0], part.num_rows
+                if not m:
+                    continue
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(m, trees, depth)
-                h = _keys(sig, prefix)
                 short = [x.tobytes() for x in _short(sig)]
+                rest = sig[:, :, prefix:].reshape(m * trees, -1)
                 doc, size = np.array(part.column("id").to_pylist(), dtype=np.int64), part.column("n").to_numpy()
-                keys = h.ravel()
-                salt = np.zeros(len(keys), dtype=np.int32)
-                if hot:
-                    at_hot = np.isin(keys, np.fromiter(hot, np.int64, len(hot)))
-                    salt[at_hot] = (np.repeat(doc, trees)[at_hot] * 2654435761 >> 7) % salts + 1
-                cols = [pa.array(keys), pa.array(salt), pa.array(np.repeat(doc, trees)), pa.array(np.repeat(size, trees)), pa.array([s for s in short for _ in range(trees)], pa.binary())]
-                names = ["key", "salt", "id", "n", "sig"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    shape = "key long, salt int, id long, n long, sig binary"
+                salt = (doc * 2654435761 >> 7) % salts + 1
+                wide = (np.repeat(x, trees) for x in (salt.astype(np.int32), doc, size, own.astype(np.int8)))
+                cols = [pa.array(_keys(sig, prefix).ravel()), *map(pa.array, wide), pa.array([r.tobytes() for r in rest], pa.binary()), pa.array([s for s in short for _ in range(trees)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "salt", "id", "n", "own", "rest", "sig"])
+
+    shape = "key long, salt int, id long, n long, own byte, rest binary, sig binary"
     out = reps.mapInArrow(rows, shape)
-    return out.repartition(shuffle_parts(reps.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "id")
+    if hot is None:
+        out = out.withColumn("salt", F.lit(0))
+    else:  # as small as its keys are few; Spark chooses how to join it
+        out = out.join(hot.select("key", F.lit(1).alias("_hot")), "key", "left").withColumn("salt", F.when(F.col("_hot").isNotNull(), F.col("salt")).otherwise(0)).drop("_hot")
+    return out.repartition(shuffle_parts(reps.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "rest", "id")
 
 
 def _near(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -173,7 +203,7 @@ def _near(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshol
     return ok
 
 
-def _candidates(runs: DataFrame, threshold: float) -> DataFrame:
+def _candidates(runs: DataFrame, prefix: int, threshold: float) -> DataFrame:
     """Rows ``(kind, a, b)``. Kind 0: pairs of texts, a < b, of small runs. Kind 1: the first text and each
     text of a run of more than ``ALL_PAIRS``. Kind 2: a salted run and the first text of one of its parts."""
 
@@ -184,9 +214,14 @@ def _candidates(runs: DataFrame, threshold: float) -> DataFrame:
         def run(part: pa.Table) -> None:
             ids, n = part.column("id").to_numpy(), part.column("n").to_numpy()
             g = len(ids)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(g, -1)
-
-            def keep(i: np.ndarray, j: np.ndarray) -> None:
+            if g <= ALL_PAIRS and not part.column("salt")[0].as_py():
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(g, -1)
+                rest = np.frombuffer(b"".join(part.column("rest").to_pylist()), "<u2").reshape(g, -1)
+                own = part.column("own").to_numpy()
+                i, j = np.triu_indices(g, 1)
+                common = prefix + np.cumprod(rest[i] == rest[j], axis=1).sum(axis=1)
+                met = common >= np.maximum(own[i], own[j])
+                i, j = i[met], j[met]
                 ok = _near(sig, n, i, j, threshold)
                 for a, b in zip(ids[i[ok]].tolist(), ids[j[ok]].tolist(), strict=True):
                     pair = (0, min(a, b), max(a, b))
@@ -195,9 +230,6 @@ def _candidates(runs: DataFrame, threshold: float) -> DataFrame:
                             seen.clear()
                         seen.add(pair)
                         out.append(pair)
-
-            if g <= ALL_PAIRS and not part.column("salt")[0].as_py():
-                keep(*np.triu_indices(g, 1))
                 return
             out.extend((1, int(ids[0]), x) for x in ids.tolist())
             if part.column("salt")[0].as_py():
@@ -309,7 +341,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage, n: int, threshold
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
     """Rows ``(id, cls)`` for every id in ``edges (a, b)``: the smallest id of its connected class."""
     edges = stage.put(f"{name}-0", edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    for step in range(1, 100):
+    for step in range(1, ROUNDS + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
@@ -322,6 +354,8 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         edges = after
         if same:
             break
+    else:
+        raise RuntimeError(f"connected classes were not settled after {ROUNDS} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("cls")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("cls")).distinct())
 
 
@@ -329,6 +363,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     """Rows ``(id, class_id, rep_id, n_links)``, one for each id of ``docs``."""
     spark = docs.sparkSession
     stage = Stage(spark, "forest")
+    integral(docs, id_col)
     prefix = shortest_prefix(trees, depth, threshold, recall)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
     signed = stage.put("signed", _signed(slim, n, trees, depth))
@@ -337,11 +372,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     alone = reps.select(F.col("rep").alias("id"), "n", "sig")
 
     # Runs that hold far more than their share are salted: few, since each holds over HOT_RUN rows.
-    hot: set[int] = set()
+    hot = None
     if reps.count() > HOT_RUN:
-        counts = _key_counts(alone, trees, depth, prefix).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_RUN)
-        hot = {r["key"] for r in counts.toLocalIterator()}
-    pairs = stage.put("pairs", _candidates(_runs(alone, trees, depth, prefix, hot, 64), threshold))
+        often = stage.put("hot", _key_counts(alone, trees, depth, prefix).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_RUN))
+        hot = None if often.isEmpty() else often
+    pairs = stage.put("pairs", _candidates(_runs(alone, trees, depth, prefix, threshold, recall, hot, 64), prefix, threshold))
     with arrow_rows(spark, 64):  # rows of two whole texts
         links = stage.put("links", _verified(pairs.filter("kind = 0"), slim, stage, n, threshold))
     edges, counted = links.select("a", "b"), links.select("a", "b")

@@ -138,3 +138,42 @@ def test_contamination_by_many_items(spark):
     for rows in (100_000, 1):
         got = sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"])) for r in decontam.contamination(docs.repartition(3), items, slice_rows=rows).collect())
         assert got == [(1, 7, 4, 200), (2, 2, 2, 1), (2, 2, 2, 1), (3, 0, 0, 0), (4, 3, 0, 0)]
+
+
+def _texts(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_passages_whose_seeds_stood_in_fragments_before(spark):
+    """Documents 1 and 2 hold 40 words each of a passage of 80 that only 3 and 4 hold whole."""
+    from keyloom.llm import passages
+
+    p = [f"p{i}" for i in range(80)]
+    rows = [(1, " ".join([*p[:40], *(f"a{i}" for i in range(30))])), (2, " ".join([*(f"b{i}" for i in range(30)), *p[40:]])), (3, " ".join(["c1", "c2", *p, "c3"])), (4, " ".join(p + [f"d{i}" for i in range(30)]))]
+    got = [tuple(r)[:6] for r in passages.shared_passages(_texts(spark, rows)).collect()]
+    assert got == [(4, 0, 80, 3, 2, 80)]
+
+
+def test_passages_among_many_partial_holders(spark):
+    """Passages, with up to 12 % of their words changed, made of stock sentences that stand alone in earlier documents."""
+    from keyloom.llm import passages
+
+    rng = np.random.RandomState(9)
+    stock = [[f"s{k}w{i}" for i in range(12)] for k in range(60)]
+    rows = [(d, " ".join([*(f"a{d}x{i}" for i in range(20)), *stock[d % 60], *(f"b{d}x{i}" for i in range(20)), *stock[(7 * d + 1) % 60]])) for d in range(200)]
+    want = []
+    for k in range(100):
+        passage = [w for s in rng.choice(60, 5, replace=False) for w in stock[s]]
+        for half in range(2):
+            own = list(passage)
+            if half:
+                for i in 1 + rng.choice(58, rng.randint(0, 8), replace=False):
+                    own[i] = f"y{k}w{i}"
+            d = 1000 + 2 * k + half
+            rows.append((d, " ".join([*(f"c{d}x{i}" for i in range(25)), *own, *(f"e{d}x{i}" for i in range(25))])))
+        want.append((1001 + 2 * k, 1000 + 2 * k))
+    got = passages.shared_passages(_texts(spark, rows)).collect()
+    pairs = {(r["doc_id"], r["other_id"]) for r in got}
+    caught = sum(p in pairs for p in want)
+    print("caught", caught, "of", len(want), "rows", len(got))
+    assert caught >= 95 and all(r["n_words"] >= 50 and r["similarity"] >= 0.8 for r in got)

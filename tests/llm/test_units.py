@@ -313,6 +313,11 @@ def test_licences_by_the_nearest_template():
         assert best and max(best)[1] == name, (name, text, best)
 
 
-def test_forest_prefix_is_fixed():
-    assert lshforest.shortest_prefix(24, 8, 0.8, 0.999) == 6
-    assert "fixed in advance" in lshforest.__doc__
+def test_forest_prefix_follows_the_text():
+    """Small sets reach few similarities, so their prefixes stay longer; brute force over all other sizes agrees."""
+    for n in range(1, 40):
+        reach = [c / (n + m - c) for m in range(1, 80) for c in range(min(n, m) + 1) if 0.8 <= c / (n + m - c) < 1]
+        least = lshforest.least_similarity(n, 0.8)
+        assert (least is None) == (not reach) and (least is None or abs(least - min(reach)) < 1e-12)
+    got = lshforest.matched_prefix(np.array([3, 4, 6, 7, 500, 5000]), 24, 8, 0.8, 0.999)
+    assert got.tolist() == [0, 6, 7, 7, 6, 6]
