@@ -1,5 +1,6 @@
 """Cases that the first version got wrong, and operators recomputed plainly."""
 
+import itertools
 import math
 
 import numpy as np
@@ -177,3 +178,67 @@ def test_passages_among_many_partial_holders(spark):
     caught = sum(p in pairs for p in want)
     print("caught", caught, "of", len(want), "rows", len(got))
     assert caught >= 95 and all(r["n_words"] >= 50 and r["similarity"] >= 0.8 for r in got)
+
+
+def _licences_by_hand(text, templates, threshold):
+    """All windows between common bigrams, the best end of each beginning, then the best that do not overlap."""
+    from collections import Counter
+
+    from keyloom.llm import licences
+
+    words = licences.words_of(text)
+    grams = list(itertools.pairwise(words))
+    found = []
+    for name, template in templates:
+        own = Counter(itertools.pairwise(licences.words_of(template)))
+        b = sum(own.values())
+        places = [i for i, g in enumerate(grams) if g in own]
+        for n, i in enumerate(places):
+            best, counts, common = None, Counter(), 0
+            for j in places[n:]:
+                counts[grams[j]] += 1
+                common += counts[grams[j]] <= own[grams[j]]
+                dice = 2 * common / (j - i + 1 + b)
+                if best is None or dice > best[0] + 1e-12:
+                    best = (dice, j - i + 1)
+            if best and best[0] >= threshold - 1e-12:
+                found.append((-best[0], -b, name, i, best[1] + 1))
+    taken = []
+    for dice, _, name, start, n in sorted(found):
+        if all(start + n <= s or s + m <= start for s, m, _, _ in taken):
+            taken.append((start, n, name, -dice))
+    return sorted(taken)
+
+
+def test_licences_recomputed_plainly():
+    from keyloom.llm import licences
+
+    rng = np.random.RandomState(2)
+    vocabulary = [f"v{i}" for i in range(25)]
+    for threshold in (0.6, 0.9):
+        for _ in range(60):
+            templates = [(f"t{k}", " ".join(rng.choice(vocabulary, rng.randint(2, 12)))) for k in range(6)]
+            words = list(rng.choice(vocabulary, 40))
+            for k in rng.randint(0, 6, 4):
+                at = rng.randint(len(words))
+                words[at:at] = templates[k][1].split()[rng.randint(0, 2) :]
+            got = [(s, n, name, d) for d, name, s, n in licences.Scanner(templates, threshold).scan(" ".join(words))]
+            want = _licences_by_hand(" ".join(words), templates, threshold)
+            assert [round(x[3], 9) for x in got] == [round(x[3], 9) for x in want], (got, want)
+
+
+def test_whole_licences_with_changes():
+    """Whole texts, cut, changed here and there, and beside prose, are found as the nearest licence."""
+    from keyloom.llm import licences
+
+    rng = np.random.RandomState(1)
+    s = licences.scanner(0.9)
+    for name, text in licences._from_files():
+        words = text.split()
+        for share in (0.0, 0.03):
+            some = [w if rng.rand() >= share else "changed" for w in words]
+            found = s.scan("Prose goes before it. " + " ".join(some) + " And prose goes after it.")
+            if share and len(words) < 100:
+                continue
+            assert found and max(found)[1] == name and max(found)[0] > 0.9, (name, share, found[:3])
+    assert [x[1] for x in s.scan("Released under the MIT License. Some prose. " * 3000)] == ["MIT"] * 3000
