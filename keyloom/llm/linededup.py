@@ -3,14 +3,16 @@
 1. Each document gives the 128-bit hashes of its distinct keys (a key is a line without white space at its
    ends, ASCII letters in lower case); documents are counted for each hash, with counts merged before and
    after the shuffle, so that a line found everywhere costs one row for each task.
-2. Hashes found in ``min_docs`` documents or more are dealt to shards. Each shard becomes a minimal perfect
-   hash (levels of bit arrays, as in published fingerprint-based constructions), and two arrays in its
-   order: a 64-bit fingerprint and the count of documents. Rarer hashes need no place there: absence says
-   that the count is below the limit, which is all that a document asks.
-3. Documents probe the arrays. No line is joined and no text is shuffled.
+2. All distinct hashes are dealt to shards. Each shard becomes a minimal perfect hash (levels of bit arrays, as in
+   published fingerprint-based constructions) and two arrays in its order: a 16-bit fingerprint and the count of
+   documents, in as few bytes as ``min_docs`` needs, about 27 bits a line. Shards are built on the executors and
+   written to the shared folder; none passes through the driver.
+3. Documents probe the arrays: their distinct hashes go to the shards, each behind its shard's arrays in one sorted
+   stream, so a task holds one shard. Hashes that reach ``min_docs`` go back to the texts that asked. No line is joined.
+4. Lines found in more than one of ``HOT`` of all line occurrences would make hot shards. There are fewer than ``HOT`` of
+   them whatever the input, so the whole hashes of these are broadcast and answer before anything is sent.
 
-The arrays of all shards reach the executors as broadcasts of at most ``GROUP_BYTES`` each. A task holds one
-such group at a time, so memory is bounded whatever the number of groups.
+Texts meet their answers by a 128-bit hash of the text, in a join whose skewed parts Spark splits.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` code points are
 never dropped; every row counts as a document, repeated rows too; an empty table gives no rows; when all
@@ -19,18 +21,21 @@ lines go the text is empty.
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, shuffle_parts
 
 WHITE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 500_000
-GROUP_BYTES = 32 << 20
+HOT = 20_000
 GAMMA = 1.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,15 +53,17 @@ def line_keys(text: str | None, min_chars: int = 1) -> tuple[list[bytes], list[b
 
 
 def _mixed(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """A position below ``bits`` for each key, another at each level."""
-    x = keys + np.uint64(int(_MIX) * (2 * level + 1) & 0xFFFFFFFFFFFFFFFF)
+    """A position below ``bits`` for each key of two 64-bit words, another at each level."""
+    odd = np.uint64(int(_MIX) * (2 * level + 1) & 0xFFFFFFFFFFFFFFFF)
+    x = keys[:, 0] + odd
+    x = (x ^ (x >> np.uint64(33))) * _MIX + (keys[:, 1] ^ odd)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(32))) % np.uint64(bits)).astype(np.int64)
 
 
 class PerfectHash:
-    """Distinct 64-bit keys to 0..n-1, about 3 bits a key: each level keeps the keys alone in their bit."""
+    """Distinct 128-bit keys (rows of two words) to 0..n-1, about 3 bits a key: each level keeps the keys alone in their bit."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels  # packed bits
@@ -102,29 +109,47 @@ class PerfectHash:
 
 
 class Shard:
-    """A perfect hash with fingerprint and count arrays; kept as plain arrays when shipped."""
+    """A perfect hash with its fingerprints and counts, which stop at the largest number their width holds."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.mph = PerfectHash.build(hashes[:, 0])
-        at = self.mph.find(hashes[:, 0])
-        self.prints = np.empty(self.mph.size, dtype=np.uint64)
-        self.counts = np.empty(self.mph.size, dtype=np.int64)
-        self.prints[at], self.counts[at] = hashes[:, 1], counts
+    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray):
+        self.mph, self.prints, self.counts = mph, prints, counts
+
+    @classmethod
+    def build(cls, hashes: np.ndarray, counts: np.ndarray, limit: int) -> Shard:
+        mph = PerfectHash.build(hashes)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if limit <= np.iinfo(k).max)
+        at = mph.find(hashes)
+        prints, own = np.empty(mph.size, dtype=np.uint16), np.empty(mph.size, dtype=kind)
+        prints[at] = _prints(hashes)
+        own[at] = np.minimum(counts, min(np.iinfo(kind).max, np.iinfo(np.int64).max)).astype(kind)
+        return cls(mph, prints, own)
+
+    def to_bytes(self) -> bytes:
+        return pickle.dumps((self.mph.levels, self.prints, self.counts))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Shard:
+        levels, prints, counts = pickle.loads(data)
+        return cls(PerfectHash(levels), prints, counts)
 
     @property
     def nbytes(self) -> int:
         return self.prints.nbytes + self.counts.nbytes + sum(x.nbytes for x in self.mph.levels)
 
     def count_of(self, hashes: np.ndarray) -> np.ndarray:
-        """How many documents hold each line; 0 for lines that are not indexed."""
-        at = self.mph.find(hashes[:, 0])
+        """How many documents hold each line; 0 for lines that are not indexed (but for one in 65,536 of those)."""
+        at = self.mph.find(hashes)
         ok = at >= 0
-        ok[ok] = self.prints[at[ok]] == hashes[ok, 1]
+        ok[ok] = self.prints[at[ok]] == _prints(hashes[ok])
         out = np.zeros(len(hashes), dtype=np.int64)
         out[ok] = self.counts[at[ok]]
         return out
 
 
+def _prints(hashes: np.ndarray) -> np.ndarray:
+    return (hashes[:, 1] & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def _as_hashes(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
 
@@ -133,8 +158,8 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes[:, 1] >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
 
 
-def frequent_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Rows ``(hash, n)``: the key hashes found in at least ``min_docs`` documents."""
+def line_counts(docs: DataFrame, *, text_col: str = "text", min_chars: int = 1) -> DataFrame:
+    """Rows ``(hash, n)``: each distinct key's hash and the number of documents that hold it."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -153,76 +178,116 @@ def frequent_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 1
                     yield flush()
         yield flush()
 
-    seen = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(hashes, "hash binary, n long")
-    return seen.filter(F.length("hash") > 0).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    seen = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(hashes, "hash binary, n long")
+    return seen.filter(F.length("hash") > 0).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def build_index(lines: DataFrame) -> list:
-    """The number of shards, and broadcasts of groups of them: ``[(shard number, pickled Shard)]``."""
-    spark = lines.sparkSession
-    shards = max(1, -(-lines.count() // SHARD_KEYS))
+def build_index(lines: DataFrame, shards: int, limit: int) -> DataFrame:
+    """Rows ``(shard, data)``: the index of all lines, one row for each shard."""
 
     def build(key, table):
-        import pickle
-
-        hashes = _as_hashes(table.column("hash").to_pylist())
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([pickle.dumps(Shard(hashes, table.column("n").to_numpy()))], pa.binary())})
+        shard = Shard.build(_as_hashes(table.column("hash").to_pylist()), table.column("n").to_numpy(), limit)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([shard.to_bytes()], pa.binary())})
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = _shard_of(_as_hashes(b.column("hash").to_pylist()), shards)
             yield pa.RecordBatch.from_arrays([b.column("hash"), b.column("n"), pa.array(at)], ["hash", "n", "shard"])
 
-    built = lines.mapInArrow(numbered, "hash binary, n long, shard long").groupBy("shard").applyInArrow(build, "shard long, data binary")
-    out, group, size = [], [], 0
-    for row in built.toLocalIterator():
-        data = bytes(row["data"])
-        if group and size + len(data) > GROUP_BYTES:
-            out.append(spark.sparkContext.broadcast(group))
-            group, size = [], 0
-        group.append((row["shard"], data))
-        size += len(data)
-    out.append(spark.sparkContext.broadcast(group))
-    return [shards, out]
+    return lines.mapInArrow(numbered, "hash binary, n long, shard long").groupBy("shard").applyInArrow(build, "shard long, data binary")
+
+
+def _asked(texts: DataFrame, hot: Broadcast, shards: int, min_chars: int) -> DataFrame:
+    """Rows ``(shard, t1, t2, data)``: the distinct hashes of a text that a shard must answer, one after another."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value | {b""}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = [set(line_keys(t, min_chars)[1]) - known for t in part.column("text").to_pylist()]
+                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                hashes = _as_hashes([h for x in own for h in x])
+                shard = _shard_of(hashes, shards)
+                by = np.lexsort((shard, row))
+                row, shard, data = row[by], shard[by], hashes[by].tobytes()
+                starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])))) if len(row) else np.empty(0, np.int64)
+                ends = np.append(starts, len(row))[1:]
+                of = pa.array(row[starts])
+                cols = [pa.array(shard[starts]), part.column("t1").take(of), part.column("t2").take(of), pa.array([data[16 * a : 16 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "t1", "t2", "data"])
+
+    return texts.mapInArrow(ask, "shard long, t1 long, t2 long, data binary")
+
+
+def _answered(index: DataFrame, asked: DataFrame, min_docs: int) -> DataFrame:
+    """Rows ``(t1, t2, data)``: of the hashes asked those that ``min_docs`` documents hold."""
+    arrays = index.withColumn("kind", F.lit(0)).withColumn("t1", F.lit(None).cast("long")).withColumn("t2", F.lit(None).cast("long"))
+    stream = arrays.unionByName(asked.withColumn("kind", F.lit(1))).repartition(shuffle_parts(index.sparkSession), "shard").sortWithinPartitions("shard", "kind")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            first = b.column("kind").to_numpy() == 0
+            data = b.column("data")
+            bounds = [0, *np.flatnonzero(first).tolist(), b.num_rows]
+            for x, y in itertools.pairwise(sorted(set(bounds))):
+                if first[x]:
+                    shard, x = Shard.from_bytes(data[x].as_py()), x + 1
+                own = data.slice(x, y - x).to_pylist()
+                if not own:
+                    continue
+                often = shard.count_of(_as_hashes(own)) >= min_docs
+                ends = np.cumsum([len(d) // 16 for d in own])
+                rows, found = [], []
+                for k, part in enumerate(np.split(often, ends[:-1])):
+                    if part.any():
+                        rows.append(x + k)
+                        found.append(np.frombuffer(own[k], dtype="<u8").reshape(-1, 2)[part].tobytes())
+                of = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("t1").take(of), b.column("t2").take(of), pa.array(found, pa.binary())], ["t1", "t2", "data"])
+
+    return stream.select("shard", "kind", "t1", "t2", "data").mapInArrow(answer, "t1 long, t2 long, data binary")
 
 
 def drop_frequent_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with the lines left in ``text_col`` and the columns ``n_lines`` and ``n_dropped``."""
-    lines = Stage(docs.sparkSession, "lines").put("frequent", frequent_lines(docs, text_col=text_col, min_docs=min_docs, min_chars=min_chars))
-    shards, groups = build_index(lines)
+    spark = docs.sparkSession
+    stage = Stage(spark, "lines")
+    lines = stage.put("counts", line_counts(docs, text_col=text_col, min_chars=min_chars))
+    n, total = lines.agg(F.count("*"), F.sum("n")).first()
+    shards = max(1, -(-n // SHARD_KEYS))
+    index = stage.put("index", build_index(lines, shards, min_docs))
+    hot = lines.filter(F.col("n") >= max(min_docs, (total or 0) // HOT + 1)).toArrow()  # fewer than HOT rows
+    known = spark.sparkContext.broadcast(frozenset(hot.column("hash").to_pylist()))
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    names = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    asked = _asked(docs.select(text.alias("text"), *names), known, shards, min_chars)
+    found = _answered(index, asked, min_docs).groupBy("t1", "t2").agg(F.collect_set("data").alias("found"))
+    found = stage.put("found", found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.array_join(F.transform("found", F.hex), "").alias("_found")))
+
     kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     where = [f.name for f in kept].index(text_col)
+    whole = docs.select(*(F.col(f"`{f.name}`") for f in kept), names[0].alias("_t1"), names[1].alias("_t2"))
+    whole = whole.join(found, ["_t1", "_t2"], "left").drop("_t1", "_t2")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        held: tuple[int, list] = (-1, [])
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        always = known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                split = [line_keys(t, min_chars) for t in part.column(where).to_pylist()]
-                flat = [h for _, keys in split for h in keys]
-                hashes = _as_hashes([h or bytes(16) for h in flat])
-                own = _shard_of(hashes, shards)
-                drop = np.zeros(len(flat), dtype=bool)
-                for g, group in enumerate(groups):
-                    if held[0] != g:
-                        held = (g, [(s, pickle.loads(d)) for s, d in group.value])
-                    for s, shard in held[1]:
-                        mine = np.flatnonzero(own == s)
-                        drop[mine] = shard.count_of(hashes[mine]) >= min_docs
-                    if len(groups) > 1:  # one group in memory at a time
-                        group.__dict__.pop("_value", None)
-                drop &= np.array([bool(h) for h in flat], dtype=bool)
-                k, texts, n_lines, n_dropped = 0, [], [], []
-                for ls, _ in split:
-                    gone = drop[k : k + len(ls)]
-                    k += len(ls)
-                    texts.append(b"\n".join([x for x, d in zip(ls, gone.tolist(), strict=True) if not d]).decode("utf-8", "surrogatepass"))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts, n_lines, n_dropped = [], [], []
+                for text, answer in zip(part.column(where).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
+                    ls, keys = line_keys(text, min_chars)
+                    raw = bytes.fromhex(answer or "")
+                    own = {raw[k : k + 16] for k in range(0, len(raw), 16)}
+                    left = [x for x, h in zip(ls, keys, strict=True) if h not in always and h not in own]
+                    texts.append(b"\n".join(left).decode("utf-8", "surrogatepass"))
                     n_lines.append(len(ls))
-                    n_dropped.append(int(gone.sum()))
-                cols = [pa.array(texts, pa.string()) if i == where else part.column(i) for i in range(part.num_columns)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*part.schema.names, "n_lines", "n_dropped"])
+                    n_dropped.append(len(ls) - len(left))
+                cols = [pa.array(texts, pa.string()) if i == where else part.column(i) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*part.schema.names[: len(kept)], "n_lines", "n_dropped"])
 
     fields = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in kept)
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(probe, f"{fields}, n_lines long, n_dropped long")
+    return whole.mapInArrow(drop, f"{fields}, n_lines long, n_dropped long")

@@ -64,12 +64,14 @@ def test_cached_ids_equal_the_library(name, cut):
 def test_perfect_hash_is_minimal_and_perfect():
     rng = np.random.RandomState(1)
     hashes = rng.randint(0, 1 << 62, (5000, 2)).astype(np.uint64)
-    shard = linededup.Shard(hashes, np.arange(5000))
-    at = shard.mph.find(hashes[:, 0])
+    hashes[:50, 0] = hashes[50:100, 0]  # one word may be equal
+    shard = linededup.Shard.from_bytes(linededup.Shard.build(hashes, np.arange(5000), 300).to_bytes())
+    at = shard.mph.find(hashes)
     assert sorted(at.tolist()) == list(range(5000))
-    assert shard.count_of(hashes).tolist() == list(range(5000))
-    assert shard.count_of(rng.randint(0, 1 << 62, (5000, 2)).astype(np.uint64)).max() == 0
-    assert linededup.PerfectHash.build(np.empty(0, np.uint64)).size == 0
+    assert shard.count_of(hashes).tolist() == list(range(5000)) and shard.nbytes * 8 < 5000 * 40
+    assert (shard.count_of(rng.randint(0, 1 << 62, (5000, 2)).astype(np.uint64)) > 0).mean() < 0.002
+    assert linededup.Shard.build(hashes, np.arange(5000), 10).count_of(hashes).tolist() == [min(i, 255) for i in range(5000)]
+    assert linededup.Shard.build(np.empty((0, 2), np.uint64), np.empty(0, np.int64), 10).count_of(hashes).max() == 0
 
 
 @settings(max_examples=50, deadline=None)
@@ -180,11 +182,15 @@ def test_line_edges(odd, nothing):
     assert linededup.drop_frequent_lines(odd, min_docs=2, min_chars=500).toPandas().n_dropped.sum() == 0
 
 
-def test_line_groups_load_one_by_one(odd, monkeypatch):
+def test_lines_in_many_shards(odd, monkeypatch):
+    """With tiny shards, with and without lines frequent enough for the broadcast."""
     monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
-    monkeypatch.setattr(linededup, "GROUP_BYTES", 1)
-    got = linededup.drop_frequent_lines(odd, min_docs=1).toPandas()
-    assert set(got[got.doc_id == -7].n_dropped) == {3}
+    for hot in (20_000, 1):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        got = linededup.drop_frequent_lines(odd, min_docs=1).toPandas()
+        assert set(got[got.doc_id == -7].n_dropped) == {3} and set(got[got.doc_id == 3].n_dropped) == {0}
+        got = linededup.drop_frequent_lines(odd, min_docs=2).toPandas()
+        assert got[got.doc_id == 1].n_dropped.tolist() == [1, 1] and got.n_dropped.sum() == 2 and got.columns.tolist() == ["doc_id", "text", "lang", "key", "n_lines", "n_dropped"]
 
 
 def test_decontamination_edges(spark, odd, nothing):
