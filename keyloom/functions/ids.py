@@ -62,6 +62,13 @@ def shard_key(key: Column, payload: Column, n: int) -> Column:
     return F.concat(key, F.lit("#"), shard_number(payload, n).cast("string"))
 
 
+def round_robin_key(key: Column, n: int) -> Column:
+    """Shards in turn, evenly whatever the payloads; not the same in a replay, as it follows the place of a row."""
+    if n < 1:
+        raise ValueError("a key needs one shard at least")
+    return F.concat(key, F.lit("#"), (F.monotonically_increasing_id() % F.lit(n)).cast("string"))
+
+
 def unshard_key(key: Column) -> Column:
     """Strip exactly one trailing ``#digits``; anything else is an error."""
     plain = F.regexp_extract(key, "(?s)^(.*)#[0-9]+$", 1)

@@ -90,6 +90,18 @@ def first_divergence(left: DataFrame, right: DataFrame, key: tuple[str, ...], co
     return j.withColumn("what", what).filter("what is not null").groupBy(*key).agg(F.min("position").alias("position"), F.min_by("what", "position").alias("what"))
 
 
+def intent_diff(traced: DataFrame, replayed: DataFrame, key: tuple[str, ...] = ("entity_key", "seq")) -> DataFrame:
+    """Intents by place in their activation: ``count`` (position -1) where the numbers differ, else each place that
+    differs with the first field that does."""
+    fields = ("intent_id", "tool_name", "kind", "expires_at_ms")
+    a = traced.groupBy(*key).agg(F.count("*").alias("a"))
+    n = a.join(replayed.groupBy(*key).agg(F.count("*").alias("b")), list(key), "full_outer").select(*key, F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    other = n.filter("a <> b").select(*key, F.lit(-1).cast("bigint").alias("position"), F.lit("count").alias("what"))
+    both = traced.select(*key, "position", F.struct(*fields).alias("l")).join(replayed.select(*key, "position", F.struct(*fields).alias("r")), [*key, "position"]).join(n.filter("a = b").select(*key), list(key), "left_semi")
+    what = F.coalesce(*(F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), c) for c in fields))
+    return other.unionByName(both.select(*key, "position", what.alias("what")).filter("what is not null"))
+
+
 def effect_status(intents: DataFrame, now_ms: int, known: list[str]) -> DataFrame:
     """Status of each intent before execution: expired ones are refused before any claim, unknown tools
     rejected, approvals routed on without a result; one row for each intent id however often it came."""

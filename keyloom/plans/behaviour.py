@@ -80,7 +80,7 @@ def b08_ring_last_n(spark, d):
     return longterm.last_n(testbed.envelopes(spark, d), 64).select("entity_key", "arrival", "back")
 
 
-@query()
+@query(of(STEPPED, "SELECT entity_key, CAST(1 AS BIGINT) AS entries, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM (SELECT entity_key, props FROM st QUALIFY row_number() OVER (PARTITION BY entity_key ORDER BY t DESC, event_id DESC) <= 64) GROUP BY 1"))
 def b09_ring_fold(spark: SparkSession, d: str) -> DataFrame:
     """The same ring by the kernel: sizes of each key's memory, read by a state export at the end."""
     e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event", F.lit(None).cast("string").alias("export_request"))
@@ -229,10 +229,13 @@ def e01_span_tree(spark, d):
     return console.span_tree(testbed.trace_events(spark, d))
 
 
-@query()
+@query(of(STEPPED, """, r AS (SELECT entity_key, t, event_id, count(*) OVER (PARTITION BY entity_key) AS n FROM st QUALIFY row_number() OVER (PARTITION BY entity_key ORDER BY t DESC, event_id DESC) = 1)
+  SELECT entity_key, n AS seq, t + 1 AS event_time_ms, CAST(1 AS BIGINT) AS pending, t + 3600000 AS deadline_ms, CAST(0 AS BIGINT) AS entries FROM r"""))
 def d05_state_export(spark, d):
-    """Snapshots of the waiting agent: rows only."""
+    """Exports of the waiting agent: sequence, what it waits for and until when."""
     e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event", F.lit(None).cast("string").alias("export_request"))
     ask = e.groupBy("entity_key").agg((F.max("event_time_ms") + 1).alias("event_time_ms"), F.lit(1 << 40).alias("arrival"), F.lit("export_request").alias("kind"), F.lit(None).cast("string").alias("external_event"), F.lit(json.dumps({"request_id": "end"})).alias("export_request"))
-    rows = fold.run_agent(e.unionByName(ask), Config(agent=agents.buyer, ttl_ms=10**13))
-    return fold.stream_of(rows, "snapshots")
+    rows = fold.stream_of(fold.run_agent(e.unionByName(ask), Config(agent=agents.buyer, ttl_ms=10**13)), "snapshots")
+    said = lambda n: F.get_json_object("body", f"$.{n}").cast("bigint")
+    pending = F.size(F.from_json(F.get_json_object("body", "$.pending_intent_ids"), "array<string>")).cast("bigint")
+    return rows.select("entity_key", "seq", "event_time_ms", pending.alias("pending"), said("continuation_deadline_ms").alias("deadline_ms"), said("memory_entries").alias("entries"))

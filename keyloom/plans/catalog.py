@@ -104,7 +104,7 @@ def a08_event_merge(spark, d):
     return merge.merge_events(testbed.raw_events(spark, d))
 
 
-_PAIRS = ", ".join(f"('{n}', CAST({c} AS VARCHAR))" for n, c in (("kind", "a_kind"), ("status", "a_status"), ("model", "a_model"), ("input_tokens", "a_in"), ("output_tokens", "a_out"), ("cache_hit", "a_cache"), ("billed", "a_billed"), ("attempts", "a_attempts"), ("circuit_state", "a_circuit"), ("tool_name", "a_tool"), ("intent_id", "a_intent"), ("intent_kind", "a_intent_kind"), ("expires_at_ms", "a_expires"), ("deadline_ms", "a_deadline"), ("reason", "a_reason"), ("error_type", "a_error_type"), ("exporter", "CASE WHEN arrival % 10 = 0 THEN 'otlp' END")))
+_PAIRS = ", ".join(f"('{n}', CAST({c} AS VARCHAR))" for n, c in (("kind", "a_kind"), ("status", "a_status"), ("model", "a_model"), ("input_tokens", "a_in"), ("output_tokens", "a_out"), ("cache_hit", "a_cache"), ("billed", "a_billed"), ("attempts", "a_attempts"), ("circuit_state", "a_circuit"), ("tool_name", "a_tool"), ("intent_id", "a_intent"), ("intent_kind", "a_intent_kind"), ("expires_at_ms", "a_expires"), ("deadline_ms", "a_deadline"), ("reason", "a_reason"), ("error_type", "a_error_type"), ("failure_step", "a_fstep"), ("failure_last_event", "a_flast"), ("failure_staged_intents", "a_fintents"), ("failure_llm_calls", "a_fcalls"), ("exporter", "CASE WHEN arrival % 10 = 0 THEN 'otlp' END")))
 ATTRIBUTES = f"SELECT trace_id, span_id, event_type, x.a AS attribute, x.v AS value FROM te, LATERAL (SELECT * FROM (VALUES {_PAIRS}) y(a, v)) x WHERE x.v IS NOT NULL"
 
 
@@ -120,7 +120,7 @@ def a10_error_merge(spark, d):
     return merge.merge_errors(e.unionByName(late))
 
 
-@query(of(BOTH, "SELECT entity_key, seq, reason, detail, event_time_ms, error_type, seq_key FROM ue"))
+@query(of(BOTH, "SELECT entity_key, seq, reason, detail, event_time_ms, error_type, failure_step, failure_last_event, failure_staged_intents, failure_llm_calls, seq_key FROM ue"))
 def a11_error_unified(spark, d):
     return console.unified_errors(testbed.store(spark, d))
 

@@ -194,22 +194,28 @@ def trace_detail(store, acts: DataFrame, trace: str) -> dict[str, DataFrame]:
     return {"summary": acts.filter(F.col("trace_id") == trace), "spans": span_tree(ev), "attempts": attempts(ev)}
 
 
+#: Where a failed activation was, from the attributes of its trace error.
+FAILURE = {"failure_step": "bigint", "failure_last_event": "string", "failure_staged_intents": "bigint", "failure_llm_calls": "bigint"}
+
+
 def unified_errors(store) -> DataFrame:
     """One row for each failure: records joined with the trace error that is their other half, and the rest.
 
     A record matches the smallest sequence among the trace errors of its key and reason (and of its own
     sequence, if it has one). Both directions are equi-joins on (entity_key, reason).
     """
+    said = ["error_type", *FAILURE]
     e = store.events.filter((F.col("event_type") == "ERROR") & attribute("reason").isNotNull())
-    t = e.groupBy("entity_key", "seq", attribute("reason").alias("reason")).agg(F.min("start_ms").alias("event_time_ms"), F.max(attribute("error_type")).alias("error_type"))
+    facts = [F.max(attribute(c) if FAILURE.get(c, "string") == "string" else number(c)).alias(c) for c in said]
+    t = e.groupBy("entity_key", "seq", attribute("reason").alias("reason")).agg(F.min("start_ms").alias("event_time_ms"), *facts)
     lowest = t.groupBy("entity_key", "reason").agg(F.min("seq").alias("low_seq"))
     exact = t.select("entity_key", "reason", "seq", F.col("seq").alias("own_seq"))
     r = store.errors.join(lowest, ["entity_key", "reason"], "left").join(exact, ["entity_key", "reason", "seq"], "left")
     r = r.withColumn("match", F.when(F.col("seq").isNull(), F.col("low_seq")).otherwise(F.col("own_seq")))
-    named = t.select("entity_key", "reason", F.col("seq").alias("match"), "error_type")
-    records = r.join(named, ["entity_key", "reason", "match"], "left").select("entity_key", "seq", "reason", "detail", "event_time_ms", "error_type")
+    named = t.select("entity_key", "reason", F.col("seq").alias("match"), *said)
+    records = r.join(named, ["entity_key", "reason", "match"], "left").select("entity_key", "seq", "reason", "detail", "event_time_ms", *said)
     claimed = r.filter(F.col("match").isNotNull()).select("entity_key", "reason", F.col("match").alias("seq")).distinct()
-    rest = t.join(claimed, ["entity_key", "reason", "seq"], "left_anti").select("entity_key", "seq", "reason", F.lit("").alias("detail"), "event_time_ms", "error_type")
+    rest = t.join(claimed, ["entity_key", "reason", "seq"], "left_anti").select("entity_key", "seq", "reason", F.lit("").alias("detail"), "event_time_ms", *said)
     return records.unionByName(rest).withColumn("seq_key", F.coalesce("seq", F.lit(-1)))
 
 

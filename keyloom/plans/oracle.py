@@ -54,7 +54,11 @@ te AS (
     CASE WHEN event_type = 'INTENT_EMITTED' THEN t + 3600000 END AS a_expires,
     CASE WHEN event_type = 'SUSPENDED' THEN t + 86400000 END AS a_deadline,
     CASE WHEN event_type = 'ERROR' AND k % 3 <> 1 THEN {_REASONS}[k % 10 + 1] END AS a_reason,
-    CASE WHEN (event_type = 'ERROR' AND k % 4 <> 0) OR (event_type = 'LLM_CALL' AND k % 13 = 0) THEN 'E' || CAST(k % 3 AS VARCHAR) END AS a_error_type
+    CASE WHEN (event_type = 'ERROR' AND k % 4 <> 0) OR (event_type = 'LLM_CALL' AND k % 13 = 0) THEN 'E' || CAST(k % 3 AS VARCHAR) END AS a_error_type,
+    CASE WHEN event_type = 'ERROR' AND k % 5 = 1 THEN step END AS a_fstep,
+    CASE WHEN event_type = 'ERROR' AND k % 5 = 1 THEN CASE WHEN k % 2 = 0 THEN 'LLM_CALL' ELSE 'TOOL_CALL' END END AS a_flast,
+    CASE WHEN event_type = 'ERROR' AND k % 5 = 1 THEN CAST(k % 3 AS BIGINT) END AS a_fintents,
+    CASE WHEN event_type = 'ERROR' AND k % 5 = 1 THEN CAST(k % 4 AS BIGINT) END AS a_fcalls
   FROM seen),
 er AS (
   SELECT *, sha256(entity_key || chr(0) || coalesce(CAST(seq AS VARCHAR), '') || chr(0) || reason || chr(0) || CAST(event_time_ms AS VARCHAR) || chr(0) || detail) AS error_id FROM (
@@ -95,12 +99,13 @@ acts AS (
 """
 
 ERRORS = """
-tr AS (SELECT entity_key, seq, a_reason AS reason, min(start_ms) AS event_time_ms, max(a_error_type) AS error_type FROM te WHERE event_type = 'ERROR' AND a_reason IS NOT NULL GROUP BY ALL),
+tr AS (SELECT entity_key, seq, a_reason AS reason, min(start_ms) AS event_time_ms, max(a_error_type) AS error_type,
+  max(a_fstep) AS failure_step, max(a_flast) AS failure_last_event, max(a_fintents) AS failure_staged_intents, max(a_fcalls) AS failure_llm_calls FROM te WHERE event_type = 'ERROR' AND a_reason IS NOT NULL GROUP BY ALL),
 mt AS (SELECT r.*, (SELECT coalesce(min(t.seq), -1) FROM tr t WHERE t.entity_key = r.entity_key AND t.reason = r.reason AND (r.seq IS NULL OR t.seq = r.seq)) AS m FROM er r),
 un AS (
-  SELECT r.entity_key, r.seq, r.reason, r.detail, r.event_time_ms, t.error_type FROM mt r LEFT JOIN tr t ON t.entity_key = r.entity_key AND t.reason = r.reason AND t.seq = r.m
+  SELECT r.entity_key, r.seq, r.reason, r.detail, r.event_time_ms, t.error_type, t.failure_step, t.failure_last_event, t.failure_staged_intents, t.failure_llm_calls FROM mt r LEFT JOIN tr t ON t.entity_key = r.entity_key AND t.reason = r.reason AND t.seq = r.m
   UNION ALL
-  SELECT t.entity_key, t.seq, t.reason, '', t.event_time_ms, t.error_type FROM tr t WHERE NOT EXISTS (SELECT 1 FROM mt r WHERE r.entity_key = t.entity_key AND r.reason = t.reason AND r.m = t.seq)),
+  SELECT t.entity_key, t.seq, t.reason, '', t.event_time_ms, t.error_type, t.failure_step, t.failure_last_event, t.failure_staged_intents, t.failure_llm_calls FROM tr t WHERE NOT EXISTS (SELECT 1 FROM mt r WHERE r.entity_key = t.entity_key AND r.reason = t.reason AND r.m = t.seq)),
 ue AS (SELECT *, coalesce(seq, -1) AS seq_key FROM un)
 """
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..schemas import EVENT_TYPES, PROVENANCES, TRACE_EVENT
+from ..schemas import EVENT_TYPES, PROVENANCES, SNAPSHOT, TRACE_EVENT
 
 OTLP_SPAN = (
     "traceId string, spanId string, parentSpanId string, name string, startTimeUnixNano string, endTimeUnixNano string, "
@@ -112,11 +112,137 @@ def read_bundle(spark: SparkSession, path: str, provenance: str = "bundle") -> D
     return event.select("file", "position", "truncated", "e.*").withColumns({"provenance": F.lit(provenance), "arrival": F.col("position")})
 
 
+_ERROR = "entity_key string, seq bigint, reason string, detail string, event_time_ms bigint"
+
+
+def _messages(raw: DataFrame, body: str) -> DataFrame:
+    """One row for each record of a payload: the payload itself if it is one JSON object, else its frames.
+
+    ``_index`` is its place, ``_cut`` says that the payload ends inside a frame.
+    """
+    kept = [f for f in raw.schema.fields if f.name not in ("_text", "_index", "_cut")]
+
+    def split(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows, texts, index, cut = [], [], [], []
+            for i, data in enumerate(b.column(body).to_pylist()):
+                data = data.encode() if isinstance(data, str) else data
+                parts, truncated = ([data], False) if data is None or data.lstrip()[:1] == b"{" else frames(data)
+                for k, x in enumerate(parts or [None]):
+                    rows.append(i)
+                    texts.append(None if x is None else x.decode("utf-8", "replace"))
+                    index.append(k)
+                    cut.append(truncated)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns), pa.array(texts, pa.string()), pa.array(index, pa.int64()), pa.array(cut, pa.bool_())], [*b.schema.names, "_text", "_index", "_cut"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return raw.select(*(f.name for f in kept)).mapInArrow(split, f"{shape}, _text string, _index bigint, _cut boolean")
+
+
+def decode_errors(raw: DataFrame, body: str = "value", provenance: str = "kafka") -> tuple[DataFrame, DataFrame]:
+    """Error records of payloads, and what is none: bare records or records inside an envelope, one or a framed batch.
+
+    A record without a reason is no error. The second frame has the payload's columns, ``_text`` and ``why``.
+    """
+    each = _messages(raw, body).withColumn("_wrapped", F.get_json_object("_text", "$.external_event"))
+    each = each.withColumn("_r", F.coalesce(*(F.when(F.coalesce(r["reason"], F.lit("")) != "", r) for r in (F.from_json("_wrapped", _ERROR), F.from_json("_text", _ERROR)))))
+    good = each.filter("_r is not null").select("_r.*", F.lit(provenance).alias("provenance"), F.monotonically_increasing_id().alias("arrival"), F.col("_cut").alias("truncated"))
+    good = good.withColumn("error_id", ids.error_id(F.coalesce("entity_key", F.lit("")), F.col("seq"), F.col("reason"), F.coalesce("event_time_ms", F.lit(0)), F.coalesce("detail", F.lit(""))))
+    return good, each.filter("_r is null").drop("_r", "_wrapped", "_index").withColumn("why", F.when("_cut", "truncated").otherwise("not an error record"))
+
+
+def decode_snapshots(raw: DataFrame, body: str = "value", provenance: str = "kafka") -> tuple[DataFrame, DataFrame]:
+    """State exports of payloads, and what is none. One counts only if it is canonical: writing what was read gives
+    the same bytes again."""
+    need = ("entity_key", "seq", "snapshot_at_ms")
+
+    def canonical(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            ok = []
+            for t in b.column("_text").to_pylist():
+                try:
+                    found = json.loads(t or "")
+                    ok.append(isinstance(found, dict) and all(n in found for n in need) and canonical_json(found) == t)
+                except ValueError:
+                    ok.append(False)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "_ok"])
+
+    each = _messages(raw, body)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.schema.fields)
+    each = each.mapInArrow(canonical, f"{shape}, _ok boolean")
+    good = each.filter("_ok").select(F.from_json("_text", SNAPSHOT).alias("s"), F.col("_cut").alias("truncated")).select("s.*", "truncated")
+    good = good.withColumns({"provenance": F.lit(provenance), "arrival": F.monotonically_increasing_id()})
+    return good, each.filter("not _ok").drop("_ok", "_index").withColumn("why", F.lit("not a canonical state export"))
+
+
+def decode_traces(raw: DataFrame, body: str = "value", provenance: str = "kafka") -> tuple[DataFrame, DataFrame]:
+    """Trace events of the messages of a topic, batch or stream, and the messages that are none (to quarantine).
+
+    Column by column in Catalyst, so it runs on a stream as it is. ``arrival``: the message's offset, if it has one.
+    """
+    text = F.col(body).cast("string")
+    e = F.from_json(text, TRACE_EVENT)
+    arrival = F.col("offset").cast("bigint") if "offset" in raw.columns else F.lit(None).cast("bigint")
+    each = raw.withColumn("_e", e).withColumn("_arrival", arrival)
+    ok = F.col("_e.trace_id").isNotNull() & F.col("_e.span_id").isNotNull() & F.col("_e.event_type").isin(*EVENT_TYPES)
+    blank = {"parent_span_id": "", "entity_key": "", "seq": 0, "step_index": 0, "start_ms": 0, "end_ms": 0}
+    good = each.filter(ok).select("_e.*", "_arrival").drop("arrival", "provenance").withColumnRenamed("_arrival", "arrival")
+    good = good.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in blank.items()}).withColumn("provenance", F.lit(provenance))
+    return good, each.filter(~F.coalesce(ok, F.lit(False))).drop("_e", "_arrival")
+
+
+def topic(spark: SparkSession, servers: str, name: str, streaming: bool = True, **options) -> DataFrame:
+    """The messages ``(key, value, topic, partition, offset, ...)`` of a Kafka topic; needs Spark's Kafka connector."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", name).options(**options).load()
+
+
+def memory_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A source for tests and examples: rows given as they are, such as envelopes or intents."""
+    return spark.createDataFrame(rows, schema)
+
+
+def scripted(spark: SparkSession, path: str, steps: list[list], schema: str) -> DataFrame:
+    """A stream with a scripted clock: each step is one file and one batch, in the order given, so the watermark and the
+    batches advance exactly as the steps say."""
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/step={k:06}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+
+
+def read_capture(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A captured file of frames as ``traces``, ``errors`` or ``snapshots``: the complete prefix, and ``truncated``."""
+    if kind == "traces":
+        return read_bundle(spark, path)
+    decode = {"errors": decode_errors, "snapshots": decode_snapshots}
+    if kind not in decode:
+        raise ValueError(f"{kind!r} is none of traces, errors, snapshots")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decode[kind](files, "content", "bundle")[0]
+
+
+def otlp_spans(events: DataFrame) -> DataFrame:
+    """Trace events as exported spans, one JSON document ``span`` for each: the reverse of ``otlp_events``."""
+    text = lambda v: F.struct(v.alias("stringValue"))
+    pairs = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("value"))))
+    nano = lambda c: F.concat(F.col(c).cast("string"), F.lit("000000")).alias
+    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), F.col("event_type").alias("name"), nano("start_ms")("startTimeUnixNano"), nano("end_ms")("endTimeUnixNano"), pairs.alias("attributes"))
+    return events.select(F.to_json(span).alias("span"))
+
+
 def rows_to_envelopes(rows: DataFrame, event_time_field: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Generic rows ``key, payload[, time]`` to envelopes, and the malformed ones to error records.
 
-    Text and bytes are accepted; a row without a time counts as time zero.
+    Text and bytes are accepted; a row without a time counts as time zero. ``arrival`` is the source's offset or
+    arrival if the rows have one, else a hash of the row: the same in a retried task, which a row number is not.
     """
+    given = next((c for c in ("arrival", "offset") if c in rows.columns), None)
+    arrival = F.col(given).cast("bigint") if given else F.shiftrightunsigned(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in ("key", "payload"))), 1)
     key = F.col("key").cast("binary")
     bad = F.when(F.col("key").isNull(), "key is missing").when(F.length(key) == 0, "key is empty").when(F.col("payload").isNull(), "payload is missing")
     time = F.lit(0).cast("bigint")
@@ -125,7 +251,7 @@ def rows_to_envelopes(rows: DataFrame, event_time_field: str | None = None) -> t
         bad = bad.when(F.col(event_time_field).isNotNull() & number.isNull(), "event time is no number")
         time = F.coalesce(number, F.lit(0))
     each = rows.withColumn("_bad", bad).withColumn("_time", time).withColumn("_key", ids.hex_key(F.col("key")))
-    good = each.filter("_bad is null").select(F.col("_key").alias("entity_key"), F.col("_time").alias("event_time_ms"), F.monotonically_increasing_id().alias("arrival"), F.lit("external_event").alias("kind"), F.col("payload").cast("string").alias("external_event"))
+    good = each.filter("_bad is null").select(F.col("_key").alias("entity_key"), F.col("_time").alias("event_time_ms"), arrival.alias("arrival"), F.lit("external_event").alias("kind"), F.col("payload").cast("string").alias("external_event"))
     errors = each.filter("_bad is not null").select(F.coalesce("_key", F.lit("")).alias("entity_key"), F.lit(None).cast("bigint").alias("seq"), F.lit("malformed_input_row").alias("reason"), F.col("_bad").alias("detail"), F.col("_time").alias("event_time_ms"), F.lit("native").alias("provenance"))
     return good, errors
 

@@ -83,6 +83,10 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         deadline_ms=F.when(F.col("event_type") == "SUSPENDED", F.col("t") + 86400000),
         reason=F.when(error & (k % 3 != 1), F.element_at(F.array(*map(F.lit, REASONS)), k % 10 + 1)),
         error_type=F.when((error & (k % 4 != 0)) | (llm & (k % 13 == 0)), F.concat(F.lit("E"), k % 3)),
+        failure_step=F.when(error & (k % 5 == 1), F.col("step")),
+        failure_last_event=F.when(error & (k % 5 == 1), F.when(k % 2 == 0, "LLM_CALL").otherwise("TOOL_CALL")),
+        failure_staged_intents=F.when(error & (k % 5 == 1), k % 3),
+        failure_llm_calls=F.when(error & (k % 5 == 1), k % 4),
     )
     return e.select("trace_id", span.alias("span_id"), parent.alias("parent_span_id"), "entity_key", "seq", F.col("step").alias("step_index"), "event_type", F.col("t").alias("start_ms"), F.col("t").alias("end_ms"), attributes.alias("attributes"), F.lit("native").alias("provenance"), F.col("event_id").alias("arrival"))
 

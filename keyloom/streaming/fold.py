@@ -2,6 +2,10 @@
 
 Rows of a key are sorted by (event_time_ms, arrival); before each row the timers due by its time fire, in
 order of time and then kind. Batch and stream share the kernel, so both give the same records.
+
+Rows are dealt by key and sorted there, and each task folds them as they come: it holds one key's state and one
+batch of rows, however many rows a key has. The rows of one key are still one task's work, as each needs the state
+that the one before it left; ``sharded`` spreads keys that are too hot for that.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ STREAMS = {
     "errors": ["entity_key", "seq", "ordinal", "reason", "detail", "event_time_ms"],
     "snapshots": ["entity_key", "seq", "ordinal", "event_time_ms", "body"],
     "saves": ["entity_key", "seq", "ordinal", "event_time_ms", "body"],
+    "metrics": ["entity_key", "seq", "ordinal", "event_time_ms", "body"],
 }
+OUT_ROWS = 5_000
 
 
 def as_row(key: str, ordinal: int, r: dict) -> dict:
@@ -36,7 +42,7 @@ def as_row(key: str, ordinal: int, r: dict) -> dict:
     out.update({k: v for k, v in r.items() if k in out})
     out.update(entity_key=key, ordinal=ordinal)
     out["event_time_ms"] = r.get("event_time_ms", r.get("start_ms", r.get("snapshot_at_ms", r.get("updated_at_ms", r.get("created_at_ms")))))
-    if r["stream"] in ("snapshots", "saves"):
+    if r["stream"] in ("snapshots", "saves", "metrics"):
         out["body"] = json.dumps({k: v for k, v in r.items() if k != "stream"}, sort_keys=True, separators=(",", ":"))
     return out
 
@@ -76,20 +82,52 @@ def to_envelope(r: dict) -> dict:
     return {k: json.loads(v) if k in ("tool_result", "approval", "export_request") and isinstance(v, str) else v for k, v in r.items()}
 
 
+def _batch(rows: list[dict]):
+    """Records as an Arrow batch in the shape of ``OUTPUT``."""
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "map": pa.map_(pa.string(), pa.string())}
+    named = dict(zip(_COLUMNS, (c.split()[1] for c in OUTPUT.replace("map<string, string>", "map").split(", ")), strict=True))
+    cols = []
+    for name, kind in named.items():
+        values = [r[name] for r in rows]
+        cols.append(pa.array([None if v is None else list(v.items()) for v in values] if kind == "map" else values, kinds[kind]))
+    return pa.RecordBatch.from_arrays(cols, _COLUMNS)
+
+
 def run_agent(envelopes: DataFrame, config: Config, end_ms: int | None = None) -> DataFrame:
     """Fold a table of envelopes; ``tool_result``, ``approval`` and ``export_request`` are structs or JSON."""
 
-    def fold(pdf):
-        import pandas as pd
-
-        key = pdf["entity_key"].iloc[0]
-        rows, _ = run_key(config, key, [to_envelope(r) for r in pdf.to_dict("records")], end_ms)
-        return pd.DataFrame([as_row(key, i, r) for i, r in enumerate(rows)], columns=_COLUMNS)
+    def fold(batches):
+        key, state, ordinal, out = None, KeyState(), 0, []
+
+        def keep(rows: list[dict]) -> None:
+            nonlocal ordinal
+            out.extend(as_row(key, ordinal + i, r) for i, r in enumerate(rows))
+            ordinal += len(rows)
+
+        def finish() -> None:
+            if key is not None and end_ms is not None:
+                keep(fire_due(config, key, state, end_ms))
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["entity_key"] != key:
+                    finish()
+                    key, state, ordinal = r["entity_key"], KeyState(), 0
+                keep(fire_due(config, key, state, r["event_time_ms"]))
+                keep(kernel.on_envelope(config, key, state, to_envelope(r), r["event_time_ms"]))
+                if len(out) >= OUT_ROWS:
+                    yield _batch(out)
+                    out.clear()
+        finish()
+        yield _batch(out)
 
     known = ("entity_key", "event_time_ms", "arrival", "kind", "external_event", "tool_result", "approval", "export_request")
     have = [c for c in known if c in envelopes.columns]
     slim = envelopes.select(*(F.to_json(c).alias(c) if envelopes.schema[c].dataType.typeName() == "struct" else F.col(c) for c in have))
-    return slim.groupBy("entity_key").applyInPandas(fold, OUTPUT)
+    slim = slim.filter(F.col("entity_key").isNotNull())
+    return slim.repartition("entity_key").sortWithinPartitions("entity_key", "event_time_ms", "arrival").mapInArrow(fold, OUTPUT)
 
 
 def stream_of(rows: DataFrame, name: str) -> DataFrame:
@@ -97,10 +135,14 @@ def stream_of(rows: DataFrame, name: str) -> DataFrame:
     return rows.filter(F.col("stream") == name).select(*STREAMS[name])
 
 
-def sharded(envelopes: DataFrame, n: int) -> DataFrame:
-    """Spread hot keys over ``n`` stable shards by payload, as ``key#i``."""
+def sharded(envelopes: DataFrame, n: int, assignment: str = "hash") -> DataFrame:
+    """Spread hot keys over ``n`` shards, as ``key#i``: stable ones by payload, or in turn (``round_robin``)."""
     from ..functions import ids
 
+    if assignment not in ("hash", "round_robin"):
+        raise ValueError(f"{assignment!r} is neither hash nor round_robin")
+    if assignment == "round_robin":
+        return envelopes.withColumn("entity_key", ids.round_robin_key(F.col("entity_key"), n))
     return envelopes.withColumn("entity_key", ids.shard_key(F.col("entity_key"), F.coalesce("external_event", F.lit("")), n))
 
 

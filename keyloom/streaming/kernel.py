@@ -4,18 +4,25 @@
 a state and return the records to emit; the state is changed only when an activation succeeds, so a failure
 leaves it as it was. Nothing here reads a wall clock or random numbers; a retried input gives equal records.
 
-An agent is a function ``agent(ctx) -> Complete | Suspend``.
+An agent is a function or coroutine function ``agent(ctx) -> Complete | Suspend``. It runs with a time limit
+(``bridge``). Durations are measured for metrics alone and never reach state or other records.
 """
 
 from __future__ import annotations
 
+import contextlib
 import copy
+import inspect
 import json
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from .memory import HARD_CAP, Memory, ReplayCache, cache_key, migrate
+from . import bridge
+from . import tools as tool_schema
+from .memory import HARD_CAP, SOFT_SHARE, Memory, ReplayCache, cache_key, migrate
 from .model import BudgetExceeded, CircuitBreaker, ProviderError, Response, RetryPolicy, TokenBudget
 
 INTENT_NAMESPACE = uuid.UUID("6f3e9d2a-1c47-5b8e-9a10-2d4f6b8c0e11")
@@ -97,9 +104,56 @@ class Batching:
         return 4 * self.max_batch_size if self.max_buffered_events is None else self.max_buffered_events
 
 
+@dataclass(frozen=True)
+class Summarise:
+    """Second tier of compaction, a model call after the agent: the oldest items of ``sources`` become one summary.
+
+    ``build(items, prior)`` gives model and messages, ``extract`` the summary from the answer, which must be smaller
+    than what it replaces. The newest ``keep_recent`` items of each ring stay.
+    """
+
+    sources: tuple[str, ...]
+    build: Callable[[list[bytes], bytes | None], tuple[str, list[dict]]]
+    extract: Callable[[str], bytes] = str.encode
+    key: str = "summary"
+    keep_recent: int = 8
+    trigger_bytes: int = int(SOFT_SHARE * HARD_CAP)
+
+    def __post_init__(self):
+        if not self.sources or not self.key or self.key in self.sources:
+            raise ValueError("name at least one ring, and a summary key that is none of them")
+        if self.keep_recent < 0 or self.trigger_bytes <= 0:
+            raise ValueError("keep_recent must not be negative, and trigger_bytes positive")
+
+    def __call__(self, ctx: Context) -> None:
+        memory = ctx.memory
+        if memory.size < self.trigger_bytes:
+            return
+        kept, folded = {}, []
+        for name in self.sources:
+            items = memory.ring(name) if name in memory.items else []
+            old = items[: max(0, len(items) - self.keep_recent)]
+            if old:
+                folded += old
+                kept[name] = items[len(old) :]
+        if not folded:
+            return
+        prior = memory.get(self.key)
+        model, messages = self.build(folded, prior)
+        summary = self.extract(ctx.call_model(model, messages))
+        if len(summary) >= sum(map(len, folded)) + len(prior or b""):
+            raise ValueError("the summary is no smaller than what it replaces")
+        for name, items in kept.items():
+            memory.set_ring(name, items)
+        memory.set(self.key, summary)
+
+
 @dataclass(frozen=True)
 class Config:
-    """An agent with its limits. ``provider`` answers model requests; ``tools`` are read-only functions."""
+    """An agent with its limits. ``provider`` answers model requests; ``tools`` are read-only functions.
+
+    ``timeout_ms``: None for no limit. ``metrics``: emit a record of counters and samples for each element.
+    """
 
     agent: Callable[[Context], Complete | Suspend]
     provider: Callable[[dict], Response] | None = None
@@ -109,7 +163,12 @@ class Config:
     ttl_ms: int = 3600_000
     token_budget: int | None = None
     memory_cap: int = HARD_CAP
-    protected: tuple[str, ...] = ()
+    protected: tuple[str, ...] = ("__langgraph__/",)
+    summarise: Summarise | None = None
+    timeout_ms: int | None = 30_000
+    cancel_grace_ms: int = 5_000
+    metrics: bool = False
+    sleep: Callable[[float], None] = time.sleep
     retry: RetryPolicy = field(default_factory=RetryPolicy)
     breaker: CircuitBreaker | None = None
     on_expire: Callable[[str, Memory], dict] | None = None
@@ -148,6 +207,9 @@ class Context:
         self.saves: list[dict] = []
         self.budget = TokenBudget(config.token_budget)
         self.tool_calls = 0
+        self.began = time.monotonic()
+        self.cancelled = threading.Event()
+        self.samples: dict[str, list[int]] = {"llm_ms": [], "tool_ms": [], "prompt_tokens": [], "completion_tokens": []}
 
     @property
     def is_resume(self) -> bool:
@@ -174,8 +236,11 @@ class Context:
     def emit(self, output: str) -> None:
         self.outputs.append(output)
 
-    def call_model(self, model: str, messages: list[dict], tools: list | None = None, **params) -> str:
-        """A cached response costs no call; a fresh one is retried, charged and cached."""
+    def call_model(self, model: str, messages: list[dict], tools: list | None = None, schema: dict | None = None, **params) -> str:
+        """A cached response costs no call; a fresh one is retried after a delay, charged and cached.
+
+        With a JSON ``schema`` an answer that does not fit it raises ValueError.
+        """
         self.budget.check()
         self.step += 1
         request = {"model": model, "messages": messages, "tools": tools or [], "params": params}
@@ -192,27 +257,41 @@ class Context:
                     breaker.check(self.now_ms)
                 attempts += 1
                 try:
-                    got = self.config.provider(request)
-                except ProviderError:
+                    with self._timed("llm_ms"):
+                        got = self.config.provider(request)
+                except ProviderError as e:
                     if breaker:
                         breaker.record(False, self.now_ms)
-                    if attempts >= self.config.retry.attempts:
+                    if attempts >= self.config.retry.attempts or self.cancelled.is_set():
                         raise
+                    self.config.sleep(self.config.retry.delay_ms(attempts, e) / 1000)
                     continue
                 if breaker:
                     breaker.record(True, self.now_ms)
                 break
             self.cache.put(key, json.dumps(asdict(got), sort_keys=True), self.now_ms)
+            if got.input_tokens is not None or got.output_tokens is not None:
+                self.samples["prompt_tokens"].append(got.input_tokens or 0)
+                self.samples["completion_tokens"].append(got.output_tokens or 0)
         self.budget.charge((got.input_tokens or 0) + (got.output_tokens or 0))
         self.trace("LLM_CALL", self.step, model=model, input_tokens=got.input_tokens, output_tokens=got.output_tokens, cache_hit=stored is not None, billed=stored is None, attempts=attempts, circuit_state=breaker.state(self.now_ms) if breaker else None)
+        if schema is not None:
+            tool_schema.check(json.loads(got.text), schema)
         return got.text
 
+    @contextlib.contextmanager
+    def _timed(self, name: str):
+        began = time.monotonic()
+        yield
+        self.samples[name].append(int(1000 * (time.monotonic() - began)))  # calls that answered
+
     def run_tool(self, name: str, **args):
         """A read-only tool: no step, its own trace index."""
         tool = self.config.tools[name]
         if getattr(tool, "side_effect", False):
             raise TypeError(f"{name!r} has side effects: stage it with act()")
-        out = tool(**args)
+        with self._timed("tool_ms"):
+            out = tool(**args)
         self.trace("TOOL_CALL", self.tool_calls, tool_name=name)
         self.tool_calls += 1
         return out
@@ -234,14 +313,20 @@ class Context:
         self.saves.append({"name": name, "value": value, "seq": self.seq, "updated_at_ms": self.now_ms})
 
 
-def _error(reason: str, detail: str, now_ms: int, key: str, seq: int, error_type: str | None = None, timer: bool = False, count: int = 1, trace: bool = True) -> list[dict]:
+def _error(reason: str, detail: str, now_ms: int, key: str, seq: int, error_type: str | None = None, timer: bool = False, count: int = 1, trace: bool = True, failure: dict | None = None) -> list[dict]:
     out: list[dict] = [{"stream": "errors", "reason": reason, "detail": detail, "event_time_ms": now_ms} for _ in range(count)]
     if trace:
         role = "timer" if timer else "ERROR"
-        out.append({"stream": "traces", "trace_id": trace_id(key, seq), "span_id": span_id(key, seq, role, 0), "parent_span_id": span_id(key, seq, "activation", 0), "seq": seq, "step_index": 0, "event_type": "ERROR", "start_ms": now_ms, "attributes": {"reason": reason} | ({"error_type": error_type} if error_type else {})})
+        out.append({"stream": "traces", "trace_id": trace_id(key, seq), "span_id": span_id(key, seq, role, 0), "parent_span_id": span_id(key, seq, "activation", 0), "seq": seq, "step_index": 0, "event_type": "ERROR", "start_ms": now_ms, "attributes": {"reason": reason} | ({"error_type": error_type} if error_type else {}) | (failure or {})})
     return out
 
 
+def failure_context(ctx: Context) -> dict[str, str]:
+    """Where an activation was when it failed: nothing of its contents, and the same in a replay."""
+    last = ctx.traces[-1]["event_type"] if ctx.traces else ""
+    return {"failure_step": str(ctx.step), "failure_last_event": last, "failure_staged_intents": str(len(ctx.intents)), "failure_llm_calls": str(len(ctx.samples["llm_ms"]))}
+
+
 def admission_failure(continuation: dict | None, pending: list[dict], wanted: str, now_ms: int) -> str | None:
     """Why a result may not resume the activation; a non-positive time counts as passed."""
     if continuation is None:
@@ -260,9 +345,23 @@ def _activate(config: Config, key: str, state: KeyState, ctx: Context, batch: tu
     kind = "resume" if ctx.is_resume else "start"
     extra = {"batch_size": batch[0], "batch_trigger": batch[1]} if batch else {}
     ctx.trace("ACTIVATION_START", 0, kind=kind, **extra)
-    outcome = config.agent(ctx)
-    if ctx.memory.size > ctx.memory.cap * 0.75:
-        ctx.memory.compact()
+
+    def agent() -> Complete | Suspend:
+        outcome = config.agent(ctx)
+        if config.summarise is None:
+            return outcome
+        if inspect.isawaitable(outcome):
+
+            async def both():
+                result = await outcome
+                config.summarise(ctx)
+                return result
+
+            return both()
+        config.summarise(ctx)
+        return outcome
+
+    outcome = bridge.run(agent, config.timeout_ms, config.cancel_grace_ms, ctx.cancelled)
     after = copy.copy(state)
     after.memory, after.cache, after.seq = ctx.memory.dump(), ctx.cache.dump(), state.seq + 1
     after.pending, ttl_from = list(ctx.intents), ctx.now_ms
@@ -288,7 +387,42 @@ def _activate(config: Config, key: str, state: KeyState, ctx: Context, batch: tu
     state.__dict__.update(after.__dict__)
     rows = [{"stream": "output", "seq": ctx.seq, "payload": o} for o in ctx.outputs]
     rows += [{"stream": "intents", **i} for i in ctx.intents] + [{"stream": "traces", **t} for t in ctx.traces]
-    return rows + [{"stream": "saves", **s} for s in ctx.saves]
+    rows += [{"stream": "saves", **s} for s in ctx.saves]
+    return rows + _committed(config, ctx, status, batch)
+
+
+def _metric(config: Config, now_ms: int, seq: int, counters: dict[str, int] | None = None, samples: dict[str, list[int]] | None = None) -> list[dict]:
+    some = {k: v for k, v in (counters or {}).items() if v}
+    full = {k: v for k, v in (samples or {}).items() if v}
+    return [{"stream": "metrics", "seq": seq, "event_time_ms": now_ms, "counters": some, "samples": full}] if config.metrics and (some or full) else []
+
+
+def _committed(config: Config, ctx: Context, status: str, batch: tuple[int, str] | None) -> list[dict]:
+    """What a committed activation counts. A failed one commits nothing and leaves no record of this."""
+    if not config.metrics:
+        return []
+    s = ctx.samples
+    counters = {
+        "activations": 1, "suspensions": int(status == "suspended"), "intents_emitted": len(ctx.intents), "longterm_upserts": len(ctx.saves), "llm_calls": len(s["llm_ms"]), "tool_calls": ctx.tool_calls,
+        "batch_flushes_size": int(bool(batch) and batch[1] == "size"), "batch_flushes_timer": int(bool(batch) and batch[1] == "timer"),
+    }
+    wall = int(1000 * (time.monotonic() - ctx.began))
+    samples = {"memory_bytes": [ctx.memory.size], "iterations": [ctx.step - ctx.entry], "llm_ms": s["llm_ms"], "overhead_ms": [max(0, wall - sum(s["llm_ms"]) - sum(s["tool_ms"]))]}
+    if s["prompt_tokens"]:  # usage that was reported, and only of calls that reached the provider
+        prompt, completion = sum(s["prompt_tokens"]), sum(s["completion_tokens"])
+        samples |= {"tokens": [prompt + completion], "prompt_tokens": [prompt], "completion_tokens": [completion]}
+    if batch:
+        samples["batch_size"] = [batch[0]]
+    return _metric(config, ctx.now_ms, ctx.seq, counters, samples)
+
+
+def _counted(config: Config, now_ms: int, seq: int, rows: list[dict]) -> list[dict]:
+    """Records with the counters of the errors among them: orphaned results, and all others."""
+    if not config.metrics:
+        return rows
+    errors = [r for r in rows if r["stream"] == "errors"]
+    orphaned = sum(r["reason"] == "orphaned_result" for r in errors)
+    return rows + _metric(config, now_ms, seq, {"agent_errors": len(errors) - orphaned, "orphaned_results": orphaned})
 
 
 def _context(config: Config, key: str, state: KeyState, seq: int, now_ms: int, **kw) -> Context:
@@ -297,13 +431,15 @@ def _context(config: Config, key: str, state: KeyState, seq: int, now_ms: int, *
 
 def _attempt(config: Config, key: str, state: KeyState, ctx: Context, **kw) -> list[dict]:
     try:
-        return _activate(config, key, state, ctx, **kw)
-    except TimeoutError:
-        return _error("activation_timeout", "", ctx.now_ms, key, ctx.seq)
+        rows = _activate(config, key, state, ctx, **kw)
+    except bridge.ActivationTimeout:
+        rows = _error("activation_timeout", "", ctx.now_ms, key, ctx.seq)
     except Exception as e:
         reason = "budget_exceeded" if isinstance(e, BudgetExceeded) and "batch" not in kw else "activation_error"
-        where = f" step={ctx.step} staged={len(ctx.intents)}"
-        return _error(reason, repr(e) + where, ctx.now_ms, key, ctx.seq, type(e).__name__)
+        at = failure_context(ctx)
+        where = f" failed_at_step={at['failure_step']} after={at['failure_last_event']}"
+        rows = _error(reason, repr(e) + where, ctx.now_ms, key, ctx.seq, type(e).__name__, failure=at)
+    return rows + _metric(config, ctx.now_ms, ctx.seq, samples={"activation_ms": [int(1000 * (time.monotonic() - ctx.began))]})
 
 
 def _flush(config: Config, key: str, state: KeyState, trigger: str) -> list[dict]:
@@ -321,6 +457,10 @@ def _flush(config: Config, key: str, state: KeyState, trigger: str) -> list[dict
 
 def on_envelope(config: Config, key: str, state: KeyState, envelope: dict, wall_ms: int) -> list[dict]:
     """Route one element. ``wall_ms`` only arms the flush timer."""
+    return _counted(config, envelope["event_time_ms"], state.seq, _routed(config, key, state, envelope, wall_ms))
+
+
+def _routed(config: Config, key: str, state: KeyState, envelope: dict, wall_ms: int) -> list[dict]:
     now_ms, kind = envelope["event_time_ms"], envelope["kind"]
     if kind == "export_request":
         return [snapshot(state, now_ms, envelope["export_request"]["request_id"])]
@@ -342,15 +482,19 @@ def on_envelope(config: Config, key: str, state: KeyState, envelope: dict, wall_
     state.ttl_at_ms = now_ms + config.ttl_ms
     if len(state.batch) == 1:
         state.flush_at_ms = wall_ms + b.max_wait_ms
+    counted = _metric(config, now_ms, state.seq, {"events_buffered": 1})
     if len(state.batch) >= b.max_batch_size and state.continuation is None:
-        return _flush(config, key, state, "size")
-    return []
+        return _flush(config, key, state, "size") + counted
+    return counted
 
 
 def on_flush(config: Config, key: str, state: KeyState) -> list[dict]:
     """A stale mark or a live suspension makes this nothing."""
     state.flush_at_ms = None
-    return _flush(config, key, state, "timer") if state.batch and state.continuation is None else []
+    if not state.batch or state.continuation is not None:
+        return []
+    now_ms, seq = max(e["event_time_ms"] for e in state.batch), state.seq
+    return _counted(config, now_ms, seq, _flush(config, key, state, "timer"))
 
 
 def on_hitl(config: Config, key: str, state: KeyState, fired_ms: int, wall_ms: int) -> list[dict]:
@@ -373,14 +517,14 @@ def on_hitl(config: Config, key: str, state: KeyState, fired_ms: int, wall_ms: i
         state.continuation = cont | {"step_index": cont["step_index"] + 1, "deadline_ms": deadline, "escalations": cont["escalations"] + 1, "pending_intent_ids": [*cont["pending_intent_ids"], made]}
         state.pending = [*state.pending, intent]
         state.hitl_at_ms, state.ttl_at_ms = deadline, deadline + config.ttl_ms
-        return [{"stream": "intents", **intent}, {"stream": "traces", **ctx.traces[0]}]
+        return [{"stream": "intents", **intent}, {"stream": "traces", **ctx.traces[0]}, *_metric(config, fired_ms, cont["seq"], {"intents_emitted": 1})]
     state.continuation, state.pending, state.hitl_at_ms = None, [], None
     if state.batch:
         state.flush_at_ms = wall_ms
     trace = _error("hitl_timeout", "", fired_ms, key, cont["seq"], timer=True)[1:]
     if isinstance(route, Deny):
         return [{"stream": "output", "seq": cont["seq"], "payload": route.output}, *trace]
-    return [{"stream": "errors", "reason": route.reason, "detail": detail, "event_time_ms": fired_ms}, *trace]
+    return _counted(config, fired_ms, cont["seq"], [{"stream": "errors", "reason": route.reason, "detail": detail, "event_time_ms": fired_ms}, *trace])
 
 
 def on_ttl(config: Config, key: str, state: KeyState, fired_ms: int) -> list[dict]:
@@ -393,8 +537,9 @@ def on_ttl(config: Config, key: str, state: KeyState, fired_ms: int) -> list[dic
         rows += [{"stream": "saves", "name": n, "value": v, "seq": state.seq, "updated_at_ms": fired_ms} for n, v in saved.items()]
     for i in range(len(state.batch)):
         rows += _error("ttl_wiped_batch", f"buffered={len(state.batch)},index={i}", fired_ms, key, state.seq, trace=False)
+    seq = state.seq
     state.__dict__.update(KeyState().__dict__)
-    return rows
+    return _counted(config, fired_ms, seq, rows)
 
 
 def snapshot(state: KeyState, now_ms: int, request_id: str) -> dict:

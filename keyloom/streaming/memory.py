@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 STATE_VERSION = 1
 HARD_CAP = 1 << 20
+SOFT_SHARE = 0.75
 RING_ITEMS = 64
 CACHE_ENTRIES = 64
 CACHE_BYTES = 100 << 10
@@ -34,17 +35,42 @@ def migrate(blob: dict | None) -> dict | None:
     return blob | {"v": version}
 
 
+class MemoryOverflow(ValueError):
+    """A write that would exceed the cap even after compaction."""
+
+
 class Memory:
-    """Strings to bytes, least recently used first; scalars and rings; exact accounting by size of content."""
+    """Strings to bytes, least recently used first; scalars and rings; exact accounting by the bytes of values.
+
+    A write that would exceed the cap compacts first and is then tried again on what is left. Three quarters of the cap
+    are a soft cap: the first write beyond it compacts too, once in the life of this object.
+    """
 
     def __init__(self, cap: int = HARD_CAP, protected: tuple[str, ...] = ()):
         self.cap, self.protected = cap, protected
         self.items: OrderedDict[str, bytes | list[bytes]] = OrderedDict()
         self.size = 0
+        self.crossed_soft_cap = False
 
     @staticmethod
     def _cost(key: str, value: bytes | list[bytes]) -> int:
-        return len(key.encode()) + (len(value) if isinstance(value, bytes) else sum(map(len, value)))
+        return len(value) if isinstance(value, bytes) else sum(map(len, value))
+
+    def _after(self, key: str, value: bytes | list[bytes]) -> int:
+        return self.size + self._cost(key, value) - (self._cost(key, self.items[key]) if key in self.items else 0)
+
+    def _write(self, key: str, made: Callable[[], bytes | list[bytes]]) -> None:
+        """``made`` gives the new value from what is stored, again after a compaction."""
+        value = made()
+        if self._after(key, value) > self.cap:
+            self.compact()
+            value = made()
+            if self._after(key, value) > self.cap:
+                raise MemoryOverflow(f"{key!r}: working memory would hold {self._after(key, value)} of {self.cap} bytes")
+        self._put(key, value)
+        if self.size >= SOFT_SHARE * self.cap and not self.crossed_soft_cap:
+            self.crossed_soft_cap = True
+            self.compact()
 
     def _put(self, key: str, value: bytes | list[bytes]) -> None:
         old = self.items.pop(key, None)
@@ -52,11 +78,8 @@ class Memory:
         self.items[key] = value
 
     def set(self, key: str, value: bytes) -> None:
-        if isinstance(self.items.get(key), list):
-            raise TypeError(f"{key!r} is a ring")
-        if self.size + self._cost(key, value) - (self._cost(key, self.items[key]) if key in self.items else 0) > self.cap:
-            raise ValueError(f"working memory would exceed {self.cap} bytes")
-        self._put(key, bytes(value))
+        """A scalar, in place of whatever was there."""
+        self._write(key, lambda: bytes(value))
 
     def get(self, key: str) -> bytes | None:
         value = self.items.get(key)
@@ -67,12 +90,13 @@ class Memory:
         return value
 
     def append(self, key: str, item: bytes, max_items: int = RING_ITEMS) -> None:
-        ring = self.items.get(key, [])
-        if isinstance(ring, bytes):
+        """To a ring, which keeps its last ``max_items``: none, if that is not positive."""
+        if isinstance(self.items.get(key), bytes):
             raise TypeError(f"{key!r} is a scalar")
-        if self.size + len(item) + (len(key.encode()) if key not in self.items else 0) > self.cap:
-            raise ValueError(f"working memory would exceed {self.cap} bytes")
-        self._put(key, [*ring, bytes(item)][-max_items:])
+        self._write(key, lambda: [*self.items.get(key, []), bytes(item)][-max_items:] if max_items > 0 else [])
+
+    def set_ring(self, key: str, items: list[bytes]) -> None:
+        self._write(key, lambda: list(items))
 
     def ring(self, key: str) -> list[bytes]:
         value = self.items.get(key, [])
@@ -99,18 +123,6 @@ class Memory:
                 gone.append(key)
         return gone
 
-    def shrink_ring(self, key: str, keep: int, summarise: Callable[[list[bytes]], bytes]) -> bool:
-        """Replace all but the last ``keep`` items by one summary, if that makes the ring smaller."""
-        items = self.ring(key)
-        if len(items) <= keep + 1:
-            return False
-        summary = summarise(items[:-keep] if keep else items)
-        rest = items[-keep:] if keep else []
-        if len(summary) + sum(map(len, rest)) >= sum(map(len, items)):
-            return False
-        self._put(key, [summary, *rest])
-        return True
-
     def dump(self) -> dict:
         enc = lambda v: base64.b64encode(v).decode()
         return {"v": STATE_VERSION, "items": [[k, enc(v)] if isinstance(v, bytes) else [k, [enc(x) for x in v]] for k, v in self.items.items()]}

@@ -1,12 +1,16 @@
 """The kernel as a Structured Streaming operator.
 
 Processing-time mode: timeouts and flushes are native timers; expiry follows the watermark, which is read on
-each call and compared with a time kept in state (a poll timer wakes idle keys). Spark's own state expiry is
-silent and is not used. State is exactly-once with the checkpoint; each sink deduplicates on identity.
+each call and compared with a time kept in state, before anything else sees that state. A timer wakes an idle key about
+when the watermark should get there, so a key costs one wake-up and not one a second; if event time runs faster than the
+clock, the expiry is reported later, with the same records. Spark's own state expiry is silent and is not used.
+State is kept in cells (memory, replay cache, buffer, the rest), and only cells that changed are written.
+It is exactly-once with the checkpoint; each sink deduplicates on identity.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -20,37 +24,49 @@ from .kernel import Config, KeyState
 POLL_MS = 1000
 
 
+CELLS = {"memory": ("memory",), "cache": ("cache",), "batch": ("batch",), "rest": ("continuation", "pending", "seq", "ttl_at_ms", "hitl_at_ms", "flush_at_ms")}
+
+
 class AgentProcessor(StatefulProcessor):
     def __init__(self, config: Config, clock: str = "processing"):
         self.config, self.clock = config, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cell = handle.getValueState("state", "blob string, ordinal bigint, armed bigint")
+        self.cells = {c: handle.getValueState(c, "blob string") for c in CELLS}
+        self.place = handle.getValueState("place", "ordinal bigint, armed bigint")
 
-    def _load(self) -> tuple[KeyState, int, int | None]:
-        if not self.cell.exists():
-            return KeyState(), 0, None
-        blob, ordinal, armed = self.cell.get()
-        return KeyState.load(blob), ordinal, armed
+    def _load(self) -> tuple[KeyState, dict[str, str | None], int, int | None]:
+        """The state, its cells as they are stored, the number of records so far, and the timer that is set."""
+        stored = {c: cell.get()[0] if cell.exists() else None for c, cell in self.cells.items()}
+        parts = {k: v for blob in stored.values() if blob for k, v in json.loads(blob).items()}
+        ordinal, armed = self.place.get() if self.place.exists() else (0, None)
+        return KeyState(**parts), stored, ordinal, armed
 
-    def _store(self, key: str, state: KeyState, ordinal: int, armed: int | None, rows: list[dict], now_ms: int):
+    def _store(self, key: str, state: KeyState, stored: dict[str, str | None], ordinal: int, armed: int | None, rows: list[dict], now_ms: int, watermark_ms: int):
         import pandas as pd
 
         wanted = [t for t in (state.hitl_at_ms, state.flush_at_ms) if t is not None]
         if state.ttl_at_ms is not None:
-            wanted.append(now_ms + POLL_MS)
+            wanted.append(now_ms + max(POLL_MS, state.ttl_at_ms - (watermark_ms or state.ttl_at_ms)))
         at = max(min(wanted), now_ms + 1) if wanted else None
         if armed is not None and armed != at:
             self.handle.deleteTimer(armed)
         if at is not None and armed != at:
             self.handle.registerTimer(at)
-        if state == KeyState():
-            self.cell.clear()
-        else:
-            self.cell.update((state.dump(), ordinal + len(rows), at))
+        empty = state == KeyState()
+        for c, names in CELLS.items():
+            values = {n: getattr(state, n) for n in names}
+            blob = None if empty or all(v in (None, []) for v in values.values()) else json.dumps(values, sort_keys=True, separators=(",", ":"))
+            if blob != stored[c]:
+                self.cells[c].clear() if blob is None else self.cells[c].update((blob,))
+        self.place.clear() if empty else self.place.update((ordinal + len(rows), at))
         return pd.DataFrame([as_row(key, ordinal + i, r) for i, r in enumerate(rows)], columns=_COLUMNS)
 
+    def _expired(self, key: str, state: KeyState, watermark_ms: int) -> list[dict]:
+        due = state.ttl_at_ms is not None and 0 < state.ttl_at_ms <= watermark_ms
+        return kernel.on_ttl(self.config, key, state, state.ttl_at_ms) if due else []
+
     def _due(self, key: str, state: KeyState, now_ms: int, watermark_ms: int) -> list[dict]:
         rows: list[dict] = []
         if state.flush_at_ms is not None and state.flush_at_ms <= now_ms:
@@ -60,25 +76,23 @@ class AgentProcessor(StatefulProcessor):
             rows += kernel.on_hitl(self.config, key, state, before, now_ms)
             if state.hitl_at_ms == before:
                 state.hitl_at_ms = None
-        if state.ttl_at_ms is not None and 0 < state.ttl_at_ms <= watermark_ms:
-            rows += kernel.on_ttl(self.config, key, state, state.ttl_at_ms)
-        return rows
+        return rows + self._expired(key, state, watermark_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
-        state, ordinal, armed = self._load()
-        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        state, stored, ordinal, armed = self._load()
+        now_ms, watermark_ms = timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
         found = [to_envelope(r) for pdf in rows for r in pdf.to_dict("records")]
-        out = []
+        out = self._expired(key[0], state, watermark_ms)
         for e in sorted(found, key=lambda e: (e["event_time_ms"], e["arrival"])):
             out += kernel.on_envelope(self.config, key[0], state, e, now_ms)
-        out += self._due(key[0], state, now_ms, timerValues.getCurrentWatermarkInMs())
-        yield self._store(key[0], state, ordinal, armed, out, now_ms)
+        out += self._due(key[0], state, now_ms, watermark_ms)
+        yield self._store(key[0], state, stored, ordinal, armed, out, now_ms, watermark_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
-        state, ordinal, _ = self._load()
-        now_ms = timerValues.getCurrentProcessingTimeInMs()
-        out = self._due(key[0], state, now_ms, timerValues.getCurrentWatermarkInMs())
-        yield self._store(key[0], state, ordinal, None, out, now_ms)
+        state, stored, ordinal, _ = self._load()
+        now_ms, watermark_ms = timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        out = self._due(key[0], state, now_ms, watermark_ms)
+        yield self._store(key[0], state, stored, ordinal, None, out, now_ms, watermark_ms)
 
     def close(self) -> None:
         pass

@@ -1,4 +1,8 @@
-"""Sinks by URI, checked when a pipeline is built: ``parquet:///path``, ``memory://name``, ``kafka://servers/topic``, ``console://``.
+"""Sinks by URI, checked when a pipeline is built.
+
+``parquet:///path``, ``memory://name``, ``console://``, ``kafka://servers/topic``, ``otlp://host:port`` (traces only),
+``pubsub://project/topic`` and ``bigquery://project.dataset.table`` (not for snapshots). The last two need a client that
+Spark does not have: ``register`` names a function that writes a batch, and without one the URI is refused at once.
 
 A sink is a function of a batch frame and a batch id. Retried batches replace what they wrote before.
 """
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .fold import STREAMS
 
-IDENTITY = {"traces": ("trace_id", "span_id", "event_type"), "intents": ("intent_id",), "errors": ("entity_key", "seq", "ordinal"), "output": ("entity_key", "seq", "ordinal"), "snapshots": ("entity_key", "seq", "ordinal"), "saves": ("entity_key", "seq", "ordinal")}
+IDENTITY = {"traces": ("trace_id", "span_id", "event_type"), "intents": ("intent_id",), "errors": ("entity_key", "seq", "ordinal"), "output": ("entity_key", "seq", "ordinal"), "snapshots": ("entity_key", "seq", "ordinal"), "saves": ("entity_key", "seq", "ordinal"), "metrics": ("entity_key", "seq", "ordinal")}
 MEMORY: dict[str, list] = {}
 Sink = Callable[[DataFrame, int], None]
 
@@ -40,10 +44,78 @@ def resolve(uri: str, stream: str) -> Sink:
         options = dict(parse_qsl(u.query))
         return lambda df, batch: keyed(df).write.format("kafka").option("kafka.bootstrap.servers", u.netloc).option("topic", topic).options(**options).save()
     if u.scheme == "console":
-        return lambda df, batch: df.show(20, truncate=False)
+        return lambda df, batch: _show(df, stream, batch)
+    if u.scheme == "otlp":
+        if stream != "traces" or not u.hostname:
+            raise ValueError(f"{uri!r}: otlp://host[:port] takes traces only")
+        return lambda df, batch: post_spans(df, f"http://{u.netloc}{u.path or '/v1/traces'}")
+    if u.scheme in ("pubsub", "bigquery"):
+        if u.scheme == "pubsub" and (not u.netloc or not u.path.strip("/") or "/" in u.path.strip("/")):
+            raise ValueError(f"{uri!r} is not pubsub://project/topic")
+        if u.scheme == "bigquery" and (stream == "snapshots" or u.netloc.count(".") != 2 or not all(u.netloc.split("."))):
+            raise ValueError(f"{uri!r}: bigquery://project.dataset.table takes no snapshots")
+        if u.scheme not in WRITERS:
+            raise ValueError(f"no writer is registered for {u.scheme}://")
+        return WRITERS[u.scheme](uri, stream)
     raise ValueError(f"no sink for {uri!r}")
 
 
+WRITERS: dict[str, Callable[[str, str], Sink]] = {}
+
+
+def register(scheme: str, factory: Callable[[str, str], Sink]) -> None:
+    """``factory(uri, stream)`` gives the sink of a scheme that needs a foreign client."""
+    WRITERS[scheme] = factory
+
+
+def _show(df: DataFrame, stream: str, batch: int) -> None:
+    """Every record of a batch as one line of JSON."""
+    for r in df.select(F.to_json(F.struct("*"))).toLocalIterator():
+        print(f"{stream} {batch} {r[0]}")
+
+
+def post_spans(traces: DataFrame, url: str, rows: int = 500, timeout: float = 10.0) -> None:
+    """Trace events as OTLP/JSON over HTTP, some hundred spans to a request, from the executors. A failed request is
+    retried with its task; receivers identify spans by their ids."""
+    from ..sources.ingest import otlp_spans
+
+    def send(part) -> None:
+        import itertools
+        import urllib.request
+
+        from ..operators.effects import with_retry
+
+        spans = iter(part)
+        while some := [r["span"] for r in itertools.islice(spans, rows)]:
+            body = '{"resourceSpans":[{"scopeSpans":[{"spans":[' + ",".join(some) + "]}]}]}"
+            ask = urllib.request.Request(url, body.encode(), {"Content-Type": "application/json"})
+            with_retry(lambda ask=ask: urllib.request.urlopen(ask, timeout=timeout).read())
+
+    ends = traces if "end_ms" in traces.columns else traces.withColumns({"start_ms": F.col("event_time_ms"), "end_ms": F.col("event_time_ms")})
+    otlp_spans(ends).foreachPartition(send)
+
+
+INTENT = ["entity_key", "seq", "step_index", "intent_id", "tool_name", "kind", "args_json", "created_at_ms", "expires_at_ms"]
+
+
+def outbox(intents: DataFrame, key_id: str | None = None, secret: str | None = None, max_key_bytes: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Intents as ``(key, value)`` messages, signed if a key is given, and dead letters ``(intent_id, why)``.
+
+    Messages of a key lie in one partition in order of (seq, step_index), so a writer that keeps the order of a partition
+    keeps that of a key. An intent that cannot be sent is a dead letter and never stops the others.
+    """
+    why = (
+        F.when(F.col("entity_key").isNull() | (F.col("entity_key") == ""), "no key").when(F.octet_length("entity_key") > max_key_bytes, "the key is too long")
+        .when(F.col("intent_id").isNull(), "no intent id").when(F.col("args_json").isNotNull() & F.expr("try_parse_json(args_json)").isNull(), "arguments are no JSON")
+    )
+    each = intents.select(*INTENT).withColumn("why", why)
+    good = each.filter("why is null").drop("why")
+    if key_id is not None:
+        good = signed(good, key_id, secret)
+    ordered = good.repartition("entity_key").sortWithinPartitions("entity_key", "seq", "step_index")
+    return keyed(ordered), each.filter("why is not null").select("entity_key", "intent_id", "why")
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """Key and canonical bytes of each record: maps sorted, nulls left out."""
     cols = [F.map_from_entries(F.array_sort(F.map_entries(f.name))).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]

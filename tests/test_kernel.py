@@ -1,15 +1,18 @@
 """The state machine of one key, driven by scripted envelopes with explicit times."""
 
+import asyncio
+import collections
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keyloom.streaming import agents, fold, kernel
+from keyloom.streaming import agents, fold, kernel, tools
 from keyloom.streaming.kernel import Batching, Complete, Config, Deny, Drop, Escalate, KeyState, Suspend, TimeoutPolicy
-from keyloom.streaming.memory import FutureVersion, Memory, ReplayCache, migrate
-from keyloom.streaming.model import CircuitBreaker, CircuitOpen, ProviderError, ScriptedModel, TokenBudget
+from keyloom.streaming.memory import FutureVersion, Memory, MemoryOverflow, ReplayCache, migrate
+from keyloom.streaming.model import CircuitBreaker, CircuitOpen, ProviderError, Response, RetryPolicy, ScriptedModel, TokenBudget
 
 T0 = 1_700_000_000_000
 
@@ -80,7 +83,8 @@ def test_failure_leaves_state_and_retry_is_equal():
     def slow(ctx):
         raise TimeoutError
 
-    assert of(kernel.on_envelope(Config(agent=slow), "6b", s, ev(0), 0), "errors")[0]["reason"] == "activation_timeout"
+    # an agent's own TimeoutError is its failure; the time limit is tested below
+    assert of(kernel.on_envelope(Config(agent=slow), "6b", s, ev(0), 0), "errors")[0]["reason"] == "activation_error"
 
 
 def test_batching():
@@ -184,18 +188,179 @@ def test_memory_limits_and_compaction():
     m = Memory(cap=100, protected=("keep/",))
     m.set("keep/x", b"1" * 20)
     m.set("a", b"2" * 30)
-    m.set("b", b"3" * 30)
-    with pytest.raises(ValueError):
-        m.set("c", b"4" * 30)
-    m.get("a")
-    assert m.compact() == ["b", "a"] and list(m.items) == ["keep/x"] and m.size == 26
-    r = Memory()
+    m.set("b", b"3" * 30)  # crosses the soft cap of 75: the oldest goes
+    assert m.crossed_soft_cap and list(m.items) == ["keep/x", "b"] and m.size == 50
+    m.set("c", b"4" * 30)  # once only
+    assert m.size == 80
+    m.set("d", b"5" * 25)  # beyond the cap: compaction, then the write
+    assert list(m.items) == ["keep/x", "c", "d"] and m.size == 75
+    with pytest.raises(MemoryOverflow):
+        m.set("e", b"6" * 90)  # protected keys stay, so it does not fit
+    assert list(m.items) == ["keep/x", "d"]
+    r = Memory(cap=70)
     for i in range(70):
         r.append("r", bytes([i]))
-    assert len(r.ring("r")) == 64 and r.shrink_ring("r", 4, lambda x: b"s") and len(r.ring("r")) == 5
-    assert not r.shrink_ring("r", 4, lambda x: b"s" * 99)
+    assert len(r.ring("r")) == 64
+    r.append("r", b"x", max_items=0)
+    assert r.ring("r") == [] and r.size == 0
     with pytest.raises(TypeError):
         r.get("r")
+    r.set("r", b"scalar")
+    with pytest.raises(TypeError):
+        r.append("r", b"x")
+    near = Memory(cap=10)
+    near.append("r", b"12345", 2)
+    near.append("r", b"123", 2)
+    near.append("r", b"1234567", 2)  # trimmed before it is measured
+    assert near.ring("r") == [b"123", b"1234567"]
+
+
+def test_a_hung_agent_times_out():
+    """A function that stops when asked, one that does not, and a coroutine: the state stays, and later calls work."""
+    seen = []
+
+    def polite(ctx):
+        ctx.memory.set("x", b"1")
+        ctx.cancelled.wait(5)
+        seen.append("stopped")
+
+    async def endless(ctx):
+        try:
+            await asyncio.sleep(5)
+        except asyncio.CancelledError:
+            seen.append("cancelled")
+            raise
+
+    async def fine(ctx):
+        await asyncio.sleep(0)
+        return Complete("async")
+
+    for agent in (polite, lambda ctx: time.sleep(1), endless):
+        state = KeyState()
+        rows = kernel.on_envelope(Config(agent=agent, timeout_ms=50, cancel_grace_ms=200), "6b", state, ev(0), 0)
+        assert [r["reason"] for r in of(rows, "errors")] == ["activation_timeout"] and state == KeyState()
+    assert seen == ["stopped", "cancelled"]
+    for limit in (50, None):
+        assert of(kernel.on_envelope(Config(agent=fine, timeout_ms=limit), "6b", KeyState(), ev(0), 0), "output")[0]["payload"] == "async"
+
+
+def test_retries_wait_before_the_next_call():
+    waits = []
+
+    def provider(request):
+        if len(waits) < 2:
+            raise ProviderError("busy", retry_after_ms=700 if waits else 0)
+        return Response("ok", 1, 2)
+
+    c = Config(agent=lambda ctx: Complete(ctx.call_model("m", [])), provider=provider, sleep=waits.append, retry=RetryPolicy(attempts=3, base_ms=100, max_ms=150))
+    rows = kernel.on_envelope(c, "6b", KeyState(), ev(0), 0)
+    assert of(rows, "output")[0]["payload"] == "ok"
+    assert 0 <= waits[0] <= 0.1 and waits[1] == 0.7
+    waits.clear()
+    rows = kernel.on_envelope(Config(agent=c.agent, provider=provider, sleep=lambda s: None, retry=RetryPolicy(attempts=2)), "6b", KeyState(), ev(0), 0)
+    assert of(rows, "errors")[0]["reason"] == "activation_error"
+
+
+def test_a_failure_says_where_it_was():
+    def agent(ctx):
+        ctx.act("pay", {})
+        ctx.call_model("m", [])
+        raise ValueError("no")
+
+    rows = kernel.on_envelope(Config(agent=agent, provider=lambda r: Response("x")), "6b", KeyState(), ev(0), 0)
+    assert of(rows, "errors")[0]["detail"] == "ValueError('no') failed_at_step=2 after=LLM_CALL"
+    assert of(rows, "traces")[0]["attributes"] == {"reason": "activation_error", "error_type": "ValueError", "failure_step": "2", "failure_last_event": "LLM_CALL", "failure_staged_intents": "1", "failure_llm_calls": "1"}
+
+
+def test_answers_and_arguments_are_checked():
+    registry = tools.Registry()
+
+    @registry.tool
+    def look(name: str, n: int = 1) -> str:
+        return name * n
+
+    @registry.tool(side_effect=True)
+    def pay(amount: float) -> str:
+        return f"paid {amount}"
+
+    assert look.schema == {"type": "object", "properties": {"name": {"type": "string"}, "n": {"type": "integer"}}, "required": ["name"], "additionalProperties": False}
+    with pytest.raises(ValueError):
+        registry.tool(lambda: None, name="look")
+    with pytest.raises(TypeError):
+        pay(amount=1.0)
+    assert pay.execute({"amount": 2.5}) == "paid 2.5"
+    for bad in ({}, {"name": 1}, {"name": "a", "n": True}, {"name": "a", "x": 1}):
+        with pytest.raises(ValueError):
+            look(**bad)
+
+    def agent(ctx):
+        return Complete(ctx.run_tool("look", name="a", n=3) + ctx.call_model("m", [], schema={"type": "object", "properties": {"score": {"type": "integer", "enum": [1, 2]}}, "required": ["score"]}))
+
+    for answer, ok in (('{"score": 2}', True), ('{"score": 3}', False), ("not json", False)):
+        rows = kernel.on_envelope(Config(agent=agent, provider=lambda r, a=answer: Response(a), tools=registry), "6b", KeyState(), ev(0), 0)
+        assert bool(of(rows, "output")) == ok and bool(of(rows, "errors")) != ok
+
+
+def test_old_items_become_a_summary():
+    def agent(ctx):
+        for i in range(20):
+            ctx.memory.append("log", b"item %02d" % i)
+        return Complete()
+
+    asked = []
+    summarise = kernel.Summarise(("log", "none"), lambda items, prior: (asked.append((len(items), prior)) or "m", []), keep_recent=4, trigger_bytes=100)
+    c = Config(agent=agent, provider=lambda r: Response("short"), summarise=summarise)
+    state = KeyState()
+    rows = kernel.on_envelope(c, "6b", state, ev(0), 0)
+    memory = Memory.load(state.memory)
+    assert memory.ring("log") == [b"item %02d" % i for i in range(16, 20)] and memory.get("summary") == b"short" and asked == [(16, None)]
+    assert [t["event_type"] for t in of(rows, "traces")] == ["ACTIVATION_START", "LLM_CALL", "ACTIVATION_END"]
+    rows = kernel.on_envelope(Config(agent=agent, provider=lambda r: Response("long" * 99), summarise=summarise), "6b", KeyState(), ev(0), 0)
+    assert "no smaller" in of(rows, "errors")[0]["detail"]
+    with pytest.raises(ValueError):
+        kernel.Summarise(("summary",), lambda i, p: ("m", []))
+
+
+def test_metrics_agree_with_the_records():
+    """Counters equal the records they count, over starts, suspensions, failures, orphans, batches and timers."""
+
+    def agent(ctx):
+        e = ctx.event
+        if ctx.is_resume:
+            return Complete("resumed")
+        if e == "fail":
+            raise ValueError(e)
+        if e == "wait":
+            ctx.request_approval()
+            return Suspend(timeout_ms=100)
+        ctx.call_model("m", [{"role": "user", "content": str(e)}])
+        ctx.run_tool("t")
+        ctx.save("n", "v")
+        return Complete("ok")
+
+    c = Config(agent=agent, provider=lambda r: Response("x", 3, 4), tools={"t": lambda: 1}, metrics=True)
+    events = [ev(i, e) for i, e in enumerate(["a", "fail", "wait", "b"])] + [answer(4, "nobody")]
+    rows, _ = fold.run_key(c, "6b", [dict(e, arrival=i) for i, e in enumerate(events)], end_ms=T0 + 1000)
+    counters, samples = collections.Counter(), collections.defaultdict(list)
+    for r in of(rows, "metrics"):
+        counters.update(r["counters"])
+        for k, v in r["samples"].items():
+            samples[k] += v
+    traces = collections.Counter(t["event_type"] for t in of(rows, "traces"))
+    errors = of(rows, "errors")
+    assert counters["activations"] == traces["ACTIVATION_END"] == 3 and counters["suspensions"] == traces["SUSPENDED"] == 1
+    assert counters["intents_emitted"] == len(of(rows, "intents")) == 1 and counters["longterm_upserts"] == len(of(rows, "saves")) == 2
+    assert counters["agent_errors"] + counters["orphaned_results"] == len(errors) == 2 and counters["orphaned_results"] == 1
+    assert counters["llm_calls"] == len(samples["llm_ms"]) == 2 and counters["tool_calls"] == 2
+    assert samples["tokens"] == [7, 7] and samples["prompt_tokens"] == [3, 3] and samples["completion_tokens"] == [4, 4]
+    assert len(samples["activation_ms"]) == 4 and len(samples["overhead_ms"]) == len(samples["memory_bytes"]) == 3 and samples["iterations"] == [1, 1, 1]
+    b = Config(agent=lambda ctx: Complete(), batching=Batching(2, 10), metrics=True)
+    rows, _ = fold.run_key(b, "6b", [dict(ev(i), arrival=i) for i in range(3)], end_ms=T0 + 1000)
+    counters = collections.Counter()
+    for r in of(rows, "metrics"):
+        counters.update(r["counters"])
+    assert dict(counters) == {"events_buffered": 3, "activations": 2, "batch_flushes_size": 1, "batch_flushes_timer": 1}
+    assert not of(fold.run_key(Config(agent=lambda ctx: Complete()), "6b", [dict(ev(0), arrival=0)])[0], "metrics")
 
 
 def test_replay_cache_bounds():
