@@ -128,7 +128,7 @@ class RecordStore:
             schema = StructType.fromDDL(DDL[table])
             late = F.lit(version << 40) + F.coalesce("arrival", F.lit(0))
             have = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-            batch = batch.select(*have).withColumn("arrival", late)
+            batch = self._staged(version, table, batch.select(*have).withColumn("arrival", late))
             touched = self._touched(table, batch)
             if not touched:
                 continue
@@ -143,8 +143,15 @@ class RecordStore:
         if changed:
             self._recompute(version, state, hit)
             self._commit(version, state)
+        self._fs.delete(self._path(f"{self.path}/_batch/v={version}"), True)
         return changed
 
+    def _staged(self, version: int, name: str, df: DataFrame) -> DataFrame:
+        """Rows that a batch reads several times, computed once."""
+        path = f"{self.path}/_batch/v={version}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _recompute(self, version: int, state: dict, hit: dict[str, DataFrame]) -> None:
         """Rollups of what a batch touched, from the buckets that hold it."""
         ev, er = self._schema("events"), self._schema("errors")
@@ -158,13 +165,14 @@ class RecordStore:
             entities = own if entities is None else entities.union(own).distinct()
         if entities is None:
             return
+        entities = self._staged(version, "entities", entities)
         # Events of an activation share the trace that its key and sequence give, so errors lead to buckets of events.
         errors = self._read("errors", er, state, self._touched("errors", entities)).join(entities, "entity_key", "left_semi")
         asked = errors.filter("seq is not null").select(ids.trace_id(F.col("entity_key"), F.col("seq")).alias("trace_id"))
-        traced = asked if traces is None else asked.union(traces)
+        traced = self._staged(version, "traced", (asked if traces is None else asked.union(traces)).distinct())
         buckets = self._touched("events", traced)
         events = self._read("events", ev, state, buckets)
-        acts = rollups.activations(events.join(traced.distinct(), "trace_id", "left_semi").filter(_KEYED), errors.filter("seq is not null").join(traced.distinct(), ids.trace_id(F.col("entity_key"), F.col("seq")) == F.col("trace_id"), "left_semi"))
+        acts = rollups.activations(events.join(traced, "trace_id", "left_semi").filter(_KEYED), errors.filter("seq is not null").join(traced, ids.trace_id(F.col("entity_key"), F.col("seq")) == F.col("trace_id"), "left_semi"))
         self._replace("activations", acts, ["entity_key", "seq"], version, state)
         if traces is not None:
             self._replace("traces", rollups.traces(events.join(traces, "trace_id", "left_semi")), ["trace_id"], version, state)
@@ -173,6 +181,7 @@ class RecordStore:
 
     def _replace(self, table: str, rows: DataFrame, key: list[str], version: int, state: dict, gone: DataFrame | None = None) -> None:
         """Rows in place of those with their keys; ``gone``: further keys to remove."""
+        rows = self._staged(version, f"new-{table}", rows)
         keys = rows.select(*key) if gone is None else rows.select(*key).unionByName(gone.select(*key)).distinct()
         touched = self._touched(table, keys)
         if not touched:
@@ -190,7 +199,7 @@ class RecordStore:
         version, removed, old = version + 1, 0, {}
         for table in DDL:
             schema = self._schema(table)
-            old[table] = self._read(table, schema, before).filter(F.col(TIMES[table]) < now_ms - retention_ms)
+            old[table] = self._staged(version, f"old-{table}", self._read(table, schema, before).filter(F.col(TIMES[table]) < now_ms - retention_ms))
             n = old[table].count()
             removed += n
             if n:
@@ -211,6 +220,7 @@ class RecordStore:
         kept = self._read("activations", self._schema("activations"), state).join(entities, "entity_key", "left_semi")
         self._replace("entities", rollups.entities(kept, errors.join(entities, "entity_key", "left_semi")), ["entity_key"], version, state, entities)
         self._commit(version, state)
+        self._fs.delete(self._path(f"{self.path}/_batch/v={version}"), True)
         return removed
 
     def vacuum(self) -> None:

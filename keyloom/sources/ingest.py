@@ -151,7 +151,7 @@ def decode_errors(raw: DataFrame, body: str = "value", provenance: str = "kafka"
     each = each.withColumn("_r", F.coalesce(*(F.when(F.coalesce(r["reason"], F.lit("")) != "", r) for r in (F.from_json("_wrapped", _ERROR), F.from_json("_text", _ERROR)))))
     good = each.filter("_r is not null").select("_r.*", F.lit(provenance).alias("provenance"), F.monotonically_increasing_id().alias("arrival"), F.col("_cut").alias("truncated"))
     good = good.withColumn("error_id", ids.error_id(F.coalesce("entity_key", F.lit("")), F.col("seq"), F.col("reason"), F.coalesce("event_time_ms", F.lit(0)), F.coalesce("detail", F.lit(""))))
-    return good, each.filter("_r is null").drop("_r", "_wrapped", "_index").withColumn("why", F.when("_cut", "truncated").otherwise("not an error record"))
+    return good, each.filter("_r is null").drop("_r", "_wrapped", "_index").withColumn("why", F.when(F.col("_cut"), "truncated").otherwise("not an error record"))
 
 
 def decode_snapshots(raw: DataFrame, body: str = "value", provenance: str = "kafka") -> tuple[DataFrame, DataFrame]:

@@ -23,8 +23,9 @@ from .kernel import Config, KeyState
 from .memory import Memory, cache_key, migrate
 
 REPRODUCED, DIVERGED, USAGE, IRREPRODUCIBLE = range(4)
-#: A replayed call is always served from the cache, whatever the traced one was.
+#: A replayed call is always served from the cache, whatever the traced one was; how that was served is not compared.
 PINNED = {"cache_hit": "true", "billed": "false"}
+SERVED = ("attempts", "circuit_state")
 
 
 class ReplayUsage(ValueError):
@@ -129,7 +130,9 @@ _COMPARED = ("event_type", "step_index", "start_ms", "trace_id", "span_id", "par
 
 
 def _pinned(event: dict) -> dict:
-    attributes = dict(event["attributes"]) | (PINNED if event["event_type"] == "LLM_CALL" else {})
+    attributes = dict(event["attributes"])
+    if event["event_type"] == "LLM_CALL":
+        attributes = {k: v for k, v in attributes.items() if k not in SERVED} | PINNED
     return {n: event.get(n) for n in _COMPARED} | {f"attribute {k}": v for k, v in attributes.items()}
 
 
