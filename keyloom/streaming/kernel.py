@@ -285,7 +285,7 @@ class Context:
         yield
         self.samples[name].append(int(1000 * (time.monotonic() - began)))  # calls that answered
 
-    def run_tool(self, name: str, **args):
+    def run_tool(self, name: str, /, **args):
         """A read-only tool: no step, its own trace index."""
         tool = self.config.tools[name]
         if getattr(tool, "side_effect", False):

@@ -197,7 +197,7 @@ def test_memory_limits_and_compaction():
     with pytest.raises(MemoryOverflow):
         m.set("e", b"6" * 90)  # protected keys stay, so it does not fit
     assert list(m.items) == ["keep/x", "d"]
-    r = Memory(cap=70)
+    r = Memory()
     for i in range(70):
         r.append("r", bytes([i]))
     assert len(r.ring("r")) == 64
