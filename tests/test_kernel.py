@@ -209,6 +209,7 @@ def test_memory_limits_and_compaction():
     with pytest.raises(TypeError):
         r.append("r", b"x")
     near = Memory(cap=10)
+    near.crossed_soft_cap = True
     near.append("r", b"12345", 2)
     near.append("r", b"123", 2)
     near.append("r", b"1234567", 2)  # trimmed before it is measured
