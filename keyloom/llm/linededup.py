@@ -265,12 +265,16 @@ def drop_frequent_lines(docs: DataFrame, *, text_col: str = "text", min_docs: in
     names = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
     asked = _asked(docs.select(text.alias("text"), *names), known, shards, min_chars)
     found = _answered(index, asked, min_docs).groupBy("t1", "t2").agg(F.collect_set("data").alias("found"))
-    found = stage.put("found", found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.array_join(F.transform("found", F.hex), "").alias("_found")))
+    own = "_"  # a prefix that no column of the documents has
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    keys = [f"{own}t1", f"{own}t2"]
+    found = stage.put("found", found.select(F.col("t1").alias(keys[0]), F.col("t2").alias(keys[1]), F.array_join(F.transform("found", F.hex), "").alias(f"{own}found")))
 
     kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     where = [f.name for f in kept].index(text_col)
-    whole = docs.select(*(F.col(f"`{f.name}`") for f in kept), names[0].alias("_t1"), names[1].alias("_t2"))
-    whole = whole.join(found, ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    whole = docs.select(*(F.col(f"`{f.name}`") for f in kept), names[0].alias(keys[0]), names[1].alias(keys[1]))
+    whole = whole.join(found, keys, "left").drop(*keys)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         always = known.value
