@@ -6,7 +6,7 @@
    one *pattern* with a count, so the work depends on ``capacity`` and not on the number of documents.
 3. Pieces of each length are ranked; the rank finds pattern, sequence and offset in tables whose size
    depends on ``capacity`` alone. Ranks are counted in salted buckets, so one very frequent length is
-   spread over many tasks.
+   spread over many tasks, and joined with the number of pieces in the buckets before.
 
 Defined results: a null text is empty and yields the end id alone; an empty table yields no rows; rows
 that repeat are packed once each; a null ``doc_id`` is kept as it is.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage
+from .common import Stage, shuffle_parts
 from .tokens import CACHE_PIECES, encoder
 
 BUCKETS = 256
@@ -136,35 +136,36 @@ def _slots(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
 def pack_pieces(pieces: DataFrame, *, capacity: int = 4096) -> DataFrame:
     """``pieces`` (already stored: it is read more than once) with ``sequence_id`` and ``offset``.
 
-    The driver holds the counts of ``capacity`` lengths in ``BUCKETS`` buckets, 8 MB at most for 4096.
+    The driver gets one number for each length, ``capacity`` at most. Ranks are counted within a length and a bucket; what
+    the buckets before it hold is joined to them.
     """
     spark: SparkSession = pieces.sparkSession
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = np.zeros((capacity + 1, BUCKETS), dtype=np.int64)
-    for r in salted.groupBy("length", "_bucket").count().toLocalIterator():
-        counts[r["length"], r["_bucket"]] = r["count"]
-    totals = counts.sum(axis=1)
-    patterns = shortest_pack_first({n: int(totals[n]) for n in np.flatnonzero(totals).tolist()}, capacity)
-    before = spark.sparkContext.broadcast((counts.cumsum(axis=1) - counts, _slots(patterns)))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")))
+    buckets = max(BUCKETS, shuffle_parts(spark))
+    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    counts = Stage(spark, "packing").put("counts", salted.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    slots = spark.sparkContext.broadcast(_slots(shortest_pack_first(totals, capacity)))
+    ahead = F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("length", "_bucket", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32"))
+    ranked = salted.withColumn("_rank", within).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, slots = before.value
+        found = slots.value
         for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = offsets[length, batch.column("_bucket").to_numpy()] + batch.column("_rank").to_numpy() - 1
+            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
             sequence, offset = np.empty_like(length), np.empty_like(length)
             for n in np.unique(length).tolist():
                 at = np.flatnonzero(length == n)
-                first, start, shift = slots[n]
+                first, start, shift = found[n]
                 k = np.searchsorted(first, rank[at], side="right") - 1
                 sequence[at] = start[k] + rank[at] - first[k]
                 offset[at] = shift[k]
-            keep = [i for i, name in enumerate(batch.schema.names) if name not in ("_bucket", "_rank")]
+            keep = [i for i, name in enumerate(batch.schema.names) if name != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)], [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, "_rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, **kw) -> DataFrame:
