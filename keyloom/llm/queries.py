@@ -116,20 +116,32 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
-def ship(spark: SparkSession) -> None:
+class ship:  # noqa: N801  it is used like a function
     """Python workers find this package where the driver has it, unless they are told another place.
 
-    Arrow batches are kept at 2,000 rows at most: a row is a whole text.
+    Arrow batches are kept at 2,000 rows at most, as a row is a whole text; in a ``with`` statement only while it lasts.
+    Beyond it Spark's own limit of bytes in a batch holds, and operators take batches in slices.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(rows, min(2000, int(spark.conf.get(rows))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before = spark, spark.conf.get(self.KEY)
+        rows = int(self.before)
+        spark.conf.set(self.KEY, str(min(2000, rows) if rows > 0 else 2000))
+        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+    def __enter__(self) -> None:
+        pass
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.KEY, self.before)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return query(spark, sf_dir)
+        with ship(spark):
+            return query(spark, sf_dir)
 
     run.__name__ = query.__name__
     run.__doc__ = query.__doc__

@@ -242,3 +242,74 @@ def test_whole_licences_with_changes():
                 continue
             assert found and max(found)[1] == name and max(found)[0] > 0.9, (name, share, found[:3])
     assert [x[1] for x in s.scan("Released under the MIT License. Some prose. " * 3000)] == ["MIT"] * 3000
+
+
+# The pipeline's stages on odd tables.
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark):
+    prose = {"en": "the quick brown fox jumps over the lazy dog and runs away from the old house near the river ", "de": "der schnelle braune Fuchs springt über den faulen Hund und läuft weg vom alten Haus am Fluss "}
+    rows = [(i, prose["en" if i % 2 else "de"] + f"number {i} of many texts with words w{i} x{i} y{i} z{i}", "en" if i % 2 else "de", "s", 1) for i in range(40)]
+    rows += [(50, None, None, None, None), (51, "", "en", "s", 0), (None, prose["en"] + "a text without an id", "en", None, 5), (None, prose["en"] + "a text without an id", "en", None, 5), (52, "?! 12", "de", "s", 3)]
+    rows += [(7, rows[7][1], "en", "s", 1), (60, (prose["en"] + "word ") * 8000, "en", "s", 9), (61, "\n".join(["one line"] * 3 + ["another line of it"]), "en", "s", 9)]
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def benchmark_dir(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("sf")
+    items = [("i1", "fuchs springt über den faulen hund und läuft weg vom alten haus"), (None, "x"), ("i2", None)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(d / "benchmark.parquet"))
+    return str(d)
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd_corpus, benchmark_dir):
+    import corpus_pipeline as p
+
+    language, lines, near, clean, pack = (f for _, f in p.STAGES)
+    kept = language(spark, odd_corpus, benchmark_dir)
+    assert kept.columns == p.COLUMNS
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert 50 not in ids and 51 not in ids and 52 not in ids and ids.count(None) == 2 and ids.count(7) == 2 and 60 in ids
+    left = lines(spark, odd_corpus, benchmark_dir)
+    assert left.columns == p.COLUMNS and left.count() == odd_corpus.count() and left.filter("text is null").isEmpty()
+    assert left.filter("doc_id = 61").first()["n_chars"] == len("one line\n" * 3 + "another line of it")
+    one = near(spark, odd_corpus, benchmark_dir)
+    got = [r["doc_id"] for r in one.select("doc_id").collect()]
+    assert one.columns == p.COLUMNS and got.count(None) == 2 and got.count(7) == 2 and {50, 51, 52, 60, 61} <= set(got)
+    free = clean(spark, odd_corpus, benchmark_dir)
+    gone = {r["doc_id"] for r in odd_corpus.collect()} - {r["doc_id"] for r in free.collect()}
+    assert free.columns == p.COLUMNS and gone == {i for i in range(40) if i % 2 == 0}
+    packed = pack(spark, odd_corpus, benchmark_dir)
+    assert packed.filter("start = 0").count() == odd_corpus.count() and packed.filter("doc_id = 60").count() > 20
+
+
+def test_pipeline_stages_on_empty_tables(spark, odd_corpus, benchmark_dir):
+    import corpus_pipeline as p
+
+    for _, stage in p.STAGES:
+        assert stage(spark, odd_corpus.limit(0), benchmark_dir).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Operators keep or ignore further columns whose names they use themselves."""
+    from keyloom.llm import decontam, licences, lshforest, packing, passages, tokenbin
+
+    rows = [(i, f"some words of text {i} here", "x", "y", i, "z") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, id string, chunk string, words bigint, n string")
+    df = df.withColumns({c: df["n"] for c in ("key", "sig", "held", "hash", "t1", "_t1", "found", "_found", "items", "_row", "start", "length", "other_id", "n_lines", "lang_pred", "shard")})
+    tok = queries.vocabulary("word_bpe_49k.json")
+    assert lshforest.near_duplicates(df).count() == 5 and passages.shared_passages(df).count() == 0 and licences.scan_licences(df).count() == 5
+    assert packing.pack_documents(df, tok).count() == 5 and tokenbin.tokens_round_trip(df, queries.vocabulary("byte_bpe_50k.json")).count() == 5
+    items = spark.createDataFrame([("a", "some words of text 1 here", 1)], "item_id string, text string, win bigint")
+    assert decontam.contamination(df, items, size=5).filter("n_hit > 0").count() == 1
+    from keyloom.llm import linededup
+
+    out = linededup.drop_frequent_lines(df)
+    assert out.count() == 5 and out.columns[-2:] == ["n_lines", "n_dropped"]
+    for f in (lshforest.near_duplicates, passages.shared_passages):
+        with pytest.raises(TypeError):
+            f(df.withColumn("doc_id", df["n"]))
