@@ -28,21 +28,21 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    queries.ship(spark)
-    model = langid.fit(docs)
-    kept = langid.identify(docs.select(*COLUMNS), model).filter(~F.col("lang_rejected"))
+    with queries.ship(spark):
+        model = langid.fit(docs)
+        kept = langid.identify(docs.select(*COLUMNS), model).filter(~F.col("lang_rejected"))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    queries.ship(spark)
-    kept = linededup.drop_frequent_lines(docs.select(*COLUMNS), min_docs=MIN_DOCS, min_chars=1)
+    with queries.ship(spark):
+        kept = linededup.drop_frequent_lines(docs.select(*COLUMNS), min_docs=MIN_DOCS, min_chars=1)
     return kept.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    queries.ship(spark)
-    found = lshforest.near_duplicates(docs, n=5, threshold=0.8)
+    with queries.ship(spark):
+        found = lshforest.near_duplicates(docs, n=5, threshold=0.8)
     later = found.filter(F.col("class_id") != F.col("doc_id")).select("doc_id")
     return docs.select(*COLUMNS).join(later, "doc_id", "left_anti")
 
@@ -54,8 +54,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    queries.ship(spark)
-    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"), cut="drop", end_id=2, capacity=4096)
+    with queries.ship(spark):
+        return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"), cut="drop", end_id=2, capacity=4096)
 
 
 STAGES = [
