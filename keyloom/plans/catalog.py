@@ -272,7 +272,7 @@ def a32_intents(spark, d):
     return console.intents(testbed.trace_events(spark, d))
 
 
-@query(of(BOTH, "SELECT entity_key, seq, reason, detail, event_time_ms, error_type, seq_key FROM ue WHERE reason = 'hitl_timeout' ORDER BY event_time_ms DESC, entity_key DESC, seq_key DESC, reason DESC LIMIT 25"))
+@query(of(BOTH, "SELECT entity_key, seq, reason, detail, event_time_ms, error_type, failure_step, failure_last_event, failure_staged_intents, failure_llm_calls, seq_key FROM ue WHERE reason = 'hitl_timeout' ORDER BY event_time_ms DESC, entity_key DESC, seq_key DESC, reason DESC LIMIT 25"))
 def a33_error_page(spark, d):
     return console.errors(testbed.store(spark, d), reason="hitl_timeout", limit=25)
 
