@@ -326,4 +326,4 @@ def test_forest_prefix_follows_the_text():
         least = lshforest.least_similarity(n, 0.8)
         assert (least is None) == (not reach) and (least is None or abs(least - min(reach)) < 1e-12)
     got = lshforest.matched_prefix(np.array([3, 4, 6, 7, 500, 5000]), 24, 8, 0.8, 0.999)
-    assert got.tolist() == [0, 6, 7, 7, 6, 6]
+    assert got.tolist() == [0, 6, 7, 8, 6, 6]
