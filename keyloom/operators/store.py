@@ -1,18 +1,21 @@
 """The record tables and their rollups, kept on storage and brought up to date batch by batch.
 
-Tables lie in buckets: events by trace, errors and all rollups by entity, snapshots by entity. A batch reads and writes
-only the buckets that its keys fall in, merges them with the rules of ``merge``, counts the rows that changed, and
-recomputes rollups of the activations, traces and entities that it touches. Every write goes to a new generation of the
-touched buckets; a version row, written last, names the generation of each bucket. So readers see a batch whole or
-not at all, and a job that fails or is retried leaves only folders that no version names.
+Tables are ``segments``: events by trace, errors, snapshots and rollups by entity. A batch is merged by the rules of ``merge``
+with the stored rows of its own keys; the rows that change are counted and appended, and so are the rollups of the activations,
+traces and entities that they touch. Readers see a batch whole or not at all, and a job that fails or is retried leaves only
+folders that no version names.
+
+``sink`` makes the store the target of a stream: the batch's token is committed in the version that holds its rows, so a batch
+that is replayed after a crash changes nothing, whatever the crash left behind. Several streams and other writers may
+share a store.
 
 The events of an activation are found by the trace that its key and sequence give (``ids.trace_id``).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,74 +24,36 @@ from pyspark.sql.types import StructType
 from ..functions import ids
 from ..schemas import ERROR_RECORD, SNAPSHOT, TRACE_EVENT
 from . import merge, rollups
+from .segments import Segments, State
 
-KEYS = {"events": "trace_id", "errors": "entity_key", "snapshots": "entity_key", "activations": "entity_key", "traces": "trace_id", "entities": "entity_key"}
 IDENTITY = {"events": list(merge.EVENT_KEY), "errors": ["error_id"], "snapshots": list(merge.SNAPSHOT_KEY)}
+#: The first column deals rows into buckets.
+KEYS = {"events": list(merge.EVENT_KEY), "errors": ["entity_key", "error_id"], "snapshots": list(merge.SNAPSHOT_KEY), "activations": ["entity_key", "seq"], "traces": ["trace_id"], "entities": ["entity_key"]}
 TIMES = {"events": "start_ms", "errors": "event_time_ms", "snapshots": "snapshot_at_ms"}
 _KEYED = "entity_key <> ''"  # a lossy copy whose other half has not come yet belongs to no activation
 DDL = {"events": TRACE_EVENT, "errors": ERROR_RECORD, "snapshots": SNAPSHOT}
+ATTEMPTS = 20
 
 
 class RecordStore:
-    """One writer at a time, any number of readers."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # versions: ``{table: {bucket: generation}}``, bounded by tables times buckets
-
-    def _versions(self) -> list[int]:
-        top = self._path(f"{self.path}/_versions")
-        if not self._fs.exists(top):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(top)]
-        whole = (n for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/_versions/{n}/_SUCCESS")))
-        return sorted(int(n[2:]) for n in whole)
-
-    def _current(self) -> tuple[int, dict]:
-        found = self._versions()
-        if not found:
-            return 0, {}
-        row = self.spark.read.schema("state string").json(f"{self.path}/_versions/v={found[-1]}").first()
-        return found[-1], json.loads(row["state"])
-
-    def _commit(self, version: int, state: dict) -> None:
-        one = self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1)
-        one.write.mode("overwrite").json(f"{self.path}/_versions/v={version}")
-
-    def _bucket(self, table: str):
-        return F.pmod(F.xxhash64(KEYS[table]), F.lit(self.buckets)).cast("int")
-
-    def _read(self, table: str, schema: StructType, state: dict, buckets: Iterable[int] | None = None) -> DataFrame:
-        held = state.get(table, {})
-        paths = [f"{self.path}/{table}/gen={g}/bucket={b}" for b, g in sorted(held.items(), key=lambda x: int(x[0])) if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _write(self, table: str, df: DataFrame, version: int, state: dict, touched: Iterable[int]) -> None:
-        """The touched buckets of a table as they are from now on; one that ends up empty is forgotten."""
-        path = f"{self.path}/{table}/gen={version}"
-        out = df.withColumn("bucket", self._bucket(table))
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        held = {b: g for b, g in state.get(table, {}).items() if int(b) not in touched}
-        top = self._path(path)
-        names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
-        state[table] = held | {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}
-
-    def _touched(self, table: str, df: DataFrame) -> set[int]:
-        return {r[0] for r in df.select(self._bucket(table).alias("b")).distinct().collect()}
+    """Any number of readers and writers; writers that meet start again from what the other has stored."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, fanout: int = 4):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.segments = Segments(spark, path, KEYS, TIMES, buckets, fanout)
+        self._schemas: dict[str, StructType] = {}
+
+    # reading
 
     def table(self, name: str) -> DataFrame:
         """A table as of the last version: events, errors, snapshots, or a rollup."""
-        return self._read(name, self._schema(name), self._current()[1])
+        return self.segments.read(name, self.schema(name), self.segments.current())
 
-    def _schema(self, name: str) -> StructType:
-        if name in DDL:
-            return StructType.fromDDL(DDL[name])
-        none = {t: self.spark.createDataFrame([], DDL[t]) for t in DDL}
-        return self._rollups(none["events"], none["errors"])[name].schema
+    def schema(self, name: str) -> StructType:
+        if not self._schemas:
+            none = {t: self.spark.createDataFrame([], d) for t, d in DDL.items()}
+            self._schemas = {t: df.schema for t, df in none.items()} | {t: df.schema for t, df in self._rollups(none["events"], none["errors"]).items()}
+        return self._schemas[name]
 
     @property
     def events(self) -> DataFrame:
@@ -102,136 +67,228 @@ class RecordStore:
     def snapshots(self) -> DataFrame:
         return self.table("snapshots")
 
+    def tokens(self) -> dict[str, int]:
+        """The last batch of each query that is in the store."""
+        return self.segments.current().tokens
+
     @staticmethod
     def _rollups(events: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:
         acts = rollups.activations(events, errors)
         return {"activations": acts, "traces": rollups.traces(events), "entities": rollups.entities(acts, errors)}
 
-    def _merged(self, table: str, stored: DataFrame, batch: DataFrame) -> DataFrame:
-        if table == "events":
-            return merge.merged(stored.unionByName(batch))
-        both = stored.unionByName(batch)
-        out = merge.merge_errors(both) if table == "errors" else merge.merge_snapshots(both)
-        return out.join(both.groupBy(*IDENTITY[table]).agg(F.max("arrival").alias("arrival")), IDENTITY[table])
+    # writing
 
-    def write(self, events: DataFrame | None = None, errors: DataFrame | None = None, snapshots: DataFrame | None = None) -> int:
+    def write(self, events: DataFrame | None = None, errors: DataFrame | None = None, snapshots: DataFrame | None = None, token: tuple[str, int] | None = None) -> int:
         """Merge a batch; returns how many records it added or changed: 0 for one that was there already.
 
-        ``arrival`` orders copies inside the batch; later batches come after all earlier ones.
+        ``arrival`` orders copies inside the batch; later batches come after all earlier ones. ``token``: the query and number
+        of a batch that may come again; numbers of a query grow.
         """
-        version, state = self._current()
-        version, state = version + 1, {t: dict(b) for t, b in state.items()}
+        given = {t: df for t, df in (("events", events), ("errors", errors), ("snapshots", snapshots)) if df is not None}
+        scratch = _Scratch(self, "write")
+        try:
+            batch = {t: scratch.put(t, self._shaped(t, df)) for t, df in given.items()}
+            for _ in range(ATTEMPTS):
+                state = self.segments.current().next()
+                if token is not None and state.tokens.get(token[0], -1) >= token[1]:
+                    return 0
+                changed = self._merge(batch, state, _Scratch(self, f"merge-{state.number}", scratch))
+                if token is not None:
+                    state.tokens[token[0]] = token[1]
+                elif not changed:
+                    return 0
+                if self.segments.commit(state):
+                    self.segments.compact({t: self.schema(t) for t in KEYS})
+                    return changed
+        finally:
+            scratch.drop()
+        raise RuntimeError(f"other writers came first in {ATTEMPTS} attempts")
+
+    def _shaped(self, table: str, df: DataFrame) -> DataFrame:
+        """The columns of a table, absent ones null; a null in the key counts as empty or zero."""
+        def column(f):
+            c = (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
+            none = F.lit("" if f.dataType.typeName() == "string" else 0).cast(f.dataType)
+            return (F.coalesce(c, none) if f.name in KEYS[table] else c).alias(f.name)
+
+        return df.select(*map(column, self.schema(table).fields))
+
+    def _merge(self, batch: dict[str, DataFrame], state: State, scratch: _Scratch) -> int:
         changed, hit = 0, {}
-        for table, batch in (("events", events), ("errors", errors), ("snapshots", snapshots)):
-            if batch is None:
-                continue
-            schema = StructType.fromDDL(DDL[table])
-            late = F.lit(version << 40) + F.coalesce("arrival", F.lit(0))
-            have = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-            batch = self._staged(version, table, batch.select(*have).withColumn("arrival", late))
-            touched = self._touched(table, batch)
-            if not touched:
-                continue
-            stored = self._read(table, schema, state, touched)
-            before, key = dict(state), IDENTITY[table]
-            self._write(table, self._merged(table, stored, batch).select(*(f.name for f in schema.fields)), version, state, touched)
-            values = [c for c in schema.names if c not in (*key, "arrival")]
-            row = lambda df: df.select(*key, F.xxhash64(*(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.map_entries(c))).alias(c) if schema[c].dataType.typeName() == "map" else F.col(c))) for c in values)).alias("_row"))  # noqa: E731, B023
-            fresh = row(self._read(table, schema, state, touched)).join(row(self._read(table, schema, before, touched)), [*key, "_row"], "left_anti")
-            changed += fresh.count()
-            hit[table] = batch
-        if changed:
-            self._recompute(version, state, hit)
-            self._commit(version, state)
-        self._fs.delete(self._path(f"{self.path}/_batch/v={version}"), True)
+        for table, rows in batch.items():
+            rows = rows.withColumn("arrival", F.lit(state.number << 40) + F.coalesce("arrival", F.lit(0)))
+            key, schema = KEYS[table], self.schema(table)
+            stored = scratch.put(f"stored-{table}", self.segments.read(table, schema, state, rows.select(*key).distinct()))
+            merged = scratch.put(f"merged-{table}", self._merged(table, stored, rows).select(*schema.names))
+            fresh = merged.join(_hashed(merged, key, schema).join(_hashed(stored, key, schema), [*key, "_row"], "left_anti").select(*key), key, "left_semi")
+            fresh = scratch.put(f"fresh-{table}", fresh)
+            n = fresh.count()
+            if n:
+                self.segments.append(table, fresh, state)
+                changed, hit[table] = changed + n, fresh
+        if hit:
+            self._recompute(state, hit, scratch)
         return changed
 
-    def _staged(self, version: int, name: str, df: DataFrame) -> DataFrame:
-        """Rows that a batch reads several times, computed once."""
-        path = f"{self.path}/_batch/v={version}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _recompute(self, version: int, state: dict, hit: dict[str, DataFrame]) -> None:
-        """Rollups of what a batch touched, from the buckets that hold it."""
-        ev, er = self._schema("events"), self._schema("errors")
-        entities, traces = None, None
-        if "events" in hit:
-            traces = hit["events"].select("trace_id").distinct()
-            own = self._read("events", ev, state, self._touched("events", hit["events"])).join(traces, "trace_id", "left_semi")
+    def _merged(self, table: str, stored: DataFrame, batch: DataFrame) -> DataFrame:
+        both = stored.unionByName(batch)
+        if table == "events":
+            return merge.merged(both)
+        out = merge.merge_errors(both) if table == "errors" else merge.merge_snapshots(both)
+        return out.join(both.groupBy(*IDENTITY[table]).agg(F.max("arrival").alias("arrival")), IDENTITY[table])
+
+    def _read(self, table: str, state: State, keys: DataFrame) -> DataFrame:
+        """Rows with the given keys (columns that the table's key begins with), from the buckets that may hold them."""
+        return self.segments.read(table, self.schema(table), state, keys)
+
+    def _recompute(self, state: State, hit: dict[str, DataFrame], scratch: _Scratch) -> None:
+        """Rollups of what a batch touched."""
+        traces = scratch.put("traces", hit["events"].select("trace_id").distinct()) if "events" in hit else None
+        entities = None
+        if traces is not None:
+            own = self._read("events", state, traces)
             entities = own.select("entity_key").distinct()
         if "errors" in hit:
             own = hit["errors"].select("entity_key").distinct()
             entities = own if entities is None else entities.union(own).distinct()
         if entities is None:
             return
-        entities = self._staged(version, "entities", entities)
+        self._roll(state, scratch.put("entities", entities), traces, scratch)
+
+    def _roll(self, state: State, entities: DataFrame, traces: DataFrame | None, scratch: _Scratch, gone: dict[str, DataFrame] | None = None) -> None:
+        """Rows of rollups for some entities and traces; ``gone``: keys of rollups that go unless they come again."""
+        gone = gone or {}
         # Events of an activation share the trace that its key and sequence give, so errors lead to buckets of events.
-        errors = self._read("errors", er, state, self._touched("errors", entities)).join(entities, "entity_key", "left_semi")
-        asked = errors.filter("seq is not null").select(ids.trace_id(F.col("entity_key"), F.col("seq")).alias("trace_id"))
-        traced = self._staged(version, "traced", (asked if traces is None else asked.union(traces)).distinct())
-        buckets = self._touched("events", traced)
-        events = self._read("events", ev, state, buckets)
-        acts = rollups.activations(events.join(traced, "trace_id", "left_semi").filter(_KEYED), errors.filter("seq is not null").join(traced, ids.trace_id(F.col("entity_key"), F.col("seq")) == F.col("trace_id"), "left_semi"))
-        self._replace("activations", acts, ["entity_key", "seq"], version, state)
+        errors = scratch.put("own-errors", self._read("errors", state, entities))
+        of_error = ids.trace_id(F.col("entity_key"), F.col("seq"))
+        asked = errors.filter("seq is not null").select(of_error.alias("trace_id"))
+        traced = scratch.put("traced", (asked if traces is None else asked.union(traces)).distinct())
+        events = scratch.put("own-events", self._read("events", state, traced))
+        acts = rollups.activations(events.filter(_KEYED), errors.filter("seq is not null").join(traced, of_error == F.col("trace_id"), "left_semi"))
+        self._replace("activations", acts, state, scratch, gone.get("activations"))
         if traces is not None:
-            self._replace("traces", rollups.traces(events.join(traces, "trace_id", "left_semi")), ["trace_id"], version, state)
-        kept = self._read("activations", self._schema("activations"), state, self._touched("activations", entities)).join(entities, "entity_key", "left_semi")
-        self._replace("entities", rollups.entities(kept, errors), ["entity_key"], version, state)
-
-    def _replace(self, table: str, rows: DataFrame, key: list[str], version: int, state: dict, gone: DataFrame | None = None) -> None:
-        """Rows in place of those with their keys; ``gone``: further keys to remove."""
-        rows = self._staged(version, f"new-{table}", rows)
-        keys = rows.select(*key) if gone is None else rows.select(*key).unionByName(gone.select(*key)).distinct()
-        touched = self._touched(table, keys)
-        if not touched:
-            return
-        stored = self._read(table, rows.schema, state, touched).join(keys, key, "left_anti")
-        self._write(table, stored.unionByName(rows), version, state, touched)
+            self._replace("traces", rollups.traces(events.join(traces, "trace_id", "left_semi")), state, scratch, gone.get("traces"))
+        kept = self._read("activations", state, entities)
+        self._replace("entities", rollups.entities(kept, errors), state, scratch, gone.get("entities"))
+
+    def _replace(self, table: str, rows: DataFrame, state: State, scratch: _Scratch, gone: DataFrame | None) -> None:
+        rows = scratch.put(f"new-{table}", rows)
+        if gone is not None:
+            gone = scratch.put(f"gone-{table}", gone.select(*KEYS[table]).distinct().join(rows.select(*KEYS[table]), KEYS[table], "left_anti"))
+        self.segments.append(table, rows, state, gone)
+
+    # retention and upkeep
 
     def prune(self, now_ms: int, retention_ms: int) -> int:
         """Remove records older than the retention and bring the rollups of what they belonged to up to date.
 
+        Segments that are old as a whole are forgotten without being rewritten; rows of others are marked as removed.
         Returns the number of records removed.
         """
-        version, state = self._current()
-        before, state = state, {t: dict(b) for t, b in state.items()}
-        version, removed, old = version + 1, 0, {}
-        for table in DDL:
-            schema = self._schema(table)
-            old[table] = self._staged(version, f"old-{table}", self._read(table, schema, before).filter(F.col(TIMES[table]) < now_ms - retention_ms))
-            n = old[table].count()
-            removed += n
-            if n:
-                touched = self._touched(table, old[table])
-                kept = merge.retained(self._read(table, schema, before, touched), TIMES[table], now_ms, retention_ms)
-                self._write(table, kept, version, state, touched)
-        if not removed:
-            return 0
-        traces = old["events"].select("trace_id").distinct()
-        events = self._read("events", self._schema("events"), state, self._touched("events", traces)).join(traces, "trace_id", "left_semi")
-        errors = self._read("errors", self._schema("errors"), state)
-        acts_gone = old["events"].select("entity_key", "seq").union(old["errors"].filter("seq is not null").select("entity_key", "seq")).distinct()
-        left = self._read("events", self._schema("events"), state).filter(_KEYED).join(acts_gone, ["entity_key", "seq"], "left_semi")
-        acts = rollups.activations(left, errors.filter("seq is not null").join(acts_gone, ["entity_key", "seq"], "left_semi"))
-        self._replace("activations", acts, ["entity_key", "seq"], version, state, acts_gone)
-        self._replace("traces", rollups.traces(events), ["trace_id"], version, state, traces)
-        entities = old["events"].select("entity_key").union(old["errors"].select("entity_key")).distinct()
-        kept = self._read("activations", self._schema("activations"), state).join(entities, "entity_key", "left_semi")
-        self._replace("entities", rollups.entities(kept, errors.join(entities, "entity_key", "left_semi")), ["entity_key"], version, state, entities)
-        self._commit(version, state)
-        self._fs.delete(self._path(f"{self.path}/_batch/v={version}"), True)
-        return removed
+        cut = now_ms - retention_ms
+        for _ in range(ATTEMPTS):
+            before = self.segments.current()
+            state, removed, old, scratch = before.next(), 0, {}, _Scratch(self, "prune")
+            try:
+                for table, time in TIMES.items():
+                    schema, key = self.schema(table), KEYS[table]
+                    held = scratch.put(f"held-{table}", self.segments.raw(table, schema, before).filter(F.col(time) < cut).select(*key).distinct())
+                    found = self._read(table, before, held.select(key[0]).distinct()).join(held, key, "left_semi").filter(F.col(time) < cut)
+                    old[table] = scratch.put(f"old-{table}", found)
+                    n = old[table].count()
+                    if not n:
+                        continue
+                    removed += n
+                    self.segments.drop_before(table, cut, state)
+                    self.segments.append(table, old[table].limit(0), state, self._raw_keys(table, state, old[table]))
+                if not removed:
+                    return 0
+                keyed = lambda t: old[t].filter("seq is not null").select("entity_key", "seq")  # noqa: E731, B023
+                traces = scratch.put("old-traces", old["events"].select("trace_id").distinct())
+                entities = scratch.put("old-entities", old["events"].select("entity_key").union(old["errors"].select("entity_key")).distinct())
+                acts = keyed("events").union(keyed("errors")).distinct()
+                of = acts.select(ids.trace_id(F.col("entity_key"), F.col("seq")).alias("trace_id")).union(traces).distinct()
+                self._roll(state, entities, scratch.put("rolled", of), scratch, {"activations": acts.filter(_KEYED), "traces": of, "entities": entities.filter(_KEYED)})
+                if self.segments.commit(state):
+                    return removed
+            finally:
+                scratch.drop()
+        raise RuntimeError(f"other writers came first in {ATTEMPTS} attempts")
+
+    def _raw_keys(self, table: str, state: State, rows: DataFrame) -> DataFrame:
+        """Those of the keys that segments of this version still hold."""
+        key = KEYS[table]
+        return self.segments.raw(table, self.schema(table), state, self.segments.places(table, rows.select(*key), state)[0]).select(*key).distinct().join(rows.select(*key), key, "left_semi")
+
+    def compact(self) -> int:
+        """Merge all segments of each bucket into one; the number of buckets merged."""
+        return self.segments.compact({t: self.schema(t) for t in KEYS}, whole=True)
 
     def vacuum(self) -> None:
-        """Remove folders that the last version does not name. No reader of an older version may be left."""
-        version, state = self._current()
-        for table in KEYS:
-            top = self._path(f"{self.path}/{table}")
-            used = {f"gen={g}" for g in state.get(table, {}).values()}
-            for f in self._fs.listStatus(top) if self._fs.exists(top) else []:
-                if f.getPath().getName() not in used:
-                    self._fs.delete(f.getPath(), True)
-        for v in self._versions():
-            if v != version:
-                self._fs.delete(self._path(f"{self.path}/_versions/v={v}"), True)
+        """Remove what the last version does not name. No reader of an older version may be left, and no writer at work."""
+        self.segments.vacuum()
+        self.segments.folder.delete("_scratch")
+
+    # streams
+
+    def sink(self, query: str | None = None, kind: str | None = None, done: Callable[[int, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+        """A ``foreachBatch`` function that stores each batch exactly once.
+
+        ``kind``: the batches are ``events``, ``errors`` or ``snapshots``; without it they are rows of ``processor.run_agent_stream``,
+        whose traces, errors and snapshots go into one version. ``query``: a name that stays the same when the query is started
+        again; the stream's own id, which its checkpoint keeps, if it is not given. ``done(batch, changed)`` is told the outcome.
+        """
+
+        def store(batch: DataFrame, number: int) -> None:
+            own = query or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            if not own:
+                raise ValueError("the stream has no id here: name the query")
+            if self.tokens().get(own, -1) >= number:
+                changed = 0
+            else:
+                tables = {kind: batch} if kind else from_output(batch)
+                changed = self.write(**tables, token=(own, number))
+            if done is not None:
+                done(number, changed)
+
+        return store
+
+
+def _hashed(df: DataFrame, key: list[str], schema: StructType) -> DataFrame:
+    """The key and a hash of all else but the arrival."""
+    value = lambda f: F.map_from_entries(F.array_sort(F.map_entries(f.name))).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
+    return df.select(*key, F.xxhash64(*(F.to_json(F.struct(value(f))) for f in schema.fields if f.name not in (*key, "arrival"))).alias("_row"))
+
+
+def from_output(rows: DataFrame) -> dict[str, DataFrame]:
+    """Records of the kernel's one output table as batches of the store."""
+    arrival = F.coalesce("ordinal", F.lit(0)).cast("long")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    of = lambda name: rows.filter(F.col("stream") == name)
+    time = F.coalesce("event_time_ms", F.lit(0))
+    events = of("traces").select(
+        "trace_id", "span_id", text("parent_span_id"), text("entity_key"), F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("step_index", F.lit(0)).alias("step_index"),
+        "event_type", time.alias("start_ms"), time.alias("end_ms"), "attributes", F.lit("native").alias("provenance"), arrival.alias("arrival"),
+    )
+    errors = of("errors").select(text("entity_key"), "seq", "reason", text("detail"), time.alias("event_time_ms"), F.lit("native").alias("provenance"), arrival.alias("arrival"))
+    errors = merge.normalise_error_seq(errors).withColumn("error_id", ids.error_id(F.col("entity_key"), F.col("seq"), F.col("reason"), F.col("event_time_ms"), F.col("detail")))
+    snapshots = of("snapshots").select(F.from_json("body", SNAPSHOT).alias("s"), "entity_key", arrival.alias("_at")).select(
+        F.col("entity_key"), *(F.col(f"s.{f.name}") for f in StructType.fromDDL(SNAPSHOT).fields if f.name not in ("entity_key", "provenance", "arrival")), F.lit("native").alias("provenance"), F.col("_at").alias("arrival")
+    )
+    return {"events": events, "errors": errors, "snapshots": snapshots}
+
+
+class _Scratch:
+    """Tables that one write reads several times, in a folder of its own."""
+
+    def __init__(self, store: RecordStore, what: str, within: _Scratch | None = None):
+        self.store = store
+        self.name = f"{within.name if within else '_scratch'}/{what}-{uuid.uuid4().hex[:8]}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.store.path}/{self.name}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        self.store.segments.folder.delete(self.name)

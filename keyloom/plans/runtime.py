@@ -58,6 +58,53 @@ def a36_store_activations(spark, d):
     return store.table("activations").select("entity_key", "seq", "trace_id", "status", "kind", "attempts", "errors", "llm_calls", "total_tokens", "wall_ms")
 
 
+def _streamed(spark: SparkSession, store: RecordStore, kind: str, table: DataFrame, folder: str, checkpoint: str, parts: int, told: list) -> None:
+    """A table as a stream into the store: each part is what has come when the query is started again."""
+    name = checkpoint.rsplit("/", 1)[-1].split("-")[0]
+    for part in range(parts):
+        table.filter(F.pmod("arrival", F.lit(parts)) == part).write.mode("overwrite").parquet(f"{folder}/part={part}")
+        stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").parquet(folder)
+        sink = store.sink(query=f"{name}/{kind}", kind=kind, done=lambda batch, changed: told.append((batch, changed)))
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+@query(of(ACTS, "SELECT entity_key, seq, trace_id, status, kind, attempts, errors, llm_calls, total_tokens, wall_ms FROM acts"))
+def a42_streamed_activations(spark, d):
+    """Activation rollups of a store that three streams fill, in two batches each."""
+    store = fresh_store(spark)
+    for kind, table in (("events", testbed.raw_events(spark, d)), ("errors", testbed.error_records(spark, d)), ("snapshots", testbed.snapshots(spark, d))):
+        _streamed(spark, store, kind, table, f"{store.path}/_in/{kind}", f"{store.path}/_in/console-{kind}", 2, [])
+    return store.table("activations").select("entity_key", "seq", "trace_id", "status", "kind", "attempts", "errors", "llm_calls", "total_tokens", "wall_ms")
+
+
+@query(of(EVENTS, """SELECT 'first' AS run, CAST(0 AS BIGINT) AS batch, count(*) AS changed FROM te WHERE arrival % 2 = 0 UNION ALL SELECT 'first', 1, count(*) FROM te WHERE arrival % 2 = 1
+  UNION ALL SELECT 'again', 0, 0 UNION ALL SELECT 'stored', 1, count(*) FROM te"""))
+def a43_replayed_batches(spark, d):
+    """A stream into the store, and the same query again after its checkpoint was lost: what each batch changed."""
+    store, told, again = fresh_store(spark), [], []
+    table, folder = testbed.trace_events(spark, d), f"{store.path}/_in/events"
+    _streamed(spark, store, "events", table, folder, f"{store.path}/_in/console-1", 2, told)
+    stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").parquet(folder)
+    sink = store.sink(query="console/events", kind="events", done=lambda batch, changed: again.append((batch, changed)))
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{store.path}/_in/console-2").trigger(availableNow=True).start().awaitTermination()
+    rows = [("first", *x) for x in told] + [("again", *x) for x in again] + [("stored", store.tokens()["console/events"], store.events.count())]
+    return spark.createDataFrame(rows, "run string, batch bigint, changed bigint")
+
+
+@query(of(EVENTS, "SELECT count(*) AS changed, count(*) AS written, true AS kept FROM te WHERE arrival % 1000 = 7"))
+def a44_small_batch(spark, d):
+    """A small batch after a large one: the rows that its segments hold, and whether those of the large one still stand."""
+    store, e = fresh_store(spark), testbed.trace_events(spark, d)
+    store.write(events=e)
+    before = store.segments.current().of("events")
+    changed = store.write(events=e.filter("arrival % 1000 = 7").withColumn("attributes", F.create_map(F.lit("late"), F.lit("yes"))))
+    after = store.segments.current().of("events")
+    kept = all(after[b][: len(held)] == held for b, held in before.items())
+    new = {s[0] for held in after.values() for s in held} - {s[0] for held in before.values() for s in held}
+    written = spark.read.parquet(*(f"{store.path}/events/{n}" for n in new)).count() if new else 0
+    return spark.createDataFrame([(changed, written, kept)], "changed bigint, written bigint, kept boolean")
+
+
 @query(of(STEPPED, """, sn AS (SELECT entity_key, seq, t AS snapshot_at_ms, 'r-' || event_id AS request_id, CAST(k AS BIGINT) AS memory_entries, event_id FROM st WHERE step = 4 AND seq % 10 = 0)
   SELECT entity_key, seq, snapshot_at_ms, request_id, CASE WHEN event_id % 2 = 0 THEN memory_entries + 1 ELSE memory_entries END AS memory_entries, 'raw' AS raw FROM sn"""))
 def a37_snapshot_merge(spark, d):

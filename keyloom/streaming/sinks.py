@@ -1,6 +1,7 @@
 """Sinks by URI, checked when a pipeline is built.
 
-``parquet:///path``, ``memory://name``, ``console://``, ``kafka://servers/topic``, ``otlp://host:port`` (traces only),
+``parquet:///path``, ``memory://name``, ``console:///path`` (the record store there: traces, errors and snapshots, each batch
+once), ``kafka://servers/topic``, ``otlp://host:port`` (traces only),
 ``pubsub://project/topic`` and ``bigquery://project.dataset.table`` (not for snapshots). The last two need a client that
 Spark does not have: ``register`` names a function that writes a batch, and without one the URI is refused at once.
 
@@ -44,7 +45,10 @@ def resolve(uri: str, stream: str) -> Sink:
         options = dict(parse_qsl(u.query))
         return lambda df, batch: keyed(df).write.format("kafka").option("kafka.bootstrap.servers", u.netloc).option("topic", topic).options(**options).save()
     if u.scheme == "console":
-        return lambda df, batch: _show(df, stream, batch)
+        if stream not in ("traces", "errors", "snapshots") or not u.path.strip("/"):
+            raise ValueError(f"{uri!r}: console:///path takes traces, errors and snapshots")
+        options = dict(parse_qsl(u.query))
+        return _console(u.path if not u.netloc else f"{u.netloc}{u.path}", stream, int(options.get("buckets", 64)), options.get("query", "console"))
     if u.scheme == "otlp":
         if stream != "traces" or not u.hostname:
             raise ValueError(f"{uri!r}: otlp://host[:port] takes traces only")
@@ -68,10 +72,20 @@ def register(scheme: str, factory: Callable[[str, str], Sink]) -> None:
     WRITERS[scheme] = factory
 
 
-def _show(df: DataFrame, stream: str, batch: int) -> None:
-    """Every record of a batch as one line of JSON."""
-    for r in df.select(F.to_json(F.struct("*"))).toLocalIterator():
-        print(f"{stream} {batch} {r[0]}")
+def _console(path: str, stream: str, buckets: int, query: str) -> Sink:
+    """Batches of one stream into the record store, under the token of query, stream and batch."""
+    from ..operators.store import RecordStore, from_output
+
+    kind = {"traces": "events"}.get(stream, stream)
+
+    def write(df: DataFrame, batch: int) -> None:
+        rows = df.withColumn("stream", F.lit(stream))
+        absent = {c: F.lit(None).cast("string") for c in ("reason", "detail", "body", "event_type", "trace_id", "span_id", "parent_span_id") if c not in df.columns}
+        absent |= {c: F.lit(None).cast("bigint") for c in ("seq", "step_index", "ordinal", "event_time_ms") if c not in df.columns}
+        absent |= {} if "attributes" in df.columns else {"attributes": F.lit(None).cast("map<string, string>")}
+        RecordStore(df.sparkSession, path, buckets).write(**{kind: from_output(rows.withColumns(absent))[kind]}, token=(f"{query}/{stream}", batch))
+
+    return write
 
 
 def post_spans(traces: DataFrame, url: str, rows: int = 500, timeout: float = 10.0) -> None:
