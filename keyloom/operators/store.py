@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -118,10 +118,10 @@ class RecordStore:
         for table, rows in batch.items():
             rows = rows.withColumn("arrival", F.lit(state.number << 40) + F.coalesce("arrival", F.lit(0)))
             key, schema = KEYS[table], self.schema(table)
-            stored = scratch.put(f"stored-{table}", self.segments.read(table, schema, state, rows.select(*key).distinct()))
-            merged = scratch.put(f"merged-{table}", self._merged(table, stored, rows).select(*schema.names))
-            fresh = merged.join(_hashed(merged, key, schema).join(_hashed(stored, key, schema), [*key, "_row"], "left_anti").select(*key), key, "left_semi")
-            fresh = scratch.put(f"fresh-{table}", fresh)
+            stored = self.segments.read(table, schema, state, rows.select(*key).distinct())
+            merged = self._merged(table, stored, rows).select(*schema.names).withColumn("_row", _hash(key, schema))
+            before = stored.select(*key, _hash(key, schema).alias("_row"))
+            fresh = scratch.put(f"fresh-{table}", merged.join(before, [*key, "_row"], "left_anti").select(*schema.names))
             n = fresh.count()
             if n:
                 self.segments.append(table, fresh, state)
@@ -172,8 +172,8 @@ class RecordStore:
         self._replace("entities", rollups.entities(kept, errors), state, scratch, gone.get("entities"))
 
     def _replace(self, table: str, rows: DataFrame, state: State, scratch: _Scratch, gone: DataFrame | None) -> None:
-        rows = scratch.put(f"new-{table}", rows)
         if gone is not None:
+            rows = scratch.put(f"new-{table}", rows)
             gone = scratch.put(f"gone-{table}", gone.select(*KEYS[table]).distinct().join(rows.select(*KEYS[table]), KEYS[table], "left_anti"))
         self.segments.append(table, rows, state, gone)
 
@@ -254,10 +254,10 @@ class RecordStore:
         return store
 
 
-def _hashed(df: DataFrame, key: list[str], schema: StructType) -> DataFrame:
-    """The key and a hash of all else but the arrival."""
+def _hash(key: list[str], schema: StructType) -> Column:
+    """A hash of all but the key and the arrival."""
     value = lambda f: F.map_from_entries(F.array_sort(F.map_entries(f.name))).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
-    return df.select(*key, F.xxhash64(*(F.to_json(F.struct(value(f))) for f in schema.fields if f.name not in (*key, "arrival"))).alias("_row"))
+    return F.xxhash64(*(F.to_json(F.struct(value(f))) for f in schema.fields if f.name not in (*key, "arrival")))
 
 
 def from_output(rows: DataFrame) -> dict[str, DataFrame]:
