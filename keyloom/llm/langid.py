@@ -39,7 +39,7 @@ FOLDS = 5
 QUANTILE = 0.999
 ENOUGH = 10
 LENGTHS = 40
-MAX_LANGS = 400
+MODEL_BYTES = 512 << 20
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -148,22 +148,27 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_sample: int = 8000, max_langs: int = MAX_LANGS, clusters: int = 4, features: int = 4096) -> Model | None:
-    """Learn from the rows of ``docs`` with a label. At most ``max_sample`` vectors reach the driver.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_sample: int = 8000, clusters: int = 4, features: int = 4096) -> Model | None:
+    """Learn from the rows of ``docs`` with a label. About ``max_sample`` texts reach the driver, or 21 of each label, if that is more.
 
-    Of more than ``max_langs`` labels the most frequent are learned, so their list and the sample stay bounded.
+    All labels are learned, whatever their number: the more there are, the fewer texts of each are drawn, one at least. A model
+    whose centroids would take more than ``MODEL_BYTES`` is refused.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
-    counts = {r["lang"]: r["n"] for r in often.collect()}
+    tally = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    most = MODEL_BYTES // (4 * features)
+    counts = {r["lang"]: r["n"] for r in tally.limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} labels: their centroids would not fit")
     if not counts:
         return None
     each = max(1, min(per_lang, max_sample // len(counts)))
     span = 1 << 31
-    limit = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(span * min(1.0, 1.3 * each / n)) + 1)))
+    drawn = 1.3 * max(each, 16)  # so that no label is left without a text by chance
+    limit = docs.sparkSession.createDataFrame([(lang, int(span * min(1.0, drawn / n)) + 1) for lang, n in sorted(counts.items())], "lang string, limit long")
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(span))
-    sample = rows.withColumn("draw", draw).filter(F.col("draw") < limit[F.col("lang")])
+    sample = rows.withColumn("draw", draw).join(F.broadcast(limit), "lang").filter(F.col("draw") < F.col("limit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -17,12 +17,16 @@
    about g rows and not g * g. A very large run is salted in step 3 and met whole here.
 6. Connected classes come from alternating large-star and small-star steps.
 
+Inside, a set is named by a number of its own, not by a document's id: the texts of an id that repeats are different
+members, each verified on its own text.
+
 Result: one row for each document: ``class_id`` (smallest id among the documents linked to it, directly or
 through others), ``rep_id`` (smallest id with the same set) and ``n_links``: the number of verified links of
 its representative to other texts, in runs of any size.
 
-Defined results: null texts and texts without words are linked to nothing; a null id is dropped; of rows
-that repeat an id all texts are joined under it; an empty table gives no rows; ids that are no integers raise.
+Defined results: null texts and texts without words are linked to nothing; a null id is dropped; rows that repeat an
+id with different texts give one row: the classes of these texts are one, ``rep_id`` is the smallest of theirs and
+``n_links`` the sum over its different sets; an empty table gives no rows; ids that are no integers raise.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ HOT_RUN = 20_000
 SIG = 64
 BLOCK = 4096
 BLOCK_SHINGLES = 2_000_000
-BROADCAST_IDS = 2_000_000  # 16 MB of ids
+BROADCAST_IDS = 700_000  # 16 MB of numbers, ids and hashes
 ROUNDS = 200  # the steps needed grow with the logarithm of a class's diameter
 
 
@@ -132,9 +136,9 @@ def _signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sizes.append(len(s))
                     sigs.append(mh.of(s).astype("<u2").tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["id", "key", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["id", "copy", "key", "n", "sig"])
 
-    return docs.mapInArrow(sign, "id long, key binary, n long, sig binary")
+    return docs.mapInArrow(sign, "id long, copy long, key binary, n long, sig binary")
 
 
 def _keys(sig: np.ndarray, prefix: int) -> np.ndarray:
@@ -308,16 +312,18 @@ def _settled(texts: DataFrame, n: int, threshold: float, trees: int, depth: int,
     return texts.groupBy("group", "i", "j").applyInArrow(settle, "a long, b long, n_links long")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents; their ids are broadcast only if they are few enough."""
-    ids = ids.distinct()
-    own = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def _texts_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts ``(id, text)`` of some members by number; what finds them is broadcast only if they are few enough."""
+    nodes = nodes.distinct()
+    few = nodes.count() <= BROADCAST_IDS
+    found = reps.select(F.col("node").alias("id"), F.col("rep").alias("doc"), "copy").join(F.broadcast(nodes) if few else nodes, "id", "left_semi")
+    own = docs.withColumnRenamed("id", "doc").join(F.broadcast(found) if few else found, ["doc", "copy"])
     return own.groupBy("id").agg(F.max("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage, n: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, stage: Stage, n: int, threshold: float) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold, with it."""
-    texts = stage.put("texts", _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    texts = stage.put("texts", _texts_of(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -366,10 +372,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     integral(docs, id_col)
     prefix = shortest_prefix(trees, depth, threshold, recall)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
+    slim = slim.withColumn("copy", F.xxhash64("text"))  # which of an id's texts it is
     signed = stage.put("signed", _signed(slim, n, trees, depth))
-    reps = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = stage.put("reps", reps)
-    alone = reps.select(F.col("rep").alias("id"), "n", "sig")
+    reps = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("id", "copy")).alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = stage.put("reps", reps.select("key", F.col("own.id").alias("rep"), F.col("own.copy").alias("copy"), "n", "sig", F.monotonically_increasing_id().alias("node")))
+    alone = reps.select(F.col("node").alias("id"), "n", "sig")
 
     # Runs that hold far more than their share are salted: few, since each holds over HOT_RUN rows.
     hot = None
@@ -378,7 +385,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
         hot = None if often.isEmpty() else often
     pairs = stage.put("pairs", _candidates(_runs(alone, trees, depth, prefix, threshold, recall, hot, 64), prefix, threshold))
     with arrow_rows(spark, 64):  # rows of two whole texts
-        links = stage.put("links", _verified(pairs.filter("kind = 0"), slim, stage, n, threshold))
+        links = stage.put("links", _verified(pairs.filter("kind = 0"), slim, reps, stage, n, threshold))
     edges, counted = links.select("a", "b"), links.select("a", "b")
 
     # Step 5: texts of large runs, each once, with all texts that they share such runs with.
@@ -390,7 +397,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
         held = groups.join(alone, "id")
         counts = held.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
         held = stage.put("held", held.join(counts, "group").drop("n"))
-        own = _texts_of(slim, held.select("id"))
+        own = _texts_of(slim, reps, held.select("id"))
         blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
         each = held.join(own, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -401,12 +408,19 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
         counted = counted.join(groups.select(F.col("id").alias("a"), F.col("group").alias("ga")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("group").alias("gb")), "b", "left")
         counted = counted.filter("ga is null or gb is null or ga <> gb").select("a", "b")
         inside = more.filter("a = b").select(F.col("a").alias("id"), "n_links")
+    # the different sets of one id belong together
+    twice = signed.filter(F.col("key").isNotNull()).groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("id")
+    twice = stage.put("twice", signed.join(twice, "id", "left_semi").select("id", "key").distinct().join(reps.select("key", "node"), "key").select("id", "node"))
+    if not twice.isEmpty():
+        edges = edges.unionByName(twice.join(twice.groupBy("id").agg(F.min("node").alias("a")), "id").filter("node <> a").select("a", F.col("node").alias("b")))
     labels = stage.put("labels", components(edges, stage, "cc"))
 
     degree = counted.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     if inside is not None:
         degree = degree.unionByName(inside).groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    found = reps.select("key", F.col("rep").alias("rep_id")).join(labels.select(F.col("id").alias("rep_id"), "cls"), "rep_id", "left").join(degree.withColumnRenamed("id", "rep_id"), "rep_id", "left")
-    out = signed.select("id", "key").join(found, "key", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("cls", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.min("rep_id").alias("rep_id"), F.max("n_links").alias("n_links"))
+    classed = labels.select(F.col("id").alias("node"), "cls").join(reps.select("node", "rep"), "node")
+    named = classed.join(classed.groupBy("cls").agg(F.min("rep").alias("class")), "cls").select("node", "class")
+    found = reps.select("key", "node", F.col("rep").alias("rep_id")).join(named, "node", "left").join(degree.withColumnRenamed("id", "node"), "node", "left").drop("node")
+    out = signed.select("id", "key").distinct().join(found, "key", "left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("class", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.min("rep_id").alias("rep_id"), F.sum("n_links").alias("n_links"))

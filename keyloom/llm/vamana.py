@@ -185,16 +185,20 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy().reshape(-1, dim) for c in column.chunks])
 
 
-def classes(vectors: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Distinct usable vectors ``(cls, vec, ids)``: ``ids`` are the smallest ``k + 1``; ``cls`` the smallest."""
+def usable(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(id, vec)`` of the rows that take part, in double precision; of several rows with one id the smallest usable vector."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
     huge = 1.7976931348623157e308
     rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) <= huge)) & F.exists("vec", lambda x: x != 0))
     rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # one zero only
+    return rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # one zero only
+
+
+def classes(vectors: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Distinct usable vectors ``(cls, vec, ids)``: ``ids`` are the smallest ``k + 1``; ``cls`` the smallest."""
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    few = rows.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+    few = usable(vectors, id_col=id_col, vec_col=vec_col).withColumn("rank", rank).filter(F.col("rank") <= k + 1)
     return few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("cls"), "vec", "ids")
 
 
@@ -219,8 +223,8 @@ def search(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: s
     graphs = stage.put("graphs", dealt.groupBy("dim", "shard").applyInArrow(build, "dim long, shard long, entry long, cls binary, x binary, edges binary"))
 
     # Queries: every id that divides by query_every, by class. Copies of a query share one search.
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0)).alias("vec")).filter(F.col("id") % query_every == 0)
-    own = own.groupBy("id").agg(F.min("vec").alias("vec")).join(known.select("cls", "vec"), "vec").select("id", "cls", "vec")
+    own = usable(vectors.filter(F.col(id_col).cast("long") % query_every == 0), id_col=id_col, vec_col=vec_col)
+    own = own.join(known.select("cls", "vec"), "vec").select("id", "cls", "vec")
     own = stage.put("queries", own)
     q = own.select("cls", "vec").distinct().withColumn("dim", F.size("vec").cast("long"))
     q = q.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(max(1, -(-q.count() // BLOCK)))))

@@ -43,10 +43,12 @@ def test_letters_only_make_a_language(spark):
     assert all(r["score"] == 0 and r["lang_rejected"] for r in got[:7])
 
 
-def test_rare_labels_beyond_the_bound_are_not_learned(spark):
-    rows = [(i, f"some words of text {i}", "en" if i % 2 else f"x{i}") for i in range(60)]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_langs=3)
-    assert len(model.langs) == 3 and "en" in model.langs
+def test_all_labels_are_learned(spark):
+    rows = [(i, f"some words of text {i}", "en" if i % 2 else f"x{i}") for i in range(1200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_sample=300, features=256)
+    assert len(model.langs) == 601
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), features=langid.MODEL_BYTES // 400)
 
 
 def test_language_vectors_recomputed_plainly(spark, sf_dir):

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import chat, lexical, queries, variants
+from keyloom.llm import chat, lexical, lshforest, queries, vamana, variants
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -245,3 +245,28 @@ def test_light_edges_bound_the_entries(spark):
     words = sorted("".join(p) for p in itertools.product("abcd", repeat=6))
     n = sum(1 for _ in variants.Trie(words).entries({d: "a" for d in variants._digests(words[0]) + variants._digests(words[-1])}))
     assert n <= 3 * len(words) * math.log2(len(words))
+
+
+# -- repeated ids -----------------------------------------------------------------------------------------------------
+
+
+def test_queries_of_repeated_ids_with_unusable_rows(spark):
+    rows = [(0, [5.0, 5.0]), (0, [0.0, 0.0]), (200, [6.0, 6.0]), (200, [6.0, None]), (300, [6.5, 6.5]), (300, [9.0, 1.0]), (400, None), (7, [1.0, 2.0])] + [(100 * k, [4.0, 4.0]) for k in range(5, 20)]
+    got = vamana.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    known = {i: v for i, v in {0: (5, 5), 200: (6, 6), 300: (6.5, 6.5), 7: (1, 2)}.items()} | {100 * k: (4, 4) for k in range(5, 20)}
+    for q in known:
+        if q % 100 == 0:
+            want = sorted((math.dist(known[q], v), i) for i, v in known.items() if i != q)[:3]
+            assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_links_of_repeated_ids(spark, monkeypatch, broadcast):
+    """Each text of a repeated id keeps its links; the id's texts are one class."""
+    monkeypatch.setattr(lshforest, "BROADCAST_IDS", broadcast)
+    words = lambda k: [f"w{k}x{i}" for i in range(60)]
+    text = lambda k, last: " ".join([*words(k), last])
+    docs = [(1, text("a", "one")), (1, text("b", "one")), (2, text("a", "two")), (3, text("b", "three")), (9, text("c", "x")), (8, text("c", "x")), (8, text("d", "x")), (7, text("d", "y")), (6, text("e", "z")), (6, ""), (5, None)]
+    with queries.ship(spark):
+        got = {r.doc_id: (r.class_id, r.rep_id, r.n_links) for r in lshforest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").withColumn("copy", F.lit(1))).collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 2, 1), 3: (1, 3, 1), 9: (7, 8, 0), 8: (7, 8, 1), 7: (7, 7, 1), 6: (6, 6, 0), 5: (5, 5, 0)}
