@@ -242,10 +242,23 @@ def b14_intent_diff(spark, d):
     CASE WHEN now < expires_at_ms AND tool_name = 'tool-1' THEN '"done"' END AS payload FROM i, n WHERE kind <> 'APPROVAL'"""))
 def b15_effect_results(spark, d):
     """Tool intents executed: one tool works, one fails, one gives what cannot be encoded, the rest are unknown."""
+    intents, now = _intents(spark, d)
+    executor = effects.Executor(scripted_tools(), _leases(spark), clock=lambda: now)
+    return effects.execute(intents.unionByName(intents.filter("tool_name = 'tool-1'")), executor).select("intent_id", "status", "payload")
+
+
+def _leases(spark: SparkSession) -> str:
+    return f"{staging.shared_dir(spark)}/keyloom/leases-{uuid.uuid4().hex}"
+
+
+def _intents(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Intents of the traces, and a time a day before the last event."""
     e = testbed.trace_events(spark, d)
     now = (e.agg(F.max("start_ms")).first()[0] or 0) - DAY
-    i = console.intents(e).select("intent_id", "entity_key", "seq", "step_index", "tool_name", F.col("intent_kind").alias("kind"), F.lit("{}").alias("args_json"), "expires_at_ms")
+    return console.intents(e).select("intent_id", "entity_key", "seq", "step_index", "tool_name", F.col("intent_kind").alias("kind"), F.lit("{}").alias("args_json"), "expires_at_ms"), now
+
 
+def scripted_tools() -> dict:
     def fails():
         raise ValueError("no")
 
@@ -253,7 +266,43 @@ def b15_effect_results(spark, d):
     registry.tool(lambda: "done", name="tool-1", side_effect=True)
     registry.tool(fails, name="tool-2", side_effect=True)
     registry.tool(lambda: float("nan"), name="tool-3", side_effect=True)
-    return effects.execute(i.unionByName(i.filter("tool_name = 'tool-1'")), dict(registry), now).select("intent_id", "status", "payload")
+    return dict(registry)
+
+
+@query(of(EVENTS, """, i AS (SELECT a_intent AS intent_id, a_expires AS expires_at_ms FROM te WHERE event_type = 'INTENT_EMITTED' AND a_intent_kind <> 'APPROVAL'), n AS (SELECT max(start_ms) - 86400000 AS now FROM te)
+  SELECT intent_id, CAST(CASE WHEN now >= expires_at_ms THEN 0 ELSE 1 END AS BIGINT) AS grants, CAST(2 AS BIGINT) AS results, true AS alike FROM i, n"""))
+def b16_effects_run_once(spark, d):
+    """Executed twice, each result read twice: how often each intent's lease was granted, and whether the results are alike. An
+    expired intent asks for no lease."""
+    intents, now = _intents(spark, d)
+    leases = _leases(spark)
+    runs = [effects.execute(intents, effects.Executor(scripted_tools(), leases, clock=lambda: now)) for _ in range(2)]
+    for r in runs:
+        r.count()
+    both = runs[0].unionByName(runs[1]).groupBy("intent_id").agg(F.count("*").alias("results"), (F.countDistinct("status", F.coalesce("payload", F.lit("")), F.coalesce("error_message", F.lit(""))) == 1).alias("alike"))
+    return both.join(effects.grants(intents, leases), "intent_id").select("intent_id", "grants", "results", "alike")
+
+
+@query(of(EVENTS, """, i AS (SELECT a_intent AS intent_id, a_intent_kind AS kind, a_tool AS tool_name, a_expires AS expires_at_ms FROM te WHERE event_type = 'INTENT_EMITTED'), n AS (SELECT max(start_ms) - 86400000 AS now FROM te)
+  SELECT intent_id, CASE WHEN now >= expires_at_ms THEN 'result' WHEN kind = 'APPROVAL' THEN 'approval' ELSE 'result' END AS kind,
+    CASE WHEN now >= expires_at_ms THEN 'EXPIRED' WHEN kind = 'APPROVAL' THEN NULL WHEN tool_name = 'tool-1' THEN 'OK' WHEN tool_name IN ('tool-2', 'tool-3') THEN 'ERROR' ELSE 'REJECTED' END AS status FROM i, n"""))
+def b17_streamed_effects(spark, d):
+    """The intents as a stream through the stateful worker: tools and approvals in the order of each key."""
+    from ..streaming import effector
+
+    intents, now = _intents(spark, d)
+    top = f"{staging.shared_dir(spark)}/keyloom/effects-{uuid.uuid4().hex}"
+    intents.write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(intents.schema).parquet(f"{top}/in")
+    executor = effects.Executor(scripted_tools(), f"{top}/leases", clock=lambda: now)
+    out = effector.run_effects_stream(stream, executor)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(once=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(out.schema).parquet(f"{top}/out").select("intent_id", "kind", "status")
 
 
 def scripted_judge():

@@ -131,21 +131,7 @@ def test_a_lost_commit_is_retried_alike():
     assert again == plain
 
 
-def test_claims_hold_leases():
-    now = [0]
-    c = effects.Claims(clock=lambda: now[0])
-    first = c.claim("i", 100)
-    assert isinstance(first, effects.Claimed) and isinstance(c.claim("i", 100), effects.InFlight)
-    now[0] = 100  # the lease has run out: another worker takes over
-    second = c.claim("i", 100)
-    assert isinstance(second, effects.Claimed) and not c.complete("i", first.token, {}) and not c.release("i", first.token)
-    assert c.complete("i", second.token, {"status": "OK"}, ttl_ms=50) and c.claim("i") == effects.Done({"status": "OK"})
-    now[0] = 150
-    third = c.claim("i")
-    assert isinstance(third, effects.Claimed) and c.release("i", third.token) and isinstance(c.claim("i"), effects.Claimed)
-
-
-def test_results_of_intents(spark):
+def test_results_of_intents(spark, tmp_path):
     order = []
     registry = tools.Registry()
     registry.tool(lambda n: {"n": n}, name="ok", side_effect=True)
@@ -161,7 +147,7 @@ def test_results_of_intents(spark):
     assert "unknown" in effects.result_of(base | {"tool_name": "slow", "args_json": None}, registry, 5)["error_message"]
     rows = [dict(base, intent_id=f"i{k % 3}", step_index=k % 3) for k in range(6)] + [dict(base, intent_id="a", kind="APPROVAL")]
     df = spark.createDataFrame(rows)
-    got = effects.execute(df, dict(registry), 5).collect()
+    got = effects.execute(df, effects.Executor(dict(registry), f"{tmp_path}/leases", clock=lambda: 5)).collect()
     assert sorted((r["intent_id"], r["payload"]) for r in got) == [(f"i{k}", '{"n":1}') for k in range(3)]
     assert [r["intent_id"] for r in effects.approvals(df).collect()] == ["a"]
 
