@@ -34,7 +34,7 @@ def otlp_events(spans: DataFrame, json_col: str = "span") -> DataFrame:
     attributes = F.map_from_entries(F.transform(F.coalesce("s.attributes", F.array().cast("array<struct<key: string, value: struct<stringValue: string, intValue: string, boolValue: boolean, doubleValue: double>>>")), lambda a: F.struct(a["key"], value(a["value"]))))
     return one.select(
         F.lower("s.traceId").alias("trace_id"), F.lower("s.spanId").alias("span_id"), F.lower(F.coalesce("s.parentSpanId", F.lit(""))).alias("parent_span_id"), F.lit("").alias("entity_key"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("step_index"),
-        F.when(F.col("s.name").isin(*EVENT_TYPES), F.col("s.name")).otherwise("EVENT_TYPE_UNSPECIFIED").alias("event_type"), ms("s.startTimeUnixNano").alias("start_ms"), ms("s.endTimeUnixNano").alias("end_ms"), attributes.alias("attributes"), F.lit("otlp").alias("provenance"), F.col("arrival").cast("bigint").alias("arrival"),
+        F.when(F.upper("s.name").isin(*EVENT_TYPES), F.upper("s.name")).otherwise("EVENT_TYPE_UNSPECIFIED").alias("event_type"), ms("s.startTimeUnixNano").alias("start_ms"), ms("s.endTimeUnixNano").alias("end_ms"), attributes.alias("attributes"), F.lit("otlp").alias("provenance"), F.col("arrival").cast("bigint").alias("arrival"),
     )
 
 
@@ -227,12 +227,16 @@ def read_capture(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def otlp_spans(events: DataFrame) -> DataFrame:
-    """Trace events as exported spans, one JSON document ``span`` for each: the reverse of ``otlp_events``."""
+    """Trace events as exported spans, one JSON document ``span`` for each but ACTIVATION_START, which has the span id of its end."""
     text = lambda v: F.struct(v.alias("stringValue"))
     pairs = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("value"))))
     nano = lambda c: F.concat(F.col(c).cast("string"), F.lit("000000")).alias
-    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), F.col("event_type").alias("name"), nano("start_ms")("startTimeUnixNano"), nano("end_ms")("endTimeUnixNano"), pairs.alias("attributes"))
-    return events.select(F.to_json(span).alias("span"))
+    status = F.when(F.col("event_type") == "ERROR", F.struct(F.lit(2).alias("code")))
+    span = F.struct(
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), F.lower("event_type").alias("name"),
+        nano("start_ms")("startTimeUnixNano"), nano("end_ms")("endTimeUnixNano"), pairs.alias("attributes"), status.alias("status"),
+    )
+    return events.filter("event_type <> 'ACTIVATION_START'").select(F.to_json(span).alias("span"))
 
 
 def rows_to_envelopes(rows: DataFrame, event_time_field: str | None = None) -> tuple[DataFrame, DataFrame]:

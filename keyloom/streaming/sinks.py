@@ -52,7 +52,8 @@ def resolve(uri: str, stream: str) -> Sink:
     if u.scheme == "otlp":
         if stream != "traces" or not u.hostname:
             raise ValueError(f"{uri!r}: otlp://host[:port] takes traces only")
-        return lambda df, batch: post_spans(df, f"http://{u.netloc}{u.path or '/v1/traces'}")
+        options = dict(parse_qsl(u.query)) | {"url": f"http://{u.netloc}{u.path or '/v1/traces'}"}
+        return lambda df, batch: export_spans(df, batch, options)
     if u.scheme in ("pubsub", "bigquery"):
         if u.scheme == "pubsub" and (not u.netloc or not u.path.strip("/") or "/" in u.path.strip("/")):
             raise ValueError(f"{uri!r} is not pubsub://project/topic")
@@ -88,25 +89,13 @@ def _console(path: str, stream: str, buckets: int, query: str) -> Sink:
     return write
 
 
-def post_spans(traces: DataFrame, url: str, rows: int = 500, timeout: float = 10.0) -> None:
-    """Trace events as OTLP/JSON over HTTP, some hundred spans to a request, from the executors. A failed request is
-    retried with its task; receivers identify spans by their ids."""
-    from ..sources.ingest import otlp_spans
+def export_spans(traces: DataFrame, batch: int, options: dict[str, str]) -> None:
+    """A batch of trace events through the best-effort exporter; its report, if one is asked for, is named by the batch."""
+    from . import exporter
 
-    def send(part) -> None:
-        import itertools
-        import urllib.request
-
-        from ..operators.effects import with_retry
-
-        spans = iter(part)
-        while some := [r["span"] for r in itertools.islice(spans, rows)]:
-            body = '{"resourceSpans":[{"scopeSpans":[{"spans":[' + ",".join(some) + "]}]}]}"
-            ask = urllib.request.Request(url, body.encode(), {"Content-Type": "application/json"})
-            with_retry(lambda ask=ask: urllib.request.urlopen(ask, timeout=timeout).read())
-
-    ends = traces if "end_ms" in traces.columns else traces.withColumns({"start_ms": F.col("event_time_ms"), "end_ms": F.col("event_time_ms")})
-    otlp_spans(ends).foreachPartition(send)
+    traces.sparkSession.dataSource.register(exporter.SpanExport)
+    own = options | ({"report": f"{options['report']}/{batch}"} if options.get("report") else {})
+    exporter.spans(traces).write.format("otlp").mode("append").options(**own).save()
 
 
 INTENT = ["entity_key", "seq", "step_index", "intent_id", "tool_name", "kind", "args_json", "created_at_ms", "expires_at_ms"]
