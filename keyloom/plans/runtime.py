@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -305,6 +306,80 @@ def b17_streamed_effects(spark, d):
     return spark.read.schema(out.schema).parquet(f"{top}/out").select("intent_id", "kind", "status")
 
 
+@query(of(EVENTS, """
+  SELECT trace_id, span_id, event_type, start_ms, 'bundle' AS provenance FROM te"""))
+def e02_frames_in_splits(spark, d):
+    """Trace events written as captured files of frames and read back in splits of a few kilobytes."""
+    from ..sources import frames, ingest
+
+    top = f"{staging.shared_dir(spark)}/keyloom/capture-{uuid.uuid4().hex}"
+    e = testbed.trace_events(spark, d)
+    frames.write_frames(e.select(F.to_json(F.struct(*e.columns)).cast("binary").alias("body")), top)
+    good, _ = ingest.read_capture(spark, top, "traces", split_bytes=1 << 16)
+    return good.select("trace_id", "span_id", "event_type", "start_ms", "provenance")
+
+
+@query(of(EVENTS, """, m AS (SELECT max(start_ms) + 1 AS stop, min(start_ms) AS start FROM te), h AS (SELECT (start + stop) // 2 AS half, stop FROM m)
+  SELECT CAST(0 AS BIGINT) AS batch, count(*) AS read, count(*) AS changed, CAST(0 AS BIGINT) AS problems FROM te, h WHERE start_ms < half
+  UNION ALL SELECT 1, count(*), count(*) FILTER (start_ms >= half), 0 FROM te, h WHERE start_ms >= half - 86400000"""))
+def e03_windowed_pull(spark, d):
+    """Warehouse rows pulled window by window into the store: what each pull read, and what of it was new."""
+    from ..sources import ingest, warehouse
+
+    top = f"{staging.shared_dir(spark)}/keyloom/warehouse-{uuid.uuid4().hex}"
+    e = testbed.trace_events(spark, d)
+    ingest.warehouse_rows(e).write.partitionBy("event_date").parquet(f"{top}/table")
+    low, high = e.agg(F.min("start_ms"), F.max("start_ms")).first()
+    store, told, sizes = fresh_store(spark), [], []
+    sink = store.sink(query="pull", kind="events", done=lambda batch, changed: told.append(changed))
+
+    def into(batch: DataFrame, number: int) -> None:
+        good, bad = warehouse.split(batch.persist())
+        sizes.append((good.count(), bad.count()))
+        sink(good, number)
+        batch.unpersist()
+
+    spark.dataSource.register(warehouse.WindowedTraces)
+    for until in ((low + high + 1) // 2, high + 1) if low is not None else ():
+        source = spark.readStream.format("trace-windows").options(path=f"{top}/table", until=str(until), lookbackMs=str(until), overlapMs=str(DAY)).load()
+        source.writeStream.foreachBatch(into).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = [(k, good, changed, bad) for k, ((good, bad), changed) in enumerate(zip(sizes, told, strict=True))]
+    return spark.createDataFrame(rows, "batch bigint, read bigint, changed bigint, problems bigint")
+
+
+@query(of(EVENTS, "SELECT count(*) AS exported, CAST(0 AS BIGINT) AS dropped, count(*) AS received FROM te WHERE event_type <> 'ACTIVATION_START'"))
+def e04_exported_spans(spark, d):
+    """Spans through the exporter to a collector of this process, and what its tasks count."""
+    import http.server
+    import threading
+
+    from ..streaming import exporter
+
+    received = Counter()
+
+    class Collector(http.server.BaseHTTPRequestHandler):
+        def do_POST(self) -> None:  # noqa: N802
+            found = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            received["spans"] += sum(len(x["spans"]) for r in found["resourceSpans"] for x in r["scopeSpans"])
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_) -> None:
+            pass
+
+    server = http.server.ThreadingHTTPServer((spark.conf.get("spark.driver.host"), 0), Collector)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    report = f"{staging.shared_dir(spark).removeprefix('file:')}/keyloom/report-{uuid.uuid4().hex}"
+    try:
+        spark.dataSource.register(exporter.SpanExport)
+        url = f"http://{server.server_address[0]}:{server.server_port}/v1/traces"
+        exporter.spans(testbed.trace_events(spark, d)).write.format("otlp").mode("append").options(url=url, report=report, queue="100000", deadline="60").save()
+    finally:
+        server.shutdown()
+    got = exporter.counts(report)["batch"]
+    return spark.createDataFrame([(got.exported, got.dropped, received["spans"])], "exported bigint, dropped bigint, received bigint")
+
+
 def scripted_judge():
     """A judge whose answers follow from the outcome: F is good, P cannot be reached, O answers out of range."""
 

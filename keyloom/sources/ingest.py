@@ -25,7 +25,7 @@ OTLP_SPAN = (
 def otlp_events(spans: DataFrame, json_col: str = "span") -> DataFrame:
     """Exported spans to trace events: nanoseconds to milliseconds, names to types, no key and no sequence."""
     s = F.from_json(F.col(json_col), OTLP_SPAN)
-    one = spans.select(s.alias("s"), F.col("arrival") if "arrival" in spans.columns else F.monotonically_increasing_id().alias("arrival"))
+    one = spans.select(s.alias("s"), F.col("arrival") if "arrival" in spans.columns else F.shiftrightunsigned(F.xxhash64(F.col(json_col)), 2).alias("arrival"))
 
     def value(v: Column) -> Column:
         return F.coalesce(v["stringValue"], v["intValue"], v["boolValue"].cast("string"), v["doubleValue"].cast("string"))
@@ -92,22 +92,13 @@ def frame(body: bytes) -> bytes:
             return bytes(head) + body
 
 
-def read_bundle(spark: SparkSession, path: str, provenance: str = "bundle") -> DataFrame:
-    """Trace events of captured files of frames: ``(file, position, truncated, event...)``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_bundle(spark: SparkSession, path: str, provenance: str = "bundle", split_bytes: int | None = None) -> DataFrame:
+    """Trace events of captured files of frames: ``(file, position, truncated, event...)``. Large files are read in splits.
 
-    def decode(batches) -> Iterator:
-        import pyarrow as pa
+    A frame that is no trace event has null fields."""
+    from . import frames as files
 
-        for b in batches:
-            rows = []
-            for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                got, cut = frames(c)
-                rows += [(p, i, cut, x.decode("utf-8", "replace")) for i, x in enumerate(got)] or [(p, -1, cut, None)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.string()), strict=True)], ["file", "position", "truncated", "body"])
-
-    raw = files.mapInArrow(decode, "file string, position bigint, truncated boolean, body string")
+    raw = files.read_frames(spark, path, split_bytes or files.SPLIT_BYTES).select("file", "position", "truncated", F.decode("body", "UTF-8").alias("body"))
     event = raw.withColumn("e", F.from_json("body", TRACE_EVENT))
     return event.select("file", "position", "truncated", "e.*").withColumns({"provenance": F.lit(provenance), "arrival": F.col("position")})
 
@@ -142,6 +133,18 @@ def _messages(raw: DataFrame, body: str) -> DataFrame:
     return raw.select(*(f.name for f in kept)).mapInArrow(split, f"{shape}, _text string, _index bigint, _cut boolean")
 
 
+def _arrival(each: DataFrame) -> Column:
+    """The order of records: the message's offset and the place in it, or without an offset a hash of the record; both are the same
+    in a retried task."""
+    if "offset" in each.columns:
+        return F.shiftleft(F.col("offset").cast("bigint"), 20) + F.col("_index")
+    return F.shiftrightunsigned(F.xxhash64("_text"), 2)
+
+
+def _torn(each: DataFrame) -> Column:
+    return F.col("_cut") | F.col("truncated") if "truncated" in each.columns else F.col("_cut")
+
+
 def decode_errors(raw: DataFrame, body: str = "value", provenance: str = "kafka") -> tuple[DataFrame, DataFrame]:
     """Error records of payloads, and what is none: bare records or records inside an envelope, one or a framed batch.
 
@@ -149,7 +152,7 @@ def decode_errors(raw: DataFrame, body: str = "value", provenance: str = "kafka"
     """
     each = _messages(raw, body).withColumn("_wrapped", F.get_json_object("_text", "$.external_event"))
     each = each.withColumn("_r", F.coalesce(*(F.when(F.coalesce(r["reason"], F.lit("")) != "", r) for r in (F.from_json("_wrapped", _ERROR), F.from_json("_text", _ERROR)))))
-    good = each.filter("_r is not null").select("_r.*", F.lit(provenance).alias("provenance"), F.monotonically_increasing_id().alias("arrival"), F.col("_cut").alias("truncated"))
+    good = each.filter("_r is not null").select("_r.*", F.lit(provenance).alias("provenance"), _arrival(each).alias("arrival"), _torn(each).alias("truncated"))
     good = good.withColumn("error_id", ids.error_id(F.coalesce("entity_key", F.lit("")), F.col("seq"), F.col("reason"), F.coalesce("event_time_ms", F.lit(0)), F.coalesce("detail", F.lit(""))))
     return good, each.filter("_r is null").drop("_r", "_wrapped", "_index").withColumn("why", F.when(F.col("_cut"), "truncated").otherwise("not an error record"))
 
@@ -175,23 +178,24 @@ def decode_snapshots(raw: DataFrame, body: str = "value", provenance: str = "kaf
     each = _messages(raw, body)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.schema.fields)
     each = each.mapInArrow(canonical, f"{shape}, _ok boolean")
-    good = each.filter("_ok").select(F.from_json("_text", SNAPSHOT).alias("s"), F.col("_cut").alias("truncated")).select("s.*", "truncated")
-    good = good.withColumns({"provenance": F.lit(provenance), "arrival": F.monotonically_increasing_id()})
+    good = each.filter("_ok").select(F.from_json("_text", SNAPSHOT).alias("s"), _torn(each).alias("truncated"), _arrival(each).alias("_at")).select("s.*", "truncated", "_at")
+    good = good.withColumns({"provenance": F.lit(provenance), "arrival": F.col("_at")}).drop("_at")
     return good, each.filter("not _ok").drop("_ok", "_index").withColumn("why", F.lit("not a canonical state export"))
 
 
-def decode_traces(raw: DataFrame, body: str = "value", provenance: str = "kafka") -> tuple[DataFrame, DataFrame]:
+def decode_traces(raw: DataFrame, body: str = "value", provenance: str = "kafka", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Trace events of the messages of a topic, batch or stream, and the messages that are none (to quarantine).
 
-    Column by column in Catalyst, so it runs on a stream as it is. ``arrival``: the message's offset, if it has one.
+    Column by column in Catalyst, so it runs on a stream as it is. ``arrival``: the message's offset, or a hash of it if it has
+    none. ``keep``: columns of the messages that the events keep.
     """
     text = F.col(body).cast("string")
     e = F.from_json(text, TRACE_EVENT)
-    arrival = F.col("offset").cast("bigint") if "offset" in raw.columns else F.lit(None).cast("bigint")
+    arrival = F.col("offset").cast("bigint") if "offset" in raw.columns else F.shiftrightunsigned(F.xxhash64(text), 2)
     each = raw.withColumn("_e", e).withColumn("_arrival", arrival)
     ok = F.col("_e.trace_id").isNotNull() & F.col("_e.span_id").isNotNull() & F.col("_e.event_type").isin(*EVENT_TYPES)
     blank = {"parent_span_id": "", "entity_key": "", "seq": 0, "step_index": 0, "start_ms": 0, "end_ms": 0}
-    good = each.filter(ok).select("_e.*", "_arrival").drop("arrival", "provenance").withColumnRenamed("_arrival", "arrival")
+    good = each.filter(ok).select("_e.*", "_arrival", *keep).drop("arrival", "provenance").withColumnRenamed("_arrival", "arrival")
     good = good.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in blank.items()}).withColumn("provenance", F.lit(provenance))
     return good, each.filter(~F.coalesce(ok, F.lit(False))).drop("_e", "_arrival")
 
@@ -215,15 +219,22 @@ def scripted(spark: SparkSession, path: str, steps: list[list], schema: str) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
 
 
-def read_capture(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A captured file of frames as ``traces``, ``errors`` or ``snapshots``: the complete prefix, and ``truncated``."""
-    if kind == "traces":
-        return read_bundle(spark, path)
-    decode = {"errors": decode_errors, "snapshots": decode_snapshots}
+def read_capture(spark: SparkSession, path: str, kind: str, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A captured file of frames as ``traces``, ``errors`` or ``snapshots`` with ``truncated``, and its frames that are none.
+
+    The first frame's ``arrival`` is the place of a record in its file, so a retried task gives the same. Large files are read in
+    splits. Of a file that ends inside a frame the complete ones are read."""
+    from . import frames as files
+
+    decode = {"traces": decode_traces, "errors": decode_errors, "snapshots": decode_snapshots}
     if kind not in decode:
         raise ValueError(f"{kind!r} is none of traces, errors, snapshots")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return decode[kind](files, "content", "bundle")[0]
+    raw = files.read_frames(spark, path, split_bytes or files.SPLIT_BYTES).filter("position >= 0")
+    raw = raw.select("file", F.col("position").alias("offset"), F.col("body").alias("value"), "truncated")
+    if kind == "traces":
+        good, bad = decode_traces(raw, "value", "bundle", keep=("truncated",))
+        return good, bad.withColumn("why", F.lit("not a trace event"))
+    return decode[kind](raw, "value", "bundle")
 
 
 def otlp_spans(events: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import asdict, dataclass, field
 from . import bridge
 from . import tools as tool_schema
 from .memory import HARD_CAP, SOFT_SHARE, Memory, ReplayCache, cache_key, migrate
-from .model import BudgetExceeded, CircuitBreaker, ProviderError, Response, RetryPolicy, TokenBudget
+from .model import BudgetExceeded, CircuitBreaker, ProviderError, Response, RetryPolicy, TokenBudget, WorkerBreaker
 
 INTENT_NAMESPACE = uuid.UUID("6f3e9d2a-1c47-5b8e-9a10-2d4f6b8c0e11")
 TRACE_NAMESPACE = uuid.UUID("b1d7c4e2-93a6-5f08-8c31-7e5a9d0f2b46")
@@ -170,7 +170,7 @@ class Config:
     metrics: bool = False
     sleep: Callable[[float], None] = time.sleep
     retry: RetryPolicy = field(default_factory=RetryPolicy)
-    breaker: CircuitBreaker | None = None
+    breaker: CircuitBreaker | WorkerBreaker | None = None
     on_expire: Callable[[str, Memory], dict] | None = None
 
 
@@ -246,7 +246,7 @@ class Context:
         request = {"model": model, "messages": messages, "tools": tools or [], "params": params}
         key = cache_key(model, messages, tools or [], params, self.key, self.seq)
         stored = self.cache.get(key, self.now_ms)
-        attempts, breaker = 0, self.config.breaker
+        attempts, breaker = 0, self.config.breaker.of(model) if self.config.breaker else None
         if stored is not None:
             got = Response(**json.loads(stored))
         else:
@@ -266,6 +266,10 @@ class Context:
                         raise
                     self.config.sleep(self.config.retry.delay_ms(attempts, e) / 1000)
                     continue
+                except BaseException:
+                    if breaker:
+                        breaker.abandon()
+                    raise
                 if breaker:
                     breaker.record(True, self.now_ms)
                 break

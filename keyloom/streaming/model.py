@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -42,12 +44,17 @@ class RetryPolicy:
 
 @dataclass
 class CircuitBreaker:
-    """Opens after ``failures`` in a row; after ``reset_ms`` one trial call is let through."""
+    """Opens after ``failures`` in a row; after ``reset_ms`` one trial call is let through, and others only once it has succeeded."""
 
     failures: int = 5
     reset_ms: int = 30_000
     count: int = 0
     opened_ms: int | None = None
+    trying: bool = False
+
+    def of(self, model: str) -> CircuitBreaker:
+        """The breaker of a model: this one serves all."""
+        return self
 
     def state(self, now_ms: int) -> str:
         if self.opened_ms is None:
@@ -55,10 +62,14 @@ class CircuitBreaker:
         return "half_open" if now_ms - self.opened_ms >= self.reset_ms else "open"
 
     def check(self, now_ms: int) -> None:
-        if self.state(now_ms) == "open":
+        """Raise unless a call may be made now; the one that is let through half open is the trial."""
+        state = self.state(now_ms)
+        if state == "open" or (state == "half_open" and self.trying):
             raise CircuitOpen("circuit is open")
+        self.trying = state == "half_open"
 
     def record(self, ok: bool, now_ms: int) -> None:
+        self.trying = False
         if ok:
             self.count, self.opened_ms = 0, None
             return
@@ -66,6 +77,53 @@ class CircuitBreaker:
         if self.count >= self.failures or self.opened_ms is not None:
             self.opened_ms = now_ms
 
+    def abandon(self) -> None:
+        """A call ended in a way that says nothing about the provider."""
+        self.trying = False
+
+
+class _Kept(CircuitBreaker):
+    """The state of one model in a worker process: safe among threads, by the process's own clock."""
+
+    def __init__(self, failures: int, reset_ms: int, clock: Callable[[], int]):
+        super().__init__(failures, reset_ms)
+        self.lock, self.clock = threading.Lock(), clock
+
+    def state(self, now_ms: int) -> str:
+        return super().state(self.clock())
+
+    def check(self, now_ms: int) -> None:
+        with self.lock:
+            super().check(self.clock())
+
+    def record(self, ok: bool, now_ms: int) -> None:
+        with self.lock:
+            super().record(ok, self.clock())
+
+
+#: Of this process, by scope and model. Spark's Python workers outlive tasks and batches, and so does this.
+_WORKER: dict[tuple[str, str], _Kept] = {}
+_WORKER_LOCK = threading.Lock()
+
+
+@dataclass(frozen=True)
+class WorkerBreaker:
+    """Settings of breakers that live in the worker process, one for each model: a ``Config`` is unpickled for each task and batch,
+    and what its calls find out about a provider stays. ``scope`` keeps apart providers with models of the same name."""
+
+    failures: int = 5
+    reset_ms: int = 30_000
+    scope: str = "default"
+    clock: Callable[[], int] = field(default=lambda: time.monotonic_ns() // 1_000_000, compare=False)
+
+    def of(self, model: str) -> CircuitBreaker:
+        with _WORKER_LOCK:
+            kept = _WORKER.get((self.scope, model))
+            if kept is None or (kept.failures, kept.reset_ms) != (self.failures, self.reset_ms):
+                kept = _WORKER[self.scope, model] = _Kept(self.failures, self.reset_ms, self.clock)
+            kept.clock = self.clock
+            return kept
+
 
 @dataclass
 class TokenBudget:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from keyloom.streaming import agents, fold, kernel, tools
 from keyloom.streaming.kernel import Batching, Complete, Config, Deny, Drop, Escalate, KeyState, Suspend, TimeoutPolicy
 from keyloom.streaming.memory import FutureVersion, Memory, MemoryOverflow, ReplayCache, migrate
-from keyloom.streaming.model import CircuitBreaker, CircuitOpen, ProviderError, Response, RetryPolicy, ScriptedModel, TokenBudget
+from keyloom.streaming.model import CircuitBreaker, CircuitOpen, ProviderError, Response, RetryPolicy, ScriptedModel, TokenBudget, WorkerBreaker
 
 T0 = 1_700_000_000_000
 
@@ -151,6 +151,45 @@ def test_breaker_and_provider():
         ScriptedModel([("q", "a")])({"messages": [{"content": "z"}]})
 
 
+def test_half_open_lets_one_call_through():
+    b = CircuitBreaker(1, 100)
+    b.record(False, 0)
+    b.check(100)
+    with pytest.raises(CircuitOpen):
+        b.check(100)
+    b.abandon()  # the trial said nothing: another may try
+    b.check(100)
+    b.record(False, 100)
+    assert b.state(150) == "open" and b.state(200) == "half_open"
+
+
+def test_a_worker_keeps_its_breakers():
+    now, calls = [0], []
+
+    def down(request):
+        calls.append(request["model"])
+        raise ProviderError("down")
+
+    def asks(ctx):
+        return Complete(ctx.call_model(ctx.event, [{"role": "user", "content": "x"}]))
+
+    def config():  # as each task unpickles one anew
+        return Config(agent=asks, provider=down, retry=RetryPolicy(attempts=1), breaker=WorkerBreaker(2, 100, scope="test", clock=lambda: now[0]))
+
+    def run(n, model):
+        rows = kernel.on_envelope(config(), "6b", KeyState(), {"event_time_ms": n, "kind": "external_event", "external_event": model}, 0)
+        return [r["detail"] for r in rows if r["stream"] == "errors"]
+
+    run(1, "m"), run(2, "m")
+    assert calls == ["m", "m"]
+    assert "circuit" in run(3, "m")[0] and calls == ["m", "m"]  # open, for every later task and batch
+    run(4, "other")
+    assert calls == ["m", "m", "other"]  # a breaker for each model
+    now[0] = 100
+    run(5, "m"), run(6, "m")
+    assert calls == ["m", "m", "other", "m"]  # one trial, which failed
+
+
 def test_tools_with_effects_are_not_called():
     def pay():
         return 1

@@ -183,7 +183,7 @@ def test_messages_of_a_topic_and_captures(spark, tmp_path):
     good, bad = ingest.decode_traces(df)
     assert [(r["trace_id"], r["arrival"], r["provenance"], r["entity_key"], r["attributes"]) for r in good.collect()] == [("t", 7, "kafka", "", {"model": "m"})] and bad.count() == 2
     (tmp_path / "e").write_bytes(ingest.frame(json.dumps({"reason": "r", "entity_key": "6b"}).encode()) + b"\x05ab")
-    got = ingest.read_capture(spark, str(tmp_path / "e"), "errors").collect()
+    got = ingest.read_capture(spark, str(tmp_path / "e"), "errors")[0].collect()
     assert [(r["reason"], r["truncated"], r["provenance"]) for r in got] == [("r", True, "bundle")]
     with pytest.raises(ValueError):
         ingest.read_capture(spark, str(tmp_path), "other")
