@@ -49,6 +49,8 @@ def work_off(queue: list[dict], executor: Executor) -> tuple[list[dict], int | N
 
 
 class EffectProcessor(StatefulProcessor):
+    """The queue of a key. ``executor.step`` does one item, or raises ``Waiting``."""
+
     def __init__(self, executor: Executor, retry_ms: int = RETRY_MS):
         self.executor, self.retry_ms = executor, retry_ms
 

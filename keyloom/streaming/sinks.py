@@ -101,17 +101,25 @@ def export_spans(traces: DataFrame, batch: int, options: dict[str, str]) -> None
 INTENT = ["entity_key", "seq", "step_index", "intent_id", "tool_name", "kind", "args_json", "created_at_ms", "expires_at_ms"]
 
 
+def unsendable(max_key_bytes: int) -> Column:
+    """Why an intent can never be sent; null if it can."""
+    return (
+        F.when(F.col("entity_key").isNull() | (F.col("entity_key") == ""), "no key").when(F.octet_length("entity_key") > max_key_bytes, "the key is too long")
+        .when(F.col("intent_id").isNull(), "no intent id").when(F.col("args_json").isNotNull() & F.expr("try_parse_json(args_json)").isNull(), "arguments are no JSON")
+    )
+
+
+def checked(intents: DataFrame, max_key_bytes: int) -> DataFrame:
+    return intents.select(*INTENT).withColumn("why", unsendable(max_key_bytes))
+
+
 def outbox(intents: DataFrame, key_id: str | None = None, secret: str | None = None, max_key_bytes: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Intents as ``(key, value)`` messages, signed if a key is given, and dead letters ``(intent_id, why)``.
 
     Messages of a key lie in one partition in order of (seq, step_index), so a writer that keeps the order of a partition
     keeps that of a key. An intent that cannot be sent is a dead letter and never stops the others.
     """
-    why = (
-        F.when(F.col("entity_key").isNull() | (F.col("entity_key") == ""), "no key").when(F.octet_length("entity_key") > max_key_bytes, "the key is too long")
-        .when(F.col("intent_id").isNull(), "no intent id").when(F.col("args_json").isNotNull() & F.expr("try_parse_json(args_json)").isNull(), "arguments are no JSON")
-    )
-    each = intents.select(*INTENT).withColumn("why", why)
+    each = checked(intents, max_key_bytes)
     good = each.filter("why is null").drop("why")
     if key_id is not None:
         good = signed(good, key_id, secret)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keyloom.operators import effects
 from keyloom.operators.effects import Executor, Waiting
 from keyloom.operators.leases import LeaseFolder, Standing
-from keyloom.streaming import effector, sinks
+from keyloom.streaming import effector, outbox, sinks
 
 from .conftest import ROOT
 
@@ -281,3 +281,55 @@ def test_a_stream_that_starts_again_runs_no_tool_twice(spark, tmp_path):
     run(lambda df, batch: got.extend(df.collect()), "cp")
     assert [r.intent_id for r in got if r.entity_key == "6b"] == ["i1", "i2", "i3"]
     assert sorted((tmp_path / "calls").read_text().split()) == ["1", "2", "3", "4", "6"]
+
+
+# -- the ordered outbox -----------------------------------------------------------------------------------------------
+
+
+def files(folder):
+    """A client that appends to a file for each key, and fails while the key is down."""
+
+    def connect():
+        def send(key, value):
+            if os.path.exists(f"{folder}/down-{key.decode()}"):
+                raise ConnectionError("down")
+            if b"never" in value:
+                raise outbox.Unsendable("too odd")
+            with open(f"{folder}/sent-{key.decode()}", "ab") as f:
+                f.write(value + b"\n")
+
+        return send
+
+    return connect
+
+
+def sent(folder, key):
+    path = folder / f"sent-{key}"
+    return [json.loads(x)["intent_id"] for x in path.read_text().splitlines()] if path.exists() else []
+
+
+MESSAGE = SHAPE + ", created_at_ms bigint"
+
+
+def test_a_failure_holds_up_one_key(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "down-6b").touch()
+    row = lambda k, **kw: tuple((intent(k) | {"created_at_ms": 1} | kw).values())
+    first = [row(3), row(1), row(2, args_json="never"), row(9, args_json='{"never":1}'), row(4, entity_key="7c"), row(5, entity_key="x" * 2000), row(6, entity_key=None), row(7, entity_key="7c", args_json='{"never":1}')]
+    spark.createDataFrame(first, MESSAGE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = outbox.publish_stream(spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in")), outbox.Publisher(files(tmp_path)), key_id="k", secret="s", retry_ms=100)
+    got = []
+
+    def run():
+        out.writeStream.foreachBatch(lambda df, batch: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start().awaitTermination(120)
+
+    run()
+    assert sent(tmp_path, "6b") == [] and sent(tmp_path, "7c") == ["i4"]
+    assert sorted((r.intent_id, r.kind, r.error_message) for r in got) == [("i4", "sent", None), ("i5", "dead_letter", "the key is too long"), ("i6", "dead_letter", "no key"), ("i7", "dead_letter", "too odd")]
+    (tmp_path / "down-6b").unlink()
+    time.sleep(0.3)
+    spark.createDataFrame([row(8), row(0)], MESSAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()  # after a restart: in order, with what came meanwhile in its place
+    assert sent(tmp_path, "6b") == ["i0", "i1", "i3", "i8"]
+    assert [(r.intent_id, r.kind) for r in got if r.entity_key == "6b"] == [("i0", "sent"), ("i1", "sent"), ("i2", "dead_letter"), ("i3", "sent"), ("i8", "sent"), ("i9", "dead_letter")]
+    assert {"signature", "key_id"} <= json.loads((tmp_path / "sent-6b").read_text().splitlines()[0]).keys()
