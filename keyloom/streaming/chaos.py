@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import os
 from collections.abc import Callable, Iterator
 
-from . import kernel
+from . import kernel, processor
 
 
 class ChaosFailure(BaseException):
@@ -34,3 +35,23 @@ def fail_first(step: str, matches: Callable[[list[dict]], bool] = lambda rows: T
         yield lost
     finally:
         setattr(kernel, step, plain)
+
+
+class FaultyProcessor(processor.AgentProcessor):
+    """The streaming operator, lost once after it has written all its state for a key and before the batch is committed.
+
+    ``matches`` picks the call by its records. That it has happened is kept in a file, so the query that is started again from
+    its checkpoint, on whatever worker, goes on undisturbed.
+    """
+
+    def __init__(self, config: kernel.Config, folder: str, matches: Callable[[list[dict]], bool]):
+        super().__init__(config)
+        self.folder, self.matches = folder, matches
+
+    def _store(self, key, state, stored, ordinal, armed, rows, now_ms, watermark_ms):
+        out = super()._store(key, state, stored, ordinal, armed, rows, now_ms, watermark_ms)
+        if self.matches(rows):
+            with contextlib.suppress(FileExistsError):
+                os.close(os.open(os.path.join(self.folder, "lost"), os.O_CREAT | os.O_EXCL))
+                raise ChaosFailure(f"lost after the state of {key!r} was written")
+        return out

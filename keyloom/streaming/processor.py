@@ -28,8 +28,8 @@ CELLS = {"memory": ("memory",), "cache": ("cache",), "batch": ("batch",), "rest"
 
 
 class AgentProcessor(StatefulProcessor):
-    def __init__(self, config: Config, clock: str = "processing"):
-        self.config, self.clock = config, clock
+    def __init__(self, config: Config):
+        self.config = config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -98,12 +98,12 @@ class AgentProcessor(StatefulProcessor):
         pass
 
 
-def run_agent_stream(envelopes: DataFrame, config: Config, delay: str = "10 seconds") -> DataFrame:
-    """The streaming form of ``fold.run_agent``: append rows of the one output table."""
+def run_agent_stream(envelopes: DataFrame, config: Config, delay: str = "10 seconds", operator: AgentProcessor | None = None) -> DataFrame:
+    """The streaming form of ``fold.run_agent``: append rows of the one output table. ``operator`` may stand for the usual one."""
     have = [c for c in ("entity_key", "event_time_ms", "arrival", "kind", "external_event", "tool_result", "approval", "export_request") if c in envelopes.columns]
     slim = envelopes.select(*(F.to_json(c).alias(c) if envelopes.schema[c].dataType.typeName() == "struct" else F.col(c) for c in have))
     timed = slim.withColumn("_time", F.timestamp_millis("event_time_ms")).withWatermark("_time", delay)
-    return timed.groupBy("entity_key").transformWithStateInPandas(statefulProcessor=AgentProcessor(config), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime")
+    return timed.groupBy("entity_key").transformWithStateInPandas(statefulProcessor=operator or AgentProcessor(config), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime")
 
 
 def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
