@@ -51,16 +51,29 @@ def _numbers() -> re.Pattern:
     return re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
+#: For texts within the first 256 code points: letters stay, all else becomes a blank.
+_LATIN = bytes(c if chr(c).isalpha() else 0x20 for c in range(256))
+
+
+def _letters(text: str) -> np.ndarray:
+    """The code points of the lower-case text, with runs of other characters than letters as one blank and none at the ends."""
+    low = text.lower()
+    try:
+        return np.frombuffer(b" ".join(low.encode("latin-1").translate(_LATIN).split()), dtype=np.uint8)
+    except UnicodeEncodeError:
+        clean = _OTHER.sub(" ", _numbers().sub(" ", low)).strip()
+        return np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
 def ngram_counts(text: str | None) -> np.ndarray | None:
     """Counts of the hashed 1- to 3-grams of a whole text; None if it has no letter."""
-    low = (text or "").lower()
-    clean = _OTHER.sub(" ", low if low.isascii() else _numbers().sub(" ", low)).strip()
-    if not clean:
+    clean = _letters(text or "")
+    if not len(clean):
         return None
-    clean = f" {clean} "
-    out = np.zeros(BUCKETS, dtype=np.int64)
+    clean = np.concatenate([[0x20], clean, [0x20]])
+    out = None
     for at in range(0, len(clean), CHUNK):
-        x = np.frombuffer(clean[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
+        x = clean[at : at + CHUNK + 2].astype(np.uint32)
         own = min(CHUNK, len(clean) - at)
         grams = [x[:own] * np.uint32(0x9E3779B1)]
         for n in (2, 3):
@@ -68,8 +81,8 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
                 prev = grams[-1][: len(x) - n + 1]
                 nxt = x[n - 1 :][: len(prev)]
                 grams.append((prev ^ (prev >> np.uint32(15))) * np.uint32(0x85EBCA77) + nxt * np.uint32(0xC2B2AE3D))
-        for g in grams:
-            out += np.bincount((g >> np.uint32(17)).astype(np.int64), minlength=BUCKETS)
+        found = np.bincount((np.concatenate(grams) >> np.uint32(17)).astype(np.int64), minlength=BUCKETS)
+        out = found if out is None else out + found
     return out
 
 
@@ -86,16 +99,23 @@ class Model:
     limits: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts[:, self.keep]).astype(np.float32) * self.idf
+        return self._unit(counts[:, self.keep])
+
+    def _unit(self, kept: np.ndarray) -> np.ndarray:
+        x = np.log1p(kept).astype(np.float32) * self.idf
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return x / np.where(norm > 0, norm, 1)
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, cosine and rejection for each row of counts."""
-        cos = self.vectors(counts) @ self.centroids.T
+        return self.nearest(counts[:, self.keep], counts.sum(axis=1))
+
+    def nearest(self, kept: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same from the counts of the kept buckets and the number of all n-grams of each text."""
+        cos = self._unit(kept) @ self.centroids.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(cos)), best].astype(np.float64), 0.0, 1.0)
-        return self.owner[best], score, 1.0 - score > self.limits[self.owner[best], _length(counts.sum(axis=1))]
+        return self.owner[best], score, 1.0 - score > self.limits[self.owner[best], _length(grams)]
 
 
 def _length(grams: np.ndarray) -> np.ndarray:
@@ -233,11 +253,16 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                counts = [None if m is None else ngram_counts(t) for t in part.column(where).to_pylist()]
-                known = [i for i, c in enumerate(counts) if c is not None]
-                lang, score, out = ["und"] * len(counts), [0.0] * len(counts), [True] * len(counts)
+                known, kept, grams = [], [], []
+                for i, t in enumerate(part.column(where).to_pylist()):
+                    c = None if m is None else ngram_counts(t)
+                    if c is not None:
+                        known.append(i)
+                        kept.append(c[m.keep])
+                        grams.append(int(c.sum()))
+                lang, score, out = ["und"] * part.num_rows, [0.0] * part.num_rows, [True] * part.num_rows
                 if known:
-                    for i, k, s, r in zip(known, *(x.tolist() for x in m.predict(np.stack([counts[i] for i in known]))), strict=True):
+                    for i, k, s, r in zip(known, *(x.tolist() for x in m.nearest(np.stack(kept), np.array(grams))), strict=True):
                         lang[i], score[i], out[i] = m.langs[k], s, r
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*part.schema.names, *added])
 
