@@ -13,7 +13,7 @@ from ..operators import longterm
 from ..operators.rollups import attribute, number
 from ..sources import testbed
 from ..streaming import agents, fold
-from ..streaming.kernel import Batching, Config
+from ..streaming.kernel import Batching, Config, Escalate, TimeoutPolicy
 from . import console
 from .catalog import query
 from .oracle import EVENTS, STEPPED, dashed, of, uuid5_hex
@@ -220,6 +220,59 @@ def d04_failures_isolated(spark, d):
     return rows.filter("stream in ('errors', 'output')").groupBy("entity_key").agg(F.count("*").alias("errors"))
 
 
+@query(of(STEPPED, """SELECT entity_key, count(*) AS outputs, max(n) AS n, CAST(max(s) AS BIGINT) AS sum FROM (SELECT entity_key, count(*) OVER w AS n, sum(k) OVER w AS s FROM st WINDOW w AS (PARTITION BY entity_key ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1"""))
+def d09_yielded_fold(spark, d):
+    """The counter as an agent that yields its effects: what it had in memory at its last event of each key."""
+    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.Counting(), ttl_ms=10**13)), "output")
+    return rows.groupBy("entity_key").agg(F.count("*").alias("outputs"), F.max(F.get_json_object("payload", "$.n").cast("bigint")).alias("n"), F.max(F.get_json_object("payload", "$.sum").cast("bigint")).alias("sum"))
+
+
+_WAIT = 6 * 3600_000
+
+
+@query(of(STEPPED, f""", f AS (SELECT entity_key, t, k, row_number() OVER (PARTITION BY entity_key ORDER BY t, event_id) AS r FROM st)
+  SELECT entity_key, seq, CAST(count(*) AS BIGINT) AS size, max(t) AS last_ms FROM (
+    WITH RECURSIVE g AS (SELECT entity_key, r, t, t AS begins, CAST(0 AS BIGINT) AS seq FROM f WHERE r = 1
+      UNION ALL SELECT f.entity_key, f.r, f.t, CASE WHEN f.t >= g.begins + {_WAIT} THEN f.t ELSE g.begins END, CASE WHEN f.t >= g.begins + {_WAIT} THEN g.seq + 1 ELSE g.seq END FROM g JOIN f ON f.entity_key = g.entity_key AND f.r = g.r + 1)
+    SELECT * FROM g) GROUP BY entity_key, seq"""))
+def d10_timer_flushes(spark, d):
+    """Batches that a timer flushes: the first event arms it, and all that come before it fires are one activation, at the time of the
+    latest."""
+    last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
+    c = Config(agent=agents.counter, ttl_ms=10**13, batching=Batching(10**6, _WAIT))
+    rows = fold.run_agent(testbed.envelopes(spark, d), c, end_ms=last + 2 * _WAIT)
+    starts = rows.filter("stream = 'traces' and event_type = 'ACTIVATION_START' and attributes['batch_trigger'] = 'timer'")
+    return starts.select("entity_key", "seq", F.col("attributes")["batch_size"].cast("bigint").alias("size"), F.col("event_time_ms").alias("last_ms"))
+
+
+_TTL = 8 * 3600_000
+
+
+@query(of(STEPPED, f""", f AS (SELECT entity_key, t, event_id, CASE WHEN t >= lag(t) OVER w + {_TTL} THEN 1 ELSE 0 END AS fresh FROM st WINDOW w AS (PARTITION BY entity_key ORDER BY t, event_id)),
+  g AS (SELECT entity_key, t, sum(fresh) OVER (PARTITION BY entity_key ORDER BY t, event_id) AS session FROM f)
+  SELECT entity_key, max(t) + {_TTL} AS wiped_ms, count(*) AS events FROM g GROUP BY entity_key, session"""))
+def d11_expired_batches(spark, d):
+    """Events that wait for a batch until the key expires: each is reported when it is wiped, a time to live after the last of them."""
+    last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
+    c = Config(agent=agents.counter, ttl_ms=_TTL, batching=Batching(10**6, 10**13))
+    rows = fold.run_agent(testbed.envelopes(spark, d), c, end_ms=last + 2 * _TTL)
+    wiped = rows.filter("stream = 'errors' and reason = 'ttl_wiped_batch'")
+    return wiped.groupBy("entity_key", F.col("event_time_ms").alias("wiped_ms")).agg(F.count("*").alias("events"))
+
+
+@query(of(STEPPED, """, nx AS (SELECT entity_key, t, lead(t) OVER (PARTITION BY entity_key ORDER BY t, event_id) AS nt FROM st)
+  SELECT entity_key, count(*) AS asked, count(*) FILTER (nt >= t + 3600000 OR nt IS NULL) AS escalated, count(*) FILTER (nt >= t + 5400000 OR nt IS NULL) AS denied FROM nx GROUP BY 1"""))
+def d12_escalations(spark, d):
+    """Each event asks for approval; after an hour somebody else is asked, once, and half an hour later the answer is no."""
+    last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
+    policy = TimeoutPolicy(max_escalations=1, on_timeout=lambda waiting: Escalate("oncall", timeout_ms=1800_000))
+    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13, policy=policy), end_ms=last + 10**8)
+    intents = F.col("stream") == "intents"
+    return rows.groupBy("entity_key").agg(
+        F.count_if(intents & (F.col("tool_name") == "approval")).alias("asked"), F.count_if(intents & (F.col("tool_name") == "oncall")).alias("escalated"), F.count_if((F.col("stream") == "output") & (F.col("payload") == "__hitl_timeout__")).alias("denied")
+    )
+
+
 @query(of(EVENTS, f""", sp AS (SELECT trace_id, span_id, max(parent_span_id) AS parent, min(start_ms) AS first_ms FROM te GROUP BY 1, 2),
   rt AS (SELECT s.*, p.span_id IS NULL OR s.parent = s.span_id AS root FROM sp s LEFT JOIN sp p ON s.trace_id = p.trace_id AND s.parent = p.span_id),
   tr AS (SELECT trace_id, span_id, 0 AS depth, lpad(CAST(first_ms AS VARCHAR), 16, '0') || span_id AS path FROM rt WHERE root

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from .authoring import Emit, Remember, StreamAgent
 from .kernel import Complete, Context, Suspend
 
 
@@ -34,3 +35,15 @@ def buyer(ctx: Context) -> Complete | Suspend:
 def failing(ctx: Context) -> Complete:
     ctx.memory.set("never", b"kept")
     raise ValueError("no")
+
+
+class Counting(StreamAgent):
+    """``counter``, effect by effect."""
+
+    def activate(self, view):
+        n, total = int(view.recall("n") or b"0"), int(view.recall("sum") or b"0")
+        for e in view.events:
+            n, total = n + 1, total + int(json.loads(e)["k"])
+        yield Remember("n", str(n).encode())
+        yield Remember("sum", str(total).encode())
+        yield Emit(json.dumps({"n": n, "sum": total}))
