@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections import Counter
@@ -297,15 +298,93 @@ def b17_streamed_effects(spark, d):
     stream = spark.readStream.schema(intents.schema).parquet(f"{top}/in")
     executor = effects.Executor(scripted_tools(), f"{top}/leases", clock=lambda: now)
     out = effector.run_effects_stream(stream, executor)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb(spark):
         out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(once=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(out.schema).parquet(f"{top}/out").select("intent_id", "kind", "status")
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that keyed operators need, for the queries that run inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(of(EVENTS, """SELECT a_intent AS intent_id, CASE WHEN a_tool = 'tool-3' THEN 'dead_letter' ELSE 'sent' END AS kind, CASE WHEN a_tool = 'tool-3' THEN 'not for this channel' END AS error_message FROM te WHERE event_type = 'INTENT_EMITTED'"""))
+def b18_ordered_outbox(spark, d):
+    """The intents published from a queue for each key; the channel refuses one tool for good."""
+    from ..streaming import outbox
+
+    def connect():
+        def send(key: bytes, value: bytes) -> None:
+            if json.loads(value)["tool_name"] == "tool-3":
+                raise outbox.Unsendable("not for this channel")
+
+        return send
+
+    intents, _ = _intents(spark, d)
+    top = f"{staging.shared_dir(spark)}/keyloom/outbox-{uuid.uuid4().hex}"
+    intents.withColumn("created_at_ms", F.col("expires_at_ms") - 3600000).write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{top}/in").schema).parquet(f"{top}/in")
+    out = outbox.publish_stream(stream, outbox.Publisher(connect))
+    with rocksdb(spark):
+        out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(once=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{top}/out").select("intent_id", "kind", "error_message")
+
+
+_DELAY = 24 * 3600_000
+
+
+@query(of(EVENTS, f""", m AS (SELECT max(start_ms) - {_DELAY} AS mark FROM te WHERE arrival % 2 = 0)
+  SELECT CASE WHEN arrival % 2 = 1 AND start_ms < mark THEN 'late' WHEN event_type = 'ERROR' THEN 'errors' ELSE 'events' END AS tag, count(*) AS n, count(DISTINCT trace_id || span_id || event_type) AS distinct_rows FROM te, m GROUP BY 1"""))
+def e05_tagged_outputs(spark, d):
+    """Trace events as a stream of two batches, dealt by kind, with those behind the watermark in an output of their own."""
+    from ..streaming import partition
+
+    e = testbed.trace_events(spark, d)
+    top = f"{staging.shared_dir(spark)}/keyloom/tagged-{uuid.uuid4().hex}"
+    policy = F.when(F.col("event_type") == "ERROR", "errors").otherwise("events")
+    with rocksdb(spark):
+        for part in range(2):
+            e.filter(F.col("arrival") % 2 == part).write.parquet(f"{top}/in/part={part}")
+            stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+            out = partition.tagged(stream, policy, key="entity_key", time_ms="start_ms", delay=f"{_DELAY} milliseconds")
+            store = partition.deal({t: (lambda df, n, t=t: df.write.mode("overwrite").parquet(f"{top}/out/tag={t}/batch={n}")) for t in ("late", "errors", "events")})
+            out.writeStream.foreachBatch(store).option("checkpointLocation", f"{top}/checkpoint").trigger(once=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in e.schema.fields)}, tag string, batch bigint").parquet(f"{top}/out")
+    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("trace_id", "span_id", "event_type").alias("distinct_rows"))
+
+
+@query(of(STEPPED, """SELECT entity_key, count(*) AS outputs, max(n) AS n, CAST(max(s) AS BIGINT) AS sum, CAST(1 AS BIGINT) AS lost FROM (SELECT entity_key, count(*) OVER w AS n, sum(k) OVER w AS s FROM st WINDOW w AS (PARTITION BY entity_key ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1"""))
+def d13_restarted_stream(spark, d):
+    """The streaming operator over the whole table, lost once with its state written, and started again from its checkpoint."""
+    from pyspark.errors import StreamingQueryException
+
+    from ..streaming import chaos, processor
+
+    top = f"{staging.shared_dir(spark)}/keyloom/restarted-{uuid.uuid4().hex}"
+    e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event")
+    e.write.parquet(f"{top}/in")
+    config = Config(agent=agents.counter, ttl_ms=10**13)
+    operator = chaos.FaultyProcessor(config, top.removeprefix("file:"), lambda rows: len(rows) > 0)
+    out = processor.run_agent_stream(spark.readStream.schema(e.schema).parquet(f"{top}/in"), config, operator=operator)
+    lost = 0
+    with rocksdb(spark):
+        for _ in range(3):
+            try:
+                out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(once=True).start().awaitTermination()
+                break
+            except StreamingQueryException:
+                lost += 1
+    rows = spark.read.schema(out.schema).parquet(f"{top}/out").filter("stream = 'output'")
+    return rows.groupBy("entity_key").agg(F.count("*").alias("outputs"), F.max(F.get_json_object("payload", "$.n").cast("bigint")).alias("n"), F.max(F.get_json_object("payload", "$.sum").cast("bigint")).alias("sum"), F.lit(lost).cast("bigint").alias("lost"))
+
+
 @query(of(EVENTS, """
   SELECT trace_id, span_id, event_type, start_ms, 'bundle' AS provenance FROM te"""))
 def e02_frames_in_splits(spark, d):

@@ -43,17 +43,21 @@ class AgentProcessor(StatefulProcessor):
         ordinal, armed = self.place.get() if self.place.exists() else (0, None)
         return KeyState(**parts), stored, ordinal, armed
 
+    def _arm(self, armed: int | None, at: int | None) -> int | None:
+        """Set the key's one timer; the time it is set to."""
+        if armed is not None and armed != at:
+            self.handle.deleteTimer(armed)
+        if at is not None and armed != at:
+            self.handle.registerTimer(at)
+        return at
+
     def _store(self, key: str, state: KeyState, stored: dict[str, str | None], ordinal: int, armed: int | None, rows: list[dict], now_ms: int, watermark_ms: int):
         import pandas as pd
 
         wanted = [t for t in (state.hitl_at_ms, state.flush_at_ms) if t is not None]
         if state.ttl_at_ms is not None:
             wanted.append(now_ms + max(POLL_MS, state.ttl_at_ms - (watermark_ms or state.ttl_at_ms)))
-        at = max(min(wanted), now_ms + 1) if wanted else None
-        if armed is not None and armed != at:
-            self.handle.deleteTimer(armed)
-        if at is not None and armed != at:
-            self.handle.registerTimer(at)
+        at = self._arm(armed, max(min(wanted), now_ms + 1) if wanted else None)
         empty = state == KeyState()
         for c, names in CELLS.items():
             values = {n: getattr(state, n) for n in names}
