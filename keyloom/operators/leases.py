@@ -23,6 +23,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from .staging import mounted
+
 LEASE_MS, KEEP_MS = 300_000, 24 * 3600_000
 
 
@@ -45,10 +47,7 @@ class LeaseFolder:
     """Leases under a folder of a file system with hard links that all workers mount (``file:`` or a plain path)."""
 
     def __init__(self, folder: str, clock: Callable[[], int] = _now_ms):
-        scheme, _, rest = folder.partition(":") if folder.startswith("file:") else ("file", "", folder)
-        if "://" in rest and scheme != "file":
-            raise ValueError(f"{folder!r}: leases need a mounted folder")
-        self.top = "/" + rest.lstrip("/") if scheme == "file" and folder.startswith("file:") else folder
+        self.top = mounted(folder)
         self.clock = clock
         self.worker = uuid.uuid4().hex
 

@@ -21,3 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.applicationId not in _own:
         _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="keyloom-")
     return _own[sc.applicationId]
+
+
+def mounted(path: str) -> str:
+    """The plain path of a folder that all workers mount; ValueError for one that only Spark's file systems reach."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path!r}: a folder that workers mount is needed")
+    return path

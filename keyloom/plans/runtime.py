@@ -372,7 +372,7 @@ def d13_restarted_stream(spark, d):
     e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event")
     e.write.parquet(f"{top}/in")
     config = Config(agent=agents.counter, ttl_ms=10**13)
-    operator = chaos.FaultyProcessor(config, top.removeprefix("file:"), lambda rows: len(rows) > 0)
+    operator = chaos.FaultyProcessor(config, staging.mounted(top), lambda rows: len(rows) > 0)
     out = processor.run_agent_stream(spark.readStream.schema(e.schema).parquet(f"{top}/in"), config, operator=operator)
     with rocksdb(spark):
         for _ in range(3):
@@ -381,7 +381,7 @@ def d13_restarted_stream(spark, d):
                 break
             except StreamingQueryException:  # on a cluster only the task fails, and is tried again
                 continue
-    lost = int(os.path.exists(f"{top.removeprefix('file:')}/lost"))
+    lost = int(os.path.exists(f"{staging.mounted(top)}/lost"))
     rows = spark.read.schema(out.schema).parquet(f"{top}/out").filter("stream = 'output'")
     return rows.groupBy("entity_key").agg(F.count("*").alias("outputs"), F.max(F.get_json_object("payload", "$.n").cast("bigint")).alias("n"), F.max(F.get_json_object("payload", "$.sum").cast("bigint")).alias("sum"), F.lit(lost).cast("bigint").alias("lost"))
 
@@ -449,7 +449,7 @@ def e04_exported_spans(spark, d):
 
     server = http.server.ThreadingHTTPServer((spark.conf.get("spark.driver.host"), 0), Collector)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    report = f"{staging.shared_dir(spark).removeprefix('file:')}/keyloom/report-{uuid.uuid4().hex}"
+    report = staging.mounted(f"{staging.shared_dir(spark)}/keyloom/report-{uuid.uuid4().hex}")
     try:
         spark.dataSource.register(exporter.SpanExport)
         url = f"http://{server.server_address[0]}:{server.server_port}/v1/traces"

@@ -202,8 +202,7 @@ def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
 def write_frames(records: DataFrame, path: str, body: str = "body") -> None:
     """The records of a column (bytes) as captured files, one for each task; null ones are left out. The folder is on a file system
     that all workers mount, and each file appears whole."""
-    folder = path.removeprefix("file:")
-    folder = "/" + folder.lstrip("/") if path.startswith("file:") else folder
+    folder = staging.mounted(path)
 
     def write(batches: Iterator) -> Iterator:
         import os

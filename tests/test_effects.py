@@ -83,6 +83,12 @@ def test_who_takes_over_decides(two, clock):
     assert a.grants("i") == 2
 
 
+def test_a_folder_that_workers_cannot_mount_is_refused():
+    with pytest.raises(ValueError):
+        LeaseFolder("hdfs://host/leases")
+    assert LeaseFolder("file:///a/b").top == LeaseFolder("file:/a/b").top == LeaseFolder("/a/b").top == "/a/b"
+
+
 def test_swept_names_are_as_if_never_seen(two, clock):
     a, b = two
     for name in ("old", "kept"):
