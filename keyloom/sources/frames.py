@@ -2,12 +2,12 @@
 
 A file has no index, so a task that begins in its middle has to find where a frame starts: it takes the first place from which
 lengths lead on from frame to frame, each of them a JSON object, a few times over. That can go wrong, next to a broken record
-or where a record quotes frames. So each split also says where it came out, and the split after it must have begun there. Where it
-has not, it is read again from the right place, until all agree; as the first split begins at the file's beginning, the
-frames are then those that one reader from the front would give.
+or where a record quotes frames. So each split also says where it came out, and the split after it must have begun there. A second
+pass goes through these numbers in order and walks a split that did not again from the right place; as the first split begins
+at the file's beginning, the frames are then those that one reader from the front would give.
 
 Frames are returned whole and numbered through the file, also those that are no records. ``truncated`` says that the file
-ends inside a frame. Nothing is held but one frame and a window of the file.
+ends inside a frame. Nothing is held but one frame, a window of the file and a batch of rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import io
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import staging
@@ -42,12 +42,12 @@ def varint(data: bytes, at: int) -> tuple[int, int] | None:
 class FrameFile:
     """A file that is read forward, with a few steps back."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, window: int = 1 << 20):
         import pyarrow.fs
 
         fs, own = pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)
         self.size = fs.get_file_info(own).size
-        self.file = io.BufferedReader(_Raw(fs.open_input_file(own)), 1 << 20)
+        self.file = io.BufferedReader(_Raw(fs.open_input_file(own)), max(1 << 12, min(window, 1 << 20)))
 
     def frame(self, at: int, body: bool = True) -> tuple[int, bytes | None] | None:
         """The place after the frame at ``at``, and its bytes; None if the file ends in it."""
@@ -114,89 +114,107 @@ def _record(body: bytes) -> bool:
 
 _SPLIT = "file string, split bigint, start bigint, stop bigint"
 _WALKED = f"{_SPLIT}, first bigint, out bigint, n bigint, truncated boolean"
+_PLACED = f"{_WALKED}, base bigint"
+_FRAME = "file string, position bigint, offset bigint, body binary, truncated boolean"
 
 
-def _walk(splits: DataFrame, known: bool) -> DataFrame:
-    """For each split where its first frame begins (``first``, if that is known), where the first frame after it begins, and how many
-    frames there are."""
-    def walk(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def _steps(f: FrameFile, first: int, stop: int) -> tuple[int, int, bool]:
+    """From a frame's beginning: where the first frame after a split begins, how many begin in it, and whether the file ends in one."""
+    at, n = first, 0
+    while at < min(stop, f.size):
+        got = f.frame(at, body=False)
+        if got is None:
+            return f.size, n, True
+        at, n = got[0], n + 1
+    return at, n, False
+
+
+def _table(rows: list[tuple], ddl: str):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
+
+def _walk(splits: DataFrame) -> DataFrame:
+    """For each split where its first frame seems to begin (``first``), and what a walk from there finds."""
+
+    def walk(batches: Iterator) -> Iterator:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                f = FrameFile(r["file"])
-                at = first = r["first"] if known else f.first(r["start"], r["stop"])
-                n, cut = 0, False
-                while at < min(r["stop"], f.size):
-                    got = f.frame(at, body=False)
-                    if got is None:
-                        at, cut = f.size, True
-                        break
-                    at, n = got[0], n + 1
-                rows.append((r["file"], r["split"], r["start"], r["stop"], first, at, n, cut))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _WALKED.split(", ")])
+                f = FrameFile(r["file"], r["stop"] - r["start"])
+                first = f.first(r["start"], r["stop"])
+                rows.append((*(r[c] for c in ("file", "split", "start", "stop")), first, *_steps(f, first, r["stop"])))
+            yield _table(rows, _WALKED)
 
     return splits.mapInArrow(walk, _WALKED)
 
 
+def _placed(walked: DataFrame, tasks: int) -> DataFrame:
+    """The splits of each file in order: one that did not begin where the last came out is walked again from there, at once, so
+    that a wrong guess costs its own split and misleads none behind it. ``base``: the frames before a split."""
+
+    def place(batches: Iterator) -> Iterator:
+        file, out, base = None, 0, 0
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if r["file"] != file:
+                    file, out, base = r["file"], 0, 0
+                if out >= r["stop"]:  # a frame of an earlier split covers it whole
+                    first, n, cut = out, 0, False
+                elif r["first"] == out:
+                    first, out, n, cut = out, r["out"], r["n"], r["truncated"]
+                else:
+                    first = out
+                    out, n, cut = _steps(FrameFile(file, r["stop"] - r["start"]), first, r["stop"])
+                rows.append((file, r["split"], r["start"], r["stop"], first, out, n, cut, base))
+                base += n
+            yield _table(rows, _PLACED)
+
+    return walked.repartition(tasks, "file").sortWithinPartitions("file", "split").mapInArrow(place, _PLACED)
+
+
 def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``(file, position, offset, body, truncated)``, a row for each frame, and one with position -1 for a file without any
-    whole one. A file without bytes gives no row."""
+    whole one. A file without bytes gives no row. A task reads many splits where they are small."""
     import uuid
 
     names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
     splits = names.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"), "size")
     splits = splits.select("file", F.expr(f"start div {split_bytes}").alias("split"), "start", F.least(F.col("start") + split_bytes, "size").alias("stop"))
-    top, step = f"{staging.shared_dir(spark)}/keyloom/frames-{uuid.uuid4().hex}", 0
+    top = f"{staging.shared_dir(spark)}/keyloom/frames-{uuid.uuid4().hex}"
 
     def put(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{top}/{name}")
         return spark.read.schema(df.schema).parquet(f"{top}/{name}")
 
-    tasks = max(1, splits.count())
-    walked = put(_walk(splits.repartition(tasks, "file", "split"), known=False), "walked-0")
-    in_order = Window.partitionBy("file").orderBy("split")
-    while True:
-        came = F.coalesce(F.max("out").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        judged = walked.withColumn("right", came)
-        # a split that a frame of an earlier one covers whole has no frame of its own
-        wrong = judged.filter((F.col("right") != F.col("first")) & ~((F.col("right") >= F.col("stop")) & (F.col("n") == 0)))
-        if wrong.isEmpty():
-            break
-        step += 1
-        again = _walk(wrong.select("file", "split", "start", "stop", F.greatest("right", "start").alias("first")), known=True)
-        walked = put(walked.join(wrong.select("file", "split"), ["file", "split"], "left_anti").unionByName(again), f"walked-{step}")
-    before = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = F.max("truncated").over(Window.partitionBy("file"))
-    total = F.sum("n").over(Window.partitionBy("file"))
-    known = put(walked.withColumns({"base": before, "cut": cut, "total": total}), "known")
+    parts, size = splits.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(parts, max(2 * spark.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES))))
+    placed = put(_placed(put(_walk(splits.repartition(tasks, "file", "split")), "walked"), tasks), "placed")
+    whole = placed.groupBy("file").agg(F.max("truncated").alias("cut"), F.sum("n").alias("total"))
+    known = placed.drop("truncated").join(whole, "file")
 
     def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def batch(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["file", "position", "offset", "body", "truncated"])
-
         for b in batches:
             for r in b.to_pylist():
                 rows, size = [], 0
                 if not r["total"] and r["split"] == 0:
                     rows.append((r["file"], -1, 0, None, r["cut"]))
-                f, at = FrameFile(r["file"]) if r["n"] else None, r["first"]
+                f, at = FrameFile(r["file"], r["stop"] - r["start"]) if r["n"] else None, r["first"]
                 for k in range(r["n"]):
                     after, body = f.frame(at)
                     rows.append((r["file"], r["base"] + k, at, body, r["cut"]))
                     at, size = after, size + len(body)
                     if len(rows) >= 2000 or size > 8 << 20:
-                        yield batch(rows)
+                        yield _table(rows, _FRAME)
                         rows, size = [], 0
-                yield batch(rows)
+                yield _table(rows, _FRAME)
 
-    return known.repartition(tasks, "file", "split").mapInArrow(read, "file string, position bigint, offset bigint, body binary, truncated boolean")
+    return known.repartition(tasks, "file", "split").mapInArrow(read, _FRAME)
 
 
 def write_frames(records: DataFrame, path: str, body: str = "body") -> None:

@@ -130,3 +130,11 @@ def test_captures_give_back_what_they_cannot_read(spark, tmp_path):
     (tmp_path / "s").write_bytes(ingest.frame(snap) + ingest.frame(snap + b" "))
     good, bad = ingest.read_capture(spark, str(tmp_path / "s"), "snapshots")
     assert good.count() == 1 and bad.count() == 1
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    data = b"".join(ingest.frame(json.dumps({"i": i}).encode()) for i in range(500))
+    (tmp_path / "a").write_bytes(data)
+    got = frames.read_frames(spark, str(tmp_path), 64)
+    assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < len(data) // 64
+    assert [r.position for r in got.orderBy("position").collect()] == list(range(500))
