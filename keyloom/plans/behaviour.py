@@ -86,7 +86,7 @@ def b09_ring_fold(spark: SparkSession, d: str) -> DataFrame:
     e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event", F.lit(None).cast("string").alias("export_request"))
     ends = e.groupBy("entity_key").agg((F.max("event_time_ms") + 1).alias("event_time_ms"))
     ask = ends.select("entity_key", "event_time_ms", F.lit(1 << 40).alias("arrival"), F.lit("export_request").alias("kind"), F.lit(None).cast("string").alias("external_event"), F.lit('{"request_id":"end"}').alias("export_request"))
-    rows = fold.run_agent(e.unionByName(ask), Config(agent=agents.last_items, ttl_ms=10**13))
+    rows = fold.run_agent(e.unionByName(ask), Config(agent=agents.last_items, ttl_ms=10**13), streams=("snapshots",))
     return fold.stream_of(rows, "snapshots").select("entity_key", F.get_json_object("body", "$.memory_entries").cast("bigint").alias("entries"), F.get_json_object("body", "$.memory_bytes").cast("bigint").alias("bytes"))
 
 
@@ -192,7 +192,7 @@ def c07_deterministic_sample(spark, d):
 @query(of(STEPPED, """SELECT entity_key, count(*) AS outputs, max(n) AS n, CAST(max(s) AS BIGINT) AS sum FROM (SELECT entity_key, count(*) OVER w AS n, sum(k) OVER w AS s FROM st WINDOW w AS (PARTITION BY entity_key ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1"""))
 def d01_counter_fold(spark, d):
     """The stateful operator over the whole table, checked by a window frame."""
-    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.counter, ttl_ms=10**13)), "output")
+    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.counter, ttl_ms=10**13), streams=("output",)), "output")
     return rows.groupBy("entity_key").agg(F.count("*").alias("outputs"), F.max(F.get_json_object("payload", "$.n").cast("bigint")).alias("n"), F.max(F.get_json_object("payload", "$.sum").cast("bigint")).alias("sum"))
 
 
@@ -200,7 +200,7 @@ def d01_counter_fold(spark, d):
 def d02_batched_fold(spark, d):
     """Adaptive batching by the kernel, with a wait so long that size alone flushes."""
     c = Config(agent=agents.counter, ttl_ms=10**13, batching=Batching(10, 10**12))
-    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), c), "output")
+    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), c, streams=("output",)), "output")
     return rows.groupBy("entity_key").agg(F.count("*").alias("flushes"), F.max(F.get_json_object("payload", "$.n").cast("bigint")).alias("events"))
 
 
@@ -209,21 +209,21 @@ def d02_batched_fold(spark, d):
 def d03_suspend_timeouts(spark, d):
     """Each event asks for approval; a wait ends by its deadline unless a new event takes its place."""
     last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
-    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13), end_ms=last + 10**8)
+    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13), end_ms=last + 10**8, streams=("intents", "output"))
     return rows.groupBy("entity_key").agg(F.count_if(F.col("stream") == "intents").alias("intents"), F.count_if((F.col("stream") == "output") & (F.col("payload") == "__hitl_timeout__")).alias("timeouts"))
 
 
 @query(of(STEPPED, "SELECT entity_key, count(*) AS errors FROM st GROUP BY 1"))
 def d04_failures_isolated(spark, d):
     """A failing agent: one error for each event, no output, no state, no failed task."""
-    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.failing))
+    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.failing), streams=("errors", "output"))
     return rows.filter("stream in ('errors', 'output')").groupBy("entity_key").agg(F.count("*").alias("errors"))
 
 
 @query(of(STEPPED, """SELECT entity_key, count(*) AS outputs, max(n) AS n, CAST(max(s) AS BIGINT) AS sum FROM (SELECT entity_key, count(*) OVER w AS n, sum(k) OVER w AS s FROM st WINDOW w AS (PARTITION BY entity_key ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1"""))
 def d09_yielded_fold(spark, d):
     """The counter as an agent that yields its effects: what it had in memory at its last event of each key."""
-    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.Counting(), ttl_ms=10**13)), "output")
+    rows = fold.stream_of(fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.Counting(), ttl_ms=10**13), streams=("output",)), "output")
     return rows.groupBy("entity_key").agg(F.count("*").alias("outputs"), F.max(F.get_json_object("payload", "$.n").cast("bigint")).alias("n"), F.max(F.get_json_object("payload", "$.sum").cast("bigint")).alias("sum"))
 
 
@@ -240,7 +240,7 @@ def d10_timer_flushes(spark, d):
     latest."""
     last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
     c = Config(agent=agents.counter, ttl_ms=10**13, batching=Batching(10**6, _WAIT))
-    rows = fold.run_agent(testbed.envelopes(spark, d), c, end_ms=last + 2 * _WAIT)
+    rows = fold.run_agent(testbed.envelopes(spark, d), c, end_ms=last + 2 * _WAIT, streams=("traces",))
     starts = rows.filter("stream = 'traces' and event_type = 'ACTIVATION_START' and attributes['batch_trigger'] = 'timer'")
     return starts.select("entity_key", "seq", F.col("attributes")["batch_size"].cast("bigint").alias("size"), F.col("event_time_ms").alias("last_ms"))
 
@@ -255,7 +255,7 @@ def d11_expired_batches(spark, d):
     """Events that wait for a batch until the key expires: each is reported when it is wiped, a time to live after the last of them."""
     last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
     c = Config(agent=agents.counter, ttl_ms=_TTL, batching=Batching(10**6, 10**13))
-    rows = fold.run_agent(testbed.envelopes(spark, d), c, end_ms=last + 2 * _TTL)
+    rows = fold.run_agent(testbed.envelopes(spark, d), c, end_ms=last + 2 * _TTL, streams=("errors",))
     wiped = rows.filter("stream = 'errors' and reason = 'ttl_wiped_batch'")
     return wiped.groupBy("entity_key", F.col("event_time_ms").alias("wiped_ms")).agg(F.count("*").alias("events"))
 
@@ -266,7 +266,7 @@ def d12_escalations(spark, d):
     """Each event asks for approval; after an hour somebody else is asked, once, and half an hour later the answer is no."""
     last = testbed.stepped(spark, d).agg(F.max("t")).first()[0] or 0
     policy = TimeoutPolicy(max_escalations=1, on_timeout=lambda waiting: Escalate("oncall", timeout_ms=1800_000))
-    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13, policy=policy), end_ms=last + 10**8)
+    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13, policy=policy), end_ms=last + 10**8, streams=("intents", "output"))
     intents = F.col("stream") == "intents"
     return rows.groupBy("entity_key").agg(
         F.count_if(intents & (F.col("tool_name") == "approval")).alias("asked"), F.count_if(intents & (F.col("tool_name") == "oncall")).alias("escalated"), F.count_if((F.col("stream") == "output") & (F.col("payload") == "__hitl_timeout__")).alias("denied")
@@ -288,7 +288,7 @@ def d05_state_export(spark, d):
     """Exports of the waiting agent: sequence, what it waits for and until when."""
     e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event", F.lit(None).cast("string").alias("export_request"))
     ask = e.groupBy("entity_key").agg((F.max("event_time_ms") + 1).alias("event_time_ms"), F.lit(1 << 40).alias("arrival"), F.lit("export_request").alias("kind"), F.lit(None).cast("string").alias("external_event"), F.lit(json.dumps({"request_id": "end"})).alias("export_request"))
-    rows = fold.stream_of(fold.run_agent(e.unionByName(ask), Config(agent=agents.buyer, ttl_ms=10**13)), "snapshots")
+    rows = fold.stream_of(fold.run_agent(e.unionByName(ask), Config(agent=agents.buyer, ttl_ms=10**13), streams=("snapshots",)), "snapshots")
     said = lambda n: F.get_json_object("body", f"$.{n}").cast("bigint")
     pending = F.size(F.from_json(F.get_json_object("body", "$.pending_intent_ids"), "array<string>")).cast("bigint")
     return rows.select("entity_key", "seq", "event_time_ms", pending.alias("pending"), said("continuation_deadline_ms").alias("deadline_ms"), said("memory_entries").alias("entries"))

@@ -213,7 +213,7 @@ def b13_replay_run(spark, d):
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["entity_key", "seq", "verdict", "kind"])
 
-    return e.repartition("entity_key").sortWithinPartitions("entity_key", "event_time_ms", "arrival").mapInArrow(again, "entity_key string, seq bigint, verdict string, kind string")
+    return fold.in_order(e).mapInArrow(again, "entity_key string, seq bigint, verdict string, kind string")
 
 
 _INTENTS = "SELECT entity_key, seq, row_number() OVER (PARTITION BY entity_key, seq ORDER BY arrival) - 1 AS position, a_intent AS intent_id, a_tool AS tool_name, a_intent_kind AS kind, a_expires AS expires_at_ms, arrival FROM te WHERE event_type = 'INTENT_EMITTED'"
@@ -499,7 +499,7 @@ def c09_quality_windows(spark, d):
   SELECT entity_key, name, n AS value FROM n, m"""))
 def d06_metric_counters(spark, d):
     """Counters of the waiting agent by key: each event is one activation, one suspension and one intent."""
-    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13, metrics=True))
+    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=agents.buyer, ttl_ms=10**13, metrics=True), streams=("metrics",))
     return metrics.counters(rows, "entity_key")
 
 
@@ -519,11 +519,14 @@ def mixed(ctx: Context) -> Complete:
 def d07_metric_identities(spark, d):
     """Counters beside the numbers of records they stand for: both columns say the same."""
     c = Config(agent=mixed, ttl_ms=10**13, metrics=True, provider=lambda r: Response("x", 1, 1), tools={"look": lambda n: n})
-    rows = fold.run_agent(testbed.envelopes(spark, d), c)
+    rows = fold.run_agent(testbed.envelopes(spark, d), c, streams=("errors", "traces", "metrics"))
     t = F.col("event_type")
     kind = F.when(F.col("stream") == "errors", "agent_errors").when(t == "ACTIVATION_END", "activations").when(t == "LLM_CALL", "llm_calls").when(t == "TOOL_CALL", "tool_calls")
-    said = metrics.counters(rows).withColumnRenamed("value", "metric")
-    return rows.groupBy(kind.alias("name")).agg(F.count("*").alias("records")).filter("name is not null").join(said, "name", "left").select("name", "metric", "records")
+    # one pass over the fold: a record counts under its kind, a metrics record under the counters in it
+    one = F.array(F.struct(kind.alias("name"), F.lit(None).cast("bigint").alias("metric"), F.lit(1).cast("bigint").alias("records")))
+    said = F.transform(F.map_entries(metrics.moved(F.col("body"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("metric"), F.lit(None).cast("bigint").alias("records")))
+    each = rows.select(F.explode(F.when(F.col("stream") == "metrics", said).otherwise(one)).alias("r")).select("r.*")
+    return each.groupBy("name").agg(F.sum("metric").alias("metric"), F.sum("records").alias("records")).filter("name is not null and records > 0")
 
 
 def hangs(ctx: Context) -> Complete:
@@ -538,5 +541,5 @@ def hangs(ctx: Context) -> Complete:
   SELECT entity_key, count(*) FILTER (hung AND (first_ok IS NULL OR r < first_ok)) AS timeouts, count(*) FILTER (NOT (hung AND (first_ok IS NULL OR r < first_ok))) AS outputs FROM g GROUP BY 1"""))
 def d08_activation_timeouts(spark, d):
     """Agents that hang are stopped at their time limit: one error each, and the key goes on."""
-    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=hangs, ttl_ms=10**13, timeout_ms=400, cancel_grace_ms=2000))
+    rows = fold.run_agent(testbed.envelopes(spark, d), Config(agent=hangs, ttl_ms=10**13, timeout_ms=400, cancel_grace_ms=2000), streams=("errors", "output"), overlap=32)
     return rows.groupBy("entity_key").agg(F.count_if(F.col("reason") == "activation_timeout").alias("timeouts"), F.count_if(F.col("stream") == "output").alias("outputs"))

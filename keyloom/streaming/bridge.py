@@ -9,10 +9,12 @@ failed, and nothing that the agent staged counts.
 from __future__ import annotations
 
 import asyncio
+import contextlib
 import inspect
 import queue
 import threading
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 
 class ActivationTimeout(TimeoutError):
@@ -22,7 +24,8 @@ class ActivationTimeout(TimeoutError):
 class _Thread:
     def __init__(self) -> None:
         self.jobs: queue.SimpleQueue = queue.SimpleQueue()
-        threading.Thread(target=self._work, daemon=True).start()
+        self.thread = threading.Thread(target=self._work, daemon=True)
+        self.thread.start()
 
     def _work(self) -> None:
         while True:
@@ -51,6 +54,37 @@ def _finish(result, stop: dict):
 
 
 _idle: list[_Thread] = []
+_own = threading.local()
+PATIENCE = 0.005  # seconds that an agent may take before its turn may pass to another
+
+
+@contextlib.contextmanager
+def taking(turn: threading.Lock) -> Iterator[None]:
+    """This thread takes turns with others that were given the same lock: it holds it, but while its agent waits."""
+    with turn:
+        _own.turn = turn
+        try:
+            yield
+        finally:
+            _own.turn = None
+
+
+def _result(thread: _Thread, done: queue.SimpleQueue, seconds: float) -> tuple:
+    turn = getattr(_own, "turn", None)
+    if turn is None or seconds <= PATIENCE:
+        return done.get(timeout=seconds)
+    clock = time.pthread_getcpuclockid(thread.thread.ident)
+    spent = time.clock_gettime(clock)
+    try:
+        return done.get(timeout=PATIENCE)
+    except queue.Empty:
+        if time.clock_gettime(clock) - spent > PATIENCE / 5:  # it computes, and would only share the processor
+            return done.get(timeout=seconds - PATIENCE)
+    turn.release()
+    try:
+        return done.get(timeout=seconds - PATIENCE)
+    finally:
+        turn.acquire()
 
 
 def run(call: Callable[[], object], timeout_ms: int | None, grace_ms: int, cancelled: threading.Event) -> object:
@@ -62,13 +96,13 @@ def run(call: Callable[[], object], timeout_ms: int | None, grace_ms: int, cance
     done: queue.SimpleQueue = queue.SimpleQueue()
     thread.jobs.put((call, stop, done))
     try:
-        ok, value = done.get(timeout=timeout_ms / 1000)
+        ok, value = _result(thread, done, timeout_ms / 1000)
     except queue.Empty:
         cancelled.set()
         if "cancel" in stop:
             stop["cancel"]()
         try:
-            done.get(timeout=grace_ms / 1000)
+            _result(thread, done, grace_ms / 1000)
             _idle.append(thread)
         except queue.Empty:
             thread.jobs.put(None)

@@ -10,13 +10,18 @@ that the one before it left; ``sharded`` spreads keys that are too hot for that.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
+import operator
+import threading
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import bridge, kernel
 from .kernel import Config, KeyState
 
 OUTPUT = (
@@ -34,14 +39,17 @@ STREAMS = {
     "metrics": ["entity_key", "seq", "ordinal", "event_time_ms", "body"],
 }
 OUT_ROWS = 5_000
+_NONE, _NAMED = dict.fromkeys(_COLUMNS), frozenset(_COLUMNS)
 
 
 def as_row(key: str, ordinal: int, r: dict) -> dict:
     """A record in the shape of the one output table; rare fields travel as JSON in ``body``."""
-    out = dict.fromkeys(_COLUMNS)
-    out.update({k: v for k, v in r.items() if k in out})
-    out.update(entity_key=key, ordinal=ordinal)
-    out["event_time_ms"] = r.get("event_time_ms", r.get("start_ms", r.get("snapshot_at_ms", r.get("updated_at_ms", r.get("created_at_ms")))))
+    out = _NONE.copy()
+    for k in r.keys() & _NAMED:
+        out[k] = r[k]
+    out["entity_key"], out["ordinal"] = key, ordinal
+    if "event_time_ms" not in r:
+        out["event_time_ms"] = r.get("start_ms", r.get("snapshot_at_ms", r.get("updated_at_ms", r.get("created_at_ms"))))
     if r["stream"] in ("snapshots", "saves", "metrics"):
         out["body"] = json.dumps({k: v for k, v in r.items() if k != "stream"}, sort_keys=True, separators=(",", ":"))
     return out
@@ -95,39 +103,68 @@ def _batch(rows: list[dict]):
     return pa.RecordBatch.from_arrays(cols, _COLUMNS)
 
 
-def run_agent(envelopes: DataFrame, config: Config, end_ms: int | None = None) -> DataFrame:
-    """Fold a table of envelopes; ``tool_result``, ``approval`` and ``export_request`` are structs or JSON."""
+class _Key:
+    """A key's state in a fold, and the number of its next record."""
+
+    def __init__(self, key: str):
+        self.key, self.state, self.ordinal = key, KeyState(), 0
+
+    def taken(self, rows: list[dict], streams: tuple[str, ...] | None) -> list[dict]:
+        first, self.ordinal = self.ordinal, self.ordinal + len(rows)
+        return [as_row(self.key, first + i, r) for i, r in enumerate(rows) if streams is None or r["stream"] in streams]
+
+
+def run_agent(envelopes: DataFrame, config: Config, end_ms: int | None = None, streams: tuple[str, ...] | None = None, overlap: int = 1) -> DataFrame:
+    """Fold a table of envelopes; ``tool_result``, ``approval`` and ``export_request`` are structs or JSON. ``streams``: the
+    tagged outputs that are wanted, if not all; rows of others stay in the task, and ordinals are the same. ``overlap``: so many
+    keys of a task are at work by turns, one giving its turn up while its agent waits; such agents run in several threads."""
+
+    def work(one: _Key, rows: list[dict], ended: bool) -> Iterator[dict]:
+        """Records of some rows of one key, and of its timers if these are its last."""
+        for r in rows:
+            yield from one.taken(fire_due(config, one.key, one.state, r["event_time_ms"]), streams)
+            yield from one.taken(kernel.on_envelope(config, one.key, one.state, to_envelope(r), r["event_time_ms"]), streams)
+        if ended and end_ms is not None:
+            yield from one.taken(fire_due(config, one.key, one.state, end_ms), streams)
 
     def fold(batches):
-        key, state, ordinal, out = None, KeyState(), 0, []
-
-        def keep(rows: list[dict]) -> None:
-            nonlocal ordinal
-            out.extend(as_row(key, ordinal + i, r) for i, r in enumerate(rows))
-            ordinal += len(rows)
-
-        def finish() -> None:
-            if key is not None and end_ms is not None:
-                keep(fire_due(config, key, state, end_ms))
-
-        for b in batches:
-            for r in b.to_pylist():
-                if r["entity_key"] != key:
-                    finish()
-                    key, state, ordinal = r["entity_key"], KeyState(), 0
-                keep(fire_due(config, key, state, r["event_time_ms"]))
-                keep(kernel.on_envelope(config, key, state, to_envelope(r), r["event_time_ms"]))
-                if len(out) >= OUT_ROWS:
-                    yield _batch(out)
-                    out.clear()
-        finish()
+        turn, last, out = threading.Lock(), None, []
+
+        def apart(run: tuple) -> list[dict]:
+            with bridge.taking(turn):
+                return list(work(*run))
+
+        with ThreadPoolExecutor(overlap) if overlap > 1 else contextlib.nullcontext() as pool:
+            for b in itertools.chain(batches, [None]):
+                runs: list[list] = []
+                for key, rows in itertools.groupby(b.to_pylist() if b is not None else [{"entity_key": None}], key=operator.itemgetter("entity_key")):
+                    if last is None or key != last.key:
+                        if last is not None:
+                            runs = runs or [[last, [], False]]
+                            runs[-1][2] = True
+                        last = _Key(key)
+                    runs.append([last, list(rows) if key is not None else [], False])
+                for made in pool.map(apart, runs) if pool else itertools.starmap(work, runs):
+                    for row in made:
+                        out.append(row)
+                        if len(out) >= OUT_ROWS:
+                            yield _batch(out)
+                            out.clear()
         yield _batch(out)
 
     known = ("entity_key", "event_time_ms", "arrival", "kind", "external_event", "tool_result", "approval", "export_request")
     have = [c for c in known if c in envelopes.columns]
     slim = envelopes.select(*(F.to_json(c).alias(c) if envelopes.schema[c].dataType.typeName() == "struct" else F.col(c) for c in have))
     slim = slim.filter(F.col("entity_key").isNotNull())
-    return slim.repartition("entity_key").sortWithinPartitions("entity_key", "event_time_ms", "arrival").mapInArrow(fold, OUTPUT)
+    return in_order(slim).mapInArrow(fold, OUTPUT)
+
+
+def in_order(envelopes: DataFrame) -> DataFrame:
+    """Dealt by key, each key's rows in order. The number of parts is given, as one that Spark adapts follows the bytes: a few
+    parts for rows that are small but take long."""
+    spark = envelopes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return envelopes.repartition(parts, "entity_key").sortWithinPartitions("entity_key", "event_time_ms", "arrival")
 
 
 def stream_of(rows: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ records: ``activations`` with ACTIVATION_END traces, ``intents_emitted`` with in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The names under which the runtime is observed.
@@ -20,6 +20,11 @@ DISTRIBUTIONS = ["activation_ms", "overhead_ms", "llm_ms", "tokens", "prompt_tok
 _BODY = "counters map<string, bigint>, samples map<string, array<bigint>>"
 
 
+def moved(body: Column) -> Column:
+    """The counters of one metrics record, as a map."""
+    return F.from_json(body, _BODY)["counters"]
+
+
 def counters(rows: DataFrame, *by: str) -> DataFrame:
     """Rows ``(*by, name, value)``: sums of the counters that moved. ``rows``: the one output table."""
     m = rows.filter("stream = 'metrics'").withColumn("m", F.from_json("body", _BODY))

@@ -418,3 +418,33 @@ def test_replay_cache_bounds():
 def test_agents_waiting_for_nothing():
     rows, _ = fold.run_key(Config(agent=lambda ctx: Suspend("s", timeout_ms=5)), "6b", [ev(0)], end_ms=T0 + 5)
     assert of(rows, "output")[0]["payload"] == kernel.TIMEOUT_OUTPUT
+
+
+def test_waits_of_keys_overlap(spark):
+    import time
+
+    def waits(ctx):
+        if ctx.event == "wait":
+            ctx.cancelled.wait(30)
+        ctx.emit(f"{ctx.key}-{ctx.event}")
+        return Complete(str(ctx.seq))
+
+    rows = [(f"k{k:02}", 10 * i, i, "external_event", "wait" if i == 1 else str(i)) for k in range(24) for i in range(4)]
+    table = spark.createDataFrame(rows, "entity_key string, event_time_ms bigint, arrival bigint, kind string, external_event string").coalesce(1)
+    config = Config(agent=waits, ttl_ms=10**13, timeout_ms=500, cancel_grace_ms=2000)
+    began = time.monotonic()
+    got = [fold.run_agent(table, config, overlap=n).orderBy("entity_key", "ordinal").collect() for n in (24, 1)]
+    took = time.monotonic() - began
+    assert got[0] == got[1] and sum(r.reason == "activation_timeout" for r in got[0]) == 24
+    began = time.monotonic()
+    some = fold.run_agent(table, config, streams=("output",), overlap=24).orderBy("entity_key", "ordinal").collect()
+    assert some == [r for r in got[0] if r.stream == "output"] and time.monotonic() - began < took / 2
+
+
+def test_ids_are_those_of_uuid5():
+    import uuid
+
+    for key, seq in (("k", 0), ("schlüssel", 12)):
+        assert kernel.trace_id(key, seq) == uuid.uuid5(kernel.TRACE_NAMESPACE, f"{key}|{seq}").hex
+        assert kernel.span_id(key, seq, "ERROR", 3) == uuid.uuid5(kernel.TRACE_NAMESPACE, f"{key}|{seq}|ERROR|3").hex[:16]
+        assert kernel.intent_id(key, seq, 2) == str(uuid.uuid5(kernel.INTENT_NAMESPACE, f"{key}|{seq}|2"))
