@@ -22,9 +22,9 @@ def later(value: str, keep_if: Column | None = None) -> Column:
     return F.max_by(value, arrival)
 
 
-def merge_events(raw: DataFrame) -> DataFrame:
+def merge_events(raw: DataFrame, *more: Column) -> DataFrame:
     """One row for each (trace, span, type). A later copy wins, but blanks and zeros erase nothing and a lossy
-    copy replaces neither provenance nor place of a lossless one. Attribute keys are never dropped."""
+    copy replaces neither provenance nor place of a lossless one. Attribute keys are never dropped. ``more``: further aggregates."""
     base = raw.groupBy(*EVENT_KEY).agg(
         F.coalesce(later("parent_span_id", F.col("parent_span_id") != ""), F.lit("")).alias("parent_span_id"),
         F.coalesce(later("entity_key", F.col("entity_key") != ""), F.lit("")).alias("entity_key"),
@@ -34,6 +34,7 @@ def merge_events(raw: DataFrame) -> DataFrame:
         F.coalesce(later("end_ms", F.col("end_ms") != 0), F.lit(0)).cast("bigint").alias("end_ms"),
         F.coalesce(later("provenance", F.col("provenance") != "otlp"), later("provenance")).alias("provenance"),
         F.count("*").alias("copies"),
+        *more,
     )
     return base
 
@@ -44,11 +45,10 @@ def merge_attributes(raw: DataFrame) -> DataFrame:
     return each.groupBy(*EVENT_KEY, "attribute").agg(later("value").alias("value"))
 
 
-def merged(raw: DataFrame) -> DataFrame:
-    """Events and attributes together, in the shape of a trace event."""
+def merged(raw: DataFrame, *more: Column) -> DataFrame:
+    """Events and attributes together, in the shape of a trace event, and ``more`` aggregates."""
     maps = merge_attributes(raw).groupBy(*EVENT_KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "value")))).alias("attributes"))
-    last = raw.groupBy(*EVENT_KEY).agg(F.max("arrival").alias("arrival"))
-    return merge_events(raw).drop("copies").join(maps, list(EVENT_KEY), "left").join(last, list(EVENT_KEY))
+    return merge_events(raw, F.max("arrival").alias("arrival"), *more).drop("copies").join(maps, list(EVENT_KEY), "left")
 
 
 def merge_errors(raw: DataFrame) -> DataFrame:

@@ -143,10 +143,11 @@ class Segments:
 
     def places(self, table: str, keys: DataFrame, state: State) -> tuple[set[str], list | None]:
         """The buckets that keys fall in, and the values of their first column if they are few."""
-        each = keys.select(self.bucket(table, state).cast("string").alias("b"), F.col(keys.columns[0]).alias("k")).distinct()
-        few = each.limit(FEW_KEYS + 1).collect()
-        if len(few) <= FEW_KEYS:
-            return {r.b for r in few}, [r.k for r in few]
+        each = keys.select(self.bucket(table, state).cast("string").alias("b"), F.col(keys.columns[0]).alias("k"))
+        some = each.limit(4 * FEW_KEYS + 1).collect()  # no distinct keys are looked for among many rows, which costs a shuffle
+        few = {r.k: r.b for r in some}
+        if len(some) <= 4 * FEW_KEYS and len(few) <= FEW_KEYS:
+            return set(few.values()), list(few)
         return {r.b for r in each.select("b").distinct().collect()}, None
 
     @staticmethod

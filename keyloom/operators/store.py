@@ -118,10 +118,11 @@ class RecordStore:
         for table, rows in batch.items():
             rows = rows.withColumn("arrival", F.lit(state.number << 40) + F.coalesce("arrival", F.lit(0)))
             key, schema = KEYS[table], self.schema(table)
-            stored = self.segments.read(table, schema, state, rows.select(*key).distinct())
-            merged = self._merged(table, stored, rows).select(*schema.names).withColumn("_row", _hash(key, schema))
-            before = stored.select(*key, _hash(key, schema).alias("_row"))
-            fresh = scratch.put(f"fresh-{table}", merged.join(before, [*key, "_row"], "left_anti").select(*schema.names))
+            stored = self.segments.read(table, schema, state, rows.select(*key))
+            # what a stored row says goes through the merge with it, so it is read and dealt once
+            both = stored.withColumn("_was", _hash(key, schema)).unionByName(rows.withColumn("_was", F.lit(None).cast("bigint")))
+            merged = self._merged(table, both).withColumn("_row", _hash(key, schema))
+            fresh = scratch.put(f"fresh-{table}", merged.filter(~F.col("_row").eqNullSafe(F.col("_was"))).select(*schema.names))
             n = fresh.count()
             if n:
                 self.segments.append(table, fresh, state)
@@ -130,12 +131,12 @@ class RecordStore:
             self._recompute(state, hit, scratch)
         return changed
 
-    def _merged(self, table: str, stored: DataFrame, batch: DataFrame) -> DataFrame:
-        both = stored.unionByName(batch)
+    def _merged(self, table: str, both: DataFrame) -> DataFrame:
+        was = F.max("_was").alias("_was")
         if table == "events":
-            return merge.merged(both)
-        out = merge.merge_errors(both) if table == "errors" else merge.merge_snapshots(both)
-        return out.join(both.groupBy(*IDENTITY[table]).agg(F.max("arrival").alias("arrival")), IDENTITY[table])
+            return merge.merged(both, was)
+        out = merge.merge_errors(both) if table == "errors" else merge.merge_snapshots(both.drop("_was"))
+        return out.join(both.groupBy(*IDENTITY[table]).agg(F.max("arrival").alias("arrival"), was), IDENTITY[table])
 
     def _read(self, table: str, state: State, keys: DataFrame) -> DataFrame:
         """Rows with the given keys (columns that the table's key begins with), from the buckets that may hold them."""
