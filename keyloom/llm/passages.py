@@ -19,10 +19,16 @@
    5 again by themselves, with fresh hubs among them (holders of short fragments have no open run) and with wider seeds:
    pairs of ``K`` words whose beginnings are ``GAPS`` words apart, which fragments shorter than that don't hold and
    chance seldom repeats. This goes on until no run is open or a round finds no new pair of documents.
+7. Chains of several documents with one hub are compared with each other, whether or not they are similar enough to
+   the hub (``_sibling_links``). Chains with the same words over the same words of the hub are one *variant*; variants
+   are compared pair by pair inside tasks, in blocks of up to ``BLOCK``.
 
 Result, one row for each passage: ``doc_id, start, n_words`` and ``other_id, other_start, other_words`` (word
-positions) and ``similarity``: matched words by the longer side. ``other_id`` is the smaller id. A document
-whose passages were first seen in several others has a row for each.
+positions), ``similarity``: matched words by the longer side, and ``n_links``. ``other_id`` is the smaller id. A document
+whose passages were first seen in several others has a row for each. Every link of two variants is a row where a hub
+has up to ``LISTED`` of them. Beyond, rows are the links with the hub and those that join a variant to others
+without it, and ``n_links`` counts the rest: with how many passages of this hub's the one of ``doc_id`` was found to agree, the
+hub's own and copies included. Copies of a variant have rows with one another's first holder or the hub alone.
 
 Defined results: null or short texts have no passages; a null id is dropped; rows that repeat an id are one
 document to itself and never match each other; an empty table gives no rows; ids that are no integers raise. A document that
@@ -62,6 +68,9 @@ DENSE = 0.5
 CELL = 16
 RUN_WORDS = 1 << 17  # words of open runs to a chunk
 PAD = 16  # words beside an open run that go with it
+BLOCK = 512  # variants of one hub that are compared at once
+LISTED = 32  # variants of one hub of which each link is a row
+_PASSAGE = "doc_id long, start long, n_words long, other_id long, other_start long, other_words long, similarity double"
 _CHAIN = "doc long, other long, hub_chunk long, lo2 long, hi2 long, x array<long>, y array<long>, lo long, words binary"
 
 
@@ -95,12 +104,20 @@ def seeds(hashes: np.ndarray, first: np.ndarray, gaps: tuple[int, ...] = (0,)) -
     return at, own, gap
 
 
+def _by_hash(h: np.ndarray) -> np.ndarray:
+    """The stable order of hashes. Their high bits are sorted together with their places, which is much faster than ``argsort``."""
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    by = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    own = h[by]
+    return by if (own[1:] >= own[:-1]).all() else np.argsort(h, kind="stable")
+
+
 def _numbered(at: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Seeds that come again within ``REPEAT`` words get their number in that run into the hash, so that text
     which repeats itself ("a a a a") still matches position by position."""
     if len(h) < 2:
         return h
-    by = np.lexsort((at, h))
+    by = _by_hash(h)
     again = np.concatenate(([False], (h[by][1:] == h[by][:-1]) & (np.diff(at[by]) <= REPEAT)))
     place = np.arange(len(h))
     ordinal = np.empty(len(h), dtype=np.uint64)
@@ -108,21 +125,28 @@ def _numbered(at: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(ordinal > 0, mix(h + ordinal * np.uint64(0x9E3779B97F4A7C15)), h)
 
 
-def _pieces(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Matches in groups that no chain leaves: steps of at most ``K + MAX_GAP`` words in both texts move the diagonal by no
-    more than that. A passage that a text holds many times falls into as many groups."""
+def _groups(group: np.ndarray, x: np.ndarray, y: np.ndarray, least: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The matches of each group in pieces that no chain leaves: steps of at most ``K + MAX_GAP`` words in both texts move the
+    diagonal by no more than that. A passage that a text holds many times falls into as many pieces. Those of fewer matches than
+    ``least``, or of fewer words than ``reach`` on both sides, are left out."""
+    if not len(x):
+        return
     far = K + MAX_GAP
-    by = np.lexsort((x, x - y))
-    x, y = x[by], y[by]
-    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x - y) > far) + 1):
-        part = part[np.lexsort((y[part], x[part]))]
-        for own in np.split(part, np.flatnonzero(np.diff(x[part]) > far) + 1):
-            yield x[own], y[own]
+    by = np.lexsort((x, x - y, group))
+    group, x, y = group[by], x[by], y[by]
+    piece = np.cumsum(np.concatenate(([True], (np.diff(group) != 0) | (np.diff(x - y) > far))))
+    by = np.lexsort((y, x, piece))
+    group, x, y = group[by], x[by], y[by]
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(piece) != 0) | (np.diff(x) > far))))
+    ends = np.append(starts[1:], len(x))
+    wide = np.maximum(x[ends - 1] - x[starts], np.maximum.reduceat(y, starts) - np.minimum.reduceat(y, starts)) + K
+    for k in np.flatnonzero((ends - starts >= least) & (wide >= reach)).tolist():
+        yield int(group[starts[k]]), x[starts[k] : ends[k]], y[starts[k] : ends[k]]
 
 
 def chain(x: np.ndarray, y: np.ndarray, least: int = MIN_ANCHORS) -> list[tuple[list[int], list[int]]]:
     """Best chains of matches ``(x, y)``, as lists of positions; each match is used once."""
-    return [c for a, b in _pieces(x, y) if len(a) >= least for c in _chained(a, b, least)]
+    return [c for _, a, b in _groups(np.zeros(len(x), np.int64), x, y, least, 0) for c in _chained(a, b, least)]
 
 
 def _chained(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[list[int], list[int]]]:
@@ -300,7 +324,11 @@ def _seed_table(chunks: DataFrame, parts: int, gaps: tuple[int, ...]) -> DataFra
         doc, pos, several = np.concatenate(docs), np.concatenate(places), np.concatenate(many)
         doc = doc.view(np.uint64)  # still with the sign turned: unsigned order is the order of ids
         seed = np.concatenate(all_seeds)
-        by = np.lexsort((-chunk, pos, doc, seed))  # where parts overlap the later one, whose number follows from the position
+        by = _by_hash(seed.view(np.uint64) << np.uint64(16))
+        same = seed[by][1:] == seed[by][:-1]
+        shared = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        own = by[shared]
+        by[shared] = own[np.lexsort((-chunk[own], pos[own], doc[own], seed[own]))]  # where parts overlap the later one, whose number follows from the position
         starts = np.flatnonzero(np.concatenate(([True], seed[by][1:] != seed[by][:-1])))
         group = np.empty(len(seed), dtype=np.int64)
         sizes = np.diff(np.append(starts, len(seed)))
@@ -329,7 +357,14 @@ def _seeds_of(b: pa.RecordBatch, i: int, gaps: tuple[int, ...]) -> tuple:
     seg = np.searchsorted(first, at, side="right") - 1
     doc = b.column("ids")[i].values.to_numpy()[seg]
     pos = at - first[seg] + place[seg]
-    by = np.lexsort((pos, doc, h))
+    ids = b.column("ids")[i].values.to_numpy()
+    if len(np.unique(ids)) == len(ids):  # segments are in order of their documents, then
+        rank = np.empty(len(ids), dtype=np.uint16 if len(ids) < 1 << 16 else np.int64)
+        rank[np.argsort(ids)] = np.arange(len(ids))
+        near = np.argsort(rank[seg], kind="stable")
+        by = near[_by_hash(h[near])]
+    else:
+        by = np.lexsort((pos, doc, h))
     starts = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1]))) if len(h) else np.empty(0, np.int64)
     sizes = np.diff(np.append(starts, len(h)))
     number = np.empty(len(h), dtype=np.int64)
@@ -397,13 +432,14 @@ def _chains(joined: DataFrame, parts: int, min_words: int, similarity: float, ga
                 size = np.diff(bounds)
                 span = x_all[bounds[1:] - 1] + g_all[bounds[1:] - 1] - x_all[cut]
                 least = MIN_ANCHORS if len(gaps) == 1 else 2  # a pair of seeds is two anchors
-                for g in np.flatnonzero((size * len(gaps) >= least) & (span + K + 2 * GRID >= min_words)).tolist():
-                    a, z = bounds[g], bounds[g + 1]
+                group = np.repeat(np.arange(len(cut)), size)
+                use = ((size * len(gaps) >= least) & (span + K + 2 * GRID >= min_words))[group]
+                wide = use & (g_all > 0)
+                x_use, y_use = (np.concatenate((v[use], (v + g_all)[wide])) for v in (x_all, y_all))
+                for g, x_own, y_own in _groups(np.concatenate((group[use], group[wide])), x_use, y_use, least, min_words // 3):
+                    a = bounds[g]
                     s = int(sg[a])
-                    x_own, y_own, wide = x_all[a:z], y_all[a:z], g_all[a:z] > 0
-                    if wide.any():
-                        x_own, y_own = (np.concatenate((v, (v + g_all[a:z])[wide])) for v in (x_own, y_own))
-                    for x, y in _by_part(chain(x_own, y_own, least), far, least):
+                    for x, y in _by_part(_chained(x_own, y_own, least), far, least):
                         if max(x[-1] - x[0], y[-1] - y[0]) + K < min_words // 3:
                             continue
                         if min(x[-1] - x[0], y[-1] - y[0]) + K >= min_words and _solid(np.array(x), similarity) and _solid(np.array(y), similarity):
@@ -422,6 +458,11 @@ def _chains(joined: DataFrame, parts: int, min_words: int, similarity: float, ga
                 edges = np.flatnonzero((np.diff(seg[seen]) != 0) | (np.diff(pos[seen]) > K + MAX_GAP)) + 1 if len(seen) else []
                 starts, ends = np.append(0, edges).astype(np.int64), np.append(edges, len(seen)).astype(np.int64)
                 long = (pos[seen[ends - 1]] + gap[seen[ends - 1]] + K - pos[seen[starts]] >= min_words - 2 * K) if len(seen) else []
+                if len(seen) and len(gaps) == 1:  # no window of such a run is dense enough, as in _open
+                    at = pos[seen] + seg[seen].astype(np.int64) * (1 << 40)
+                    held = np.concatenate(([0], np.cumsum(np.minimum(np.diff(at), K))))
+                    last = np.searchsorted(at, at + min_words - K, side="right") - 1
+                    long &= np.maximum.reduceat(held[last] - held + K, starts) >= DENSE * min_words
                 for r in np.flatnonzero(long).tolist():
                     k = seen[starts[r] : ends[r]]
                     s = int(seg[k[0]])
@@ -511,7 +552,7 @@ def _aligned(chains: DataFrame, regions: DataFrame, min_words: int, similarity:
     """Step 5."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_words", "other_id", "other_start", "other_words", "similarity"]
+        names = ["doc_id", "start", "n_words", "other_id", "other_start", "other_words", "similarity", "x0", "y0"]
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -524,12 +565,152 @@ def _aligned(chains: DataFrame, regions: DataFrame, min_words: int, similarity:
                     a, b2, c, d, count = stretched(own, hub, (a, b2, c, d, count), similarity)
                 length = max(b2 - a, d - c)
                 if min(b2 - a, d - c) >= min_words and count >= similarity * length:
-                    rows.append((r["doc"], a + r["lo"], b2 - a, r["other"], c + r["lo_other"], d - c, min(1.0, count / length)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                    rows.append((r["doc"], a + r["lo"], b2 - a, r["other"], c + r["lo_other"], d - c, min(1.0, count / length), r["x"][0], r["y"][0]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names)
 
     both = chains.join(regions, ["other", "hub_chunk", "lo2", "hi2"])
-    return both.select("doc", "other", "x", "y", "lo", "words", "lo_other", "other_words").mapInArrow(check, "doc_id long, start long, n_words long, other_id long, other_start long, other_words long, similarity double")
+    return both.select("doc", "other", "x", "y", "lo", "words", "lo_other", "other_words").mapInArrow(check, f"{_PASSAGE}, x0 long, y0 long")
+
+
+class _Variant:
+    """A chain with a hub, to be compared with others: its words, and which of them stand at which of the hub's."""
+
+    def __init__(self, r: dict):
+        self.r, self.doc, self.text, self.lo = r, r["doc"], r["text"], r["lo"]
+        self.own = np.frombuffer(r["words"], "<u4")
+        x, y = np.array(r["x"]) - r["lo"], np.array(r["y"])
+        self.y0, self.y1 = int(y[0]), int(y[-1]) + K
+        self.at = np.full(self.y1 - self.y0, -1)
+        for a, b, end in zip(x.tolist(), y.tolist(), [*y[1:].tolist(), self.y1], strict=True):  # up to the next anchor on this one's diagonal
+            stop = min(max(end, b + K), self.y1, b + len(self.own) - a)
+            self.at[b - self.y0 : stop - self.y0] = np.arange(a, a + stop - b)
+        held = self.at >= 0
+        back = np.minimum.accumulate(np.where(held, self.at, 1 << 40)[::-1])[::-1]  # a later anchor's words win, so that places rise
+        held &= self.at <= back
+        held[1:] &= self.at[1:] > np.maximum.accumulate(np.where(held, self.at, -1))[:-1]
+        self.there = np.where(held, self.own[np.maximum(self.at, 0)].astype(np.int64), -1)
+
+    @functools.cached_property
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        at, h, _ = seeds(np.append(self.own, 0).astype(np.uint64), np.array([0]))
+        by = np.argsort(h, kind="stable")
+        return h[by], at[by]
+
+
+def _agree(a: _Variant, b: _Variant, min_words: int, similarity: float) -> tuple[int, int, int, int, int] | None:
+    """The passage that two variants share, as by ``align``: first by the words at equal places of the hub, then by their own seeds."""
+    lo, hi = max(a.y0, b.y0), min(a.y1, b.y1)
+    if hi - lo >= min_words:
+        own = a.there[lo - a.y0 : hi - a.y0]
+        same = np.flatnonzero((own == b.there[lo - b.y0 : hi - b.y0]) & (own >= 0))
+        if len(same) >= similarity * min_words:
+            i, j = int(same[0]) + lo, int(same[-1]) + lo
+            a0, a1, b0, b1 = (int(v) for v in (a.at[i - a.y0], a.at[j - a.y0] + 1, b.at[i - b.y0], b.at[j - b.y0] + 1))
+            if min(a1 - a0, b1 - b0) >= min_words and len(same) >= similarity * max(a1 - a0, b1 - b0):
+                return a0, a1, b0, b1, len(same)
+    (ha, pa_), (hb, pb) = a.seeds, b.seeds
+    first, last = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
+    n = last - first
+    x = np.repeat(pa_, n)
+    y = pb[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    best = None
+    for cx, cy in chain(x, y):
+        found = align(a.own, b.own, cx, cy)
+        if min(found[1] - found[0], found[3] - found[2]) < min_words:
+            found = stretched(a.own, b.own, found, similarity)
+        a0, a1, b0, b1, count = found
+        if min(a1 - a0, b1 - b0) >= min_words and count >= similarity * max(a1 - a0, b1 - b0) and (best is None or count > best[4]):
+            best = found
+    return best
+
+
+def _compared(rows: list[dict], min_words: int, similarity: float) -> tuple[dict[str, int], list[tuple]]:
+    """Of the variants of one block, or of two: with how many passages each agrees, and the links that are rows."""
+    all_ = sorted((_Variant(r) for r in rows), key=lambda v: (v.y0, v.doc, v.text))
+    apart, listed = rows[0]["bi"] != rows[0]["bj"], rows[0]["variants"] <= LISTED
+    links = dict.fromkeys((v.text for v in all_), 0)
+    root = {v.text: "" if v.r["known"] else v.text for v in all_} | {"": ""}
+
+    def top(t: str) -> str:
+        while root[t] != t:
+            root[t] = t = root[root[t]]
+        return t
+
+    out = []
+    for i, a in enumerate(all_):
+        for b in itertools.islice(all_, i + 1, None):
+            if b.y0 + K > a.y1:
+                break
+            if a.doc == b.doc or (apart and a.r["b"] == b.r["b"]):
+                continue
+            found = _agree(a, b, min_words, similarity)
+            if found is None:
+                continue
+            links[a.text] += b.r["n"]
+            links[b.text] += a.r["n"]
+            one, two = top(a.text), top(b.text)
+            if listed or one != two:
+                root[max(one, two)] = min(one, two)  # the hub's class is the empty text
+                a0, a1, b0, b1, count = found
+                one, two = (a.doc, a0 + a.lo, a1 - a0), (b.doc, b0 + b.lo, b1 - b0)
+                big, small = (a, b) if a.doc > b.doc else (b, a)
+                out.append((*max(one, two), *min(one, two), min(1.0, count / max(a1 - a0, b1 - b0)), big.text))
+    return links, out
+
+
+def _sibling_links(chains: DataFrame, found: DataFrame, stage: Stage, parts: int, min_words: int, similarity: float) -> DataFrame:
+    """Step 7: the rows of ``found`` and those beside the hubs, all with ``n_links``."""
+    size = lambda c: F.element_at(c, -1) - F.col(c)[0] + K
+    m = chains.withColumn("x0", F.col("x")[0]).withColumn("y0", F.col("y")[0]).withColumn("length", size("x"))
+    m = m.filter((F.col("length") >= min_words - 2 * K) & (size("y") >= min_words - 2 * K))
+    core = F.expr("substring(words, int(4 * (x0 - lo) + 1), int(4 * length))")
+    whole = (F.col("length") >= min_words) & (size("y") >= min_words)
+    own = F.concat_ws(":", "y0", size("y"), F.when(whole, F.md5(core)).otherwise(F.concat_ws("@", "doc", "x0")))
+    m = m.withColumn("text", own)
+    known = found.select(F.col("other_id").alias("other"), F.col("doc_id").alias("doc"), "x0", "y0").distinct()
+    members = stage.put("members", m.select("other", "doc", "x0", "y0", "text", "length").distinct().join(known.withColumn("known", F.lit(True)), ["other", "doc", "x0", "y0"], "left"))
+    texts = members.groupBy("other", "text").agg(F.count("*").alias("n"), F.min(F.struct("doc", "x0")).alias("first"), (F.count("known") > 0).alias("known"))
+    sizes = texts.groupBy("other").agg(F.count("*").alias("variants")).filter("variants > 1")
+    texts = stage.put("texts", texts.join(sizes, "other").select("other", "text", "n", F.col("first.doc").alias("doc"), F.col("first.x0").alias("x0"), "known", "variants"))
+    # of copies only the words that they share take part
+    shared = (F.col("n") > 1) & whole
+    rows = m.dropDuplicates(["other", "text", "doc", "x0"]).join(texts, ["other", "text", "doc", "x0"])
+    rows = rows.select("other", "text", "doc", "n", "known", "variants", "x", "y", F.when(shared, F.col("x0")).otherwise(F.col("lo")).alias("lo"), F.when(shared, core).otherwise(F.col("words")).alias("words"))
+    blocks = F.ceil(F.col("variants") / BLOCK)
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("text"), blocks)).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("bi", F.least("b", "c")).withColumn("bj", F.greatest("b", "c")).drop("c")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        names, kinds = ["other", "text", "links", "doc_id", "start", "n_words", "other_id", "other_start", "other_words", "similarity"], [pa.int64(), pa.string(), *[pa.int64()] * 7, pa.float64()]
+        for b in itertools.chain(batches, [None]):
+            out = []
+            for r in b.to_pylist() if b is not None else [None]:
+                if held and (r is None or any(r[c] != held[0][c] for c in ("other", "bi", "bj"))):
+                    links, found = _compared(held, min_words, similarity)
+                    out += [(held[0]["other"], t, n, *[None] * 7) for t, n in links.items() if n]
+                    out += [(held[0]["other"], p[7], None, *p[:7]) for p in found]
+                    held.clear()
+                if r is not None:
+                    held.append(r)
+            cols = list(zip(*out, strict=True)) if out else [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    dealt = rows.repartition(parts, "other", "bi", "bj").sortWithinPartitions("other", "bi", "bj")
+    beside = stage.put("beside", dealt.mapInArrow(compare, f"other long, text string, links long, {_PASSAGE}"))
+    links = beside.filter("links is not null").groupBy("other", "text").agg(F.sum("links").alias("links"))
+    total = (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1 + F.coalesce("known", F.lit(False)).cast("long")).alias("n_links")
+    weights = stage.put("weights", texts.join(links, ["other", "text"], "left").select("other", "text", "n", "known", "doc", "x0", "links"))
+    counted = members.select("other", "doc", "x0", "y0", "text").join(weights.drop("doc", "x0"), ["other", "text"], "left")
+    plain = [c.split()[0] for c in _PASSAGE.split(", ")]
+    hubs = found.alias("f").join(counted.alias("c"), F.expr("f.other_id = c.other and f.doc_id = c.doc and f.x0 = c.x0 and f.y0 = c.y0"), "left")
+    hubs = hubs.select(*(f"f.{c}" for c in plain), F.greatest(total, F.lit(1)).cast("long").alias("n_links"))
+    pairs = beside.filter("links is null").drop("links").join(weights.drop("doc", "x0"), ["other", "text"]).select(*plain, total)
+    # copies of a variant that is no passage of its hub's
+    rest = members.alias("m").join(weights.filter("not known and n > 1").alias("w"), F.expr("m.other = w.other and m.text = w.text and m.doc != w.doc"))
+    copies = rest.select(F.col("m.doc").alias("doc_id"), F.col("m.x0").alias("start"), F.col("length").alias("n_words"), F.col("w.doc").alias("other_id"), F.col("w.x0").alias("other_start"), F.col("length").alias("other_words"), F.lit(1.0).alias("similarity"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return hubs.unionByName(pairs).unionByName(copies)
 
 
 def _still_open(runs: DataFrame, found: DataFrame) -> DataFrame:
@@ -554,11 +735,12 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stage, parts = Stage(spark, "passages"), 4 * max(1, shuffle_parts(spark))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held")).filter(F.col("id").isNotNull())
     chunks = stage.put("chunks-0", chunked(slim, "bigint", words_of, overlap=OVERLAP).drop("counts", "order"))
-    gaps, step, found = (0,), chunking.CHUNK_TOKENS - OVERLAP, []
+    gaps, step, found, linked = (0,), chunking.CHUNK_TOKENS - OVERLAP, [], []
     for k in itertools.count():
         back = stage.put(f"hubs-{k}", _seed_table(chunks, parts, gaps)).groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("back"))
         chains = stage.put(f"chains-{k}", _chains(chunks.join(back, "chunk"), parts, min_words, similarity, gaps, step))
         runs, chains = chains.filter("other is null"), chains.filter("other is not null")
+        linked.append(chains.select("doc", "other", "x", "y", "lo", "words"))
         wanted = chains.select("hub_chunk", "other", "lo2", "hi2").distinct().groupBy(F.col("hub_chunk").alias("chunk")).agg(F.collect_list(F.struct("other", "lo2", "hi2")).alias("wanted"))
         regions = stage.put(f"regions-{k}", _regions(chunks.join(wanted, "chunk")))
         found.append(stage.put(f"found-{k}", _aligned(chains, regions, min_words, similarity)))
@@ -573,7 +755,11 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if pairs[-1].join(functools.reduce(DataFrame.unionByName, pairs[:-1]), ["doc_id", "other_id"], "left_anti").isEmpty():
                 break
         chunks = stage.put(f"chunks-{k + 1}", _rechunked(runs, max(4, math.ceil(words / RUN_WORDS))))  # messages go from each chunk to each part
-        for table in ("chains", "chunks", "open"):
+        for table in ("chunks", "open"):
             stage.drop(f"{table}-{k}")
         gaps, step = GAPS, 0
-    return functools.reduce(DataFrame.unionByName, found).distinct()
+    stage.drop(f"chunks-{k}")
+    every = stage.put("found", functools.reduce(DataFrame.unionByName, found).distinct())
+    names = [c for c in every.columns if c not in ("similarity", "x0", "y0")]
+    out = _sibling_links(functools.reduce(DataFrame.unionByName, linked), every, stage, parts, min_words, similarity)
+    return out.groupBy(*names).agg(F.max("similarity").alias("similarity"), F.max("n_links").alias("n_links"))
