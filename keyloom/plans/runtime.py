@@ -372,7 +372,7 @@ def d13_restarted_stream(spark, d):
     e = testbed.envelopes(spark, d).select("entity_key", "event_time_ms", "arrival", "kind", "external_event")
     e.write.parquet(f"{top}/in")
     config = Config(agent=agents.counter, ttl_ms=10**13)
-    operator = chaos.FaultyProcessor(config, staging.mounted(top), lambda rows: len(rows) > 0)
+    operator = chaos.FaultyProcessor(config, staging.mounted(top), lambda rows: len(rows) > 0, streams=("output",))
     out = processor.run_agent_stream(spark.readStream.schema(e.schema).parquet(f"{top}/in"), config, operator=operator)
     with rocksdb(spark):
         for _ in range(3):

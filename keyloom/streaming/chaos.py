@@ -44,8 +44,8 @@ class FaultyProcessor(processor.AgentProcessor):
     its checkpoint, on whatever worker, goes on undisturbed.
     """
 
-    def __init__(self, config: kernel.Config, folder: str, matches: Callable[[list[dict]], bool]):
-        super().__init__(config)
+    def __init__(self, config: kernel.Config, folder: str, matches: Callable[[list[dict]], bool], streams: tuple[str, ...] | None = None):
+        super().__init__(config, streams)
         self.folder, self.matches = folder, matches
 
     def _store(self, key, state, stored, ordinal, armed, rows, now_ms, watermark_ms):

@@ -28,8 +28,10 @@ CELLS = {"memory": ("memory",), "cache": ("cache",), "batch": ("batch",), "rest"
 
 
 class AgentProcessor(StatefulProcessor):
-    def __init__(self, config: Config):
-        self.config = config
+    """``streams``: the tagged outputs that are wanted, if not all; rows of others stay in the task, and ordinals are the same."""
+
+    def __init__(self, config: Config, streams: tuple[str, ...] | None = None):
+        self.config, self.streams = config, streams
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -38,10 +40,12 @@ class AgentProcessor(StatefulProcessor):
 
     def _load(self) -> tuple[KeyState, dict[str, str | None], int, int | None]:
         """The state, its cells as they are stored, the number of records so far, and the timer that is set."""
-        stored = {c: cell.get()[0] if cell.exists() else None for c, cell in self.cells.items()}
+        place = self.place.get()  # None for a key that has no state; each question to the store is a message
+        if place is None:
+            return KeyState(), dict.fromkeys(self.cells), 0, None
+        stored = {c: (cell.get() or (None,))[0] for c, cell in self.cells.items()}
         parts = {k: v for blob in stored.values() if blob for k, v in json.loads(blob).items()}
-        ordinal, armed = self.place.get() if self.place.exists() else (0, None)
-        return KeyState(**parts), stored, ordinal, armed
+        return KeyState(**parts), stored, *place
 
     def _arm(self, armed: int | None, at: int | None) -> int | None:
         """Set the key's one timer; the time it is set to."""
@@ -65,7 +69,8 @@ class AgentProcessor(StatefulProcessor):
             if blob != stored[c]:
                 self.cells[c].clear() if blob is None else self.cells[c].update((blob,))
         self.place.clear() if empty else self.place.update((ordinal + len(rows), at))
-        return pd.DataFrame([as_row(key, ordinal + i, r) for i, r in enumerate(rows)], columns=_COLUMNS)
+        kept = [as_row(key, ordinal + i, r) for i, r in enumerate(rows) if self.streams is None or r["stream"] in self.streams]
+        return pd.DataFrame({c: [r[c] for r in kept] for c in _COLUMNS}, dtype=object)
 
     def _expired(self, key: str, state: KeyState, watermark_ms: int) -> list[dict]:
         due = state.ttl_at_ms is not None and 0 < state.ttl_at_ms <= watermark_ms
@@ -85,7 +90,7 @@ class AgentProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
         state, stored, ordinal, armed = self._load()
         now_ms, watermark_ms = timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        found = [to_envelope(r) for pdf in rows for r in pdf.to_dict("records")]
+        found = [to_envelope(dict(zip(pdf.columns, r, strict=True))) for pdf in rows for r in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True)]
         out = self._expired(key[0], state, watermark_ms)
         for e in sorted(found, key=lambda e: (e["event_time_ms"], e["arrival"])):
             out += kernel.on_envelope(self.config, key[0], state, e, now_ms)
@@ -102,12 +107,13 @@ class AgentProcessor(StatefulProcessor):
         pass
 
 
-def run_agent_stream(envelopes: DataFrame, config: Config, delay: str = "10 seconds", operator: AgentProcessor | None = None) -> DataFrame:
-    """The streaming form of ``fold.run_agent``: append rows of the one output table. ``operator`` may stand for the usual one."""
+def run_agent_stream(envelopes: DataFrame, config: Config, delay: str = "10 seconds", operator: AgentProcessor | None = None, streams: tuple[str, ...] | None = None) -> DataFrame:
+    """The streaming form of ``fold.run_agent``: append rows of the one output table. ``operator`` may stand for the usual one,
+    and then picks the ``streams`` itself."""
     have = [c for c in ("entity_key", "event_time_ms", "arrival", "kind", "external_event", "tool_result", "approval", "export_request") if c in envelopes.columns]
     slim = envelopes.select(*(F.to_json(c).alias(c) if envelopes.schema[c].dataType.typeName() == "struct" else F.col(c) for c in have))
     timed = slim.withColumn("_time", F.timestamp_millis("event_time_ms")).withWatermark("_time", delay)
-    return timed.groupBy("entity_key").transformWithStateInPandas(statefulProcessor=operator or AgentProcessor(config), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime")
+    return timed.groupBy("entity_key").transformWithStateInPandas(statefulProcessor=operator or AgentProcessor(config, streams), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime")
 
 
 def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
