@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+FEW_IDS = 700_000  # about 40 MB in a broadcast of ids alone
+
 _own: dict[str, str] = {}
 _stages: list[Stage] = []
 
@@ -89,6 +92,20 @@ def integral(docs: DataFrame, column: str) -> None:
         raise TypeError(f"{column} must hold integers, not {kind.simpleString()}")
 
 
+def without(docs: DataFrame, ids: DataFrame, stage: Stage) -> DataFrame:
+    """The rows of ``docs`` whose id is none of ``ids``, one column that ``docs`` has too; a null there stands for rows without an id.
+
+    The ids are staged and counted first: Spark would shuffle whole texts by what it guesses of their number.
+    Only where they are more than ``FEW_IDS`` the texts are shuffled.
+    """
+    (name,) = ids.columns
+    gone = stage.put("gone", ids.distinct())
+    n, known = gone.agg(F.count("*"), F.count(name)).first()
+    kept = docs.filter(F.col(name).isNotNull()) if n > known else docs
+    gone = gone.filter(F.col(name).isNotNull())
+    return kept.join(F.broadcast(gone) if known <= FEW_IDS else gone, name, "left_anti")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

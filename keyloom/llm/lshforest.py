@@ -386,6 +386,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     pairs = stage.put("pairs", _candidates(_runs(alone, trees, depth, prefix, threshold, recall, hot, 64), prefix, threshold))
     with arrow_rows(spark, 64):  # rows of two whole texts
         links = stage.put("links", _verified(pairs.filter("kind = 0"), slim, reps, stage, n, threshold))
+    stage.drop("texts")
     edges, counted = links.select("a", "b"), links.select("a", "b")
 
     # Step 5: texts of large runs, each once, with all texts that they share such runs with.
@@ -404,6 +405,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
         each = each.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
         more = stage.put("more-links", _settled(each.select("group", "i", "j", "mine", "id", "sig", "text"), n, threshold, trees, depth, prefix))
         edges = edges.unionByName(more.filter("a < b").select("a", "b"))
+        stage.drop("held")
         # Pairs inside a group are counted in its blocks, those of their small runs as well.
         counted = counted.join(groups.select(F.col("id").alias("a"), F.col("group").alias("ga")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("group").alias("gb")), "b", "left")
         counted = counted.filter("ga is null or gb is null or ga <> gb").select("a", "b")
@@ -423,4 +425,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tree
     found = reps.select("key", "node", F.col("rep").alias("rep_id")).join(named, "node", "left").join(degree.withColumnRenamed("id", "node"), "node", "left").drop("node")
     out = signed.select("id", "key").distinct().join(found, "key", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("class", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.min("rep_id").alias("rep_id"), F.sum("n_links").alias("n_links"))
+    out = out.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.min("rep_id").alias("rep_id"), F.sum("n_links").alias("n_links"))
+    out = Stage(spark, "forest-result").put("result", out)
+    stage.drop()  # signatures are most of it
+    return out

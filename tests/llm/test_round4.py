@@ -46,3 +46,27 @@ def test_many_variants_are_counted(spark, monkeypatch):
         assert {r.doc_id for r in got if r.other_id == 1} == set(range(2, 44))
         assert {r.n_links for r in got if r.other_id == 1} == {42}
         assert len(got) < 100
+
+
+def test_stages_drop_rows_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from keyloom.llm import common
+
+    rng = random.Random(6)
+    texts = [" ".join(_words(rng, 60)) for _ in range(8)]
+    texts += [texts[0], texts[1] + " more", texts[2]]
+    rows = [(None if d == 4 else d, t, "en", "web", len(t)) for d, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    items = [(str(k), " ".join(texts[d].split()[5:20])) for k, d in enumerate((3, 4))]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where Spark guesses that there are many ids
+    try:
+        for few in (common.FEW_IDS, 0):
+            monkeypatch.setattr(common, "FEW_IDS", few)
+            for step, gone in ((corpus_pipeline.near_duplicates, {8, 9, 10}), (corpus_pipeline.decontaminate, {3, None})):
+                left = step(spark, docs, str(tmp_path))
+                assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(r[0]) for r in rows if r[0] not in gone)
+                assert ("Exchange hashpartitioning" in left._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
