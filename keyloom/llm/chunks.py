@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], parts: int = 1, overlap: int = 0) -> DataFrame:
+def coded(flat: bytes) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words, after END and START, and the place in them of each word of a text with blanks between."""
+    data = np.frombuffer(flat, np.uint8)
+    word = data != 32
+    edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    offsets = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2])))
+    found = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]).dictionary_encode()
+    _, at, own = found.dictionary.buffers()  # slices of one object are much faster than to_pylist
+    at, own = np.frombuffer(at, np.int64, len(found.dictionary) + 1).tolist(), own.to_pybytes()
+    words = [own[a:z] for a, z in itertools.pairwise(at)]
+    end = words.index(END)
+    place = np.arange(2, len(words) + 2)
+    place[end:] -= 1
+    place[end] = 0
+    return [END, START, *words[:end], *words[end + 1 :]], place[found.indices.to_numpy()]
+
+
+def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]] | bytes, parts: int = 1, overlap: int = 0) -> DataFrame:
     """Chunks of ``docs (id, text, held)``: about ``CHUNK_TOKENS`` words each, every document closed by END.
 
     ``ids``: the id of each segment (a document, or a part of a very long one). ``meta``: row number, held,
@@ -60,6 +77,9 @@ def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], par
 
     With ``overlap`` no document is cut that fits a chunk, and one of more than ``step = CHUNK_TOKENS - overlap``
     words has a part at each multiple of ``step``, in chunks that follow each other; parts share ``overlap`` words.
+
+    ``split`` gives a text's words. Or it is a table by which all bytes between words become blanks: words are then told apart
+    once for a chunk, which is much faster, and the word before a segment is always START.
     """
     step = CHUNK_TOKENS - overlap
     if step <= 0:
@@ -70,7 +90,7 @@ def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], par
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        number, row = 0, 0
+        number, row, table = 0, 0, isinstance(split, bytes)
         names = ["chunk", "ids", "meta", "tokens", "words", "counts", "order"]
         words: defaultdict[bytes, int] = defaultdict()
         segments: list[tuple] = []  # row, held, word before, tokens, place
@@ -88,11 +108,17 @@ def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], par
         def close() -> pa.RecordBatch:
             nonlocal number
             held = np.array([s[1] for s in segments], dtype=np.int64)
-            n = np.array([len(s[3]) for s in segments], dtype=np.int64)
-            tokens = np.concatenate([s[3] for s in segments])
+            own_words: Collection[bytes] = words
+            if table:
+                n = np.array([s[5] for s in segments], dtype=np.int64)
+                own_words, tokens = coded(b" ".join([*(s[3] for s in segments), END]))  # one END more, for chunks without
+                tokens = tokens[:-1]
+            else:
+                n = np.array([len(s[3]) for s in segments], dtype=np.int64)
+                tokens = np.concatenate([s[3] for s in segments])
             train = np.repeat(held == 0, n)
-            counts = np.bincount(tokens[train], minlength=len(words))
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype="<u8")
+            counts = np.bincount(tokens[train], minlength=len(own_words))
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in own_words], dtype="<u8")
             meta = pack(np.array([s[0] for s in segments]), held, np.array([s[2] for s in segments]), n, np.array([s[4] for s in segments]))
             own = pa.array(ids, ids_type)
             cols = [pa.array([base + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([meta]), pa.array([pack(tokens)]), pa.array([hashes.tobytes()]), pa.array([pack(counts)]), pa.array([pack(*order_of(hashes, parts))])]
@@ -107,7 +133,24 @@ def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], par
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for key, text, held in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("held").to_pylist(), strict=True):
-                    found = split(text or "")
+                    if table:
+                        whole = (text or "").encode("utf-8", "surrogatepass").translate(split)
+                        blank = np.frombuffer(whole, np.uint8) == 32
+                        count = int((blank[:-1] & ~blank[1:]).sum()) + int(len(blank) > 0 and not blank[0]) + 1
+                        if count <= step and (size + count <= CHUNK_TOKENS or overlap):  # never cut
+                            if size and size + count > CHUNK_TOKENS:
+                                yield close()
+                                fresh()
+                            segments.append((base + row, int(held), 1, whole + b" " + END, 0, count))
+                            ids.append(key)
+                            size, row = size + count, row + 1
+                            if size >= CHUNK_TOKENS:
+                                yield close()
+                                fresh()
+                            continue
+                        found = whole.split()
+                    else:
+                        found = split(text or "")
                     found.append(END)
                     last, k = START, 0
                     if overlap and size and size + len(found) > CHUNK_TOKENS:
@@ -115,8 +158,11 @@ def chunked(docs: DataFrame, kind: str, split: Callable[[str], list[bytes]], par
                         fresh()
                     while k < len(found):
                         some = found[k : k + max(CHUNK_TOKENS - size, 1)]
-                        first = words[last]
-                        segments.append((base + row, int(held), first, np.fromiter(map(words.__getitem__, some), np.int64, len(some)), k))
+                        if table:
+                            segments.append((base + row, int(held), 1, b" ".join(some), k, len(some)))
+                        else:
+                            first = words[last]
+                            segments.append((base + row, int(held), first, np.fromiter(map(words.__getitem__, some), np.int64, len(some)), k))
                         ids.append(key)
                         size += len(some)
                         k += step if overlap else len(some)

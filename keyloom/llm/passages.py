@@ -42,7 +42,6 @@ import bisect
 import functools
 import itertools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +59,10 @@ MAX_GAP = 24
 GRID = 64
 MIN_ANCHORS = 3
 REPEAT = 16
+FEW_DIAGONALS = 12
 OVERLAP = 1024
-_WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: Bytes of words, with A-Z in lower case; all others become blanks.
+_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _SIGN = np.uint64(1 << 63)
 GAPS = (20, 45)
 DENSE = 0.5
@@ -75,7 +76,7 @@ _CHAIN = "doc long, other long, hub_chunk long, lo2 long, hi2 long, x array<long
 
 
 def words_of(text: str) -> list[bytes]:
-    return _WORDS.findall(text.encode("utf-8", "surrogatepass").lower())
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray, gaps: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +156,9 @@ def _chained(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[list[int],
     if (diagonal == diagonal[0]).all():
         keep = np.concatenate(([True], x[1:] > x[:-1]))
         return _cut(x[keep].tolist(), y[keep].tolist(), least)
+    few = np.unique(diagonal)
+    if len(few) <= FEW_DIAGONALS:
+        return _chained_few(x.tolist(), y.tolist(), np.searchsorted(few, diagonal).tolist(), few.tolist(), least)
     xs, ys = x.tolist(), y.tolist()
     out: list[tuple[list[int], list[int]]] = []
     left = list(range(len(xs)))
@@ -195,6 +199,47 @@ def _chained(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[list[int],
     return out
 
 
+def _chained_few(xs: list[int], ys: list[int], on: list[int], diagonals: list[int], least: int) -> list[tuple[list[int], list[int]]]:
+    """The chains of ``_chained`` where matches lie on few diagonals (``on``: which): on one of them those before both positions
+    are those before one, so the best of each diagonal so far takes the tree's place."""
+    out: list[tuple[list[int], list[int]]] = []
+    left = list(range(len(xs)))
+    while len(left) >= least:
+        places: list[list[int]] = [[] for _ in diagonals]
+        tops: list[list[tuple[float, int]]] = [[] for _ in diagonals]  # best up to each place
+        score, back = {}, {}
+        k, n = 0, len(left)
+        while k < n:
+            x, at = xs[left[k]], k
+            while k < n and xs[left[k]] == x:
+                i, best = left[k], (0.0, -1)
+                y = ys[i]
+                for d, there, top in zip(diagonals, places, tops, strict=True):
+                    if there:
+                        m = len(there) if there[-1] < y + d else bisect.bisect_left(there, y + d)
+                        if m and top[m - 1] > best:
+                            best = top[m - 1]
+                gain = best[0] - GAP * (x + y)
+                score[i], back[i] = (K + gain, best[1]) if best[1] >= 0 and gain > 0 else (float(K), -1)
+                k += 1
+            for i in left[at:k]:
+                top, value = tops[on[i]], (score[i] + GAP * (x + ys[i]), i)
+                top.append(max(top[-1], value) if top else value)
+                places[on[i]].append(x)
+        end = max(left, key=lambda i: (score[i], -i))
+        path = []
+        while end >= 0:
+            path.append(end)
+            end = back[end]
+        if len(path) < least:
+            break
+        path.reverse()
+        out += _cut([xs[i] for i in path], [ys[i] for i in path], least)
+        used = set(path)
+        left = [i for i in left if i not in used]
+    return out
+
+
 def _cut(x: list[int], y: list[int], least: int) -> list[tuple[list[int], list[int]]]:
     """A chain in parts, cut where more than MAX_GAP words are skipped."""
     parts, at = [], 0
@@ -582,9 +627,10 @@ class _Variant:
         x, y = np.array(r["x"]) - r["lo"], np.array(r["y"])
         self.y0, self.y1 = int(y[0]), int(y[-1]) + K
         self.at = np.full(self.y1 - self.y0, -1)
-        for a, b, end in zip(x.tolist(), y.tolist(), [*y[1:].tolist(), self.y1], strict=True):  # up to the next anchor on this one's diagonal
-            stop = min(max(end, b + K), self.y1, b + len(self.own) - a)
-            self.at[b - self.y0 : stop - self.y0] = np.arange(a, a + stop - b)
+        stop = np.minimum(np.maximum(np.append(y[1:], self.y1), y + K), np.minimum(self.y1, y + len(self.own) - x))  # up to the next anchor on this one's diagonal
+        n = np.maximum(stop - y, 0)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.at[np.repeat(y - self.y0, n) + step] = np.repeat(x, n) + step  # of anchors that overlap the later one's
         held = self.at >= 0
         back = np.minimum.accumulate(np.where(held, self.at, 1 << 40)[::-1])[::-1]  # a later anchor's words win, so that places rise
         held &= self.at <= back
@@ -598,31 +644,51 @@ class _Variant:
         return h[by], at[by]
 
 
-def _agree(a: _Variant, b: _Variant, min_words: int, similarity: float) -> tuple[int, int, int, int, int] | None:
-    """The passage that two variants share, as by ``align``: first by the words at equal places of the hub, then by their own seeds."""
-    lo, hi = max(a.y0, b.y0), min(a.y1, b.y1)
-    if hi - lo >= min_words:
-        own = a.there[lo - a.y0 : hi - a.y0]
-        same = np.flatnonzero((own == b.there[lo - b.y0 : hi - b.y0]) & (own >= 0))
-        if len(same) >= similarity * min_words:
-            i, j = int(same[0]) + lo, int(same[-1]) + lo
-            a0, a1, b0, b1 = (int(v) for v in (a.at[i - a.y0], a.at[j - a.y0] + 1, b.at[i - b.y0], b.at[j - b.y0] + 1))
-            if min(a1 - a0, b1 - b0) >= min_words and len(same) >= similarity * max(a1 - a0, b1 - b0):
-                return a0, a1, b0, b1, len(same)
-    (ha, pa_), (hb, pb) = a.seeds, b.seeds
-    first, last = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
-    n = last - first
-    x = np.repeat(pa_, n)
-    y = pb[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    best = None
-    for cx, cy in chain(x, y):
-        found = align(a.own, b.own, cx, cy)
-        if min(found[1] - found[0], found[3] - found[2]) < min_words:
-            found = stretched(a.own, b.own, found, similarity)
-        a0, a1, b0, b1, count = found
-        if min(a1 - a0, b1 - b0) >= min_words and count >= similarity * max(a1 - a0, b1 - b0) and (best is None or count > best[4]):
-            best = found
-    return best
+def _in_place(a: _Variant, others: list[_Variant], min_words: int, similarity: float) -> list[tuple[int, int, int, int, int] | None]:
+    """The passage that a variant shares with each of ``others``, which begin no earlier, by the words at equal places of the hub."""
+    lo, hi = np.array([b.y0 for b in others]), np.minimum([b.y1 for b in others], a.y1)
+    found: list[tuple[int, int, int, int, int] | None] = [None] * len(others)
+    wide = np.flatnonzero(hi - lo >= min_words)
+    if not len(wide):
+        return found
+    size = (hi - lo)[wide]
+    first = np.cumsum(size) - size
+    own = a.there[np.repeat(lo[wide] - a.y0 - first, size) + np.arange(size.sum())]
+    hits = np.flatnonzero((own == np.concatenate([others[k].there[: n] for k, n in zip(wide.tolist(), size.tolist(), strict=True)])) & (own >= 0))
+    begin, end = np.searchsorted(hits, first), np.searchsorted(hits, first + size)
+    enough = end - begin >= similarity * min_words
+    for k, at, n, i, j in zip(wide[enough].tolist(), first[enough].tolist(), (end - begin)[enough].tolist(), hits[begin[enough]].tolist(), hits[end[enough] - 1].tolist(), strict=True):
+        b = others[k]
+        shift = b.y0 - a.y0 - at
+        a0, a1, b0, b1 = int(a.at[i + shift]), int(a.at[j + shift]) + 1, int(b.at[i - at]), int(b.at[j - at]) + 1
+        if min(a1 - a0, b1 - b0) >= min_words and n >= similarity * max(a1 - a0, b1 - b0):
+            found[k] = a0, a1, b0, b1, n
+    return found
+
+
+def _agree(a: _Variant, others: list[_Variant], min_words: int, similarity: float) -> list[tuple[int, int, int, int, int] | None]:
+    """The passage that a variant shares with each of ``others``, as by ``align``: first by places of the hub, then by their own seeds."""
+    found = _in_place(a, others, min_words, similarity)
+    left = [k for k, f in enumerate(found) if f is None]
+    if not left:
+        return found
+    h, pos = a.seeds
+    hb, pb = (np.concatenate(v) for v in zip(*(others[k].seeds for k in left), strict=True))
+    group = np.repeat(left, [len(others[k].seeds[0]) for k in left])
+    first = np.searchsorted(h, hb, "left")
+    n = np.searchsorted(h, hb, "right") - first
+    x = pos[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    for k, gx, gy in _groups(np.repeat(group, n), x, np.repeat(pb, n), MIN_ANCHORS, 0):
+        b = others[k]
+        for cx, cy in _chained(gx, gy, MIN_ANCHORS):
+            one = align(a.own, b.own, cx, cy)
+            if min(one[1] - one[0], one[3] - one[2]) < min_words:
+                one = stretched(a.own, b.own, one, similarity)
+            a0, a1, b0, b1, count = one
+            best = found[k]
+            if min(a1 - a0, b1 - b0) >= min_words and count >= similarity * max(a1 - a0, b1 - b0) and (best is None or count > best[4]):
+                found[k] = one
+    return found
 
 
 def _compared(rows: list[dict], min_words: int, similarity: float) -> tuple[dict[str, int], list[tuple]]:
@@ -638,13 +704,10 @@ def _compared(rows: list[dict], min_words: int, similarity: float) -> tuple[dict
         return t
 
     out = []
+    begins = [v.y0 for v in all_]
     for i, a in enumerate(all_):
-        for b in itertools.islice(all_, i + 1, None):
-            if b.y0 + K > a.y1:
-                break
-            if a.doc == b.doc or (apart and a.r["b"] == b.r["b"]):
-                continue
-            found = _agree(a, b, min_words, similarity)
+        others = [b for b in all_[i + 1 : bisect.bisect_right(begins, a.y1 - K)] if a.doc != b.doc and not (apart and a.r["b"] == b.r["b"])]
+        for b, found in zip(others, _agree(a, others, min_words, similarity) if others else (), strict=True):
             if found is None:
                 continue
             links[a.text] += b.r["n"]
@@ -735,7 +798,7 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     integral(docs, id_col)
     stage, parts = Stage(spark, "passages"), 4 * max(1, shuffle_parts(spark))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held")).filter(F.col("id").isNotNull())
-    chunks = stage.put("chunks-0", chunked(slim, "bigint", words_of, overlap=OVERLAP).drop("counts", "order"))
+    chunks = stage.put("chunks-0", chunked(slim, "bigint", _BYTES, overlap=OVERLAP).drop("counts", "order"))
     gaps, step, found, linked = (0,), chunking.CHUNK_TOKENS - OVERLAP, [], []
     for k in itertools.count():
         back = stage.put(f"hubs-{k}", _seed_table(chunks, parts, gaps)).groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("back"))
