@@ -186,16 +186,23 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     each = max(1, min(per_lang, max_sample // len(counts)))
     span = 1 << 31
     drawn = 1.3 * max(each, 16)  # so that no label is left without a text by chance
-    limit = docs.sparkSession.createDataFrame([(lang, int(span * min(1.0, drawn / n)) + 1) for lang, n in sorted(counts.items())], "lang string, limit long")
+    langs = sorted(counts)
+    # From an Arrow table, which the JVM reads; a list of rows starts Python workers of its own.
+    limit = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "limit": pa.array([int(span * min(1.0, drawn / counts[x])) + 1 for x in langs], pa.int64())}))
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(span))
     sample = rows.withColumn("draw", draw).join(F.broadcast(limit), "lang").filter(F.col("draw") < F.col("limit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [ngram_counts(t) for t in b.column("text").to_pylist()]
-            at = [np.zeros(0, np.int64) if c is None else np.flatnonzero(c) for c in found]
-            val = [np.zeros(0, np.int64) if c is None else c[i] for c, i in zip(found, at, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([v.astype("<u4").tobytes() for v in val], pa.binary())], ["lang", "draw", "at", "n"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                b = batch.slice(start, 128)
+                at, val = [], []
+                for t in b.column("text").to_pylist():
+                    c = ngram_counts(t)  # all buckets: one text's at a time
+                    own = np.zeros(0, np.int64) if c is None else np.flatnonzero(c)
+                    at.append(own.astype("<u2").tobytes())
+                    val.append(b"" if c is None else c[own].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array(at, pa.binary()), pa.array(val, pa.binary())], ["lang", "draw", "at", "n"])
 
     got: dict[str, list] = {}
     for r in sample.select("text", "lang", "draw").mapInArrow(count, "lang string, draw long, at binary, n binary").toLocalIterator():
